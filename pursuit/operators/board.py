@@ -10,7 +10,7 @@ from pursuit.operators.ordering import with_neighbours, with_rank
 from pursuit.operators.playtable import rated
 from pursuit.operators.ratings import player_means, shrunk, teams
 from pursuit.schema import HIGHLIGHT_AIR, MIN_PLAYS, PLAY
-from pursuit.staging import staged
+from pursuit.staging import lookup, staged
 
 ANY = "any"
 
@@ -148,7 +148,7 @@ def highlight_picks(rows: DataFrame, n: int = 8, min_plays: int = MIN_PLAYS, air
     best = staged(best.where((F.col("n") >= min_plays) & F.col("p").isNotNull()).select("id", "p.*"), "best-plays")
     first = Window.partitionBy("grp").orderBy(*best_first())
     floor = best.withColumn("_rn", F.row_number().over(first)).where("_rn <= 2").drop("_rn")
-    floor = staged(floor, "floor-plays")
+    floor = lookup(floor, "floor-plays")
     rest = best.join(floor.select("id"), "id", "left_anti").orderBy(*best_first()).limit(n)
     both = floor.withColumn("_floor", F.lit(1)).unionByName(rest.withColumn("_floor", F.lit(0)))
     picks = both.orderBy(F.desc("_floor"), *best_first()).limit(n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pursuit.operators.paths import RUN
 from pursuit.schema import KEY, PLAY, PUBLISHED
-from pursuit.staging import staged
+from pursuit.staging import lookup
 
 # Player columns of a document and the order of the values in a frame.
 PLAYER_FIELDS = {
@@ -37,7 +37,7 @@ def published(table: DataFrame) -> DataFrame:
 def _oversized(members: DataFrame, by: list[str], limit: int) -> DataFrame:
     """Groups with more members than fit in one part, and the number of parts they need; empty on ordinary data."""
     counts = members.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    return staged(counts.select(*by, F.ceil(F.col("_n") / limit).alias("_parts")), "oversized")
+    return lookup(counts.select(*by, F.ceil(F.col("_n") / limit).alias("_parts")), "oversized")
 
 
 def _with_part(rows: DataFrame, oversized: DataFrame, by: list[str], member) -> DataFrame:
@@ -130,7 +130,7 @@ def game_documents(plays: DataFrame, per_part: int = PLAYS_PER_PART) -> DataFram
     """One document per game and part with its plays in order; week and teams are those of the game's first play.
 
     Reads ``plays`` more than once, so give it staged play documents."""
-    header = staged(plays.groupBy("game_id").agg(
+    header = lookup(plays.groupBy("game_id").agg(
         F.min_by(F.struct("week", "home", "away"), F.struct("play_id", "part")).alias("h")), "game-headers")
     many = _oversized(plays.select(*PLAY, "part"), ["game_id"], per_part)
     body = F.struct(F.col("play_id").alias("play"), *[
@@ -178,7 +178,7 @@ def highlights(picks: DataFrame, plays: DataFrame) -> DataFrame:
     scene = scene.select(
         F.col("game_id").alias("game"), F.col("play_id").alias("play"), "part", "week", "home", "away",
         F.struct(F.col("play_id").alias("play"), *body).alias("scene"))
-    return staged(picks, "picks").join(scene, ["game", "play"])
+    return lookup(picks, "picks").join(scene, ["game", "play"])
 
 
 def meta_row(

@@ -8,7 +8,7 @@ from pursuit.operators.paths import future_frames, last_frame
 from pursuit.schema import (
     FIELD_X, FIELD_Y, FRAME, HORIZON, KEY, N_FOLDS, OTHER_GROUP, PLAY, RATING_GROUPS, RECEIVER, SECONDS_PER_FRAME,
 )
-from pursuit.staging import staged
+from pursuit.staging import lookup, staged
 
 BUCKET = 5  # air frames that share one set of weights
 # The spread is held to a log variance between -6 and 6.
@@ -146,7 +146,7 @@ def fit_crossfit(inp: DataFrame, out: DataFrame) -> DataFrame:
     One pass over the targets sums second moments per (kind, bucket, fold); what a fold may not see is the total minus
     its own sums. A kind seen in one fold only is fitted on that fold. Half a turn flips the sign of both regressors
     and of the displacement, so the fit is the same in field coordinates. The result has at most four kinds x eight
-    buckets x five folds rows and is staged, so the join in ``predict_crossfit`` knows how small it is."""
+    buckets x five folds rows and is a lookup for ``predict_crossfit``."""
     rows = out.where(F.col("frame_id") <= HORIZON).join(throw_state(inp).drop("frame_id"), KEY)
     by_fold = staged(
         rows.groupBy(_kind().alias("kind"), _bucket(F.col("frame_id")).alias("bucket"), fold_of().alias("fold"))
@@ -167,7 +167,7 @@ def fit_crossfit(inp: DataFrame, out: DataFrame) -> DataFrame:
     model = cells.select(
         "kind", "bucket", "fold", "n", "x_velocity", "x_ball", "sd_x", "y_velocity", "y_ball", "sd_y"
     )
-    return staged(model, "crossfit")
+    return lookup(model, "crossfit")
 
 
 def predict_crossfit(state: DataFrame, model: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ chunk carries the counts and the edge values over the seams."""
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pursuit.staging import staged
+from pursuit.staging import lookup, staged
 
 
 def _placed(df: DataFrame, by, orders) -> DataFrame:
@@ -22,7 +22,7 @@ def with_rank(df: DataFrame, by, orders, rank: str = "rank", total: str | None =
     chunks = rows.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
-    chunks = staged(chunks.select(
+    chunks = lookup(chunks.select(
         *by, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(everything).alias("_total"),
     ), "chunks")
@@ -39,7 +39,7 @@ def with_neighbours(df: DataFrame, by, order: str) -> DataFrame:
     rows = _placed(df, by, [F.col(order)])
     edges = rows.groupBy(*by, "_chunk").agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     along = Window.partitionBy(*by).orderBy("_chunk")
-    edges = staged(edges.select(
+    edges = lookup(edges.select(
         *by, "_chunk", F.lag("_hi").over(along).alias("_prev"), F.lead("_lo").over(along).alias("_next")), "edges")
     inside = Window.partitionBy(*by, "_chunk").orderBy(order)
     rows = rows.withColumns({

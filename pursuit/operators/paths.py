@@ -8,20 +8,24 @@ from pursuit.schema import FRAME, KEY
 # A player's frames are walked in runs of this many, so one endless track is many groups and not one.
 RUN = 4096
 
-LAST_COLUMNS = [
-    "x", "y", "s", "dir", "play_direction", "ball_land_x", "ball_land_y", "num_frames_output", "player_role",
-    "player_position", "player_name",
+# What a player has in every frame of a play alike, and what changes from frame to frame.
+CONSTANT = [
+    "play_direction", "ball_land_x", "ball_land_y", "num_frames_output", "player_role", "player_position", "player_name",
 ]
+MOVING = ["x", "y", "s", "dir"]
 
 
-def last_frame(inp: DataFrame, columns=LAST_COLUMNS, every_player: bool = False) -> DataFrame:
-    """One row per predicted player (or per player): ``columns`` of the last input frame.
+def last_frame(inp: DataFrame, constant=CONSTANT, moving=MOVING) -> DataFrame:
+    """One row per predicted player: the columns of the last input frame.
 
-    An aggregate that combines before the shuffle, so a player's frames never travel; no sort by frame."""
-    rows = inp if every_player else inp.where("player_to_predict")
-    last = rows.groupBy(*KEY).agg(
-        F.max_by(F.struct(*columns), F.col("frame_id")).alias("_last"), F.max("frame_id").alias("frame_id")
-    )
+    Combines before the shuffle, so a player's frames never travel, and needs no sort: the constant columns are grouping
+    keys and the moving ones numbers, which keeps the pass over the frames in hash maps. A second aggregate over what is
+    left, one row per player, settles columns that were not constant after all."""
+    at = F.col("frame_id")
+    runs = inp.where("player_to_predict").groupBy(*KEY, *constant).agg(
+        *[F.max_by(c, at).alias(c) for c in moving], F.max(at).alias("frame_id"))
+    last = runs.groupBy(*KEY).agg(
+        F.max_by(F.struct(*constant, *moving), at).alias("_last"), F.max(at).alias("frame_id"))
     return last.select(*KEY, "frame_id", "_last.*")
 
 
@@ -51,9 +55,8 @@ def arrivals(inp: DataFrame, out: DataFrame, pred: DataFrame) -> DataFrame:
 
     The arrival frame is part of the join key, so both joins use one exchange of the small player side and no
     single player can make a task large."""
-    last = last_frame(inp, [
-        "player_role", "player_position", "player_name", "num_frames_output", "ball_land_x", "ball_land_y", "x", "y",
-    ]).drop("frame_id").withColumnsRenamed({"x": "x0", "y": "y0"})
+    constant = ["player_role", "player_position", "player_name", "num_frames_output", "ball_land_x", "ball_land_y"]
+    last = last_frame(inp, constant, ["x", "y"]).drop("frame_id").withColumnsRenamed({"x": "x0", "y": "y0"})
     at = [*KEY, "num_frames_output"]
     actual = out.select(*KEY, F.col("frame_id").alias("num_frames_output"), "x", "y")
     expected = pred.select(

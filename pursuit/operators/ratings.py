@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pursuit.operators.playtable import rated
 from pursuit.schema import CENTERING, MIN_PLAYS, RULES, TEAM_PLAYS
-from pursuit.staging import staged
+from pursuit.staging import lookup, staged
 
 BETWEEN_FLOOR = 1e-6
 
@@ -37,7 +37,7 @@ def center(table: DataFrame, passes=CENTERING, value: str = "z") -> DataFrame:
         rated(table).groupBy(*columns, "fold").agg(F.sum(value).alias("s"), F.count("*").alias("n")), "cells")
     shift = F.lit(0.0)
     for i, cells in enumerate(passes):
-        by_cell, by_fold = (staged(m, "means") for m in _means(sums, cells, str(i)))
+        by_cell, by_fold = (lookup(m, "means") for m in _means(sums, cells, str(i)))
         table = table.join(by_cell, cells, "left").join(by_fold, [*cells, "fold"], "left")
         shift = shift + _other_folds_mean(str(i))
         if i + 1 < len(passes):
@@ -51,7 +51,7 @@ def center(table: DataFrame, passes=CENTERING, value: str = "z") -> DataFrame:
 
 def shrinkage(table: DataFrame) -> DataFrame:
     """Per position group: variance of zc over all rated rows (within), variance of the player means beyond what
-    within explains (between), and k = within / between. Staged: its few rows decide how later joins run.
+    within explains (between), and k = within / between. A lookup: it has one row per group.
 
     One pass: rows combine into count, mean and squared deviations per player, players into groups."""
     per_player = rated(table).groupBy("grp", "nfl_id").agg(
@@ -68,7 +68,7 @@ def shrinkage(table: DataFrame) -> DataFrame:
     groups = per_group.withColumn("within", F.greatest(within, F.lit(0.0)))
     between = F.when(F.col("players") >= 2, F.col("spread") - F.col("within") / F.col("plays")).otherwise(0.0)
     groups = groups.withColumn("between", F.greatest(between, F.lit(BETWEEN_FLOOR)))
-    return staged(
+    return lookup(
         groups.select("grp", "within", "between", (F.col("within") / F.col("between")).alias("k")), "shrinkage")
 
 

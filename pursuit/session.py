@@ -1,22 +1,35 @@
-"""Session defaults for running the jobs outside a managed cluster."""
+"""Session defaults, for new sessions and for the ones a cluster hands out."""
 
 from pyspark.sql import SparkSession
 
+# Runtime settings the plans count on; all of them decide by measured sizes and have another way beyond the limit.
+TUNING = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a skewed join partition even where that costs one more exchange downstream
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # one row per player meets many frames: hash the small side when every partition of it is measured to fit, sort otherwise
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # no broadcast on an estimate (an exploded table looks as small as its source); adaptive execution broadcasts what it
+    # has measured, and staged lookups are broadcast after their rows are counted
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Put the runtime settings on a session that already runs."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(app: str = "pursuit", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution on and UTC time; anything else comes from the cluster or from ``conf``."""
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # split a skewed join partition even where that costs one more exchange downstream
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        .config("spark.ui.showConsoleProgress", "false")
-    )
+    """A tuned session; anything else comes from the cluster or from ``conf`` (dots as double underscores)."""
+    builder = SparkSession.builder.appName(app).config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+    for key, value in {**TUNING, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -1,8 +1,8 @@
 """Written hand-offs between the stages of one application.
 
-A staged table cuts lineage, survives the loss of executors, and, because it is a file, tells the optimizer its real
-size: a join with a small staged table is broadcast when it is under ``spark.sql.autoBroadcastJoinThreshold`` and
-shuffled when it is not, without a hint and without anybody counting rows.
+A staged table cuts lineage, survives the loss of executors, and can be read by several consumers without computing it
+again. A lookup is a staged table that joins meet: its rows are counted in the file footers, and only a table within the
+limit is broadcast; beyond it the join is shuffled.
 """
 
 import tempfile
@@ -39,3 +39,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+LOOKUP_ROWS = 100_000
+
+
+def lookup(df: DataFrame, label: str, limit: int = LOOKUP_ROWS) -> DataFrame:
+    """A staged table of narrow rows for the small side of joins, broadcast when it holds at most ``limit`` rows."""
+    table = staged(df, label)
+    return table.hint("broadcast") if table.count() <= limit else table

@@ -1,5 +1,7 @@
 """Published rows, nested documents, scenes, requests, streams and the publication job."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +57,11 @@ def _plays(spark, sf_dir):
     return _documents[at]
 
 
-def reset() -> None:
+def reset(keep_entries: bool = False) -> None:
     from workload import suite_ratings
 
     _documents.clear()
-    suite_ratings.reset()
+    suite_ratings.reset(keep_entries)
 
 
 def _flat_sum(array):
@@ -77,8 +79,8 @@ prate AS (SELECT game_id, count(*) AS ratings, sum({rd('zc', 6)}) AS zc FROM cen
 
 
 @query(_sql(GAMES, f"""
-SELECT h.game_id AS game, 0 AS part, week, home, away, plays, players, frames, {r('total', 1)} AS total, air, {r('moved', 1)} AS moved,
-  {r('expected', 1)} AS expected, coalesce(ratings, 0) AS ratings, {r('coalesce(zc, 0)', 4)} AS zc
+SELECT h.game_id AS game, 0 AS part, week, home, away, plays, players, frames, {r('total', 2)} AS total, air, {r('moved', 2)} AS moved,
+  {r('expected', 2)} AS expected, coalesce(ratings, 0) AS ratings, {r('coalesce(zc, 0)', 4)} AS zc
 FROM head h JOIN pin USING (game_id) JOIN pout USING (game_id) JOIN ppred USING (game_id) LEFT JOIN prate USING (game_id)"""))
 def game_documents(spark, sf_dir):
     """Every game's document, summed up: plays, players, frames and all values in it."""
@@ -99,9 +101,9 @@ def game_documents(spark, sf_dir):
     return games.select(
         "game", F.col("part").cast("int").alias("part"), "week", "home", "away", count(F.size("plays")).alias("plays"),
         count(each(lambda p: F.size(p["players"]))).alias("players"),
-        count(over("players", lambda p: F.size(p["in"]))).alias("frames"), F.round(paths("in"), 1).alias("total"),
+        count(over("players", lambda p: F.size(p["in"]))).alias("frames"), F.round(paths("in"), 2).alias("total"),
         count(over("players", lambda p: F.coalesce(F.size(p["out"]), F.lit(0)))).alias("air"),
-        F.round(paths("out"), 1).alias("moved"), F.round(paths("pred"), 1).alias("expected"),
+        F.round(paths("out"), 2).alias("moved"), F.round(paths("pred"), 2).alias("expected"),
         count(each(lambda p: F.size(p["ratings"]))).alias("ratings"),
         F.round(over("ratings", lambda e: e["zc"]), 4).alias("zc"))
 
@@ -311,11 +313,19 @@ def _write_raw_weeks(spark, sf_dir, root):
     """The derived tables as weekly CSV folders, the way raw data arrives."""
     v = tracking(spark, sf_dir)
     weeks = v.context.select(*PLAY, "week")
+    stored = {}
     for kind, frames, names in (("input", v.inp, INPUT_SCHEMA.names), ("output", v.out, OUTPUT_SCHEMA.names)):
-        rows = staged(frames.join(weeks, PLAY).select("week", *names), f"raw-{kind}")
-        for week in range(1, 19):
-            path = files.week_paths(root, kind, [week])[0]
-            rows.where(F.col("week") == week).select(*names).write.option("header", True).csv(path)
+        path = staging_path(spark, f"raw-{kind}")
+        frames.join(weeks, PLAY).select("week", *names).write.partitionBy("week").parquet(path)
+        stored[kind] = (path, names)
+
+    def write(kind, week):
+        path, names = stored[kind]
+        rows = spark.read.parquet(path).where(F.col("week") == week).select(*names)
+        rows.write.option("header", True).csv(files.week_paths(root, kind, [week])[0])
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda at: write(*at), [(k, w) for k in stored for w in range(1, 19)]))
 
 
 WEEKS = """

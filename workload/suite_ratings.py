@@ -108,8 +108,8 @@ board AS MATERIALIZED (SELECT *, CASE WHEN rating > 2 * se THEN 'above' WHEN rat
 
 
 PUBLISHED_SHRINK = SHRINK + PUBLISHED[len(CENTERED):]
-BOARD_SELECT = f"""id, name, pos, grp, n, {r('mean')} AS mean, {r('yards')} AS yards, {r('comp')} AS comp, {r('epa')} AS epa,
-  teams, team_n, {r('rating')} AS rating, {r('se')} AS se, tier, main_team"""
+BOARD_SELECT = f"""id, name, pos, grp, n, {r('mean', 9)} AS mean, {r('yards', 9)} AS yards, {r('comp', 9)} AS comp,
+  {r('epa', 9)} AS epa, teams, team_n, {r('rating', 9)} AS rating, {r('se', 9)} AS se, tier, main_team"""
 
 
 def _sql(ctes: str, body: str) -> str:
@@ -144,12 +144,13 @@ def base(spark, sf_dir) -> Base:
     return _bases[at]
 
 
-def reset() -> None:
+def reset(keep_entries: bool = False) -> None:
     """Forget staged results, so that the next query starts from the given tables."""
     from workload import tracking as view
 
     _bases.clear()
-    view._rosters.clear()
+    if not keep_entries:
+        view._rosters.clear()
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -195,11 +196,12 @@ def shrinkage(spark, sf_dir):
     return rounded(ratings.shrinkage(base(spark, sf_dir).table))
 
 
-@query(_sql(PLAYERS, f"""SELECT nfl_id, n, name, pos, grp, {r('mean')} AS mean, {r('yards')} AS yards, {r('comp')} AS comp,
-  {r('epa')} AS epa, teams, team_n, {r('rating')} AS rating, {r('se')} AS se, tier, listed FROM players"""))
+@query(_sql(PLAYERS, f"""SELECT nfl_id, n, name, pos, grp, {r('mean', 9)} AS mean, {r('yards', 9)} AS yards,
+  {r('comp', 9)} AS comp, {r('epa', 9)} AS epa, teams, team_n, {r('rating', 9)} AS rating, {r('se', 9)} AS se, tier, listed
+FROM players"""))
 def player_ratings(spark, sf_dir):
     b = base(spark, sf_dir)
-    return rounded(flat(ratings.players(b.table, b.shrink))).orderBy(F.desc("rating"), "nfl_id")
+    return rounded(flat(ratings.players(b.table, b.shrink)), 9).orderBy(F.desc("rating"), "nfl_id")
 
 
 @query(_sql(CENTERED, f"""
@@ -272,7 +274,7 @@ def _board(name, where, filters):
     @query(_sql(f"{PUBLISHED_SHRINK}, {board_sql(where, filters.min_plays)}", f"SELECT {BOARD_SELECT} FROM board"), name=name)
     def run(spark, sf_dir):
         b = base(spark, sf_dir)
-        return rounded(flat(board.filtered_ratings(b.rows, b.shrink, filters)))
+        return rounded(flat(board.filtered_ratings(b.rows, b.shrink, filters)), 9)
     return run
 
 

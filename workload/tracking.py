@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pursuit import schema as S
 from pursuit.operators.expect import fold_of
+from pursuit.session import tune
 from pursuit.staging import staged
 
 # Labels the key arithmetic picks from; workload.oracle_view uses the same lists.
@@ -40,6 +41,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order and supplier with the player's rank in the play; written once per application and folder."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _rosters:
+        tune(spark)
         order = Window.partitionBy("o").orderBy((F.col("sk") * 7919 + F.col("o") * 104729) % 1009, "sk")
         entries = (
             spark.read.parquet(f"{sf_dir}/lineitem.parquet")
