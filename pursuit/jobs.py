@@ -4,6 +4,7 @@ Folders under the root: raw (weekly CSV and supplementary_data.csv), processed,
 
 import argparse
 
+from pursuit.operators import quality
 from pursuit.plans import prepare, rate, score
 from pursuit.session import build_session
 from pursuit.sources.tracking import load_weeks, parse_weeks, read_context_csv, read_predictions, write_predictions
@@ -15,10 +16,11 @@ def run_prepare(spark, root, args):
 
 def run_score(spark, root, args):
     inp, out = load_weeks(spark, f"{root}/processed", parse_weeks(args.weeks))
-    model, pred = score.score(inp.drop("week"), out.drop("week"))
-    model.write.mode("overwrite").parquet(f"{root}/models/{args.run}")
-    write_predictions(pred, f"{root}/predictions/{args.run}")
-    score.fold_reports(pred, out.drop("week")).write.mode("overwrite").parquet(f"{root}/reports/{args.run}")
+    scored = score.score(inp.drop("week"), out.drop("week"))
+    quality.require_rows(scored.state, "no play matched any fold")
+    scored.model.write.mode("overwrite").parquet(f"{root}/models/{args.run}")
+    write_predictions(scored.pred, f"{root}/predictions/{args.run}")
+    scored.reports.write.mode("overwrite").parquet(f"{root}/reports/{args.run}")
 
 
 def run_publish(spark, root, args):

@@ -6,7 +6,7 @@ players and a game with very many plays into parts. Ordinary plays and games are
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pursuit.operators.paths import RUN
+from pursuit.operators.paths import RUN, per_player
 from pursuit.schema import KEY, PLAY, PUBLISHED
 from pursuit.staging import lookup
 
@@ -15,6 +15,9 @@ PLAYER_FIELDS = {
     "player_name": "name", "player_position": "pos", "player_side": "side", "player_role": "role",
     "player_height": "h", "player_weight": "w", "player_birth_date": "b", "player_to_predict": "p",
 }
+PLAY_FIELDS = [
+    "play_direction", "absolute_yardline_number", "num_frames_output", "ball_land_x", "ball_land_y",
+]
 FRAME_VALUES = ["x", "y", "s", "a", "dir", "o"]
 OUT_VALUES = ["x", "y"]
 PRED_VALUES = ["x_pred", "y_pred", "sd_x", "sd_y"]
@@ -52,42 +55,29 @@ def _values(names):
 def player_tracks(inp: DataFrame, out: DataFrame, pred: DataFrame) -> DataFrame:
     """One row per player and run of frames: static fields and the input, actual and expected frames in order.
 
-    The three tables meet in one exchange and one aggregate; ``out`` and ``pred`` are null for other players."""
-    empty = F.lit(None)
+    The three tables meet in one exchange and one aggregate of numbers only; ``out`` and ``pred`` are null for other
+    players. What a player has once is aggregated apart and joined."""
+    none = F.lit(None).cast("array<double>")
 
-    def side(df, i=empty, o=empty, p=empty, who=empty):
-        return df.select(*KEY, "frame_id", i.cast("array<double>").alias("i"), o.cast("array<double>").alias("o"),
-                         p.cast("array<double>").alias("e"), who.alias("who"))
+    def side(df, **value):
+        return df.select(*KEY, "frame_id", *[value.get(k, none).alias(k) for k in ("i", "o", "e")])
 
-    fields = F.struct(
-        *[F.col(c).alias(n) for c, n in PLAYER_FIELDS.items()], "play_direction", "absolute_yardline_number",
-        "num_frames_output", "ball_land_x", "ball_land_y",
-    )
-    who = "struct<name:string,pos:string,side:string,role:string,h:string,w:bigint,b:string,p:boolean," \
-          "play_direction:string,absolute_yardline_number:bigint,num_frames_output:bigint," \
-          "ball_land_x:double,ball_land_y:double>"
-    none = F.lit(None).cast(who)
-    rows = side(inp, i=_values(FRAME_VALUES), who=fields.cast(who))
-    rows = rows.unionByName(side(out, o=_values(OUT_VALUES), who=none))
-    rows = rows.unionByName(side(pred, p=_values(PRED_VALUES), who=none))
+    rows = side(inp, i=_values(FRAME_VALUES)).unionByName(side(out, o=_values(OUT_VALUES))).unionByName(
+        side(pred, e=_values(PRED_VALUES)))
 
     def track(name):
-        entries = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("frame_id", F.col(name).alias("v"))))
-        return entries
+        return F.collect_list(F.when(F.col(name).isNotNull(), F.struct("frame_id", F.col(name).alias("v")))).alias(name)
 
     run = F.floor((F.col("frame_id") - 1) / RUN)
-    tracks = rows.groupBy(*KEY, run.alias("run")).agg(
-        F.min_by("who", F.when(F.col("who").isNotNull(), F.col("frame_id"))).alias("who"),
-        track("i").alias("i"), track("o").alias("o"), track("e").alias("e"),
-    )
+    tracks = rows.groupBy(*KEY, run.alias("run")).agg(track("i"), track("o"), track("e"))
 
     def ordered(name):
         return F.transform(F.array_sort(name), lambda e: e["v"])
 
-    return tracks.select(
-        *KEY, "run", "who", ordered("i").alias("in"),
-        F.when(F.size("o") > 0, ordered("o")).alias("out"), F.when(F.size("e") > 0, ordered("e")).alias("pred"),
-    )
+    tracks = tracks.select(
+        *KEY, "run", ordered("i").alias("in"), F.when(F.size("o") > 0, ordered("o")).alias("out"),
+        F.when(F.size("e") > 0, ordered("e")).alias("pred"))
+    return tracks.join(per_player(inp, [*PLAYER_FIELDS, *PLAY_FIELDS], ends="first").drop("frame_id", "n"), KEY)
 
 
 def play_documents(
@@ -98,18 +88,18 @@ def play_documents(
     tracks = player_tracks(inp, out, pred)
     many = _oversized(inp.select(*KEY).distinct(), PLAY, per_part)
     player = F.struct(
-        F.col("nfl_id").alias("id"), *[F.col(f"who.{n}").alias(n) for n in PLAYER_FIELDS.values()],
+        F.col("nfl_id").alias("id"), *[F.col(c).alias(n) for c, n in PLAYER_FIELDS.items()],
         F.col("in"), F.col("out"), F.col("pred"), F.col("run"),
     )
     meta = F.struct(
-        F.col("who.play_direction").alias("dir"), F.col("who.absolute_yardline_number").alias("yl"),
-        F.col("who.num_frames_output").alias("nfo"),
-        F.array(F.round("who.ball_land_x", 2), F.round("who.ball_land_y", 2)).alias("land"),
+        F.col("play_direction").alias("dir"), F.col("absolute_yardline_number").alias("yl"),
+        F.col("num_frames_output").alias("nfo"),
+        F.array(F.round("ball_land_x", 2), F.round("ball_land_y", 2)).alias("land"),
     )
     people = _with_part(
         tracks.select(*PLAY, "nfl_id", "run", player.alias("player"), meta.alias("meta")), many, PLAY, ["nfl_id"])
     assembled = people.groupBy(*PLAY, "part").agg(
-        F.min_by("meta", F.when(F.col("meta.dir").isNotNull(), F.struct("nfl_id", "run"))).alias("meta"),
+        F.min_by("meta", F.struct("nfl_id", "run")).alias("meta"),
         F.array_sort(F.collect_list(F.struct("nfl_id", "run", "player"))).alias("players"),
     ).withColumn("players", F.transform("players", lambda e: e["player"]))
     rows = published(table).withColumnsRenamed({"game": "game_id", "play": "play_id"})

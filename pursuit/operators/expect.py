@@ -76,12 +76,16 @@ def baseline_predictions(inp: DataFrame, name: str) -> DataFrame:
     return future_frames(throw_state(inp)).withColumns({"x_pred": x, "y_pred": y})
 
 
+def targets_at_throw(state: DataFrame, out: DataFrame) -> DataFrame:
+    """Target frames with their player's throw state. The targets meet one row per player and no path is expanded."""
+    return out.join(state.drop("frame_id"), KEY)
+
+
 def baseline_targets(inp: DataFrame, out: DataFrame) -> DataFrame:
-    """Target frames with the position of every baseline next to them.
+    """Target frames with the position of every baseline next to them, after a single join.
 
-    The targets meet one row per player, so all baselines are scored after a single join and no path is expanded.
     Half a turn of the field moves targets and expectations alike and leaves every error as it is."""
-    rows = out.join(throw_state(inp).drop("frame_id"), KEY)
+    rows = targets_at_throw(throw_state(inp), out)
     for name, rule in BASELINES.items():
         x, y = rule()
         rows = rows.withColumns({f"x_{name}": x, f"y_{name}": y})
@@ -140,14 +144,14 @@ def _spread(axis: str):
     return F.greatest(F.least(sd, F.exp(F.lit(LOG_SD_LIMIT))), F.exp(F.lit(-LOG_SD_LIMIT)))
 
 
-def fit_crossfit(inp: DataFrame, out: DataFrame) -> DataFrame:
+def fit_crossfit(state: DataFrame, out: DataFrame) -> DataFrame:
     """The cross-fitted expectation: weights and spread per player kind, air-frame bucket and held-out fold.
 
     One pass over the targets sums second moments per (kind, bucket, fold); what a fold may not see is the total minus
     its own sums. A kind seen in one fold only is fitted on that fold. Half a turn flips the sign of both regressors
     and of the displacement, so the fit is the same in field coordinates. The result has at most four kinds x eight
     buckets x five folds rows and is a lookup for ``predict_crossfit``."""
-    rows = out.where(F.col("frame_id") <= HORIZON).join(throw_state(inp).drop("frame_id"), KEY)
+    rows = targets_at_throw(state, out.where(F.col("frame_id") <= HORIZON))
     by_fold = staged(
         rows.groupBy(_kind().alias("kind"), _bucket(F.col("frame_id")).alias("bucket"), fold_of().alias("fold"))
         .agg(*_moments()), "moments")
@@ -172,19 +176,27 @@ def fit_crossfit(inp: DataFrame, out: DataFrame) -> DataFrame:
 
 def predict_crossfit(state: DataFrame, model: DataFrame) -> DataFrame:
     """Expected paths from the throw state; frames past the horizon hold its last value. Keeps role and air time."""
-    rows = future_frames(state).withColumns({
+    rows = _with_expectation(future_frames(state), model)
+    extra = [c for c in ("scenario",) if c in state.columns]
+    return rows.select(
+        *extra, *FRAME, "x_pred", "y_pred", "sd_x", "sd_y", "fold", "player_role", "num_frames_output")
+
+
+def _with_expectation(rows: DataFrame, model: DataFrame) -> DataFrame:
+    rows = rows.withColumns({
         "kind": _kind(), "bucket": _bucket(F.col("frame_id")), "fold": fold_of(),
         "_k": F.least(F.col("frame_id"), F.lit(HORIZON)),
-    })
-    rows = rows.join(model.drop("n"), ["kind", "bucket", "fold"], "left")
+    }).join(model.drop("n"), ["kind", "bucket", "fold"], "left")
     moved = _regressors(F.col("_k"))
-    x = F.col("x0") + F.col("x_velocity") * moved["x"][0] + F.col("x_ball") * moved["x"][1]
-    y = F.col("y0") + F.col("y_velocity") * moved["y"][0] + F.col("y_ball") * moved["y"][1]
-    extra = [c for c in ("scenario",) if c in state.columns]
-    return rows.select(
-        *extra, *FRAME, x.alias("x_pred"), y.alias("y_pred"), "sd_x", "sd_y", "fold", "player_role",
-        "num_frames_output",
-    )
+    return rows.withColumns({
+        f"{a}_pred": F.col(f"{a}0") + F.col(f"{a}_velocity") * moved[a][0] + F.col(f"{a}_ball") * moved[a][1]
+        for a in ("x", "y")
+    })
+
+
+def crossfit_targets(state: DataFrame, out: DataFrame, model: DataFrame) -> DataFrame:
+    """Target frames with the cross-fitted expectation, computed where they meet the throw state."""
+    return _with_expectation(targets_at_throw(state, out), model)
 
 
 def scenarios(state: DataFrame, moves: list[dict]) -> DataFrame:
@@ -216,7 +228,7 @@ def external_predictions(frames: DataFrame, model_fn, schema) -> DataFrame:
     return frames.mapInPandas(model_fn, schema)
 
 
-def fit_linear_models(inp: DataFrame, out: DataFrame):
+def fit_linear_models(state: DataFrame, out: DataFrame):
     """The same expectation with ``pyspark.ml``: one least-squares fit per held-out fold and axis.
 
     The weights of a (kind, bucket) cell are the coefficients of that cell's two interaction terms, so one fit per
@@ -226,8 +238,8 @@ def fit_linear_models(inp: DataFrame, out: DataFrame):
 
     kinds = ["receiver", *RATING_GROUPS, OTHER_GROUP]
     buckets = -(-HORIZON // BUCKET)
-    spark = inp.sparkSession
-    rows = out.where(F.col("frame_id") <= HORIZON).join(throw_state(inp).drop("frame_id"), KEY)
+    spark = out.sparkSession
+    rows = targets_at_throw(state, out.where(F.col("frame_id") <= HORIZON))
     index = F.array_position(F.array(*[F.lit(k) for k in kinds]), _kind()) - 1
     cell = (index * buckets + _bucket(F.col("frame_id"))).cast("double")
     columns = [cell.alias("cell"), fold_of().alias("fold")]

@@ -3,28 +3,35 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pursuit.operators import quality
+from pursuit.operators.quality import ValidationError
 from pursuit.schema import FRAME, HORIZON, KEY
+from pursuit.staging import staged
 
 # Single air frames that get a cut of their own.
 MARKED_FRAMES = [5, 10, 20, 30]
 ONE_MODEL = {"model": ("x_pred", "y_pred")}
 
 
-def report(scored: DataFrame, models=ONE_MODEL, by=()) -> DataFrame:
-    """RMSE per model and cut: all, air time up to the horizon, each role, and the marked frames.
+def cut_cells(scored: DataFrame, models=ONE_MODEL, by=()) -> DataFrame:
+    """Squared errors per role, marked frame and horizon flag: a handful of groups that combine before the shuffle.
 
-    ``scored`` has x, y, player_role, frame_id, num_frames_output and one pair of columns per model. Rows are first
-    summed per role, mark and horizon flag, a handful of groups that combine before the shuffle; only those sums are
-    spread over the overlapping cuts."""
+    ``scored`` has x, y, player_role, frame_id, num_frames_output and one pair of columns per model; rows without a
+    prediction of the first model are counted as uncovered."""
     mark = F.when(F.col("frame_id").isin(MARKED_FRAMES), F.col("frame_id"))
     within = F.coalesce(F.col("num_frames_output") <= HORIZON, F.lit(False))
-    sums = [F.count("*").alias("n")]
+    first = next(iter(models.values()))[0]
+    sums = [F.count("*").alias("n"), F.count_if(F.col(first).isNull()).alias("uncovered")]
     for i, (px, py) in enumerate(models.values()):
         for axis, p in (("x", px), ("y", py)):
             gap = F.col(axis) - F.col(p)
             sums.append(F.sum(gap * gap).alias(f"s{axis}{i}"))
-    cells = scored.groupBy(*by, "player_role", within.alias("within"), mark.alias("mark")).agg(*sums)
+    return scored.groupBy(*by, "player_role", within.alias("within"), mark.alias("mark")).agg(*sums)
+
+
+def report_of(cells: DataFrame, models=ONE_MODEL, by=()) -> DataFrame:
+    """RMSE per model and cut from those sums: all, air time up to the horizon, each role, and the marked frames.
+
+    Only the few sums are spread over the overlapping cuts, never the rows."""
     cuts = F.array_compact(F.array(
         F.lit("all"), F.when(F.col("within"), F.lit(f"le{HORIZON}")),
         F.concat(F.lit("role_"), F.replace(F.col("player_role"), F.lit(" "), F.lit("_"))),
@@ -41,22 +48,32 @@ def report(scored: DataFrame, models=ONE_MODEL, by=()) -> DataFrame:
     return totals.select(*by, "model", "cut", "n", rmse.alias("rmse"))
 
 
-def scored_targets(pred: DataFrame, inp: DataFrame, out: DataFrame) -> DataFrame:
+def report(scored: DataFrame, models=ONE_MODEL, by=()) -> DataFrame:
+    return report_of(cut_cells(scored, models, by), models, by)
+
+
+def scored_targets(pred: DataFrame, inp: DataFrame, out: DataFrame, how: str = "inner") -> DataFrame:
     """Target rows with their prediction, the player's role and the air time."""
     # frames combine in hash maps, role and air time being the same in all of them; then one row per player is made sure of
     meta = inp.select(*KEY, "player_role", "num_frames_output").distinct().dropDuplicates(KEY)
     targets = out.join(meta, KEY, "left")
     keep = [c for c in ("x_pred", "y_pred", "sd_x", "sd_y", "fold") if c in pred.columns]
-    return targets.join(pred.select(*FRAME, *keep), FRAME)
+    return targets.join(pred.select(*FRAME, *keep), FRAME, how)
 
 
 def evaluate_predictions(pred: DataFrame, inp: DataFrame, out: DataFrame, by=()) -> DataFrame:
-    """The report of predictions made anywhere; refuses targets without a prediction and repeated predictions."""
-    quality.raise_first([
-        ("target rows have no predictions", quality.uncovered_targets(out, pred)),
-        ("target rows have more than one prediction", quality.repeated_predictions(out, pred)),
-    ])
-    return report(scored_targets(pred, inp, out), by=by)
+    """The report of predictions made anywhere; refuses targets without a prediction and repeated predictions.
+
+    One join serves the report and both checks: what is not covered shows as null, what is repeated as more rows than
+    there are targets. ``quality.uncovered_targets`` and ``quality.repeated_predictions`` name the rows."""
+    cells = staged(cut_cells(scored_targets(pred, inp, out, "left"), by=by), "cut-cells")
+    seen = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("uncovered"), F.lit(0)).alias("u")).first()
+    if seen.u:
+        raise ValidationError(f"{seen.u} target rows have no predictions")
+    targets = out.count()
+    if seen.n != targets:
+        raise ValidationError(f"predictions cover {seen.n} rows for {targets} target rows")
+    return report_of(cells, by=by)
 
 
 def gaussian_nll(scored: DataFrame, by=()) -> DataFrame:

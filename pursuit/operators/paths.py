@@ -15,18 +15,25 @@ CONSTANT = [
 MOVING = ["x", "y", "s", "dir"]
 
 
-def last_frame(inp: DataFrame, constant=CONSTANT, moving=MOVING) -> DataFrame:
-    """One row per predicted player: the columns of the last input frame.
+def per_player(rows: DataFrame, constant, moving=(), ends: str = "last") -> DataFrame:
+    """One row per player: ``constant`` columns, and ``moving`` ones at the last or first frame, with that frame's id
+    and the number of frames ``n``.
 
     Combines before the shuffle, so a player's frames never travel, and needs no sort: the constant columns are grouping
     keys and the moving ones numbers, which keeps the pass over the frames in hash maps. A second aggregate over what is
     left, one row per player, settles columns that were not constant after all."""
     at = F.col("frame_id")
-    runs = inp.where("player_to_predict").groupBy(*KEY, *constant).agg(
-        *[F.max_by(c, at).alias(c) for c in moving], F.max(at).alias("frame_id"))
-    last = runs.groupBy(*KEY).agg(
-        F.max_by(F.struct(*constant, *moving), at).alias("_last"), F.max(at).alias("frame_id"))
-    return last.select(*KEY, "frame_id", "_last.*")
+    pick, edge = (F.max_by, F.max) if ends == "last" else (F.min_by, F.min)
+    runs = rows.groupBy(*KEY, *constant).agg(
+        *[pick(c, at).alias(c) for c in moving], edge(at).alias("frame_id"), F.count("*").alias("n"))
+    one = runs.groupBy(*KEY).agg(
+        pick(F.struct(*constant, *moving), at).alias("_row"), edge(at).alias("frame_id"), F.sum("n").alias("n"))
+    return one.select(*KEY, "frame_id", "n", "_row.*")
+
+
+def last_frame(inp: DataFrame, constant=CONSTANT, moving=MOVING) -> DataFrame:
+    """One row per predicted player: the columns of the last input frame."""
+    return per_player(inp.where("player_to_predict"), constant, moving).drop("n")
 
 
 def with_next(frames: DataFrame, columns, by=KEY, order: str = "frame_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pursuit.functions.geometry import distance
 from pursuit.operators.expect import rating_group
 from pursuit.operators.paths import arrivals
 from pursuit.schema import DEFENDER, FIELD_X, FIELD_Y, HORIZON, KEY, PLAY, RECEIVER
+from pursuit.staging import staged
 
 # Expectations nearer to the ball than this use the line from the throw position.
 NEAR_BALL = 1.0
@@ -89,8 +90,8 @@ def play_table_of(arrived: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def play_table(inp: DataFrame, out: DataFrame, pred: DataFrame, context: DataFrame) -> DataFrame:
-    """Lazy composition without checks; ``pursuit.plans.rate`` adds the checks between the steps."""
-    return play_table_of(arrivals(inp, out, pred), context)
+    """Without checks; ``pursuit.plans.rate`` puts them between the steps. The arrival rows are staged, being read twice."""
+    return play_table_of(staged(arrivals(inp, out, pred), "arrivals"), context)
 
 
 def rated(table: DataFrame) -> DataFrame:

@@ -1,23 +1,29 @@
 """Cross-fitted predictions for every predicted player, with the report of every fold."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pursuit.operators import expect, metric, quality
+from pursuit.staging import staged
 
 
-def score(inp: DataFrame, out: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The fitted model (staged) and the lazy predictions of all plays, each by the model that never saw its fold."""
-    model = expect.fit_crossfit(inp, out)
-    return model, expect.predict_crossfit(expect.throw_state(inp), model)
+@dataclass
+class Scored:
+    state: DataFrame
+    model: DataFrame
+    pred: DataFrame
+    reports: DataFrame
 
 
-def fold_reports(pred: DataFrame, out: DataFrame) -> DataFrame:
-    """RMSE per fold and cut of predictions that carry role and air time; one join with the targets."""
-    keys = ["game_id", "play_id", "nfl_id", "frame_id"]
-    reports = metric.report(out.join(pred, keys), by=["fold"]).drop("model")
-    quality.require_rows(reports, "no play matched any fold")
-    return reports
+def score(inp: DataFrame, out: DataFrame) -> Scored:
+    """The throw state and the fitted model (both staged), the lazy predictions of all plays, each by the model that
+    never saw its fold, and the lazy report per fold and cut. The input frames are read once."""
+    state = staged(expect.throw_state(inp), "throw-state")
+    model = expect.fit_crossfit(state, out)
+    reports = metric.report(expect.crossfit_targets(state, out, model), by=["fold"]).drop("model")
+    return Scored(state, model, expect.predict_crossfit(state, model), reports)
 
 
 def publish_summary(reports: DataFrame, path: str) -> DataFrame:

@@ -14,6 +14,8 @@ TUNING = {
     # has measured, and staged lookups are broadcast after their rows are counted
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+    # frame arrays: hash more players per task before falling back to a sort
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.sql.session.timeZone": "UTC",
 }
 

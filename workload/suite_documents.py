@@ -80,7 +80,7 @@ prate AS (SELECT game_id, count(*) AS ratings, sum({rd('zc', 6)}) AS zc FROM cen
 
 @query(_sql(GAMES, f"""
 SELECT h.game_id AS game, 0 AS part, week, home, away, plays, players, frames, {r('total', 2)} AS total, air, {r('moved', 2)} AS moved,
-  {r('expected', 2)} AS expected, coalesce(ratings, 0) AS ratings, {r('coalesce(zc, 0)', 4)} AS zc
+  {r('expected', 2)} AS expected, coalesce(ratings, 0) AS ratings, {r('coalesce(zc, 0)', 6)} AS zc
 FROM head h JOIN pin USING (game_id) JOIN pout USING (game_id) JOIN ppred USING (game_id) LEFT JOIN prate USING (game_id)"""))
 def game_documents(spark, sf_dir):
     """Every game's document, summed up: plays, players, frames and all values in it."""
@@ -105,7 +105,7 @@ def game_documents(spark, sf_dir):
         count(over("players", lambda p: F.coalesce(F.size(p["out"]), F.lit(0)))).alias("air"),
         F.round(paths("out"), 2).alias("moved"), F.round(paths("pred"), 2).alias("expected"),
         count(each(lambda p: F.size(p["ratings"]))).alias("ratings"),
-        F.round(over("ratings", lambda e: e["zc"]), 4).alias("zc"))
+        F.round(over("ratings", lambda e: e["zc"]), 6).alias("zc"))
 
 
 @query(_sql("", f"""
@@ -399,7 +399,7 @@ SELECT fold, count(*) AS n, {r('sum(x_pred)', 2)} AS x, {r('sum(sd_y)', 2)} AS s
 def prediction_table(spark, sf_dir):
     """Cross-fitted predictions written by fold and read back under the column contract."""
     v = tracking(spark, sf_dir)
-    _, pred = score_plan.score(v.inp, v.out)
+    pred = score_plan.score(v.inp, v.out).pred
     path = staging_path(spark, "predictions")
     files.write_predictions(pred, path)
     back = files.read_predictions(spark, path)

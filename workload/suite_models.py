@@ -265,13 +265,13 @@ crossed AS (SELECT e.game_id, e.play_id, e.nfl_id, e.frame_id, player_role, num_
 @query(_sql(CROSSFIT, "SELECT kind, bucket, fold, n, " + ", ".join(f"{r(c)} AS {c}" for c in MODEL_COLUMNS) + " FROM model"))
 def crossfit_linear(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    return rounded(expect.fit_crossfit(v.inp, v.out))
+    return rounded(expect.fit_crossfit(expect.throw_state(v.inp), v.out))
 
 
 @query(_sql(CROSSPRED, game_sums("crossed", "x_pred", "y_pred", "sd_x", "sd_y")))
 def crossfit_predict(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    _, pred = score_plan.score(v.inp, v.out)
+    pred = score_plan.score(v.inp, v.out).pred
     return per_game(pred, "x_pred", "y_pred", "sd_x", "sd_y")
 
 
@@ -280,8 +280,7 @@ def crossfit_predict(spark, sf_dir):
             f"SELECT fold, cut, n, {r('rmse')} AS rmse FROM report"))
 def crossfit_report(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    _, pred = score_plan.score(v.inp, v.out)
-    return rounded(score_plan.fold_reports(pred, v.out))
+    return rounded(score_plan.score(v.inp, v.out).reports)
 
 
 @query(_sql(CROSSPRED, """
@@ -289,8 +288,7 @@ SELECT fold, sum(n)::BIGINT AS rows, count(*) AS plays FROM
   (SELECT fold, game_id, play_id, count(*) AS n FROM crossed GROUP BY 1, 2, 3) GROUP BY 1"""))
 def scored_rows(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    _, pred = score_plan.score(v.inp, v.out)
-    return score_plan.row_counts(pred)
+    return score_plan.row_counts(score_plan.score(v.inp, v.out).pred)
 
 
 MOVES = [
@@ -327,7 +325,7 @@ SELECT kind, bucket, fold, {r('x_velocity', 4)} AS x_velocity, {r('x_ball', 4)}
   {r('y_velocity', 4)} AS y_velocity, {r('y_ball', 4)} AS y_ball FROM model"""))
 def mllib_crossfit(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    return rounded(expect.fit_linear_models(v.inp, v.out), 4)
+    return rounded(expect.fit_linear_models(expect.throw_state(v.inp), v.out), 4)
 
 
 HISTORY = FEATURED + """,
