@@ -53,7 +53,8 @@ def with_next(frames: DataFrame, columns, by=KEY, order: str = "frame_id") -> Da
 
 def future_frames(last: DataFrame) -> DataFrame:
     """One row per predicted player and air frame 1..num_frames_output; none where there is no air time."""
-    k = F.sequence(F.lit(1).cast("long"), F.col("num_frames_output"), F.lit(1).cast("long"))
+    one = F.lit(1).cast("long")
+    k = F.sequence(one, F.greatest("num_frames_output", one))
     return last.drop("frame_id").where("num_frames_output >= 1").withColumn("frame_id", F.explode(k))
 
 

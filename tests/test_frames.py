@@ -1,0 +1,229 @@
+"""Checks, rotation, frame sequences and features on a play with known answers."""
+
+import math
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from pursuit.operators import expect, features, field, metric, paths, quality
+from pursuit.plans import prepare
+from pursuit.schema import FRAME, INPUT_SCHEMA, KEY, OUTPUT_SCHEMA
+from tests.conftest import CORNER, PASSER, RECEIVER, flight, track
+
+
+def test_a_clean_play_passes(play):
+    prepare.validate(*play)
+
+
+def test_angle_errors_tell_the_conventions_apart(play):
+    row = quality.angle_errors(play[0]).first()
+    assert row.a < 1e-9 and row.b > 0.1 and row.ok
+
+
+def test_no_moving_player_fails_the_angle_check(spark):
+    still = spark.createDataFrame(track(*PASSER), INPUT_SCHEMA)
+    row = quality.angle_errors(still).first()
+    assert (row.a, row.b, row.ok) == (0.0, 0.0, False)
+
+
+@pytest.mark.parametrize("message, spoil", [
+    ("missing columns", lambda i, o: (i.drop("a"), o)),
+    ("missing columns", lambda i, o: (i, o.drop("x"))),
+    ("play_direction", lambda i, o: (i.withColumn("play_direction", F.when(
+        (F.col("nfl_id") == 1) & (F.col("frame_id") == 1), "up").otherwise(F.col("play_direction"))), o)),
+    ("non contiguous", lambda i, o: (i.where("NOT (nfl_id = 2 AND frame_id = 5)"), o)),
+    ("non contiguous", lambda i, o: (i.where("frame_id > 1"), o)),
+    ("do not match", lambda i, o: (i, o.where("nfl_id <> 3"))),
+    ("do not match", lambda i, o: (i, o.where("frame_id <> 2"))),
+    ("angle convention", lambda i, o: (i.withColumn("dir", F.col("dir") + 90), o)),
+])
+def test_each_fault_is_refused(play, message, spoil):
+    with pytest.raises(quality.ValidationError, match=message):
+        prepare.validate(*spoil(*play))
+
+
+def test_a_null_direction_passes_the_domain_check(play):
+    nulls = play[0].withColumn("play_direction", F.lit(None).cast("string"))
+    assert quality.domain_violations(nulls).count() == 0
+
+
+def test_right_plays_stay_and_left_plays_turn(play):
+    inp, _ = play
+    same = field.normalize(inp).select(*FRAME, "x", "dir").exceptAll(inp.select(*FRAME, "x", "dir"))
+    assert same.count() == 0
+    left = field.normalize(inp.withColumn("play_direction", F.lit("left"))).where("nfl_id = 2 AND frame_id = 1").first()
+    assert left.x == 70.0 and left.y == pytest.approx(33.3) and left.dir == 270.0 and left.vx < 0
+
+
+def test_turning_twice_gives_the_play_back(play):
+    left = play[0].withColumn("play_direction", F.lit("left"))
+    columns = ["x", "y", "dir", "o", "ball_land_x", "ball_land_y"]
+    twice = field.normalize(field.normalize(left)).select(*FRAME, *[F.col(c).alias(f"{c}_2") for c in columns])
+    gap = left.join(twice, FRAME).select(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_2")) for c in columns]))).first()[0]
+    assert gap < 1e-9
+
+
+def test_velocity_is_the_displacement_per_second(play):
+    steps = paths.with_next(field.normalize(play[0]), ["x"]).where("nfl_id = 2 AND next_x IS NOT NULL")
+    assert steps.select(F.max(F.abs(F.col("next_x") - F.col("x") - 0.1 * F.col("vx")))).first()[0] < 1e-9
+
+
+def test_next_frame_survives_the_seam_of_a_long_track(spark, monkeypatch):
+    monkeypatch.setattr(paths, "RUN", 4)
+    rows = spark.range(1, 24).select(
+        F.lit(1).alias("game_id"), F.lit(1).alias("play_id"), (F.col("id") % 2).alias("nfl_id"),
+        F.floor((F.col("id") + 1) / 2).alias("frame_id"), (F.col("id") * 10).alias("x"))
+    got = {(r.nfl_id, r.frame_id): r.next_x for r in paths.with_next(rows, ["x"]).collect()}
+    want = {(r.nfl_id, r.frame_id): r.x for r in rows.collect()}
+    assert len(got) == 23
+    assert got == {(p, f): want.get((p, f + 1)) for p, f in got}
+
+
+def test_last_frame_is_one_row_per_predicted_player(play):
+    rows = {r.nfl_id: r for r in paths.last_frame(play[0]).collect()}
+    assert set(rows) == {2, 3} and rows[2].frame_id == 12 and rows[2].x == pytest.approx(55.5)
+
+
+def test_last_frame_settles_columns_that_change(play):
+    changed = play[0].withColumn("player_role", F.when(F.col("frame_id") < 12, "early").otherwise(F.col("player_role")))
+    rows = paths.last_frame(changed).collect()
+    assert len(rows) == 2 and {r.player_role for r in rows} == {"Targeted Receiver", "Defensive Coverage"}
+
+
+def test_no_air_time_gives_no_future_frames(play):
+    last = paths.last_frame(play[0])
+    assert paths.future_frames(last).count() == 12
+    assert paths.future_frames(last.withColumn("num_frames_output", F.lit(0).cast("long"))).count() == 0
+
+
+def test_constant_velocity_is_exact_and_hold_is_not(play):
+    report = {(r.model, r.cut): r.rmse for r in metric.report(
+        expect.baseline_targets(*play), expect.baseline_columns()).collect()}
+    assert report["constant_velocity", "all"] == pytest.approx(0, abs=1e-9) and report["hold", "all"] > 1
+    assert report["hybrid", "role_Defensive_Coverage"] == pytest.approx(0, abs=1e-9)
+
+
+def test_metric_halves_the_summed_errors(spark):
+    rows = spark.createDataFrame(
+        [(0.0, 0.0, 3.0, 0.0, "a", 5, 10), (0.0, 0.0, 0.0, 4.0, "a", 10, 50)],
+        "x double, y double, x_pred double, y_pred double, player_role string, frame_id long, num_frames_output long")
+    got = {r.cut: r.rmse for r in metric.report(rows).collect()}
+    assert got["all"] == pytest.approx(2.5) and got["le40"] == pytest.approx(math.sqrt(4.5))
+    assert set(got) == {"all", "le40", "role_a", "frame_5", "frame_10"}
+
+
+def test_evaluation_needs_every_target_exactly_once(play):
+    inp, out = play
+    pred = out.withColumnsRenamed({"x": "x_pred", "y": "y_pred"})
+    assert {r.rmse for r in metric.evaluate_predictions(pred, inp, out).collect()} == {0.0}
+    with pytest.raises(quality.ValidationError, match="no predictions"):
+        metric.evaluate_predictions(pred.where("frame_id > 1"), inp, out)
+    with pytest.raises(quality.ValidationError, match="cover 14 rows for 12"):
+        metric.evaluate_predictions(pred.unionByName(pred.where("frame_id = 1")), inp, out)
+
+
+def test_fold_summary_takes_the_folds_that_reported(spark):
+    reports = spark.createDataFrame([(0, "all", 1.0), (1, "all", 3.0), (1, "le40", 2.0)], "fold long, cut string, rmse double")
+    rows = {r.cut: tuple(r)[1:] for r in metric.fold_summary(reports).collect()}
+    assert rows == {"all": (2.0, 1.0, 3.0, 2), "le40": (2.0, 2.0, 2.0, 1)}
+
+
+def test_comparison_leaves_missing_cuts_empty(spark):
+    reports = spark.createDataFrame([("hold", "all", 4.1), ("net", "all", 0.5), ("hold", "le40", 4.0)],
+                                    "model string, cut string, rmse double")
+    rows = {r.cut: (r.hold, r.net) for r in metric.comparison(reports, ["hold", "net"]).collect()}
+    assert rows == {"all": ("4.100", "0.500"), "le40": ("4.000", None)}
+
+
+def test_folds_are_stable_and_balanced(spark):
+    games = spark.range(2023090700, 2023091700).select(F.col("id"), expect.fold_of("id").alias("fold")).collect()
+    assert all(r.fold == zlib.crc32(str(r.id).encode()) % 5 for r in games)
+    counts = [sum(r.fold == f for r in games) for f in range(5)]
+    assert min(counts) >= 150 and max(counts) <= 250
+
+
+def test_crossfit_never_sees_its_own_fold(spark):
+    """Games of one fold move at half speed, all others at full speed: their own model must not know."""
+    rows, out = [], []
+    games = {}
+    for game in range(100, 140):
+        fold = zlib.crc32(str(game).encode()) % 5
+        games[game] = fold
+        mine = track(*RECEIVER, game=game) + track(*CORNER, game=game)
+        rows += mine
+        for nfl_id in (2, 3):
+            for g, p, i, k, x, y in flight(mine, nfl_id):
+                last = [r for r in mine if r[3] == nfl_id][-1]
+                share = 0.5 if fold == 0 else 1.0
+                out.append((g, p, i, k, last[14] + share * (x - last[14]), last[15] + share * (y - last[15])))
+    assert len(set(games.values())) == 5
+    inp, targets = spark.createDataFrame(rows, INPUT_SCHEMA), spark.createDataFrame(out, OUTPUT_SCHEMA)
+    state = expect.throw_state(inp)
+    model = expect.fit_crossfit(state, targets)
+    pred = expect.predict_crossfit(state, model).join(targets, FRAME).where("nfl_id = 2 AND frame_id = 5")
+    moved = {r.game_id: (r.x_pred - 55.5) / 2.5 for r in pred.collect()}
+    # the receiver runs along x, so the weight on velocity and ball together shows as a share of the full step
+    assert all(moved[g] == pytest.approx(1.0, abs=1e-6) for g, f in games.items() if f == 0)
+    assert all(moved[g] < 0.95 for g, f in games.items() if f != 0)
+
+
+def test_scenarios_replace_spot_and_air_time(play):
+    state = expect.throw_state(play[0])
+    rows = expect.scenarios(state, [{"name": "same"}, {"name": "far", "land_x": 200.0, "frames": 9}, {"name": "up", "shift_y": 1.0}])
+    got = {(r.scenario, r.nfl_id): (r.ball_land_x, r.ball_land_y, r.num_frames_output) for r in rows.collect()}
+    assert got["same", 2] == (60.0, 20.0, 6) and got["far", 3] == (125.0, 20.0, 9) and got["up", 2] == (60.0, 21.0, 6)
+
+
+def test_history_is_right_aligned_and_targets_are_displacements(play):
+    rows = {r.nfl_id: r for r in features.history_arrays(*play).collect()}
+    assert [len(r.feat) for r in rows.values()] == [20] * 3 and len(rows[2].feat[0]) == 12
+    assert rows[2].fmask == [False] * 8 + [True] * 12 and rows[2].feat[7] == [0.0] * 12
+    assert sum(rows[1].tmask) == 0 and sum(rows[3].tmask) == 6 and len(rows[3].target) == 40
+    assert [round(p[0], 4) for p in rows[2].target[:3]] == [0.5, 1.0, 1.5]
+    assert rows[2].feat[-1][11] == 0.0 and rows[3].feat[-1][11] > 0
+    assert rows[1].static[14] == 0.0 and rows[2].static[14] == 1.0 and rows[3].static[15] == pytest.approx(0.15)
+    assert rows[1].static[:6] == [1.0, 0.0, 0.0, 0.0, 1.0, 1.0]
+
+
+def test_history_keeps_the_last_twenty_frames(spark):
+    rows = spark.createDataFrame(track(*RECEIVER, frames=30), INPUT_SCHEMA)
+    (r,) = features.history_arrays(rows).collect()
+    assert all(r.fmask) and sum(r.tmask) == 0 and r.feat[-1][0] == pytest.approx(50 + 0.5 * 29 - 60)
+
+
+def test_mirror_changes_the_sign_of_y_components(play):
+    rows = features.history_arrays(*play)
+    before = {r.nfl_id: r for r in rows.collect()}
+    after = {r.nfl_id: r for r in features.mirror_history(rows).collect()}
+    flipped = [i for i, name in enumerate(features.FEATURES) if name in features.MIRRORED]
+    for i, value in enumerate(before[3].feat[-1]):
+        assert after[3].feat[-1][i] == (-value if i in flipped else value)
+    assert [p[1] for p in after[3].target] == [-p[1] for p in before[3].target]
+
+
+def test_heights_that_are_none_are_null(spark):
+    rows = spark.createDataFrame([("6-2",), ("tall",), (None,)], "h string")
+    assert [r[0] for r in rows.select(features.height_inches(F.col("h"))).collect()] == [74.0, None, None]
+
+
+def test_prediction_gap_reports_both_sides(play):
+    pred = play[1].withColumnsRenamed({"x": "x_pred", "y": "y_pred"})
+    assert quality.prediction_gap(pred, pred).first().ok
+    short = quality.prediction_gap(pred, pred.where("frame_id < 6")).first()
+    assert (short.rows_a, short.rows_b, short.matched, short.ok) == (12, 10, 10, False)
+    moved = quality.prediction_gap(pred, pred.withColumn("x_pred", F.col("x_pred") + 0.01)).first()
+    assert moved.gap == pytest.approx(0.01) and not moved.ok
+
+
+def test_external_models_plug_in_as_batches(play):
+    state = paths.future_frames(expect.throw_state(play[0])).select(*KEY, "frame_id", "x0", "y0")
+
+    def model(batches):
+        for b in batches:
+            yield b.rename(columns={"x0": "x_pred", "y0": "y_pred"})
+
+    schema = "game_id long, play_id long, nfl_id long, frame_id long, x_pred double, y_pred double"
+    pred = expect.external_predictions(state, model, schema)
+    assert pred.count() == 12
+    assert metric.evaluate_predictions(pred, *play).where("cut = 'all'").first().rmse > 1
