@@ -62,3 +62,11 @@ def clamp_spot(value: Column, size: float) -> Column:
 
 def blend(a: Column, b: Column, t: Column) -> Column:
     return a + (b - a) * t
+
+
+def hundredths(value: Column) -> Column:
+    """Two decimals, half away from zero, in plain arithmetic; NaN and infinity do not become numbers.
+
+    For frames, of which there are many: the built-in rounding goes through decimal text."""
+    y = F.abs(value) * 100.0 + 0.5
+    return F.signum(value) * (y - y % 1.0) / 100.0

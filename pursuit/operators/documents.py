@@ -6,6 +6,7 @@ players and a game with very many plays into parts. Ordinary plays and games are
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pursuit.functions.geometry import hundredths
 from pursuit.operators.paths import RUN, per_player
 from pursuit.schema import KEY, PLAY, PUBLISHED
 from pursuit.staging import lookup
@@ -49,7 +50,7 @@ def _with_part(rows: DataFrame, oversized: DataFrame, by: list[str], member) ->
 
 
 def _values(names):
-    return F.array(*[F.round(F.col(c), 2) for c in names])
+    return F.array(*[hundredths(F.col(c)) for c in names])
 
 
 def player_tracks(inp: DataFrame, out: DataFrame, pred: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def player_tracks(inp: DataFrame, out: DataFrame, pred: DataFrame) -> DataFrame:
     tracks = rows.groupBy(*KEY, run.alias("run")).agg(track("i"), track("o"), track("e"))
 
     def ordered(name):
-        return F.transform(F.array_sort(name), lambda e: e["v"])
+        return F.transform(F.sort_array(name), lambda e: e["v"])
 
     tracks = tracks.select(
         *KEY, "run", ordered("i").alias("in"), F.when(F.size("o") > 0, ordered("o")).alias("out"),
@@ -94,19 +95,19 @@ def play_documents(
     meta = F.struct(
         F.col("play_direction").alias("dir"), F.col("absolute_yardline_number").alias("yl"),
         F.col("num_frames_output").alias("nfo"),
-        F.array(F.round("ball_land_x", 2), F.round("ball_land_y", 2)).alias("land"),
+        F.array(hundredths(F.col("ball_land_x")), hundredths(F.col("ball_land_y"))).alias("land"),
     )
     people = _with_part(
         tracks.select(*PLAY, "nfl_id", "run", player.alias("player"), meta.alias("meta")), many, PLAY, ["nfl_id"])
     assembled = people.groupBy(*PLAY, "part").agg(
         F.min_by("meta", F.struct("nfl_id", "run")).alias("meta"),
-        F.array_sort(F.collect_list(F.struct("nfl_id", "run", "player"))).alias("players"),
+        F.sort_array(F.collect_list(F.struct("nfl_id", "run", "player"))).alias("players"),
     ).withColumn("players", F.transform("players", lambda e: e["player"]))
     rows = published(table).withColumnsRenamed({"game": "game_id", "play": "play_id"})
     rows = _with_part(
         rows.select(*PLAY, F.col("id").alias("nfl_id"), F.struct(*RATING_FIELDS).alias("rating")), many, PLAY, ["nfl_id"])
     ratings = rows.groupBy(*PLAY, "part").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("nfl_id", "rating"))), lambda e: e["rating"]).alias("ratings"))
+        F.transform(F.sort_array(F.collect_list(F.struct("nfl_id", "rating"))), lambda e: e["rating"]).alias("ratings"))
     docs = assembled.join(ratings, [*PLAY, "part"], "left").join(context, PLAY, "left")
     no_ratings = F.array().cast(ratings.schema["ratings"].dataType)
     return docs.select(
@@ -128,7 +129,7 @@ def game_documents(plays: DataFrame, per_part: int = PLAYS_PER_PART) -> DataFram
     rows = plays.select("game_id", F.col("play_id"), F.col("part").alias("play_part"), body.alias("play"))
     rows = _with_part(rows, many, ["game_id"], ["play_id", "play_part"])
     games = rows.groupBy("game_id", "part").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("play_id", "play_part", "play"))), lambda e: e["play"]).alias("plays"))
+        F.sort_array(F.collect_list(F.struct("play_id", "play_part", "play"))), lambda e: e["play"]).alias("plays"))
     return games.join(header, "game_id").select(
         F.col("game_id").alias("game"), "part", "h.week", "h.home", "h.away", "plays")
 
@@ -182,7 +183,7 @@ def meta_row(
     counts = plays.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("plays"), F.count("*").alias("games"))
 
     def entries(df, key, fields):
-        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.struct(*fields)))))).scalar()
+        return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, F.struct(*fields)))))).scalar()
 
     summaries = (
         entries(summary, "cut", ["mean", "min", "max", "folds"]) if summary is not None else F.lit(None).cast("string"))

@@ -72,9 +72,9 @@ GAMES = CENTERED + f""",
 head AS (SELECT game_id, arg_min(week, play_id) AS week, arg_min(home, play_id) AS home, arg_min(away, play_id) AS away,
   count(*) AS plays FROM ctx GROUP BY 1),
 pin AS (SELECT game_id, count(*) FILTER (frame_id = 1) AS players, count(*) AS frames,
-  sum({rd('x')} + {rd('y')} + {rd('s')} + {rd('a')} + {rd('dir')} + {rd('o')}) AS total FROM inp GROUP BY 1),
-pout AS (SELECT game_id, count(*) AS air, sum({rd('x')} + {rd('y')}) AS moved FROM outp GROUP BY 1),
-ppred AS (SELECT game_id, sum({rd('x_pred')} + {rd('y_pred')} + {rd('sd_x')} + {rd('sd_y')}) AS expected FROM pred GROUP BY 1),
+  sum(round(x, 2) + round(y, 2) + round(s, 2) + round(a, 2) + round(dir, 2) + round(o, 2)) AS total FROM inp GROUP BY 1),
+pout AS (SELECT game_id, count(*) AS air, sum(round(x, 2) + round(y, 2)) AS moved FROM outp GROUP BY 1),
+ppred AS (SELECT game_id, sum(round(x_pred, 2) + round(y_pred, 2) + round(sd_x, 2) + round(sd_y, 2)) AS expected FROM pred GROUP BY 1),
 prate AS (SELECT game_id, count(*) AS ratings, sum({rd('zc', 6)}) AS zc FROM centered GROUP BY 1)"""
 
 
@@ -110,8 +110,8 @@ def game_documents(spark, sf_dir):
 
 @query(_sql("", f"""
 SELECT game_id, count(*) AS n, count(*) FILTER (player_to_predict) AS predicted, max(frame_id) AS last_frame,
-  max(num_frames_output) AS air, min(player_height) AS height, round(sum({rd('x')}), 2) + 0.0 AS x,
-  round(sum({rd('ball_land_y')}), 2) + 0.0 AS land FROM inp GROUP BY 1"""))
+  max(num_frames_output) AS air, min(player_height) AS height, round(sum(round(x, 2)), 2) + 0.0 AS x,
+  round(sum(round(ball_land_y, 2)), 2) + 0.0 AS land FROM inp GROUP BY 1"""))
 def api_rows_roundtrip(spark, sf_dir):
     """Game documents written as JSON, read back and turned into input rows again."""
     games = documents.game_documents(_plays(spark, sf_dir))
@@ -128,7 +128,7 @@ def api_rows_roundtrip(spark, sf_dir):
 @query(_sql(f"{PUBLISHED}, {PICKS}", f"""
 SELECT p.id, p.game, p.play, week, home, away, name, zc, players, frames, {r('xy', 2)} AS xy
 FROM picks p JOIN (SELECT game_id AS game, play_id AS play, count(DISTINCT nfl_id) AS players, count(*) AS frames,
-    sum({rd('x')} + {rd('y')}) AS xy FROM inp GROUP BY 1, 2) USING (game, play)
+    sum(round(x, 2) + round(y, 2)) AS xy FROM inp GROUP BY 1, 2) USING (game, play)
 JOIN (SELECT game_id AS game, play_id AS play, home, away FROM ctx) USING (game, play)"""))
 def highlight_scenes(spark, sf_dir):
     reel = documents.highlights(board.highlight_picks(base(spark, sf_dir).rows), _plays(spark, sf_dir))
