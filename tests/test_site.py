@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 
 from pursuit.functions import text
 from pursuit.operators import board, documents, ordering, quality, ratings, scene
-from pursuit.operators import paths
 from pursuit.plans import prepare, rate
-from pursuit.schema import FRAME, INPUT_SCHEMA, KEY, OUTPUT_SCHEMA
+from pursuit.schema import FRAME, INPUT_SCHEMA, OUTPUT_SCHEMA
 from pursuit.sources import documents as sinks
 from pursuit.sources import requests as req
 from pursuit.sources import tracking as files
 from pursuit.streaming.requests import stream_requests
 from pursuit.streaming.weeks import stream_weeks
 from tests.conftest import CORNER, PASSER, RECEIVER, flight, rating_rows, track
-from tests.test_rating import random_table, shrink_table
+from tests.test_rating import shrink_table
 
 PUBLISHED = "game long, play long, week long, id long, name string, pos string, grp string, team string, cov string, mz string, " \
             "route string, result string, epa double, air long, role string, d0 double, dexp double, dact double, yards double, " \

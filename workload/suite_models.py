@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from pursuit.operators import expect, features, field, metric, paths, quality
+from pursuit.operators import expect, features, field, metric, paths
 from pursuit.operators.metric import scored_targets
 from pursuit.plans import score as score_plan
-from pursuit.schema import FRAME, KEY, PLAY
+from pursuit.schema import KEY
 from workload.oracle_view import VIEW
 from workload.registry import game_sums, per_game, query, r, rounded
 from workload.tracking import tracking

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from pursuit.operators import paths, quality
-from pursuit.schema import KEY, PLAY
 from workload.oracle_view import VIEW
 from workload.registry import query, r, rounded
 from workload.tracking import tracking
