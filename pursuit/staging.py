@@ -5,32 +5,30 @@ again. A lookup is a staged table that joins meet: its rows are counted in the f
 limit is broadcast; beyond it the join is shuffled.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root = None
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    A temporary folder of this machine is used only when neither is set and Spark itself runs on this machine."""
-    global _local_root
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder, else a
+    folder in the warehouse. There is no machine-local default."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="pursuit-")
-    return _local_root
+    if not root:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = f"{warehouse.rstrip('/')}/_staging"
+    return root.rstrip("/")
+
+
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pursuit-{spark.sparkContext.applicationId}"
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
     """A path no other stage uses, grouped by application so one folder can be dropped when the application ends."""
-    return f"{shared_dir(spark)}/pursuit-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{application_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -41,6 +39,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system it lies in."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for table in tables:
+        root = application_dir(table.sparkSession)
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+                delete(table.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything this application has staged; results must have been written before."""
+    delete(spark, application_dir(spark))
+
+
 LOOKUP_ROWS = 100_000
 
 
