@@ -1,0 +1,137 @@
+"""Exact top-k search by inner product: tiled matrix products, partial selection per tile, tree merging.
+
+Vectors are hashed into tiles of a bounded number of rows. Every query tile meets every candidate tile once, as one
+matrix product in a task of its own; the product leaves only the k best of each query, and those short lists are merged
+in a tree of fixed fan-in, so no task ever holds more than ``FAN * k`` entries of a query.
+"""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pursuit.llm.registry import query, table
+from pursuit.staging import staged
+
+FAN = 16
+PACKED = "tile long, dim int, ids binary, matrix binary"
+HITS = "query_id long, tile long, top array<struct<loss:long,vec_id:long>>"
+
+
+def quantised(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
+    """``(vec_id, v)`` with every component floored to ``scale`` times its value, as whole numbers.
+
+    Left out: a null id, a vector that is null or holds a null or non-finite component, and one whose own inner
+    product would not fit a long (by Cauchy and Schwarz every remaining score then fits). An id that comes several
+    times counts once, with its smallest vector."""
+    x = F.col("v")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    square = F.aggregate(x, F.lit(0.0), lambda s, c: s + (c * scale) * (c * scale))
+    return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")) \
+        .where("vec_id is not null and v is not null").where(finite).where(square < 2.0 ** 62) \
+        .select("vec_id", F.transform("v", lambda c: F.floor(c * scale)).alias("v")) \
+        .groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("vec_id", kind="stable")
+    dim = int(key[1])
+    matrix = np.array(rows["v"].tolist(), dtype=np.int64).reshape(len(rows), dim)
+    ids = rows["vec_id"].to_numpy(np.int64)
+    return pd.DataFrame({"tile": [key[0]], "dim": [dim], "ids": [ids.tobytes()], "matrix": [matrix.tobytes()]})
+
+
+def _tiles(df: DataFrame, count: int) -> DataFrame:
+    placed = df.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("tile"))
+    return placed.groupBy("tile", "dim").applyInPandas(_pack, PACKED)
+
+
+def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products: in doubles while every partial sum is a whole number below 2**53, else in longs."""
+    if q.shape[1] and q.size and c.size and float(abs(q).max()) * float(abs(c).max()) * q.shape[1] >= 2.0 ** 53:
+        return q @ c.T
+    return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
+
+
+def best_of_tile(qids, q, cids, c, k: int):
+    """``(query row, score, candidate id)`` of the k best candidates of each query in one tile, ties to smaller ids.
+    ``cids`` must be ascending. A query's own id is no candidate."""
+    score = _product(q, c)
+    lowest = np.iinfo(np.int64).min
+    at = np.searchsorted(cids, qids)
+    own = (at < len(cids)) & (cids[np.minimum(at, len(cids) - 1)] == qids)
+    score[np.flatnonzero(own), at[own]] = lowest
+    if len(cids) > k:
+        bar = np.partition(score, len(cids) - k, axis=1)[:, len(cids) - k]
+        row, col = np.nonzero(score >= bar[:, None])
+    else:
+        row, col = np.nonzero(np.ones_like(score, dtype=bool))
+    value = score[row, col]
+    keep = value != lowest
+    row, col, value = row[keep], col[keep], value[keep]
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], value[rank < k], cids[col[rank < k]]
+
+
+def _multiply(k: int, block: int = 512):
+    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for a in left.itertuples():
+            qids, q = np.frombuffer(a.ids, np.int64), np.frombuffer(a.matrix, np.int64).reshape(-1, a.dim)
+            for b in right.itertuples():
+                cids, c = np.frombuffer(b.ids, np.int64), np.frombuffer(b.matrix, np.int64).reshape(-1, b.dim)
+                for lo in range(0, len(qids), block):
+                    row, score, vec = best_of_tile(qids[lo:lo + block], q[lo:lo + block], cids, c, k)
+                    for r in np.unique(row):
+                        own = row == r
+                        top = [{"loss": -int(s), "vec_id": int(v)} for s, v in zip(score[own], vec[own])]
+                        out.append((int(qids[lo + r]), int(b.tile), top))
+        return pd.DataFrame(out, columns=["query_id", "tile", "top"])
+    return multiply
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_tile: int = 1024, tile: int = 4096) -> DataFrame:
+    """The ``k`` candidates of highest inner product for each query: ``query_id, rank, vec_id, score``.
+
+    Both inputs are ``(vec_id, v)`` as ``quantised`` gives them. Ties go to the smaller id, a query is never its own
+    answer, and vectors of another length are no candidates. A query without candidates gives no rows; empty inputs
+    give an empty table. Counting the inputs and staging them runs when called."""
+    queries, candidates = staged(queries, "queries"), staged(candidates, "candidates")
+    nq, nc = -(-queries.count() // query_tile) or 1, -(-candidates.count() // tile) or 1
+    left = _tiles(queries, nq).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))) \
+        .select("dim", F.col("tile").alias("q"), F.col("other").cast("long").alias("c"), "tile", "ids", "matrix")
+    right = _tiles(candidates, nc).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))) \
+        .select("dim", F.col("other").cast("long").alias("q"), F.col("tile").alias("c"), "tile", "ids", "matrix")
+    lists = left.groupBy("dim", "q", "c").cogroup(right.groupBy("dim", "q", "c")).applyInPandas(_multiply(k), HITS)
+    while nc > 1:
+        nc = -(-nc // FAN)
+        lists = lists.groupBy("query_id", F.floor(F.col("tile") / FAN).alias("tile")).agg(
+            F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    return lists.select("query_id", F.posexplode("top").alias("pos", "hit")).select(
+        "query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"),
+        (-F.col("hit.loss")).alias("score"))
+
+
+SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query(SQL)
+def op1_topk_search(spark, sf_dir):
+    vectors = staged(quantised(table(spark, sf_dir, "embeddings")), "vectors")
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors)
