@@ -1,9 +1,26 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
+Documents of low quality go, one of each group of near duplicates stays, passages that repeat across documents are taken
+out of the later ones, documents that contain benchmark items go, and the rest is mixed to the weights of its sources.
+Every stage does its whole work on what the one before kept.
+"""
+
+from pursuit.llm.decontaminate import without_leaks
+from pursuit.llm.mixing import mixed
+from pursuit.llm.ngram_join import keep_first
+from pursuit.llm.quality import keep_good
+from pursuit.llm.suffix_dedup import without_repeats
 from pursuit.staging import staged
 
-STAGES = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_first),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_leaks),
+    ("mixing sources to target weights", mixed),
+]
 
+# trained weights and similarity joins cannot be said in SQL; tests compare every stage with a brute-force version
 ORACLE_SQL = None
 
 
@@ -11,5 +28,5 @@ def run(spark, sf_dir):
     """The rows the last stage leaves of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs

@@ -69,7 +69,8 @@ def targets(sources: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, mos
 
 def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix",
         range_rows: int = 256) -> DataFrame:
-    """How much of every document the mix takes: ``doc_id, source, size, source_size, target, taken``.
+    """How much of every document the mix takes: ``doc_id, source, fa, size, source_size, target, taken``,
+    ``fa`` being a hash of the text.
 
     ``taken`` counts words, repeats included: whole epochs of the source, then its documents in the order of their
     keys up to the budget, which is ``target`` rounded; the document at the cut gives its first words. A null text has
@@ -77,7 +78,8 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     empty mix. Sizes are staged and targets computed when called."""
     sized = staged(docs.select(
         "doc_id", "source", F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b")).alias("src"),
-        words().alias("size"), hash_key(seed).alias("key")), "sized")
+        words().alias("size"), hash_key(seed).alias("key"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("fa")), "sized")
     bits = min(40, max(0, math.ceil(math.log2(max(1, sized.count()) / range_rows))))
     sized = sized.withColumn("range", F.shiftright("key", KEY_BITS - bits))
     totals = staged(sized.groupBy("src", "range").agg(F.sum("size").alias("words")), "ranges")
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: floa
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before") - F.col("inner")
     return rows.withColumn("budget", budget).withColumn("epochs", epochs).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "fa", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long").alias("taken"))
 
 
@@ -127,3 +129,24 @@ FROM e
 @query(SQL)
 def op2_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mix itself. One row for each epoch in which a document is taken: its columns, ``epoch`` from 0
+    and ``taken``, the words of that row. The text of a document at the cut ends after its last taken word. Rows that
+    repeat a document wholly all get the largest amount any of them got."""
+    amounts = mix(docs).where("taken > 0").groupBy(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fa").alias("_fa"), F.col("size").alias("_size")) \
+        .agg(F.max("taken").alias("_taken"))
+    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(
+        amounts, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_fa")))
+    epochs = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)
+    rows = rows.withColumn("_epoch", F.explode(epochs)).withColumn(
+        "_now", F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size")))
+    begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_now").cast("int")), "")
+    text = F.when(F.col("_now") == F.col("_size"), F.col("text")).otherwise(begun)
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("epoch", "taken")]
+    return rows.select(*own, F.col("_epoch").alias("epoch"), F.col("_now").alias("taken"))

@@ -1,4 +1,4 @@
 """All registered queries of the subpackage."""
 
-from pursuit.llm import chat_format, html_extract, language_id, mixing, ngram_join, quality, suffix_dedup, token_counts, topk_search  # noqa: F401
+from pursuit.llm import chat_format, decontaminate, html_extract, language_id, mixing, ngram_join, quality, suffix_dedup, token_counts, topk_search  # noqa: F401
 from pursuit.llm.registry import ORACLES, QUERIES  # noqa: F401
