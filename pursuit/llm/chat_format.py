@@ -17,6 +17,7 @@ from pursuit.operators.ordering import with_neighbours, with_rank
 from pursuit.staging import lookup, staged
 
 MARK = re.compile(r"^\s{0,3}((?:>[ \t]?)+)(.*)$", re.S)
+FIRST = -2 ** 62        # sorts a run's own messages before the runs that hang on them
 ATTRIBUTION = re.compile(r"(?:wrote|writes|schrieb|a écrit|escribió)\s?:\s*$", re.I)
 
 
@@ -48,9 +49,9 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
             if at and not level and own and ATTRIBUTION.search(own[-1]):
                 own.pop()
             level = at
-        if at:
+        if at and rest.strip():
             run.append(rest)
-        else:
+        elif not at:
             own.append(line)
     close()
     return "\n".join(own).strip("\n") if quotes else text, quotes
@@ -97,13 +98,13 @@ def last_start(nodes: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame) -> DataFrame:
     """Adds ``path``, which sorts a conversation in reply order. ``nodes``: conv_id, turn, prev_turn, parent.
 
-    Messages that answer the one right before them form runs; only runs are linked. A run's path is the turn it hangs
-    on and its own first turn, after the path of the run it hangs on; pointer doubling finds it in as many rounds as the
-    logarithm of the nesting."""
+    Messages that answer the one right before them form runs; only runs are linked. A run comes whole, then the runs that
+    hang on its messages, those on later messages first. Its path is minus the turn it hangs on and its own first turn,
+    after the path of the run it hangs on; pointer doubling finds it in as many rounds as the logarithm of the nesting."""
     nodes = staged(last_start(nodes.withColumn("starts", F.col("parent").isNull() | (F.col("parent") != F.col("prev_turn")))), "runs")
     of = nodes.select("conv_id", F.col("turn").alias("hang"), F.col("start").alias("up"))
     runs = nodes.where("starts").select("conv_id", "start", F.col("parent").alias("hang")).join(of, ["conv_id", "hang"], "left")
-    path = F.when(F.col("hang").isNotNull(), F.array("hang", "start")).otherwise(F.array().cast("array<bigint>"))
+    path = F.when(F.col("hang").isNotNull(), F.array(-F.col("hang"), "start")).otherwise(F.array().cast("array<bigint>"))
     runs = staged(runs.select("conv_id", "start", "up", path.alias("path")), "paths")
     while not runs.where("up is not null").isEmpty():
         higher = runs.select("conv_id", F.col("start").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
@@ -111,7 +112,7 @@ def paths(nodes: DataFrame) -> DataFrame:
             "conv_id", "start", F.col("next").alias("up"),
             F.when(F.col("above").isNotNull(), F.concat("above", "path")).otherwise(F.col("path")).alias("path")), "paths")
     return nodes.join(runs.select("conv_id", "start", F.col("path").alias("above")), ["conv_id", "start"]).withColumn(
-        "path", F.concat("above", F.array("turn"))).drop("above", "start", "starts")
+        "path", F.concat("above", F.array(F.lit(FIRST).cast("long"), "turn"))).drop("above", "start", "starts")
 
 
 def link_conversations(messages: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def link_conversations(messages: DataFrame) -> DataFrame:
     placed = rows.join(paths(nodes), ["conv_id", "turn"]).withColumn("_tie", F.xxhash64("role", "text"))
     unique = with_rank(placed.drop("said", "quotes", "prev_turn"), ["conv_id"], [F.col("path"), F.col("_tie"), F.col("text")], "position")
     return unique.select("conv_id", "turn", "role", "text", F.col("parent").alias("reply_to"), F.col("position").cast("long").alias("position"),
-                         F.floor(F.size("path") / 2).cast("int").alias("depth"), "n_quotes", F.col("n_linked").cast("int").alias("n_linked"))
+                         (F.size("path") / 2 - 1).cast("int").alias("depth"), "n_quotes", F.col("n_linked").cast("int").alias("n_linked"))
 
 
 @query()

@@ -84,14 +84,20 @@ def tokens_of(page: str):
     return items
 
 
+def telling(key: str) -> bool:
+    tag, _, hint = key.partition(".")
+    return tag in BOILERPLATE or bool(hint)
+
+
 def count_page(page: str) -> dict[tuple[str, str], list[int]]:
-    """Words and tags by key, inside and outside the labelled article; nothing for a page without exactly one."""
+    """Words and tags by key, inside and outside the labelled article; nothing for a page without exactly one. What a
+    telling name marks inside it, such as comments, counts as outside."""
     items = tokens_of(page)
     if sum(key in LABEL for _, key, _, _ in items) not in (2, 1):
         return {}
     counts: dict[tuple[str, str], list[int]] = {}
     for text, key, blocks, _ in items:
-        outside = not any(b in LABEL for b in blocks)
+        outside = not any(b in LABEL for b in blocks) or any(telling(b) for b in blocks)
         if text is None:
             if key not in OUTER:
                 counts.setdefault(("tag", key), [0, 0])[outside] += 1
@@ -110,19 +116,20 @@ class Weights:
 
     def odds(self, kind: str, key: str) -> float:
         inside, outside = self.counts.get((kind, key), (0, 0))
-        tag, _, hint = key.partition(".")
-        if kind == "word" and (tag in BOILERPLATE or hint):
+        if kind == "word" and telling(key):
             outside += PRIOR
         return math.log((inside + 1) / (outside + 1))
 
     def word(self, blocks) -> float:
-        """Between -2 and 1: a word in the open counts 1, the worst block around it decides."""
-        worst = min((self.odds("word", b) for b in blocks if b not in OUTER), default=0.5)
-        return max(-2.0, min(1.0, worst))
+        """Between -1/4 and 1, as the worst block around it says. Boilerplate costs little, since an article may go on
+        after it; at either end of a region any cost is enough to leave it out."""
+        known = [b for b in blocks if b not in OUTER and (telling(b) or ("word", b) in self.counts)]
+        worst = min((self.odds("word", b) for b in known), default=0.5)
+        return max(-0.25, min(1.0, worst))
 
     def tag(self, key: str) -> float:
-        """Tags cost between 0.2 and 3 points."""
-        return 0.0 if key in OUTER else -min(3.0, 0.2 + max(0.0, -self.odds("tag", key)))
+        """Tags cost between 0.2 and 1.5 points."""
+        return 0.0 if key in OUTER else -min(1.5, 0.2 + max(0.0, -self.odds("tag", key)))
 
 
 def best_region(scores) -> tuple[int, int]:

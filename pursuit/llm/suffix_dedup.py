@@ -297,21 +297,23 @@ def removal_report(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Dat
 def remove_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` and, where there is one, ``n_chars`` counted anew. What is
     left of a character that a cut goes through is dropped. Texts that repeat nothing stay as they are."""
-    spans = staged(repeated_spans(docs, least, seed), "spans")
+    spans, names = staged(repeated_spans(docs, least, seed), "spans"), docs.columns
 
     def cut(batches):
         for batch in batches:
             texts = [t if s is None else cut_out((t or "").encode(), merged(s)).decode("utf-8", "ignore")
                      for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     fa = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("fa").alias("_fa"), F.col("spans").alias("_spans"))
     cut_docs = docs.withColumn("_key", fa).join(
         spans, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_fa")), "left") \
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "_spans").mapInArrow(cut, docs.schema)
-    return cut_docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_docs
+        .select(*[F.col(f"`{c}`") for c in names], "_spans").mapInArrow(cut, docs.schema)
+    if "n_chars" not in names:
+        return cut_docs
+    return cut_docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 @query()

@@ -75,13 +75,18 @@ def best_of_tile(qids, q, cids, c, k: int):
     return row[rank < k], value[rank < k], cids[col[rank < k]]
 
 
+def _unpacked(tile):
+    ids = np.frombuffer(tile.ids, np.int64)
+    return ids, np.frombuffer(tile.matrix, np.int64).reshape(len(ids), tile.dim)
+
+
 def _multiply(k: int, block: int = 512):
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for a in left.itertuples():
-            qids, q = np.frombuffer(a.ids, np.int64), np.frombuffer(a.matrix, np.int64).reshape(-1, a.dim)
+            qids, q = _unpacked(a)
             for b in right.itertuples():
-                cids, c = np.frombuffer(b.ids, np.int64), np.frombuffer(b.matrix, np.int64).reshape(-1, b.dim)
+                cids, c = _unpacked(b)
                 for lo in range(0, len(qids), block):
                     row, score, vec = best_of_tile(qids[lo:lo + block], q[lo:lo + block], cids, c, k)
                     for r in np.unique(row):

@@ -1,0 +1,37 @@
+"""The pipeline's stages, each judged on its own input."""
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pursuit.llm import decontaminate, ngram_join, quality
+from pursuit.staging import staged
+from tests.llm.conftest import SMALL
+from tests.llm.test_near_and_repeats import brute_join, brute_removal
+from tests.llm.test_tables import brute_leaks
+
+
+def test_stages(spark, given):
+    docs = given("documents")
+    items = [(r.item_id, r.text) for r in given("benchmark").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        after = staged(stage(spark, docs, SMALL), "stage")
+        had, has = ([(r.doc_id, r.text) for r in x.collect()] for x in (docs, after))
+        if stage is quality.keep_good:
+            rejected = {r.doc_id for r in quality.score(docs, given("labels")).where("predicted = 0").collect()}
+            assert rejected and sorted(has) == sorted(x for x in had if x[0] not in rejected)
+        elif stage is ngram_join.keep_first:
+            keep = {i for i, _, c in brute_join(had) if i == c}
+            assert sorted(has) == sorted(x for x in had if x[0] in keep) and len(has) < len(had)
+        elif stage is decontaminate.without_leaks:
+            assert {i for i, _ in had} - {i for i, _ in has} == {d for d, _ in brute_leaks(had, items)}
+        elif name == "suffix-array dedup":
+            removed = {i: (n, gone) for i, n, gone, _, _ in brute_removal(had)}
+            assert {i for i, _ in has} == {i for i, (n, gone) in removed.items() if gone < n or not n}
+            texts = dict(has)
+            assert all(0 <= n - gone - len((texts[i] or "").encode()) <= 6 * 20 for i, (n, gone) in removed.items() if i in texts)
+        else:
+            assert after.agg(F.max("epoch")).first()[0] <= 1 and {i for i, _ in has} <= {i for i, _ in had}
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert after.columns == given("documents").columns and after.dtypes == given("documents").dtypes
+        docs = after
+    assert docs.count() > 0
