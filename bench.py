@@ -17,7 +17,7 @@ from workload.tracking import tracking
 HEADLINES = [
     "angle_check", "player_profile", "normalize_play", "frame_features", "baseline_report", "prediction_report",
     "crossfit_report", "play_table", "player_ratings", "compute_rating", "history_arrays", "scrimmage_frames",
-    "game_documents",
+    "game_documents", "prepare_weeks", "request_validation", "gate_publish",
 ]
 
 
@@ -27,7 +27,8 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINES
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=str(2 * int(cpus)), spark__driver__memory="20g",
-        spark__ui__enabled="false")
+        spark__ui__enabled="false",
+        spark__checkpoint__dir=os.environ.get("BENCH_STAGING", "/tmp/pursuit-staging"))
     spark.sparkContext.setLogLevel("ERROR")
     start = time.perf_counter()
     frames = tracking(spark, sf_dir).inp.count()

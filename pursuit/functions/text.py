@@ -1,6 +1,8 @@
 """Text columns: labels, ordinals, outcomes and name handling."""
 
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +27,6 @@ TEAM_NAMES = {
     "WAS": "Washington Commanders",
 }
 MINUS = "−"
-# Letters of these ranges lose their accents: Latin-1 to Latin Extended-B, Latin Extended Additional, full-width forms.
-ACCENTED = [range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0xFF01, 0xFF5F)]
 
 
 def _lookup(values: dict, key: Column, default: Column) -> Column:
@@ -81,21 +81,29 @@ def folded_query(text: str) -> str:
     return _plain(text).lower().strip()
 
 
-def folded(name: Column) -> Column:
-    """The name without case, accents and punctuation.
-
-    The replacement letters come from the Unicode decomposition of every letter in the accented ranges."""
+@cache
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Every character beyond ASCII whose decomposition has letters, digits or spaces: those that become one character,
+    and ligatures, fractions and the like that become several."""
     singles, several = {}, {}
-    for code in (c for r in ACCENTED for c in r):
+    for code in range(0x80, sys.maxunicode + 1):
         letter = chr(code)
         plain = _plain(letter)
         if plain:
             (singles if len(plain) == 1 else several)[letter] = plain
+    return singles, several
+
+
+def folded(name: Column) -> Column:
+    """The name without case, accents and punctuation, as ``folded_query`` has it for typed text.
+
+    Characters that become several are looked up one by one, and only in names that are not plain after the first step."""
+    singles, several = _foldings()
     text = F.translate(name, "".join(singles), "".join(singles.values()))
-    # the few ligatures and fractions that become more than one letter
-    for plain in sorted(set(several.values())):
-        letters = "".join(k for k, v in several.items() if v == plain)
-        text = F.regexp_replace(text, f"[{letters}]", plain)
+    keys, values = list(several), list(several.values())
+    table = F.map_from_arrays(F.split(F.lit("\t".join(keys)), "\t"), F.split(F.lit("\t".join(values)), "\t"))
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    text = F.when(text.rlike(r"[^\x00-\x7F]"), each).otherwise(text)
     return F.lower(F.regexp_replace(text, "[^a-zA-Z0-9 ]", ""))
 
 

@@ -8,6 +8,7 @@ from pursuit.operators import quality
 from pursuit.plans import prepare, rate, score
 from pursuit.session import build_session
 from pursuit.sources.tracking import load_weeks, parse_weeks, read_context_csv, read_predictions, write_predictions
+from pursuit.staging import clear
 
 
 def run_prepare(spark, root, args):
@@ -15,8 +16,8 @@ def run_prepare(spark, root, args):
 
 
 def run_score(spark, root, args):
-    inp, out = load_weeks(spark, f"{root}/processed", parse_weeks(args.weeks))
-    scored = score.score(inp.drop("week"), out.drop("week"))
+    inp, out = load_weeks(spark, f"{root}/processed", parse_weeks(args.weeks), season=args.season)
+    scored = score.score(inp.drop("season", "week"), out.drop("season", "week"))
     quality.require_rows(scored.state, "no play matched any fold")
     scored.model.write.mode("overwrite").parquet(f"{root}/models/{args.run}")
     write_predictions(scored.pred, f"{root}/predictions/{args.run}")
@@ -28,7 +29,8 @@ def run_publish(spark, root, args):
 
 
 def run_rate(spark, root, args):
-    inp, out = (df.drop("week") for df in load_weeks(spark, f"{root}/processed", parse_weeks(args.weeks)))
+    inp, out = (df.drop("season", "week") for df in load_weeks(
+        spark, f"{root}/processed", parse_weeks(args.weeks), season=args.season))
     pred = read_predictions(spark, f"{root}/predictions/{args.run}")
     context = read_context_csv(spark, f"{root}/raw/supplementary_data.csv")
     result = rate.compute(inp, out, pred, context)
@@ -52,7 +54,10 @@ def main(argv=None) -> None:
     parser.add_argument("--master")
     args = parser.parse_args(argv)
     spark = build_session("pursuit-" + args.stage, args.master)
-    STAGES[args.stage](spark, args.root.rstrip("/"), args)
+    try:
+        STAGES[args.stage](spark, args.root.rstrip("/"), args)
+    finally:
+        clear(spark)
 
 
 if __name__ == "__main__":

@@ -1,13 +1,13 @@
-"""Published rows and the nested play and game documents.
+"""Published rows and the documents of plays and games.
 
-A document is one row, so nothing unbounded may go into it. Tracks are cut into runs of frames, a play with very many
-players and a game with very many plays into parts. Ordinary plays and games are part 0 and whole."""
+A document is one row, so nothing unbounded may go into it: the row is a run of frames of one player on one play, with
+all that the play and the player have once. A game is a folder of such rows and a header row."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pursuit.functions.geometry import hundredths
-from pursuit.operators.paths import RUN, per_player
+from pursuit.operators.paths import per_player
 from pursuit.schema import KEY, PLAY, PUBLISHED
 from pursuit.staging import lookup
 
@@ -23,8 +23,8 @@ FRAME_VALUES = ["x", "y", "s", "a", "dir", "o"]
 OUT_VALUES = ["x", "y"]
 PRED_VALUES = ["x_pred", "y_pred", "sd_x", "sd_y"]
 RATING_FIELDS = ["id", "role", "d0", "dexp", "dact", "yards", "z", "zc", "ex"]
-PLAYERS_PER_PART = 500
-PLAYS_PER_PART = 500
+# Fixed value: frames of a track in one document row; a longer track is several rows, told apart by ``run``.
+TRACK_RUN = 256
 
 
 def published(table: DataFrame) -> DataFrame:
@@ -38,26 +38,15 @@ def published(table: DataFrame) -> DataFrame:
     return table.select(*[value(c) for c in PUBLISHED])
 
 
-def _oversized(members: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """Groups with more members than fit in one part, and the number of parts they need; empty on ordinary data."""
-    counts = members.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    return lookup(counts.select(*by, F.ceil(F.col("_n") / limit).alias("_parts")), "oversized")
-
-
-def _with_part(rows: DataFrame, oversized: DataFrame, by: list[str], member) -> DataFrame:
-    part = F.pmod(F.xxhash64(*member), F.coalesce(F.col("_parts"), F.lit(1)))
-    return rows.join(oversized, by, "left").withColumn("part", part).drop("_parts")
-
-
 def _values(names):
     return F.array(*[hundredths(F.col(c)) for c in names])
 
 
-def player_tracks(inp: DataFrame, out: DataFrame, pred: DataFrame) -> DataFrame:
-    """One row per player and run of frames: static fields and the input, actual and expected frames in order.
+def _tracks(inp: DataFrame, out: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Input, actual and expected frames in order, one row per player and run of frames; and the runs a player has.
 
     The three tables meet in one exchange and one aggregate of numbers only; ``out`` and ``pred`` are null for other
-    players. What a player has once is aggregated apart and joined."""
+    players."""
     none = F.lit(None).cast("array<double>")
 
     def side(df, **value):
@@ -69,90 +58,57 @@ def player_tracks(inp: DataFrame, out: DataFrame, pred: DataFrame) -> DataFrame:
     def track(name):
         return F.collect_list(F.when(F.col(name).isNotNull(), F.struct("frame_id", F.col(name).alias("v")))).alias(name)
 
-    run = F.floor((F.col("frame_id") - 1) / RUN)
-    tracks = rows.groupBy(*KEY, run.alias("run")).agg(track("i"), track("o"), track("e"))
-
     def ordered(name):
         return F.transform(F.sort_array(name), lambda e: e["v"])
 
-    tracks = tracks.select(
+    run = F.floor((F.col("frame_id") - 1) / TRACK_RUN)
+    tracks = rows.groupBy(*KEY, run.alias("run")).agg(track("i"), track("o"), track("e")).select(
         *KEY, "run", ordered("i").alias("in"), F.when(F.size("o") > 0, ordered("o")).alias("out"),
         F.when(F.size("e") > 0, ordered("e")).alias("pred"))
-    return tracks.join(per_player(inp, [*PLAYER_FIELDS, *PLAY_FIELDS], ends="first").drop("frame_id", "n"), KEY)
-
-
-def play_documents(
-    inp: DataFrame, out: DataFrame, pred: DataFrame, table: DataFrame, context: DataFrame,
-    per_part: int = PLAYERS_PER_PART,
-) -> DataFrame:
-    """One document per play and part: context, every player's frames and paths, and the rating rows."""
-    tracks = player_tracks(inp, out, pred)
-    many = _oversized(inp.select(*KEY).distinct(), PLAY, per_part)
+    runs = rows.groupBy(*KEY).agg(F.max(run).alias("last")).select(
+        *KEY, F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("run"))
+    return tracks, runs
+
+
+def play_documents(inp: DataFrame, out: DataFrame, pred: DataFrame, table: DataFrame, context: DataFrame) -> DataFrame:
+    """One document row per play, player and run of frames: the play's context, the player's frames and paths, and the
+    player's rating row or null. The shape is the same at every size, and nothing is gathered per play or game.
+
+    What a play or a player has once is put together on one row per player and run, so the frames are exchanged once.
+    Frame values are rounded half away from zero in plain arithmetic, rating values by their decimal text."""
+    tracks, runs = _tracks(inp, out, pred)
+    people = per_player(inp, [*PLAYER_FIELDS, *PLAY_FIELDS], ends="first").drop("frame_id", "n")
+    rows = published(table).select(
+        F.col("game").alias("game_id"), F.col("play").alias("play_id"), F.col("id").alias("nfl_id"),
+        F.struct(*RATING_FIELDS).alias("rating"))
+    people = people.join(rows, KEY, "left").join(runs, KEY).join(context, PLAY, "left")
     player = F.struct(
-        F.col("nfl_id").alias("id"), *[F.col(c).alias(n) for c, n in PLAYER_FIELDS.items()],
-        F.col("in"), F.col("out"), F.col("pred"), F.col("run"),
-    )
-    meta = F.struct(
-        F.col("play_direction").alias("dir"), F.col("absolute_yardline_number").alias("yl"),
+        F.col("nfl_id").alias("id"), *[F.col(c).alias(n) for c, n in PLAYER_FIELDS.items()], F.col("in"), F.col("out"), F.col("pred"))
+    return tracks.join(people, [*KEY, "run"]).select(
+        *KEY, "run", "week", "home", "away", "desc", F.col("q"), "clock", "down", "dist", "off", F.col("team").alias("def"),
+        "result", "cov", "mz", "route", F.col("play_direction").alias("dir"), F.col("absolute_yardline_number").alias("yl"),
         F.col("num_frames_output").alias("nfo"),
         F.array(hundredths(F.col("ball_land_x")), hundredths(F.col("ball_land_y"))).alias("land"),
-    )
-    people = _with_part(
-        tracks.select(*PLAY, "nfl_id", "run", player.alias("player"), meta.alias("meta")), many, PLAY, ["nfl_id"])
-    assembled = people.groupBy(*PLAY, "part").agg(
-        F.min_by("meta", F.struct("nfl_id", "run")).alias("meta"),
-        F.sort_array(F.collect_list(F.struct("nfl_id", "run", "player"))).alias("players"),
-    ).withColumn("players", F.transform("players", lambda e: e["player"]))
-    rows = published(table).withColumnsRenamed({"game": "game_id", "play": "play_id"})
-    rows = _with_part(
-        rows.select(*PLAY, F.col("id").alias("nfl_id"), F.struct(*RATING_FIELDS).alias("rating")), many, PLAY, ["nfl_id"])
-    ratings = rows.groupBy(*PLAY, "part").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("nfl_id", "rating"))), lambda e: e["rating"]).alias("ratings"))
-    docs = assembled.join(ratings, [*PLAY, "part"], "left").join(context, PLAY, "left")
-    no_ratings = F.array().cast(ratings.schema["ratings"].dataType)
-    return docs.select(
-        *PLAY, "part", "week", "home", "away", "desc", F.col("q"), "clock", "down", "dist", "off",
-        F.col("team").alias("def"), "result", "cov", "mz", "route", "meta.dir", "meta.yl", "meta.nfo", "meta.land",
-        "players", F.coalesce("ratings", no_ratings).alias("ratings"),
-    )
-
-
-def game_documents(plays: DataFrame, per_part: int = PLAYS_PER_PART) -> DataFrame:
-    """One document per game and part with its plays in order; week and teams are those of the game's first play.
-
-    Reads ``plays`` more than once, so give it staged play documents."""
-    header = lookup(plays.groupBy("game_id").agg(
-        F.min_by(F.struct("week", "home", "away"), F.struct("play_id", "part")).alias("h")), "game-headers")
-    many = _oversized(plays.select(*PLAY, "part"), ["game_id"], per_part)
-    body = F.struct(F.col("play_id").alias("play"), *[
-        c for c in plays.columns if c not in (*PLAY, "part", "week", "home", "away")])
-    rows = plays.select("game_id", F.col("play_id"), F.col("part").alias("play_part"), body.alias("play"))
-    rows = _with_part(rows, many, ["game_id"], ["play_id", "play_part"])
-    games = rows.groupBy("game_id", "part").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("play_id", "play_part", "play"))), lambda e: e["play"]).alias("plays"))
-    return games.join(header, "game_id").select(
-        F.col("game_id").alias("game"), "part", "h.week", "h.home", "h.away", "plays")
+        player.alias("player"), "rating")
 
 
-def plays_of_games(games: DataFrame) -> DataFrame:
-    """The plays of game documents, one row each."""
-    return games.select("game", F.explode("plays").alias("p")).select("game", "p.*")
+def game_headers(plays: DataFrame) -> DataFrame:
+    """One row per game: week and teams of its first play, and the number of plays. ``plays`` are play documents."""
+    each = plays.groupBy(*PLAY).agg(F.min(F.struct("week", "home", "away")).alias("h"))
+    return each.groupBy(F.col("game_id").alias("game")).agg(
+        F.min_by("h", "play_id").alias("h"), F.count("*").alias("plays")).select("game", "h.week", "h.home", "h.away", "plays")
 
 
 def input_rows(plays: DataFrame, land: tuple[float, float] | None = None, frames: int | None = None) -> DataFrame:
-    """The 23 input columns rebuilt from play documents (``game``, ``play``, …), one row per player and frame.
+    """The 23 input columns rebuilt from play documents, one row per player and frame.
 
     The landing spot and the air time can be replaced for a what-if."""
-    if "game_id" in plays.columns:
-        plays = plays.withColumnsRenamed({"game_id": "game", "play_id": "play"})
-    people = plays.select(
-        "game", "play", "dir", "yl", "nfo", "land", F.explode("players").alias("p"))
-    rows = people.select("*", F.posexplode("p.in").alias("at", "f"))
+    rows = plays.select("*", F.posexplode("player.in").alias("at", "f"))
     values = {name: F.get("f", F.lit(i)) for i, name in enumerate(FRAME_VALUES)}
-    statics = {column: F.col(f"p.{short}") for column, short in PLAYER_FIELDS.items()}
+    statics = {column: F.col(f"player.{short}") for column, short in PLAYER_FIELDS.items()}
     columns = {
-        "game_id": F.col("game"), "play_id": F.col("play"), "nfl_id": F.col("p.id"),
-        "frame_id": (F.col("p.run") * RUN + F.col("at") + 1).cast("long"), "play_direction": F.col("dir"),
+        "game_id": F.col("game_id"), "play_id": F.col("play_id"), "nfl_id": F.col("player.id"),
+        "frame_id": (F.col("run") * TRACK_RUN + F.col("at") + 1).cast("long"), "play_direction": F.col("dir"),
         "absolute_yardline_number": F.col("yl"), **statics, **values,
         "num_frames_output": F.lit(frames).cast("long") if frames is not None else F.col("nfo"),
         "ball_land_x": F.lit(float(land[0])) if land else F.get("land", F.lit(0)),
@@ -162,14 +118,13 @@ def input_rows(plays: DataFrame, land: tuple[float, float] | None = None, frames
 
 
 def highlights(picks: DataFrame, plays: DataFrame) -> DataFrame:
-    """The reel with each pick's play document, input frames cut down to x and y. ``picks`` has a handful of rows."""
-    scene = plays.withColumn("players", F.transform(
-        "players", lambda p: p.withField("in", F.transform(p["in"], lambda f: F.slice(f, 1, 2)))))
-    body = [c for c in plays.columns if c not in (*PLAY, "part", "week", "home", "away")]
-    scene = scene.select(
-        F.col("game_id").alias("game"), F.col("play_id").alias("play"), "part", "week", "home", "away",
-        F.struct(F.col("play_id").alias("play"), *body).alias("scene"))
-    return lookup(picks, "picks").join(scene, ["game", "play"])
+    """The reel: each pick with the document rows of its play, input frames cut down to x and y. ``picks`` has a
+    handful of rows."""
+    short = F.col("player").withField("in", F.transform("player.in", lambda f: F.slice(f, 1, 2)))
+    scene = plays.select(
+        F.col("game_id").alias("game"), F.col("play_id").alias("play"), "week", "home", "away",
+        F.struct("run", *[c for c in plays.columns if c not in (*KEY, "run", "week", "home", "away", "player")], short.alias("player")).alias("scene"))
+    return lookup(picks, "picks").join(scene.drop("week") if "week" in picks.columns else scene, ["game", "play"])
 
 
 def meta_row(

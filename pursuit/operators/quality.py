@@ -60,25 +60,27 @@ def count_violations(profile: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def angle_errors(inp: DataFrame) -> DataFrame:
-    """Yards per frame between the real step and the step each of two angle conventions expects, as one row a, b, ok.
+    """Yards per frame between the real step and the step each of two angle conventions expects: a, b, ok for every
+    season and week in the table, each judged by itself; one row for a table that says neither.
 
     a takes x with the sine, b swaps sine and cosine; a has to win five to one. Rows slower than 1 yd/s and last frames
     do not count; with no row left both are 0 and the check fails."""
-    steps = with_next(inp.select(*FRAME, "x", "y", "s", "dir"), ["x", "y"])
-    steps = steps.where("next_x IS NOT NULL AND s > 1")
+    by = [c for c in ("season", "week") if c in inp.columns]
+    steps = with_next(inp.select(*by, *FRAME, "x", "y", "s", "dir"), ["x", "y"], [*by, *KEY])
+    counts = F.col("next_x").isNotNull() & (F.col("s") > 1)
     reach, rad = SECONDS_PER_FRAME * F.col("s"), F.radians("dir")
     dx, dy = F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y")
 
     def error(ux, uy):
         ex, ey = dx - reach * ux, dy - reach * uy
-        return F.coalesce(F.sqrt(F.avg(ex * ex + ey * ey)), F.lit(0.0))
+        return F.coalesce(F.sqrt(F.avg(F.when(counts, ex * ex + ey * ey))), F.lit(0.0))
 
-    errors = steps.agg(error(F.sin(rad), F.cos(rad)).alias("a"), error(F.cos(rad), F.sin(rad)).alias("b"))
+    errors = steps.groupBy(*by).agg(error(F.sin(rad), F.cos(rad)).alias("a"), error(F.cos(rad), F.sin(rad)).alias("b"))
     return errors.withColumn("ok", F.col("a") < F.col("b") / 5)
 
 
 def angle_violations(inp: DataFrame) -> DataFrame:
-    return angle_errors(inp).where(~F.col("ok")).select("a", "b")
+    return angle_errors(inp).where(~F.col("ok")).drop("ok")
 
 
 def duplicate_plays(context: DataFrame) -> DataFrame:

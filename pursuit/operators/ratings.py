@@ -95,22 +95,23 @@ def player_means(rows: DataFrame, player="nfl_id", order=("game_id", "play_id"),
     player's rows are never gathered: a player's list has at most one entry per team."""
     complete = F.col("result") == "C" if complete is None else complete
     per_team = rows.groupBy(player, "team").agg(
-        F.count("*").alias("n"), F.sum("zc").alias("zc"), F.sum("yards").alias("yards"),
+        F.count("*").alias("n"), F.sum("zc").alias("zc"), F.count("zc").alias("zcs"),
+        F.sum("yards").alias("yards"), F.count("yards").alias("yds"),
         F.sum(complete.cast("long")).alias("done"), F.count(complete).alias("known"),
         F.sum("epa").alias("epa"), F.count("epa").alias("epas"),
         F.max_by(F.struct("name", "pos", "grp"), F.struct(*order)).alias("who"),
         F.max(F.struct(*order)).alias("at"),
         F.max(F.struct(F.col(order[0]), F.col("zc"), -F.col(order[1]))).alias("latest"),
     )
-    totals = [F.sum(c).alias(c) for c in ("n", "zc", "yards", "done", "known", "epa", "epas")]
+    totals = [F.sum(c).alias(c) for c in ("n", "zc", "zcs", "yards", "yds", "done", "known", "epa", "epas")]
     p = per_team.groupBy(player).agg(
         *totals, F.max_by("who", "at").alias("who"), F.max_by("team", "latest").alias("latest_team"),
         F.collect_list(F.when(F.col("team").isNotNull(), F.struct("n", "team"))).alias("_by_team"),
     )
     names, counts = team_lists()
     return p.select(
-        player, "n", "who.name", "who.pos", "who.grp", (F.col("zc") / F.col("n")).alias("mean"),
-        (F.col("yards") / F.col("n")).alias("yards"), F.try_divide("done", "known").alias("comp"),
+        player, "n", "who.name", "who.pos", "who.grp", F.try_divide("zc", "zcs").alias("mean"),
+        F.try_divide("yards", "yds").alias("yards"), F.try_divide("done", "known").alias("comp"),
         F.try_divide("epa", "epas").alias("epa"), names.alias("teams"), counts.alias("team_n"), "latest_team",
     )
 

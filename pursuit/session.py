@@ -14,8 +14,10 @@ TUNING = {
     # has measured, and staged lookups are broadcast after their rows are counted
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
-    # frame arrays: hash more players per task before falling back to a sort
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # frame arrays: some hundred tracks in a task's hash map, then a sort, so that the map stays small
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "512",
+    # a table spread by a player's key meets one keyed by player and frame without another exchange
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pursuit.operators import expect, features, field, metric, paths, quality
 from pursuit.plans import prepare
 from pursuit.schema import FRAME, INPUT_SCHEMA, KEY, OUTPUT_SCHEMA
-from tests.conftest import CORNER, PASSER, RECEIVER, flight, track
+from tests.conftest import CORNER, IN, LAND, OUT, PASSER, RECEIVER, flight, track
 
 
 def test_a_clean_play_passes(play):
@@ -21,6 +21,16 @@ def test_angle_errors_tell_the_conventions_apart(play):
     assert row.a < 1e-9 and row.b > 0.1 and row.ok
 
 
+def test_every_week_is_judged_by_itself(play):
+    """One week of forty with swapped angles hides in the pool of all weeks, and is refused by itself."""
+    weeks = play[0].withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("season", F.lit(2030))
+    bad = weeks.withColumn("dir", F.when(F.col("week") == 17, 90 - F.col("dir")).otherwise(F.col("dir")))
+    assert [(r.season, r.week) for r in quality.angle_violations(bad).collect()] == [(2030, 17)]
+    assert quality.angle_errors(bad.drop("week", "season").withColumn("nfl_id", F.col("nfl_id") * 100 + F.col("dir").cast("long"))).count() == 1
+    still = weeks.withColumn("s", F.when(F.col("week") == 3, 0.0).otherwise(F.col("s")))
+    assert [r.week for r in quality.angle_violations(still).collect()] == [3]
+
+
 def test_no_moving_player_fails_the_angle_check(spark):
     still = spark.createDataFrame(track(*PASSER), INPUT_SCHEMA)
     row = quality.angle_errors(still).first()
@@ -53,7 +63,7 @@ def test_right_plays_stay_and_left_plays_turn(play):
     same = field.normalize(inp).select(*FRAME, "x", "dir").exceptAll(inp.select(*FRAME, "x", "dir"))
     assert same.count() == 0
     left = field.normalize(inp.withColumn("play_direction", F.lit("left"))).where("nfl_id = 2 AND frame_id = 1").first()
-    assert left.x == 70.0 and left.y == pytest.approx(33.3) and left.dir == 270.0 and left.vx < 0
+    assert left.x == 68.0 and left.y == pytest.approx(38.3) and left.dir == 270.0 and left.vx < 0
 
 
 def test_turning_twice_gives_the_play_back(play):
@@ -82,18 +92,18 @@ def test_next_frame_survives_the_seam_of_a_long_track(spark, monkeypatch):
 
 def test_last_frame_is_one_row_per_predicted_player(play):
     rows = {r.nfl_id: r for r in paths.last_frame(play[0]).collect()}
-    assert set(rows) == {2, 3} and rows[2].frame_id == 12 and rows[2].x == pytest.approx(55.5)
+    assert set(rows) == {2, 3} and rows[2].frame_id == IN and rows[2].x == pytest.approx(56.8)
 
 
 def test_last_frame_settles_columns_that_change(play):
-    changed = play[0].withColumn("player_role", F.when(F.col("frame_id") < 12, "early").otherwise(F.col("player_role")))
+    changed = play[0].withColumn("player_role", F.when(F.col("frame_id") < IN, "early").otherwise(F.col("player_role")))
     rows = paths.last_frame(changed).collect()
     assert len(rows) == 2 and {r.player_role for r in rows} == {"Targeted Receiver", "Defensive Coverage"}
 
 
 def test_no_air_time_gives_no_future_frames(play):
     last = paths.last_frame(play[0])
-    assert paths.future_frames(last).count() == 12
+    assert paths.future_frames(last).count() == 2 * OUT
     assert paths.future_frames(last.withColumn("num_frames_output", F.lit(0).cast("long"))).count() == 0
 
 
@@ -119,7 +129,7 @@ def test_evaluation_needs_every_target_exactly_once(play):
     assert {r.rmse for r in metric.evaluate_predictions(pred, inp, out).collect()} == {0.0}
     with pytest.raises(quality.ValidationError, match="no predictions"):
         metric.evaluate_predictions(pred.where("frame_id > 1"), inp, out)
-    with pytest.raises(quality.ValidationError, match="cover 14 rows for 12"):
+    with pytest.raises(quality.ValidationError, match="cover 12 rows for 10"):
         metric.evaluate_predictions(pred.unionByName(pred.where("frame_id = 1")), inp, out)
 
 
@@ -162,7 +172,7 @@ def test_crossfit_never_sees_its_own_fold(spark):
     state = expect.throw_state(inp)
     model = expect.fit_crossfit(state, targets)
     pred = expect.predict_crossfit(state, model).join(targets, FRAME).where("nfl_id = 2 AND frame_id = 5")
-    moved = {r.game_id: (r.x_pred - 55.5) / 2.5 for r in pred.collect()}
+    moved = {r.game_id: (r.x_pred - 56.8) / 3.0 for r in pred.collect()}
     # the receiver runs along x, so the weight on velocity and ball together shows as a share of the full step
     assert all(moved[g] == pytest.approx(1.0, abs=1e-6) for g, f in games.items() if f == 0)
     assert all(moved[g] < 0.95 for g, f in games.items() if f != 0)
@@ -172,24 +182,24 @@ def test_scenarios_replace_spot_and_air_time(play):
     state = expect.throw_state(play[0])
     rows = expect.scenarios(state, [{"name": "same"}, {"name": "far", "land_x": 200.0, "frames": 9}, {"name": "up", "shift_y": 1.0}])
     got = {(r.scenario, r.nfl_id): (r.ball_land_x, r.ball_land_y, r.num_frames_output) for r in rows.collect()}
-    assert got["same", 2] == (60.0, 20.0, 6) and got["far", 3] == (125.0, 20.0, 9) and got["up", 2] == (60.0, 21.0, 6)
+    assert got["same", 2] == (*LAND, OUT) and got["far", 3] == (125.0, LAND[1], 9) and got["up", 2] == (LAND[0], LAND[1] + 1, OUT)
 
 
 def test_history_is_right_aligned_and_targets_are_displacements(play):
     rows = {r.nfl_id: r for r in features.history_arrays(*play).collect()}
     assert [len(r.feat) for r in rows.values()] == [20] * 3 and len(rows[2].feat[0]) == 12
-    assert rows[2].fmask == [False] * 8 + [True] * 12 and rows[2].feat[7] == [0.0] * 12
-    assert sum(rows[1].tmask) == 0 and sum(rows[3].tmask) == 6 and len(rows[3].target) == 40
-    assert [round(p[0], 4) for p in rows[2].target[:3]] == [0.5, 1.0, 1.5]
+    assert rows[2].fmask == [False] * (20 - IN) + [True] * IN and rows[2].feat[19 - IN] == [0.0] * 12
+    assert sum(rows[1].tmask) == 0 and sum(rows[3].tmask) == OUT and len(rows[3].target) == 40
+    assert [round(p[0], 4) for p in rows[2].target[:3]] == [0.6, 1.2, 1.8]
     assert rows[2].feat[-1][11] == 0.0 and rows[3].feat[-1][11] > 0
-    assert rows[1].static[14] == 0.0 and rows[2].static[14] == 1.0 and rows[3].static[15] == pytest.approx(0.15)
+    assert rows[1].static[14] == 0.0 and rows[2].static[14] == 1.0 and rows[3].static[15] == pytest.approx(OUT / 40)
     assert rows[1].static[:6] == [1.0, 0.0, 0.0, 0.0, 1.0, 1.0]
 
 
 def test_history_keeps_the_last_twenty_frames(spark):
     rows = spark.createDataFrame(track(*RECEIVER, frames=30), INPUT_SCHEMA)
     (r,) = features.history_arrays(rows).collect()
-    assert all(r.fmask) and sum(r.tmask) == 0 and r.feat[-1][0] == pytest.approx(50 + 0.5 * 29 - 60)
+    assert all(r.fmask) and sum(r.tmask) == 0 and r.feat[-1][0] == pytest.approx(52 + 0.6 * 29 - LAND[0])
 
 
 def test_mirror_changes_the_sign_of_y_components(play):
@@ -210,8 +220,8 @@ def test_heights_that_are_none_are_null(spark):
 def test_prediction_gap_reports_both_sides(play):
     pred = play[1].withColumnsRenamed({"x": "x_pred", "y": "y_pred"})
     assert quality.prediction_gap(pred, pred).first().ok
-    short = quality.prediction_gap(pred, pred.where("frame_id < 6")).first()
-    assert (short.rows_a, short.rows_b, short.matched, short.ok) == (12, 10, 10, False)
+    short = quality.prediction_gap(pred, pred.where(f"frame_id < {OUT}")).first()
+    assert (short.rows_a, short.rows_b, short.matched, short.ok) == (2 * OUT, 2 * OUT - 2, 2 * OUT - 2, False)
     moved = quality.prediction_gap(pred, pred.withColumn("x_pred", F.col("x_pred") + 0.01)).first()
     assert moved.gap == pytest.approx(0.01) and not moved.ok
 
@@ -225,5 +235,5 @@ def test_external_models_plug_in_as_batches(play):
 
     schema = "game_id long, play_id long, nfl_id long, frame_id long, x_pred double, y_pred double"
     pred = expect.external_predictions(state, model, schema)
-    assert pred.count() == 12
+    assert pred.count() == 2 * OUT
     assert metric.evaluate_predictions(pred, *play).where("cut = 'all'").first().rmse > 1

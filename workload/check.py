@@ -3,6 +3,7 @@
 ``python -m workload.check [sf_dir] [name ...]``"""
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -60,7 +61,7 @@ def main(argv) -> int:
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g",
-                          spark__ui__enabled="false")
+                          spark__ui__enabled="false", spark__checkpoint__dir=os.environ.get("CHECK_STAGING", "/tmp/pursuit-staging"))
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
     for name in argv[1:] or suite.QUERIES:

@@ -23,10 +23,37 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
-def per_game(df: DataFrame, *columns, game="game_id", digits: int = 3) -> DataFrame:
-    """Row count and column sums per game: a check that every row of a large result takes part in."""
-    sums = [F.round(F.sum(c), digits).alias(f"sum_{c}") for c in columns]
-    return df.groupBy(F.col(game).alias("game_id")).agg(F.count("*").alias("n"), *sums)
+# A number goes into a row's hash in steps of about a thousandth; the odd step keeps decimals off the edges of a step, where
+# the last bits in which engines differ would matter.
+STEP, SHIFT = 997.0631, 0.5123
+AT = ["play_id", "nfl_id", "frame_id"]
+
+
+def row_hash(texts, numbers=()):
+    """Forty bits from all the given columns of a row, so that a swapped or changed value shows in a sum of them."""
+    def code(c):
+        return F.floor(F.col(c).cast("double") * F.lit(STEP) + F.lit(SHIFT)).cast("string")
+
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in texts]
+    parts += [F.coalesce(code(c), F.lit("~")) for c in numbers]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 10), 16, 10).cast("long")
+
+
+def row_hash_sql(texts, numbers=()) -> str:
+    """``row_hash`` in SQL. Texts must be texts, whole numbers or truth values."""
+    parts = [f"""coalesce("{c}"::VARCHAR, '~')""" for c in texts]
+    parts += [f"""coalesce(floor("{c}"::DOUBLE * {STEP}::DOUBLE + {SHIFT}::DOUBLE)::BIGINT::VARCHAR, '~')""" for c in numbers]
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 10))::BIGINT"
+
+
+def per_game(df: DataFrame, *columns, at=AT, by="game_id", texts=()) -> DataFrame:
+    """Row count and the sum of the hashes of whole rows, places included, per game: every value of a large result counts."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.sum(row_hash([*at, *texts], columns)).alias("rows"))
+
+
+def game_rows(source: str, *columns, at=AT, by="game_id", texts=()) -> str:
+    """``per_game`` in SQL."""
+    return f"SELECT {by}, count(*) AS n, sum({row_hash_sql([*at, *texts], columns)})::BIGINT AS rows FROM {source} GROUP BY 1"
 
 
 def r(expr: str, digits: int = 6) -> str:

@@ -5,10 +5,11 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pursuit.operators import board, documents, scene
+from pursuit.functions.geometry import from_scrimmage, to_scrimmage
+from pursuit.operators import board, documents, gate, metric, quality, scene
 from pursuit.plans import prepare, rate
 from pursuit.plans import score as score_plan
-from pursuit.schema import INPUT_SCHEMA, OUTPUT_SCHEMA, PLAY
+from pursuit.schema import CONTEXT_COLUMNS, INPUT_SCHEMA, MAX_ROWS, OUTPUT_SCHEMA, PLAY
 from pursuit.sources import documents as sinks
 from pursuit.sources import requests as req
 from pursuit.sources import tracking as files
@@ -16,8 +17,8 @@ from pursuit.staging import staged, staging_path
 from pursuit.streaming.requests import stream_requests
 from pursuit.streaming.weeks import stream_weeks
 from workload.oracle_view import VIEW
-from workload.registry import game_sums, per_game, query, r, rd
-from workload.suite_models import CROSSPRED
+from workload.registry import AT, game_rows, per_game, query, r, rd, row_hash, row_hash_sql
+from workload.suite_models import CROSSPRED, SCORED, _report
 from workload.suite_ratings import CENTERED, GATED_CELLS, HALVES, PICKS, PLAYERS, PUBLISHED, SPREAD, base
 from workload.tracking import tracking
 
@@ -31,18 +32,13 @@ def plays_export(spark, sf_dir):
     return documents.published(base(spark, sf_dir).table)
 
 
-@query(_sql(PUBLISHED, f"""
-SELECT team, count(*) AS n, {r('sum(zc)', 4)} AS zc, {r('sum(yards)', 2)} AS yards, count(ex) AS excluded, count(epa) AS epas,
-  min(name) AS first_name FROM published GROUP BY 1"""))
+@query(_sql(PUBLISHED, "SELECT * FROM published"))
 def columnar_roundtrip(spark, sf_dir):
-    """Published rows written as columnar documents, read back and typed."""
+    """Published rows written as columnar documents, one a play, read back and typed."""
     rows = base(spark, sf_dir).rows
     path = staging_path(spark, "columnar")
-    sinks.write_columnar(rows, ["game", "play", "id"], path)
-    back = sinks.read_columnar(spark, path, rows.schema)
-    return back.groupBy("team").agg(
-        F.count("*").alias("n"), F.round(F.sum("zc"), 4).alias("zc"), F.round(F.sum("yards"), 2).alias("yards"),
-        F.count("ex").alias("excluded"), F.count("epa").alias("epas"), F.min("name").alias("first_name"))
+    sinks.write_columnar(rows, ["game", "play", "id"], ["game", "play"], path)
+    return sinks.read_columnar(spark, path, rows.schema)
 
 
 _documents = {}
@@ -64,89 +60,108 @@ def reset(keep_entries: bool = False) -> None:
     suite_ratings.reset(keep_entries)
 
 
-def _flat_sum(array):
-    return F.aggregate(F.flatten(array), F.lit(0.0), lambda s, e: s + e)
+INPUT_TEXTS = ["player_to_predict", "play_direction", "absolute_yardline_number", "player_name", "player_height", "player_weight",
+               "player_birth_date", "player_position", "player_side", "player_role", "num_frames_output"]
+INPUT_NUMBERS = ["x", "y", "s", "a", "dir", "o", "ball_land_x", "ball_land_y"]
+CENTS = ", ".join(f"round({c}, 2) AS {c}" for c in INPUT_NUMBERS)
+# every value of a document on one row per frame and path: inputs, actual and expected places
+PATHS = f"""
+cents AS (SELECT * REPLACE ({CENTS}) FROM inp),
+values_of AS (
+  SELECT game_id, play_id, nfl_id, frame_id, 'in' AS path, x AS v0, y AS v1, s AS v2, a AS v3, dir AS v4, o AS v5 FROM cents
+  UNION ALL SELECT game_id, play_id, nfl_id, frame_id, 'out', round(x, 2), round(y, 2), 0, 0, 0, 0 FROM outp
+  UNION ALL SELECT game_id, play_id, nfl_id, frame_id, 'pred', round(x_pred, 2), round(y_pred, 2), round(sd_x, 2), round(sd_y, 2), 0, 0 FROM pred)"""
+VALUES = [f"v{i}" for i in range(6)]
+
 
+def _frames(docs):
+    """The frames of play documents, one row per frame and path."""
+    def of(path, width):
+        rows = docs.select("game_id", "play_id", "nfl_id", "run", F.posexplode(f"player.{path}").alias("at", "v"))
+        return rows.select(
+            "game_id", "play_id", "nfl_id", (F.col("run") * documents.TRACK_RUN + F.col("at") + 1).alias("frame_id"),
+            F.lit(path).alias("path"), *[(F.get("v", F.lit(i)) if i < width else F.lit(0.0)).alias(f"v{i}") for i in range(6)])
 
-GAMES = CENTERED + f""",
-head AS (SELECT game_id, arg_min(week, play_id) AS week, arg_min(home, play_id) AS home, arg_min(away, play_id) AS away,
-  count(*) AS plays FROM ctx GROUP BY 1),
-pin AS (SELECT game_id, count(*) FILTER (frame_id = 1) AS players, count(*) AS frames,
-  sum(round(x, 2) + round(y, 2) + round(s, 2) + round(a, 2) + round(dir, 2) + round(o, 2)) AS total FROM inp GROUP BY 1),
-pout AS (SELECT game_id, count(*) AS air, sum(round(x, 2) + round(y, 2)) AS moved FROM outp GROUP BY 1),
-ppred AS (SELECT game_id, sum(round(x_pred, 2) + round(y_pred, 2) + round(sd_x, 2) + round(sd_y, 2)) AS expected FROM pred GROUP BY 1),
-prate AS (SELECT game_id, count(*) AS ratings, sum({rd('zc', 6)}) AS zc FROM centered GROUP BY 1)"""
+    return of("in", 6).unionByName(of("out", 2)).unionByName(of("pred", 4))
 
 
-@query(_sql(GAMES, f"""
-SELECT h.game_id AS game, 0 AS part, week, home, away, plays, players, frames, {r('total', 2)} AS total, air, {r('moved', 2)} AS moved,
-  {r('expected', 2)} AS expected, coalesce(ratings, 0) AS ratings, {r('coalesce(zc, 0)', 6)} AS zc
-FROM head h JOIN pin USING (game_id) JOIN pout USING (game_id) JOIN ppred USING (game_id) LEFT JOIN prate USING (game_id)"""))
+@query(_sql(PATHS, game_rows("values_of", *VALUES, at=[*AT, "path"])))
 def game_documents(spark, sf_dir):
-    """Every game's document, summed up: plays, players, frames and all values in it."""
-    games = documents.game_documents(_plays(spark, sf_dir))
+    """Every frame of every game's documents."""
+    return per_game(_frames(_plays(spark, sf_dir)), *VALUES, at=[*AT, "path"])
+
 
-    def each(fn):
-        return F.aggregate("plays", F.lit(0.0), lambda s, p: s + fn(p))
+@query(_sql("", """
+SELECT game_id AS game, arg_min(week, play_id) AS week, arg_min(home, play_id) AS home, arg_min(away, play_id) AS away,
+  count(*) AS plays FROM ctx GROUP BY 1"""))
+def game_headers(spark, sf_dir):
+    return documents.game_headers(_plays(spark, sf_dir))
 
-    def over(field, fn):
-        return each(lambda p: F.aggregate(p[field], F.lit(0.0), lambda s, e: s + fn(e)))
 
-    def count(v):
-        return v.cast("long")
+STATIC_TEXTS = ["run", "week", "home", "away", "desc", "q", "clock", "down", "dist", "off", "def", "result", "cov", "mz", "route", "dir",
+                "yl", "nfo", "name", "pos", "side", "role", "h", "w", "b", "p", "rated", "rrole", "ex"]
+STATIC_NUMBERS = ["lx", "ly", "zc", "yards"]
 
-    def paths(name):
-        return over("players", lambda p: F.coalesce(_flat_sum(p[name]), F.lit(0.0)))
 
-    return games.select(
-        "game", F.col("part").cast("int").alias("part"), "week", "home", "away", count(F.size("plays")).alias("plays"),
-        count(each(lambda p: F.size(p["players"]))).alias("players"),
-        count(over("players", lambda p: F.size(p["in"]))).alias("frames"), F.round(paths("in"), 2).alias("total"),
-        count(over("players", lambda p: F.coalesce(F.size(p["out"]), F.lit(0)))).alias("air"),
-        F.round(paths("out"), 2).alias("moved"), F.round(paths("pred"), 2).alias("expected"),
-        count(each(lambda p: F.size(p["ratings"]))).alias("ratings"),
-        F.round(over("ratings", lambda e: e["zc"]), 6).alias("zc"))
+@query(_sql(CENTERED + f""",
+docs AS (SELECT r.game_id, r.play_id, r.nfl_id, 0 AS run, c.week, c.home, c.away, c."desc", c.q, c.clock, c.down, c.dist, c.off, c.team AS def,
+    c.result, c.cov, c.mz, c.route, play_direction AS dir, absolute_yardline_number AS yl, num_frames_output AS nfo,
+    player_name AS name, player_position AS pos, player_side AS side, player_role AS role, player_height AS h, player_weight AS w,
+    player_birth_date AS b, player_to_predict AS p, d.nfl_id IS NOT NULL AS rated, d.role AS rrole, d.ex AS ex,
+    ball_land_x AS lx, ball_land_y AS ly, {rd('d.zc', 6)} AS zc, {rd('d.yards', 2)} AS yards
+  FROM roster r JOIN ctx c USING (game_id, play_id) LEFT JOIN centered d ON d.game_id = r.game_id AND d.play_id = r.play_id AND d.nfl_id = r.nfl_id)""",
+            game_rows("docs", *STATIC_NUMBERS, at=["play_id", "nfl_id"], texts=STATIC_TEXTS)))
+def document_rows(spark, sf_dir):
+    """What a document row says besides its frames: context, player and rating."""
+    docs = _plays(spark, sf_dir)
+    rows = docs.select(
+        "game_id", "play_id", "nfl_id", *STATIC_TEXTS[:18], *[F.col(f"player.{c}").alias(c) for c in STATIC_TEXTS[18:26]],
+        F.col("rating").isNotNull().alias("rated"), F.col("rating.role").alias("rrole"), F.col("rating.ex").alias("ex"),
+        F.get("land", F.lit(0)).alias("lx"), F.get("land", F.lit(1)).alias("ly"), "rating.zc", "rating.yards")
+    return per_game(rows, *STATIC_NUMBERS, at=["play_id", "nfl_id"], texts=STATIC_TEXTS)
 
 
-@query(_sql("", f"""
-SELECT game_id, count(*) AS n, count(*) FILTER (player_to_predict) AS predicted, max(frame_id) AS last_frame,
-  max(num_frames_output) AS air, min(player_height) AS height, round(sum(round(x, 2)), 2) + 0.0 AS x,
-  round(sum(round(ball_land_y, 2)), 2) + 0.0 AS land FROM inp GROUP BY 1"""))
+@query(_sql(PATHS, game_rows("cents", *INPUT_NUMBERS, texts=INPUT_TEXTS)))
 def api_rows_roundtrip(spark, sf_dir):
-    """Game documents written as JSON, read back and turned into input rows again."""
-    games = documents.game_documents(_plays(spark, sf_dir))
+    """Game documents written as JSON, read back and turned into input rows again: all 23 columns."""
+    docs = _plays(spark, sf_dir)
     path = staging_path(spark, "games")
-    sinks.write_games(games, path)
-    back = documents.plays_of_games(sinks.read_games(spark, path, games.schema))
-    rows = documents.input_rows(back)
-    return rows.groupBy("game_id").agg(
-        F.count("*").alias("n"), F.count_if("player_to_predict").alias("predicted"), F.max("frame_id").alias("last_frame"),
-        F.max("num_frames_output").alias("air"), F.min("player_height").alias("height"),
-        F.round(F.sum("x"), 2).alias("x"), F.round(F.sum("ball_land_y"), 2).alias("land"))
+    sinks.write_games(docs, documents.game_headers(docs), path)
+    return per_game(documents.input_rows(sinks.read_games(spark, path, docs.schema)), *INPUT_NUMBERS, texts=INPUT_TEXTS)
 
 
 @query(_sql(f"{PUBLISHED}, {PICKS}", f"""
-SELECT p.id, p.game, p.play, week, home, away, name, zc, players, frames, {r('xy', 2)} AS xy
+SELECT p.id, p.game, p.play, week, home, away, name, zc, players, frames, rows
 FROM picks p JOIN (SELECT game_id AS game, play_id AS play, count(DISTINCT nfl_id) AS players, count(*) AS frames,
-    sum(round(x, 2) + round(y, 2)) AS xy FROM inp GROUP BY 1, 2) USING (game, play)
+    sum({row_hash_sql(["nfl_id", "frame_id"], ["x", "y"])})::BIGINT AS rows
+  FROM (SELECT * REPLACE (round(x, 2) AS x, round(y, 2) AS y) FROM inp) GROUP BY 1, 2) USING (game, play)
 JOIN (SELECT game_id AS game, play_id AS play, home, away FROM ctx) USING (game, play)"""))
 def highlight_scenes(spark, sf_dir):
     reel = documents.highlights(board.highlight_picks(base(spark, sf_dir).rows), _plays(spark, sf_dir))
-    players = F.col("scene.players")
-    xy = F.aggregate(players, F.lit(0.0), lambda s, p: s + _flat_sum(p["in"]))
-    frames = F.aggregate(players, F.lit(0).cast("long"), lambda s, p: s + F.size(p["in"]))
-    return reel.select("id", "game", "play", "week", "home", "away", "name", "zc",
-                       F.size(players).cast("long").alias("players"), frames.alias("frames"), F.round(xy, 2).alias("xy"))
-
-
-@query(_sql(CENTERED, """
-SELECT 'r1' AS run, count(*) AS plays, count(DISTINCT game_id) AS games, 3 AS groups
+    pick = ["id", "game", "play", "week", "home", "away", "name", "zc"]
+    frames = reel.select(*pick, F.col("scene.player.id").alias("nfl_id"), "scene.run", F.posexplode("scene.player.in").alias("at", "v"))
+    frames = frames.withColumns({
+        "frame_id": F.col("run") * documents.TRACK_RUN + F.col("at") + 1, "x": F.get("v", F.lit(0)), "y": F.get("v", F.lit(1))})
+    return frames.groupBy(*pick).agg(
+        F.count_distinct("nfl_id").alias("players"), F.count("*").alias("frames"), F.sum(row_hash(["nfl_id", "frame_id"], ["x", "y"])).alias("rows"))
+
+
+@query(_sql(f"{PLAYERS}, {SPREAD}, {GATED_CELLS}, {SCORED}, {_report('scored', {'model': ('x_pred', 'y_pred')}, 'fold')}", f"""
+SELECT 'r1' AS run, count(*) AS plays, count(DISTINCT game_id) AS games, (SELECT count(*) FROM shrink) AS groups,
+  (SELECT {r('sum(k)', 4)} FROM shrink) AS k, (SELECT count(*) FROM cells) AS cells, (SELECT {r('0.25 * sd')} FROM spread) AS "limit",
+  (SELECT {r('avg(rmse)')} FROM report WHERE cut = 'all') AS rmse, (SELECT count(*) FROM report WHERE cut = 'all') AS folds
 FROM (SELECT DISTINCT game_id, play_id FROM centered)"""))
 def meta_counts(spark, sf_dir):
-    b = base(spark, sf_dir)
-    checks = spark.range(1).select(F.lit(True).alias("passed"))
-    meta = documents.meta_row(b.table, checks, b.shrink, "r1", "2026-01-01T00:00:00Z")
-    return meta.select("run", "counts.plays", "counts.games", F.size("shrink").cast("int").alias("groups"))
+    """The run's metadata with its gate, shrinkage and fold summary."""
+    b, v = base(spark, sf_dir), tracking(spark, sf_dir)
+    summary = metric.fold_summary(metric.report(metric.scored_targets(v.pred, v.inp, v.out), by=["fold"]))
+    meta = documents.meta_row(b.table, gate.gate(b.table, b.players), b.shrink, "r1", "2026-01-01T00:00:00Z", summary)
+    ks = F.aggregate(F.map_values("shrink"), F.lit(0.0), lambda s, e: s + e["k"])
+    every = F.try_element_at("summary", F.lit("all"))
+    return meta.select(
+        "run", "counts.plays", "counts.games", F.size("shrink").cast("long").alias("groups"), F.round(ks, 4).alias("k"),
+        F.col("gate.cells.n").alias("cells"), F.round("gate.limit", 6).alias("limit"),
+        F.round(every["mean"], 6).alias("rmse"), every["folds"].alias("folds"))
 
 
 SCENE = """
@@ -172,19 +187,19 @@ thrower AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
   FROM depth) WHERE p = 1)"""
 
 
-@query(_sql(SCENE, f"""
-SELECT game_id, count(*) AS n, {r('sum(frame)', 3)} AS sum_frame, {r('sum(l)', 3)} AS sum_l, {r('sum(u)', 3)} AS sum_u
-FROM scene GROUP BY 1"""))
+ON_SCENE = ["play_id", "nfl_id", "frame"]
+
+
+@query(_sql(SCENE, game_rows("scene", "l", "u", at=ON_SCENE)))
 def scrimmage_frames(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    frames = scene.scrimmage_frames(v.inp, v.out)
-    return per_game(frames.withColumn("frame", F.col("frame").cast("double")), "frame", "l", "u")
+    return per_game(scene.scrimmage_frames(v.inp, v.out), "l", "u", at=ON_SCENE)
 
 
 @query(_sql(SCENE + THROWER, "SELECT game_id, play_id, nfl_id FROM thrower"))
 def passers(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    return scene.passer(scene.player_ends(v.inp, v.out))
+    return scene.passer(scene.input_ends(v.inp))
 
 
 @query(_sql(SCENE + THROWER + """,
@@ -193,23 +208,23 @@ spots AS (SELECT game_id, play_id, n_max, nfo, CASE WHEN d = 'left' THEN y0 ELSE
   FROM thrower),
 flying AS (SELECT *, (f - n_max + 1)::DOUBLE / nfo AS s, least(9, 0.22::DOUBLE * sqrt((bl - al) ** 2 + (bu - au) ** 2)) AS h
   FROM (SELECT *, unnest(range(n_max - 1, n_max + nfo)) AS f FROM spots)),
-ball AS (SELECT s.game_id, l, u, 1.6::DOUBLE AS h FROM scene s JOIN thrower t USING (game_id, play_id, nfl_id) WHERE frame < n_max - 1
-  UNION ALL SELECT game_id, al + (bl - al) * s, au + (bu - au) * s, 1.6::DOUBLE * (1 - s) + 4 * h * s * (1 - s) FROM flying)""",
-            game_sums("ball", "l", "u", "h")))
+ball AS (SELECT s.game_id, s.play_id, frame, l, u, 1.6::DOUBLE AS h FROM scene s JOIN thrower t USING (game_id, play_id, nfl_id) WHERE frame < n_max - 1
+  UNION ALL SELECT game_id, play_id, f, al + (bl - al) * s, au + (bu - au) * s, 1.6::DOUBLE * (1 - s) + 4 * h * s * (1 - s) FROM flying)""",
+            game_rows("ball", "l", "u", "h", at=["play_id", "frame"])))
 def ball_track(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    return per_game(scene.ball_track(v.inp, v.out), "l", "u", "h")
+    return per_game(scene.ball_track(v.inp), "l", "u", "h", at=["play_id", "frame"])
 
 
 @query(_sql(SCENE + """,
 ahead AS (SELECT *, lead(l) OVER w AS l2, lead(u) OVER w AS u2 FROM scene
           WINDOW w AS (PARTITION BY game_id, play_id, nfl_id ORDER BY frame)),
-fine AS (SELECT game_id, frame + j / 4::DOUBLE AS frame, CASE WHEN l2 IS NULL THEN l ELSE l + (l2 - l) * j / 4 END AS l,
+fine AS (SELECT game_id, play_id, nfl_id, frame + j / 4::DOUBLE AS frame, CASE WHEN l2 IS NULL THEN l ELSE l + (l2 - l) * j / 4 END AS l,
     CASE WHEN l2 IS NULL THEN u ELSE u + (u2 - u) * j / 4 END AS u
-  FROM ahead, (SELECT unnest(range(4)) AS j) WHERE l2 IS NOT NULL OR j = 0)""", game_sums("fine", "frame", "l", "u")))
+  FROM ahead, (SELECT unnest(range(4)) AS j) WHERE l2 IS NOT NULL OR j = 0)""", game_rows("fine", "frame", "l", "u", at=["play_id", "nfl_id"])))
 def path_resample(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    return per_game(scene.resample(scene.scrimmage_frames(v.inp, v.out), 4), "frame", "l", "u")
+    return per_game(scene.resample(scene.scrimmage_frames(v.inp, v.out), 4), "frame", "l", "u", at=["play_id", "nfl_id"])
 
 
 @query(_sql("""
@@ -217,12 +232,24 @@ ghost AS (SELECT game_id, play_id, nfl_id, 0 AS step, x0 AS x, y0 AS y, play_dir
           FROM roster WHERE player_to_predict
   UNION ALL SELECT p.game_id, p.play_id, p.nfl_id, frame_id, x_pred, y_pred, play_direction, absolute_yardline_number
           FROM pred p JOIN roster USING (game_id, play_id, nfl_id)),
-turned AS (SELECT game_id, step::DOUBLE AS step, CASE WHEN d = 'left' THEN y ELSE 53.3::DOUBLE - y END AS l,
-    CASE WHEN d = 'left' THEN yl - x ELSE x - yl END AS u FROM ghost)""", game_sums("turned", "step", "l", "u")))
+turned AS (SELECT game_id, play_id, nfl_id, step, CASE WHEN d = 'left' THEN y ELSE 53.3::DOUBLE - y END AS l,
+    CASE WHEN d = 'left' THEN yl - x ELSE x - yl END AS u FROM ghost)""", game_rows("turned", "l", "u", at=["play_id", "nfl_id", "step"])))
 def expected_points(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    rows = scene.expected_points(v.inp, v.out, v.pred)
-    return per_game(rows.withColumn("step", F.col("step").cast("double")), "step", "l", "u")
+    return per_game(scene.expected_points(v.inp, v.pred), "l", "u", at=["play_id", "nfl_id", "step"])
+
+
+@query(_sql("", game_rows("outp", "x", "y")))
+def scrimmage_roundtrip(spark, sf_dir):
+    """Actual places in scene coordinates and back on the field."""
+    v = tracking(spark, sf_dir)
+    plays = v.context.select(*PLAY)
+    lines = v.inp.where("frame_id = 1").groupBy(*PLAY).agg(
+        F.first("play_direction").alias("play_direction"), F.first("absolute_yardline_number").alias("absolute_yardline_number"))
+    rows = v.out.join(lines.join(plays, PLAY), PLAY)
+    across, downfield = to_scrimmage(F.col("x"), F.col("y"))
+    x, y = from_scrimmage(across, downfield)
+    return per_game(rows.withColumns({"_x": x, "_y": y}).select("game_id", *AT, F.col("_x").alias("x"), F.col("_y").alias("y")), "x", "y")
 
 
 @query(_sql(CENTERED, """
@@ -231,12 +258,12 @@ FROM roster e LEFT JOIN (SELECT game_id, play_id, min(nfl_id) AS p FROM plays WH
 WHERE player_side <> 'Offense' AND (nfl_id = p OR player_to_predict) GROUP BY 1, 2"""))
 def featured_defender(spark, sf_dir):
     v = tracking(spark, sf_dir)
-    return scene.featured(scene.player_ends(v.inp, v.out), base(spark, sf_dir).plays)
+    return scene.featured(scene.input_ends(v.inp), base(spark, sf_dir).plays)
 
 
 # What is wrong with the request of a play, by play number modulo the length of this list.
 FAULTS = ["none", "missing", "null", "two plays", "direction", "role", "height", "nobody", "too far", "two times", "not json",
-          "no rows", "text", "many players", "quoted", "whole"]
+          "no rows", "text", "many players", "quoted", "whole", "null flag", "point", "many rows"]
 
 
 def request_bodies(spark, sf_dir):
@@ -258,11 +285,13 @@ def request_bodies(spark, sf_dir):
         "play_direction": when("direction", F.lit("up"), "play_direction"),
         "player_role": when("role", F.lit("Kicker"), "player_role"),
         "player_height": when("height", F.lit("tall"), "player_height"),
-        "player_to_predict": F.when(F.col("fault") == "nobody", "false").when(
+        "player_to_predict": F.when(F.col("fault") == "nobody", "false").when((F.col("fault") == "null flag") & first, None).when(
             F.col("fault") == "quoted", F.upper(text["player_to_predict"])).otherwise(text["player_to_predict"]),
         "num_frames_output": F.when(F.col("fault") == "too far", F.lit(500)).when(
             (F.col("fault") == "two times") & first, F.col("num_frames_output") + 1).otherwise(F.col("num_frames_output")),
-        "nfl_id": when("many players", F.col("nfl_id") * 1000 + F.col("frame_id"), "nfl_id"),
+        "nfl_id": F.when(
+            F.col("fault") == "many players", (F.col("nfl_id") * 1000 + F.col("frame_id")).cast("string")).when(
+            F.col("fault") == "point", F.concat(text["nfl_id"], F.lit(".0"))).otherwise(text["nfl_id"]),
         "x": F.when((F.col("fault") == "missing") | ((F.col("fault") == "null") & first), None).when(
             (F.col("fault") == "text") & first, "fifty").otherwise(text["x"]),
     }
@@ -271,13 +300,14 @@ def request_bodies(spark, sf_dir):
     kept = F.to_json(row, {"ignoreNullFields": "false"})
     line = F.when(F.col("fault") == "missing", F.to_json(row)).otherwise(kept)
     bodies = inp.groupBy(*PLAY, "fault").agg(F.concat(F.lit('{"rows":['), F.array_join(F.collect_list(line), ","), F.lit("]}")).alias("b"))
-    body = F.when(F.col("fault") == "not json", "{not json").when(
-        F.col("fault") == "no rows", '{"rows":[]}').otherwise(F.col("b"))
+    long = F.concat(F.lit('{"rows":['), F.array_join(F.array_repeat(F.lit("{}"), MAX_ROWS + 1), ","), F.lit("]}"))
+    body = F.when(F.col("fault") == "not json", "{not json").when(F.col("fault") == "no rows", '{"rows":[]}').when(
+        F.col("fault") == "many rows", long).otherwise(F.col("b"))
     return bodies.select(F.concat_ws("-", *PLAY).alias("request_id"), "fault", body.alias("body"))
 
 
 REQUESTS = """
-faulty AS (SELECT game_id, play_id, play_id % 16 AS f, n_players, n_rows FROM
+faulty AS (SELECT game_id, play_id, play_id % 19 AS f, n_players, n_rows FROM
   (SELECT game_id, play_id, count(DISTINCT nfl_id) AS n_players, count(*) AS n_rows FROM inp GROUP BY 1, 2)),
 answers AS (SELECT CASE
     WHEN f IN (10, 11) THEN 'body must hold at least one row object' WHEN f = 1 THEN 'rows are missing columns x'
@@ -286,7 +316,11 @@ answers AS (SELECT CASE
     WHEN f = 4 THEN 'play_direction must be left or right'
     WHEN f = 5 THEN 'player_role must be one of Passer, Targeted Receiver, Defensive Coverage, Other Route Runner'
     WHEN f = 6 THEN 'player_height must look like 6-1' WHEN f = 7 THEN 'no row has player_to_predict true'
-    WHEN f IN (8, 9) THEN 'num_frames_output must be one value from 1 to 100' END AS error, n_rows FROM faulty)"""
+    WHEN f IN (8, 9) THEN 'num_frames_output must be one value from 1 to 100'
+    WHEN f = 18 THEN 'at most 4000 rows, got 4001' END AS error, n_rows FROM faulty),
+taken AS (SELECT inp.* REPLACE (CASE WHEN f = 13 THEN nfl_id * 1000 + frame_id ELSE nfl_id END AS nfl_id,
+    player_to_predict AND NOT (f = 16 AND frame_id = 1) AS player_to_predict)
+  FROM inp JOIN faulty USING (game_id, play_id) WHERE f IN (0, 14, 15, 16, 17) OR (f = 13 AND n_rows <= 30))"""
 
 
 @query(_sql(REQUESTS, "SELECT error, count(*) AS requests FROM answers GROUP BY 1"))
@@ -295,18 +329,19 @@ def request_validation(spark, sf_dir):
     return parsed.groupBy("error").agg(F.count("*").alias("requests"))
 
 
-@query(_sql(REQUESTS, """
-SELECT 'accepted' AS kind, count(*) AS n FROM inp JOIN faulty USING (game_id, play_id)
-WHERE f IN (0, 14, 15) OR (f = 13 AND n_rows <= 30)
-UNION ALL SELECT 'refused', count(*) FROM answers WHERE error IS NOT NULL"""))
+@query(_sql(REQUESTS, f"""
+SELECT 'accepted' AS kind, count(*) AS n, sum({row_hash_sql([*AT, *INPUT_TEXTS], INPUT_NUMBERS)})::BIGINT AS rows FROM taken
+UNION ALL SELECT error, count(*), 0 FROM answers WHERE error IS NOT NULL GROUP BY 1"""))
 def stream_request_tables(spark, sf_dir):
     """The same bodies as a file stream with an accepted and a refused table."""
     source, good, bad, checkpoint = (staging_path(spark, s) for s in ("bodies", "accepted", "refused", "stream"))
     request_bodies(spark, sf_dir).select("request_id", "body").write.json(source)
     stream = stream_requests(spark, source, good, bad, checkpoint)
     stream.awaitTermination()
-    accepted = spark.read.parquet(good).agg(F.lit("accepted").alias("kind"), F.count("*").alias("n"))
-    return accepted.unionByName(spark.read.parquet(bad).agg(F.lit("refused").alias("kind"), F.count("*").alias("n")))
+    accepted = spark.read.parquet(good).agg(
+        F.lit("accepted").alias("kind"), F.count("*").alias("n"), F.sum(row_hash([*AT, *INPUT_TEXTS], INPUT_NUMBERS)).alias("rows"))
+    refused = spark.read.parquet(bad).groupBy(F.col("error").alias("kind")).agg(F.count("*").alias("n"))
+    return accepted.unionByName(refused.withColumn("rows", F.lit(0).cast("long")))
 
 
 def _write_raw_weeks(spark, sf_dir, root):
@@ -328,18 +363,42 @@ def _write_raw_weeks(spark, sf_dir, root):
         list(pool.map(lambda at: write(*at), [(k, w) for k in stored for w in range(1, 19)]))
 
 
-WEEKS = """
-SELECT week, count(*) AS n, count(*) FILTER (player_to_predict) AS predicted, round(sum(x), 2) + 0.0 AS x, any_value(air) AS air
-FROM inp JOIN ctx USING (game_id, play_id) JOIN (SELECT week AS week, count(*) AS air FROM outp JOIN ctx USING (game_id, play_id) GROUP BY 1)
-USING (week) GROUP BY 1"""
+WEEKS = f"""
+SELECT 2023 AS season, week, n, rows, air, moved
+FROM (SELECT week, count(*) AS n, sum({row_hash_sql(["game_id", *AT, *INPUT_TEXTS], INPUT_NUMBERS)})::BIGINT AS rows
+      FROM inp JOIN (SELECT game_id, play_id, week FROM ctx) USING (game_id, play_id) GROUP BY 1)
+JOIN (SELECT week, count(*) AS air, sum({row_hash_sql(["game_id", *AT], ["x", "y"])})::BIGINT AS moved
+      FROM outp JOIN (SELECT game_id, play_id, week FROM ctx) USING (game_id, play_id) GROUP BY 1) USING (week)"""
 
 
 def _week_counts(spark, processed):
-    inp, out = files.load_weeks(spark, processed, list(range(1, 19)))
-    air = out.groupBy("week").agg(F.count("*").alias("air"))
-    weeks = inp.groupBy("week").agg(
-        F.count("*").alias("n"), F.count_if("player_to_predict").alias("predicted"), F.round(F.sum("x"), 2).alias("x"))
-    return weeks.join(air, "week")
+    inp, out = files.load_weeks(spark, processed, list(range(1, 19)), season=2023)
+    air = out.groupBy("season", "week").agg(
+        F.count("*").alias("air"), F.sum(row_hash(["game_id", *AT], ["x", "y"])).alias("moved"))
+    weeks = inp.groupBy("season", "week").agg(
+        F.count("*").alias("n"), F.sum(row_hash(["game_id", *AT, *INPUT_TEXTS], INPUT_NUMBERS)).alias("rows"))
+    return weeks.join(air, ["season", "week"])
+
+
+RAW_CONTEXT = {short: raw for raw, (short, _) in CONTEXT_COLUMNS.items()}
+
+
+@query(_sql("", """
+SELECT game_id, play_id, week, home, away, off, team, "desc", q, clock, down, dist, result, route, mz, cov, epa
+FROM ctx ORDER BY game_id, play_id"""))
+def context_csv(spark, sf_dir):
+    """The context as a raw CSV file with its own column names, other columns and NA, read back."""
+    rows = tracking(spark, sf_dir).context
+    raw = {"man": "MAN_COVERAGE", "zone": "ZONE_COVERAGE"}
+    rows = rows.withColumns({
+        "mz": F.when(F.col("mz") == "man", raw["man"]).when(F.col("mz") == "zone", raw["zone"]),
+        "route": F.when(F.col("route") != "unknown", F.col("route")), "cov": F.when(F.col("cov") != "unknown", F.col("cov"))})
+    path = staging_path(spark, "context")
+    rows.select(*[F.col(s).alias(raw_name) for s, raw_name in RAW_CONTEXT.items()], F.lit("x").alias("other")).write.option(
+        "header", True).option("nullValue", "NA").csv(path)
+    back = files.read_context_csv(spark, path)
+    quality.raise_first([("context rows are not unique per play", quality.duplicate_plays(back))])
+    return back
 
 
 @query(_sql("", WEEKS))
@@ -360,7 +419,7 @@ def stream_landed_weeks(spark, sf_dir):
     return _week_counts(spark, processed)
 
 
-PASSED = f"""{PLAYERS}, {SPREAD}, {GATED_CELLS}, {HALVES},
+PASSED = f"""{PUBLISHED}, {PICKS}, {PLAYERS[len(CENTERED) + 1:]}, {SPREAD}, {GATED_CELLS}, {HALVES},
 verdict AS (SELECT (SELECT count(*) FROM cells WHERE NOT coalesce(abs(mean) <= 0.25 * (SELECT sd FROM spread), false)) = 0
   AND (SELECT coalesce(count(*) >= 30 AND corr(even, odd) >= 0.4, false) FROM halves)
   AND (SELECT abs(avg(zc)) <= 0.02 FROM rated)
@@ -369,10 +428,11 @@ verdict AS (SELECT (SELECT count(*) FROM cells WHERE NOT coalesce(abs(mean) <= 0
 
 @query(_sql(PASSED, """
 SELECT * FROM (SELECT 'plays' AS artifact, count(*) AS n FROM centered
-  UNION ALL SELECT 'games', count(DISTINCT game_id) FROM inp
-  UNION ALL SELECT 'highlights', 8 UNION ALL SELECT 'meta', 1 UNION ALL SELECT 'players', count(DISTINCT nfl_id) FROM rated
+  UNION ALL SELECT 'games/games', count(DISTINCT game_id) FROM inp UNION ALL SELECT 'games/plays', count(*) FROM roster
+  UNION ALL SELECT 'highlights', count(*) FROM roster JOIN picks p ON roster.game_id = p.game AND roster.play_id = p.play
+  UNION ALL SELECT 'meta', count(*) FROM verdict UNION ALL SELECT 'players', count(DISTINCT nfl_id) FROM rated
   UNION ALL SELECT 'teams', count(DISTINCT team) FROM rated) WHERE (SELECT ok FROM verdict)
-UNION ALL SELECT 'audit', count(*) FROM centered"""))
+UNION ALL SELECT 'audit', count(*) FROM centered UNION ALL SELECT 'cells', count(*) FROM cells"""))
 def gate_publish(spark, sf_dir):
     """The guarded publication: audit outputs always, public outputs only behind a passed gate."""
     v = tracking(spark, sf_dir)
@@ -381,12 +441,13 @@ def gate_publish(spark, sf_dir):
     counts = []
     try:
         rate.publish(result, v.inp, v.out, v.pred, v.context, audit, public)
-        for name in ("plays", "games", "highlights", "meta"):
+        for name in ("plays", "games/games", "games/plays", "highlights", "meta"):
             counts.append((name, spark.read.json(f"{public}/{name}", schema=T.StructType([T.StructField("game", T.LongType())]))))
         counts += [(name, spark.read.parquet(f"{public}/{name}")) for name in ("players", "teams")]
     except rate.GateFailed:
         pass
     counts.append(("audit", spark.read.parquet(f"{audit}/plays")))
+    counts.append(("cells", spark.read.parquet(f"{audit}/cells")))
     out = None
     for name, df in counts:
         row = df.agg(F.lit(name).alias("artifact"), F.count("*").alias("n"))
@@ -395,7 +456,7 @@ def gate_publish(spark, sf_dir):
 
 
 @query(_sql(CROSSPRED + ", " + "kept AS (SELECT * FROM crossed)", f"""
-SELECT fold, count(*) AS n, {r('sum(x_pred)', 2)} AS x, {r('sum(sd_y)', 2)} AS sd FROM kept GROUP BY 1"""))
+SELECT fold, count(*) AS n, sum({row_hash_sql(["game_id", *AT], ["x_pred", "y_pred", "sd_x", "sd_y"])})::BIGINT AS rows FROM kept GROUP BY 1"""))
 def prediction_table(spark, sf_dir):
     """Cross-fitted predictions written by fold and read back under the column contract."""
     v = tracking(spark, sf_dir)
@@ -404,4 +465,4 @@ def prediction_table(spark, sf_dir):
     files.write_predictions(pred, path)
     back = files.read_predictions(spark, path)
     return back.groupBy("fold").agg(
-        F.count("*").alias("n"), F.round(F.sum("x_pred"), 2).alias("x"), F.round(F.sum("sd_y"), 2).alias("sd"))
+        F.count("*").alias("n"), F.sum(row_hash(["game_id", *AT], ["x_pred", "y_pred", "sd_x", "sd_y"])).alias("rows"))

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from pursuit.operators import expect, features, field, metric, paths
+from pursuit.operators import expect, features, field, metric, paths, scene
 from pursuit.operators.metric import scored_targets
 from pursuit.plans import score as score_plan
 from pursuit.schema import KEY
 from workload.oracle_view import VIEW
-from workload.registry import game_sums, per_game, query, r, rounded
+from workload.registry import AT, game_rows, per_game, query, r, row_hash, row_hash_sql, rounded
 from workload.tracking import tracking
 
 LAST = """
@@ -69,19 +69,24 @@ base AS (
 BASE_MODELS = {m: (f"x_{m}", f"y_{m}") for m in ("hold", "constant_velocity", "hybrid")}
 
 
-@query(_sql(NORMAL, game_sums("normal", "x", "y", "dir", "o", "rx", "ry", "vx", "vy")))
+TURNED_VALUES = ["x", "y", "s", "a", "dir", "o", "rx", "ry", "vx", "vy"]
+CARRIED = ["player_to_predict", "play_direction", "absolute_yardline_number", "player_name", "player_height", "player_weight",
+           "player_birth_date", "player_position", "player_side", "player_role", "num_frames_output"]
+
+
+@query(_sql(NORMAL, game_rows("normal", *TURNED_VALUES, texts=CARRIED)))
 def normalize_play(spark, sf_dir):
-    return per_game(field.normalize(tracking(spark, sf_dir).inp), "x", "y", "dir", "o", "rx", "ry", "vx", "vy")
+    return per_game(field.normalize(tracking(spark, sf_dir).inp), *TURNED_VALUES, texts=CARRIED)
 
 
 TURNED = """
-turned AS (SELECT o.game_id, CASE WHEN d = 'left' THEN 120 - x ELSE x END AS x,
+turned AS (SELECT o.game_id, o.play_id, o.nfl_id, o.frame_id, CASE WHEN d = 'left' THEN 120 - x ELSE x END AS x,
              CASE WHEN d = 'left' THEN 53.3::DOUBLE - y ELSE y END AS y
            FROM outp o LEFT JOIN (SELECT DISTINCT game_id, play_id, play_direction AS d FROM inp)
            USING (game_id, play_id))"""
 
 
-@query(_sql(TURNED, game_sums("turned", "x", "y")))
+@query(_sql(TURNED, game_rows("turned", "x", "y")))
 def normalize_targets(spark, sf_dir):
     v = tracking(spark, sf_dir)
     return per_game(field.normalize_targets(v.out, v.inp), "x", "y")
@@ -99,10 +104,10 @@ def denormalize_roundtrip(spark, sf_dir):
     return back.groupBy("game_id").agg(F.count("*").alias("n"), F.round(F.max(gap), 9).alias("gap"))
 
 
-@query(_sql(FEATURED, game_sums("feats", "ox", "oy", "dist_ball", "bx", "by", "dist_recv")))
+@query(_sql(FEATURED, game_rows("feats", "ox", "oy", "dist_ball", "bx", "by", "dist_recv", "rx", "ry", "vx", "vy", "s", "a")))
 def frame_features(spark, sf_dir):
     rows = features.frame_features(field.normalize(tracking(spark, sf_dir).inp))
-    return per_game(rows, "ox", "oy", "dist_ball", "bx", "by", "dist_recv")
+    return per_game(rows, "ox", "oy", "dist_ball", "bx", "by", "dist_recv", "rx", "ry", "vx", "vy", "s", "a")
 
 
 STATIC = """
@@ -114,24 +119,23 @@ statics AS (SELECT unnest([
     (player_position IN ('CB', 'FS', 'SS'))::INT::FLOAT, (player_position IN ('ILB', 'OLB'))::INT::FLOAT, 0::FLOAT,
     ((12 * split_part(player_height, '-', 1)::INT + split_part(player_height, '-', 2)::INT) / 80::DOUBLE)::FLOAT,
     (player_weight / 300::DOUBLE)::FLOAT, player_to_predict::INT::FLOAT, (num_frames_output / 40::DOUBLE)::FLOAT
-  ])::DOUBLE AS v, generate_subscripts(range(16), 1) - 1 AS i FROM roster)"""
+  ])::DOUBLE AS v, generate_subscripts(range(16), 1) - 1 AS i, game_id, play_id, nfl_id FROM roster)"""
 
 
-@query(_sql(STATIC, f"SELECT i::INT AS i, count(*) AS n, {r('sum(v)', 2)} AS total FROM statics GROUP BY 1"))
+@query(_sql(STATIC, game_rows("statics", "v", at=["play_id", "nfl_id", "i"])))
 def static_features(spark, sf_dir):
     players = tracking(spark, sf_dir).inp.where("frame_id = 1")
-    values = players.select(F.posexplode(features.static_features()).alias("i", "v"))
-    return values.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v").cast("double")), 2).alias("total"))
+    values = players.select(*KEY, F.posexplode(features.static_features()).alias("i", "v"))
+    return per_game(values, "v", at=["play_id", "nfl_id", "i"])
 
 
-@query(_sql(FEATURED, f"""
-SELECT mirrored, count(*) AS n, {r('sum(f * ry)', 2)} AS ry, {r('sum(f * vy)', 2)} AS vy, {r('sum(f * oy)', 2)} AS oy,
-  {r('sum(f * "by")', 2)} AS "by", {r('sum(rx)', 2)} AS rx
-FROM feats, (VALUES (false, 1), (true, -1)) m(mirrored, f) GROUP BY 1"""))
+@query(_sql(FEATURED + """,
+mirror AS (SELECT * REPLACE (f * ry AS ry, f * vy AS vy, f * oy AS oy, f * "by" AS "by")
+         FROM feats, (VALUES (false, 1), (true, -1)) m(mirrored, f))""",
+            game_rows("mirror", "rx", "ry", "vx", "vy", "ox", "oy", "bx", "by", "s", "a", at=[*AT, "mirrored"])))
 def mirror_rows(spark, sf_dir):
     rows = features.with_mirror(features.frame_features(field.normalize(tracking(spark, sf_dir).inp)))
-    return rows.groupBy("mirrored").agg(
-        F.count("*").alias("n"), *[F.round(F.sum(c), 2).alias(c) for c in ("ry", "vy", "oy", "by", "rx")])
+    return per_game(rows, "rx", "ry", "vx", "vy", "ox", "oy", "bx", "by", "s", "a", at=[*AT, "mirrored"])
 
 
 @query(_sql(LAST, f"""
@@ -144,7 +148,7 @@ def last_frame(spark, sf_dir):
 
 
 def _baseline(name):
-    @query(_sql(BASE, game_sums(f"(SELECT game_id, x_{name} AS x_pred, y_{name} AS y_pred FROM base)", "x_pred", "y_pred")),
+    @query(_sql(BASE, game_rows(f"(SELECT game_id, play_id, nfl_id, frame_id, x_{name} AS x_pred, y_{name} AS y_pred FROM base)", "x_pred", "y_pred")),
            name=name)
     def run(spark, sf_dir):
         return per_game(expect.baseline_predictions(tracking(spark, sf_dir).inp, name), "x_pred", "y_pred")
@@ -268,11 +272,11 @@ def crossfit_linear(spark, sf_dir):
     return rounded(expect.fit_crossfit(expect.throw_state(v.inp), v.out))
 
 
-@query(_sql(CROSSPRED, game_sums("crossed", "x_pred", "y_pred", "sd_x", "sd_y")))
+@query(_sql(CROSSPRED, game_rows("crossed", "x_pred", "y_pred", "sd_x", "sd_y", texts=["fold"])))
 def crossfit_predict(spark, sf_dir):
     v = tracking(spark, sf_dir)
     pred = score_plan.score(v.inp, v.out).pred
-    return per_game(pred, "x_pred", "y_pred", "sd_x", "sd_y")
+    return per_game(pred, "x_pred", "y_pred", "sd_x", "sd_y", texts=["fold"])
 
 
 @query(_sql(CROSSPRED + """, hits AS (SELECT c.*, o.x, o.y FROM crossed c JOIN outp o
@@ -302,22 +306,21 @@ moved AS (SELECT l.*, scenario, coalesce(mf, num_frames_output) AS nf,
   FROM lastf l, (VALUES ('as thrown', NULL::DOUBLE, NULL::DOUBLE, 0::DOUBLE, NULL::BIGINT),
                         ('deeper', NULL, NULL, 6, NULL), ('late', NULL, NULL, 0, 45),
                         ('corner', 118, 2.5, 0, 20)) m(scenario, mx, my, sx, mf)),
-whatif AS (SELECT scenario, game_id,
+whatif AS (SELECT scenario, game_id, play_id, nfl_id, k AS frame_id, play_direction AS d, yl,
     CASE WHEN player_role = 'Targeted Receiver' THEN x0 + (tx - x0) * k / nf ELSE x0 + 0.1::DOUBLE * k * vx END AS x_pred,
     CASE WHEN player_role = 'Targeted Receiver' THEN y0 + (ty - y0) * k / nf ELSE y0 + 0.1::DOUBLE * k * vy END AS y_pred
   FROM (SELECT *, unnest(range(1, nf + 1)) AS k FROM moved))"""
 
 
 @query(_sql(LAST + ", " + MOVED, f"""
-SELECT scenario, game_id, count(*) AS n, {r('sum(x_pred)', 3)} AS sum_x_pred, {r('sum(y_pred)', 3)} AS sum_y_pred
+SELECT scenario, game_id, count(*) AS n, sum({row_hash_sql(AT, ["x_pred", "y_pred"])})::BIGINT AS rows
 FROM whatif GROUP BY 1, 2"""))
 def scenario_paths(spark, sf_dir):
     state = expect.scenarios(expect.throw_state(tracking(spark, sf_dir).inp), MOVES)
     x, y = expect.hybrid()
     rows = paths.future_frames(state).withColumns({"x_pred": x, "y_pred": y})
     return rows.groupBy("scenario", "game_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("x_pred"), 3).alias("sum_x_pred"),
-        F.round(F.sum("y_pred"), 3).alias("sum_y_pred"))
+        F.count("*").alias("n"), F.sum(row_hash(AT, ["x_pred", "y_pred"])).alias("rows"))
 
 
 @query(_sql(CROSSFIT, f"""
@@ -331,33 +334,77 @@ def mllib_crossfit(spark, sf_dir):
 HISTORY = FEATURED + """,
 hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id DESC) AS back
          FROM feats) WHERE back <= 20),
-fsums AS (SELECT game_id, count(*) AS known,
-    sum(rx::FLOAT::DOUBLE + ry::FLOAT::DOUBLE + vx::FLOAT::DOUBLE + vy::FLOAT::DOUBLE + ox::FLOAT::DOUBLE
-      + oy::FLOAT::DOUBLE + s::FLOAT::DOUBLE + a::FLOAT::DOUBLE + dist_ball::FLOAT::DOUBLE + bx::FLOAT::DOUBLE
-      + "by"::FLOAT::DOUBLE + dist_recv::FLOAT::DOUBLE) AS total FROM hist GROUP BY 1),
 now AS (SELECT game_id, play_id, nfl_id, x, y FROM hist WHERE back = 1),
-gone AS (SELECT game_id, play_id, nfl_id, CASE WHEN d = 'left' THEN 120 - x ELSE x END AS tx,
+gone AS (SELECT game_id, play_id, nfl_id, rn, CASE WHEN d = 'left' THEN 120 - x ELSE x END AS tx,
     CASE WHEN d = 'left' THEN 53.3::DOUBLE - y ELSE y END AS ty
   FROM (SELECT *, row_number() OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id) AS rn FROM outp)
   JOIN (SELECT DISTINCT game_id, play_id, play_direction AS d FROM inp) USING (game_id, play_id) WHERE rn <= 40),
-tsums AS (SELECT game_id, count(*) AS targets, sum((tx - x)::FLOAT::DOUBLE + (ty - y)::FLOAT::DOUBLE) AS moved
-  FROM gone JOIN now USING (game_id, play_id, nfl_id) GROUP BY 1),
-counted AS (SELECT game_id, count(*) AS n FROM roster GROUP BY 1)"""
+cells AS (SELECT game_id, play_id, nfl_id, 20 - back AS at, 'feat' AS part, rx::FLOAT::DOUBLE AS v0, ry::FLOAT::DOUBLE AS v1, vx::FLOAT::DOUBLE AS v2,
+    vy::FLOAT::DOUBLE AS v3, ox::FLOAT::DOUBLE AS v4, oy::FLOAT::DOUBLE AS v5, s::FLOAT::DOUBLE AS v6, a::FLOAT::DOUBLE AS v7,
+    dist_ball::FLOAT::DOUBLE AS v8, bx::FLOAT::DOUBLE AS v9, "by"::FLOAT::DOUBLE AS v10, dist_recv::FLOAT::DOUBLE AS v11 FROM hist
+  UNION ALL SELECT game_id, play_id, nfl_id, rn - 1, 'target', (tx - x)::FLOAT::DOUBLE, (ty - y)::FLOAT::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0
+  FROM gone JOIN now USING (game_id, play_id, nfl_id))"""
+CELLS = [f"v{i}" for i in range(12)]
 
 
-@query(_sql(HISTORY, f"""
-SELECT game_id, n, n * 20 AS slots, known, {r('total', 1)} AS total, targets, {r('moved', 1)} AS moved
-FROM counted JOIN fsums USING (game_id) JOIN tsums USING (game_id)"""))
+@query(_sql(HISTORY, game_rows("cells", *CELLS, at=["play_id", "nfl_id", "part", "at"])))
 def history_arrays(spark, sf_dir):
+    """Every known frame of the exported histories and targets with its place in the array."""
     v = tracking(spark, sf_dir)
     rows = features.history_arrays(v.inp, v.out)
 
-    def total(array):
-        return F.aggregate(F.flatten(array), F.lit(0.0), lambda s, e: s + e.cast("double"))
-
-    known = F.size(F.filter("fmask", lambda m: m))
-    targets = F.size(F.filter("tmask", lambda m: m))
-    return rows.groupBy("game_id").agg(
-        F.count("*").alias("n"), F.sum(F.size("feat")).alias("slots"), F.sum(known).alias("known"),
-        F.round(F.sum(total("feat")), 1).alias("total"), F.sum(targets).alias("targets"),
-        F.round(F.sum(total("target")), 1).alias("moved"))
+    def cells(part, mask, width):
+        known = rows.select(*KEY, mask, F.posexplode(part).alias("at", "v")).where(F.get(mask, F.col("at")))
+        values = [(F.get("v", F.lit(i)) if i < width else F.lit(0.0)).cast("double").alias(f"v{i}") for i in range(12)]
+        return known.select(*KEY, F.lit(part).alias("part"), "at", *values)
+
+    both = cells("feat", "fmask", 12).unionByName(cells("target", "tmask", 2))
+    return per_game(both, *CELLS, at=["play_id", "nfl_id", "part", "at"])
+
+
+@query(_sql(CROSSFIT + ", " + MOVED + """,
+sharp AS (SELECT w.*, CASE WHEN d = 'left' THEN py ELSE 53.3::DOUBLE - py END AS l, CASE WHEN d = 'left' THEN yl - px ELSE px - yl END AS u
+  FROM (SELECT scenario, game_id, play_id, nfl_id, k AS frame_id, play_direction AS d, yl,
+      x0 + x_velocity * 0.1::DOUBLE * kk * vx + x_ball * (tx - x0) * kk / nf AS px,
+      y0 + y_velocity * 0.1::DOUBLE * kk * vy + y_ball * (ty - y0) * kk / nf AS py
+    FROM (SELECT *, least(k, 40)::DOUBLE AS kk, (least(k, 40) - 1) // 5 AS bucket,
+            CASE WHEN player_role = 'Targeted Receiver' THEN 'receiver' WHEN player_position IN ('CB', 'DB') THEN 'CB'
+                 WHEN player_position IN ('FS', 'SS', 'S') THEN 'S' ELSE 'LB' END AS kind
+          FROM (SELECT *, unnest(range(1, nf + 1)) AS k FROM moved)) e
+    JOIN folds USING (game_id) LEFT JOIN model USING (kind, bucket, fold)) w)""",
+            f"""SELECT scenario, game_id, count(*) AS n, sum({row_hash_sql(AT, ["l", "u"])})::BIGINT AS rows FROM sharp GROUP BY 1, 2"""))
+def scenario_scenes(spark, sf_dir):
+    """What-if paths by the fitted expectation, in scene coordinates."""
+    v = tracking(spark, sf_dir)
+    state = expect.throw_state(v.inp)
+    model = expect.fit_crossfit(state, v.out)
+    pred = expect.predict_crossfit(expect.scenarios(state, MOVES), model)
+    plays = v.inp.where("frame_id = 1").select(*KEY[:2], "play_direction", "absolute_yardline_number").dropDuplicates(KEY[:2])
+    rows = scene.scenario_points(pred, plays)
+    return rows.groupBy("scenario", "game_id").agg(F.count("*").alias("n"), F.sum(row_hash(AT, ["l", "u"])).alias("rows"))
+
+
+def _half_speed(batches):
+    """A caller's model: keeps half of the last speed, with a spread that grows with time."""
+    for batch in batches:
+        k = batch["frame_id"].to_numpy()
+        batch["x_pred"] = batch["x0"] + 0.05 * k * batch["vx"]
+        batch["y_pred"] = batch["y0"] + 0.05 * k * batch["vy"]
+        batch["sd_x"] = batch["sd_y"] = 0.5 + 0.01 * k
+        yield batch[[*AT_KEYS, "x_pred", "y_pred", "sd_x", "sd_y"]]
+
+
+AT_KEYS = [*KEY, "frame_id"]
+PREDICTED = "game_id long, play_id long, nfl_id long, frame_id long, x_pred double, y_pred double, sd_x double, sd_y double"
+
+
+@query(_sql(LAST + """,
+half AS (SELECT o.*, player_role, num_frames_output, x0 + 0.05::DOUBLE * o.frame_id * vx AS x_pred,
+    y0 + 0.05::DOUBLE * o.frame_id * vy AS y_pred FROM outp o JOIN lastf l USING (game_id, play_id, nfl_id)), """
+            + _report("half", {"model": ("x_pred", "y_pred")}), f"SELECT model, cut, n, {r('rmse')} AS rmse FROM report"))
+def callers_model(spark, sf_dir):
+    """Predictions of a model of the caller's, evaluated like any other."""
+    v = tracking(spark, sf_dir)
+    frames = paths.future_frames(expect.throw_state(v.inp)).select(*AT_KEYS, "x0", "y0", "vx", "vy")
+    pred = expect.external_predictions(frames, _half_speed, PREDICTED)
+    return rounded(metric.evaluate_predictions(pred, v.inp, v.out))

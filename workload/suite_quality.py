@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pursuit.operators import paths, quality
+from pursuit.schema import FRAME
 from workload.oracle_view import VIEW
 from workload.registry import query, r, rounded
 from workload.tracking import tracking
@@ -13,14 +14,14 @@ def _sql(ctes: str, body: str) -> str:
 
 
 @query(_sql("", """
-SELECT game_id, count(*) AS n FROM (
+SELECT game_id, play_id, nfl_id, frame_id, d AS play_direction FROM (
   SELECT *, CASE WHEN nfl_id % 13 = 0 AND frame_id = 3 THEN 'up' WHEN nfl_id % 17 = 0 AND frame_id = 4 THEN NULL
-            ELSE play_direction END AS d FROM inp) WHERE d NOT IN ('left', 'right') GROUP BY 1"""))
+            ELSE play_direction END AS d FROM inp) WHERE d NOT IN ('left', 'right')"""))
 def domain_violations(spark, sf_dir):
     wrong = F.when((F.col("nfl_id") % 13 == 0) & (F.col("frame_id") == 3), "up").when(
         (F.col("nfl_id") % 17 != 0) | (F.col("frame_id") != 4), F.col("play_direction"))
     inp = tracking(spark, sf_dir).inp.withColumn("play_direction", wrong)
-    return quality.domain_violations(inp).groupBy("game_id").agg(F.count("*").alias("n"))
+    return quality.domain_violations(inp).select(*FRAME, "play_direction")
 
 
 @query(_sql("", """
@@ -46,15 +47,17 @@ def count_reconciliation(spark, sf_dir):
 
 
 @query(_sql("""
-steps AS (SELECT s, radians(dir) AS rad,
+steps AS (SELECT week, s, radians(dir) AS rad,
             lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy
-          FROM inp WINDOW w AS (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id)),
-errors AS (SELECT
+          FROM inp JOIN (SELECT game_id, play_id, week FROM ctx) USING (game_id, play_id) WINDOW w AS (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id)),
+errors AS (SELECT week,
     sqrt(avg((dx - 0.1::DOUBLE * s * sin(rad)) ** 2 + (dy - 0.1::DOUBLE * s * cos(rad)) ** 2)) AS a,
     sqrt(avg((dx - 0.1::DOUBLE * s * cos(rad)) ** 2 + (dy - 0.1::DOUBLE * s * sin(rad)) ** 2)) AS b
-  FROM steps WHERE dx IS NOT NULL AND s > 1)""", f"SELECT {r('a')} AS a, {r('b')} AS b, a < b / 5 AS ok FROM errors"))
+  FROM steps WHERE dx IS NOT NULL AND s > 1 GROUP BY 1)""", f"SELECT 2023 AS season, week, {r('a')} AS a, {r('b')} AS b, a < b / 5 AS ok FROM errors"))
 def angle_check(spark, sf_dir):
-    return rounded(quality.angle_errors(tracking(spark, sf_dir).inp))
+    v = tracking(spark, sf_dir)
+    weeks = v.context.select("game_id", "play_id", "week", F.lit(2023).alias("season"))
+    return rounded(quality.angle_errors(v.inp.join(weeks, ["game_id", "play_id"])))
 
 
 @query(_sql("", """
@@ -97,23 +100,22 @@ def context_anti(spark, sf_dir):
 
 
 @query(_sql("", """
-SELECT o.game_id, count(*) AS n FROM outp o ANTI JOIN
-  (SELECT * FROM pred WHERE NOT (frame_id % 6 = 0 AND nfl_id % 4 = 0)) p USING (game_id, play_id, nfl_id, frame_id)
-GROUP BY 1"""))
+SELECT o.game_id, o.play_id, o.nfl_id, o.frame_id FROM outp o ANTI JOIN
+  (SELECT * FROM pred WHERE NOT (frame_id % 6 = 0 AND nfl_id % 4 = 0)) p USING (game_id, play_id, nfl_id, frame_id)"""))
 def prediction_anti(spark, sf_dir):
     v = tracking(spark, sf_dir)
     pred = v.pred.where("NOT (frame_id % 6 = 0 AND nfl_id % 4 = 0)")
-    return quality.uncovered_targets(v.out, pred).groupBy("game_id").agg(F.count("*").alias("n"))
+    return quality.uncovered_targets(v.out, pred)
 
 
 @query(_sql("""
 two AS (SELECT * FROM pred UNION ALL SELECT * FROM pred WHERE frame_id % 9 = 0),
 dup AS (SELECT game_id, play_id, nfl_id, frame_id FROM two GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)""", """
-SELECT game_id, count(*) AS n FROM dup SEMI JOIN outp USING (game_id, play_id, nfl_id, frame_id) GROUP BY 1"""))
+SELECT game_id, play_id, nfl_id, frame_id, 2 AS n FROM dup SEMI JOIN outp USING (game_id, play_id, nfl_id, frame_id)"""))
 def prediction_duplicates(spark, sf_dir):
     v = tracking(spark, sf_dir)
     pred = v.pred.unionByName(v.pred.where("frame_id % 9 = 0"))
-    return quality.repeated_predictions(v.out, pred).groupBy("game_id").agg(F.count("*").alias("n"))
+    return quality.repeated_predictions(v.out, pred)
 
 
 @query(_sql("""
@@ -149,3 +151,36 @@ SELECT game_id, play_id, nfl_id, min(frame_id) AS lo, max(frame_id) AS hi, count
 FROM inp GROUP BY 1, 2, 3"""))
 def player_profile(spark, sf_dir):
     return quality.player_profile(tracking(spark, sf_dir).inp)
+
+
+@query(_sql("", """
+SELECT 'input' AS name, 'dir' AS missing, count(*) AS n FROM inp UNION ALL SELECT 'output', 'x', count(*) FROM outp"""))
+def required_columns(spark, sf_dir):
+    """What the check says about tables that lack a column each."""
+    v = tracking(spark, sf_dir)
+    rows = None
+    for name, inp, out in (("input", v.inp.drop("dir"), v.out), ("output", v.inp, v.out.drop("x"))):
+        try:
+            quality.require_columns(inp, out)
+        except quality.ValidationError as e:
+            missing = str(e).split("['")[1].rstrip("']")
+            row = (inp if name == "input" else out).agg(F.lit(name).alias("name"), F.lit(missing).alias("missing"), F.count("*").alias("n"))
+            rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query(_sql("", """
+SELECT count(*) FILTER (frame_id = 1) AS rows, (SELECT count(*) FROM inp WHERE frame_id < 0) AS none, 'nothing to score' AS refused
+FROM inp"""))
+def empty_guard(spark, sf_dir):
+    """A table with rows passes, one without is refused by name."""
+    inp = tracking(spark, sf_dir).inp
+    first, none = inp.where("frame_id = 1"), inp.where("frame_id < 0")
+    quality.require_rows(first, "nothing to rate")
+    refused = None
+    try:
+        quality.require_rows(none, "nothing to score")
+    except quality.ValidationError as e:
+        refused = str(e)
+    return inp.agg(F.count_if(F.col("frame_id") == 1).alias("rows"), F.count_if(F.col("frame_id") < 0).alias("none"),
+                   F.lit(refused).alias("refused"))

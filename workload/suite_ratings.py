@@ -12,7 +12,7 @@ from pursuit.plans import rate
 from pursuit.schema import KEY
 from pursuit.staging import staged
 from workload.oracle_view import VIEW
-from workload.registry import query, r, rd, rounded
+from workload.registry import query, r, rd, rounded, row_hash, row_hash_sql
 from workload.suite_models import LAST
 from workload.tracking import tracking
 
@@ -255,13 +255,12 @@ def gate_report(spark, sf_dir):
     b = base(spark, sf_dir)
     reasons = F.transform(F.array_sort(F.map_entries("excluded.by_reason")),
                           lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    bad = F.size(F.filter("cells", lambda c: ~c["ok"]))
     return rounded(gate.gate(b.table, b.players).select(
-        "passed", bad.cast("long").alias("failed_cells"), "limit", "player_sd", "reliability.r",
+        "passed", F.col("cells.failed").alias("failed_cells"), "limit", "player_sd", "reliability.r",
         F.col("reliability.players").alias("half_players"), F.col("reliability.ok").alias("rel_ok"),
         F.col("league_mean.value").alias("league_mean"), F.col("league_mean.ok").alias("league_ok"), "excluded.share",
         F.col("excluded.ok").alias("ex_ok"), "rows.flagged", "rows.rated", F.col("rows.players_listed").alias("listed"),
-        F.array_join(reasons, ",").alias("reasons"), F.size("cells").cast("long").alias("cells")))
+        F.array_join(reasons, ",").alias("reasons"), F.col("cells.n").alias("cells")))
 
 
 @query(_sql(f"{CENTERED}, {_cells_sql(['result', 'team'])}", f"""
@@ -387,15 +386,13 @@ def play_neighbors(spark, sf_dir):
 
 
 @query(_sql(PUBLISHED, """
-SELECT kind, line, count(*) AS n, min(who) AS first_who, max(gap) AS max_gap FROM (
-  SELECT CASE WHEN ex IS NULL THEN 'rated' ELSE 'unrated' END AS kind, name || ' · ' || pos || ' · ' || team AS who,
+SELECT game, play, id, kind, who, gap, line FROM (
+  SELECT game, play, id, CASE WHEN ex IS NULL THEN 'rated' ELSE 'unrated' END AS kind, name || ' · ' || pos || ' · ' || team AS who,
     CASE WHEN ex IS NULL THEN printf('%.2f', abs(yards)) END AS gap,
     CASE WHEN ex IS NOT NULL THEN 'not rated: ' || ex WHEN yards >= 0 THEN 'closer to the catch point than the model expected'
-         ELSE 'farther from the catch point than the model expected' END AS line FROM published) GROUP BY 1, 2"""))
+         ELSE 'farther from the catch point than the model expected' END AS line FROM published)"""))
 def captions(spark, sf_dir):
-    rows = scene.captions(base(spark, sf_dir).rows)
-    return rows.groupBy("kind", "line").agg(
-        F.count("*").alias("n"), F.min("who").alias("first_who"), F.max("gap").alias("max_gap"))
+    return scene.captions(base(spark, sf_dir).rows).select("game", "play", "id", "kind", "who", "gap", "line")
 
 
 @query(_sql(PUBLISHED, """
@@ -428,20 +425,25 @@ def name_texts(spark, sf_dir):
         "initials": text.initials(name), "surname": text.surname(name), "folded": text.folded(name)})
 
 
-@query(_sql(PLAYERS, f"""
-SELECT 'flagged' AS item, count(*) AS n FROM plays UNION ALL SELECT 'rated', count(*) FROM rated
-UNION ALL SELECT 'players', count(*) FROM players UNION ALL SELECT 'listed', count(*) FROM players WHERE listed
-UNION ALL SELECT 'teams', count(DISTINCT team) FROM rated UNION ALL SELECT 'groups', count(*) FROM shrink"""))
+@query(_sql(f"{PLAYERS}, {SPREAD}, {GATED_CELLS}", f"""
+SELECT 'plays' AS item, count(*) AS n, sum({row_hash_sql(["game_id", "play_id", "nfl_id", "role", "ex"], ["yards", "z", "zc"])})::BIGINT AS rows FROM centered
+UNION ALL SELECT 'players', count(*), sum({row_hash_sql(["nfl_id", "name", "pos", "grp", "n", "tier"], ["mean", "rating", "se"])})::BIGINT FROM players
+UNION ALL SELECT 'groups', count(*), sum({row_hash_sql(["grp"], ["within", "k"])})::BIGINT FROM shrink
+UNION ALL SELECT 'cells', count(*), sum({row_hash_sql(["dim", "cell", "n"], ["mean"])})::BIGINT FROM cells
+UNION ALL SELECT 'teams', count(*), sum({row_hash_sql(["team", "n"], ["mean"])})::BIGINT
+  FROM (SELECT team, count(*) AS n, avg(zc) AS mean FROM rated WHERE team IS NOT NULL GROUP BY 1)"""))
 def compute_rating(spark, sf_dir):
-    """The whole rating plan from the derived tables, with all its checks."""
+    """The whole rating plan from the derived tables, with all its checks: every row of what it returns."""
     v = tracking(spark, sf_dir)
     result = rate.compute(v.inp, v.out, v.pred, v.context)
     items = {
-        "flagged": result.table, "rated": playtable.rated(result.table), "players": result.players,
-        "listed": result.players.where("listed"), "teams": result.teams, "groups": result.shrink,
+        "plays": (result.table, ["game_id", "play_id", "nfl_id", "role", "ex"], ["yards", "z", "zc"]),
+        "players": (result.players, ["nfl_id", "name", "pos", "grp", "n", "tier"], ["mean", "rating", "se"]),
+        "groups": (result.shrink, ["grp"], ["within", "k"]), "cells": (result.cells, ["dim", "cell", "n"], ["mean"]),
+        "teams": (result.teams, ["team", "n"], ["mean"]),
     }
-    counts = None
-    for name, df in items.items():
-        row = df.agg(F.lit(name).alias("item"), F.count("*").alias("n"))
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
+    rows = None
+    for name, (df, texts, numbers) in items.items():
+        row = df.agg(F.lit(name).alias("item"), F.count("*").alias("n"), F.sum(row_hash(texts, numbers)).alias("rows"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
