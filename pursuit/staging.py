@@ -5,6 +5,7 @@ again. A lookup is a staged table that joins meet: its rows are counted in the f
 limit is broadcast; beyond it the join is shuffled.
 """
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +46,21 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver look for shuffle files that nothing refers to any more; executors keep them until it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
+    """Delete staged tables that nothing will read again, and the shuffle files behind what has been written."""
     for table in tables:
         root = application_dir(table.sparkSession)
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
                 delete(table.sparkSession, folder)
+    if tables:
+        sweep(tables[0].sparkSession)
 
 
 def clear(spark: SparkSession) -> None:

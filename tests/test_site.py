@@ -15,7 +15,7 @@ from pursuit.sources import requests as req
 from pursuit.sources import tracking as files
 from pursuit.streaming.requests import stream_requests
 from pursuit.streaming.weeks import stream_weeks
-from tests.conftest import CORNER, PASSER, RECEIVER, flight, rating_rows, track
+from tests.conftest import CORNER, GAINED, GAME, IN, LAND, OUT, PASSER, PLAY, RECEIVER, flight, rating_rows, track
 from tests.test_rating import shrink_table
 
 PUBLISHED = "game long, play long, week long, id long, name string, pos string, grp string, team string, cov string, mz string, " \
@@ -24,8 +24,8 @@ PUBLISHED = "game long, play long, week long, id long, name string, pos string,
 
 
 def published_row(**over):
-    row = dict(game=1, play=1, week=1, id=1, name="A", pos="CB", grp="CB", team="KC", cov="COVER_3_ZONE", mz="zone", route="GO",
-               result="C", epa=0.1, air=20, role="primary", d0=5.0, dexp=3.0, dact=1.0, yards=0.4, z=0.5, zc=0.5, ex=None)
+    row = dict(game=31, play=4, week=6, id=1, name="Ove", pos="CB", grp="CB", team="LV", cov="COVER_6_ZONE", mz="zone", route="POST",
+               result="IN", epa=-0.3, air=22, role="primary", d0=8.0, dexp=4.5, dact=2.0, yards=0.7, z=1.1, zc=0.9, ex=None)
     return {**row, **over}
 
 
@@ -34,99 +34,122 @@ def published(spark, rows):
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], PUBLISHED)
 
 
-def test_filters(spark):
-    rows = published(spark, [
-        published_row(id=1, mz="man", cov="COVER_1_MAN"),
-        published_row(id=2, route="OUT", role="help", team="DET"),
-        published_row(id=3, grp="S", cov="COVER_2_ZONE"),
-    ])
+# one row per combination of these values; every filter must keep exactly the rows it describes
+SHAPES = [(g, r, t, c) for g in ("CB", "S", "LB") for r in ("primary", "help") for t in ("LV", "SEA")
+          for c in (("COVER_0_MAN", "man", "POST"), ("COVER_6_ZONE", "zone", "WHEEL"), ("COVER_2_MAN", "man", "WHEEL"))]
 
-    def ids(**f):
-        return sorted(r.id for r in board.apply_filters(rows, board.Filters(**{"grp": "CB", **f})).collect())
 
-    assert ids() == [1, 2] and ids(grp="S") == [3] and ids(grp="any") == [1, 2, 3] and ids(cov="man") == [1]
-    assert ids(cov="zone") == [2] and ids(cov="COVER_3_ZONE") == [2] and ids(route="GO") == [1]
-    assert ids(role="help") == [2] and ids(team="DET") == [2]
+@pytest.mark.parametrize("chosen, rule", [
+    ({"grp": "any"}, lambda g, r, t, c: True), ({"grp": "S"}, lambda g, r, t, c: g == "S"),
+    ({"grp": "any", "role": "help"}, lambda g, r, t, c: r == "help"), ({"grp": "LB", "team": "SEA"}, lambda g, r, t, c: (g, t) == ("LB", "SEA")),
+    ({"grp": "any", "cov": "man"}, lambda g, r, t, c: c[1] == "man"), ({"grp": "CB", "cov": "COVER_2_MAN"}, lambda g, r, t, c: g == "CB" and c[0] == "COVER_2_MAN"),
+    ({"grp": "any", "route": "WHEEL", "cov": "zone"}, lambda g, r, t, c: c[2] == "WHEEL" and c[1] == "zone"),
+])
+def test_filters(spark, chosen, rule):
+    rows = published(spark, [published_row(id=i, grp=g, role=r, team=t, cov=c[0], mz=c[1], route=c[2]) for i, (g, r, t, c) in enumerate(SHAPES)])
+    got = {r.id for r in board.apply_filters(rows, board.Filters(**chosen)).collect()}
+    assert got == {i for i, shape in enumerate(SHAPES) if rule(*shape)}
 
 
-PEOPLE = [
-    (1, "Jal Ramson", "CB", 1.0, None), (1, "Jal Ramson", "CB", 0.5, None), (2, "Kei'Trel Clark", "CB", 0.2, None),
-    (2, "Kei'Trel Clark", "CB", 0.1, None), (3, "José Ramírez", "S", 0.9, None), (3, "José Ramírez", "S", 0.8, None),
-    (4, "Ram Walker", "S", 2.0, None), (5, "Ray Lew", "S", 3.0, "out of bounds"), (5, "Ray Lew", "S", 3.0, None),
+# id, name, group, mean score, plays: made for these tests
+ROSTER = [
+    (21, "Åsa Lindqvist", "CB", 0.40, 6), (22, "Bo Åkesson", "CB", 0.90, 2), (23, "Dov Ben-Ami", "CB", -0.20, 5),
+    (24, "Io Steﬁn", "S", 0.60, 4), (25, "Lin Åberg", "S", 0.55, 8), (26, "Pat O'Lind", "LB", 1.50, 1),
 ]
+SHRINK = {"CB": 2.0, "S": 6.0, "LB": 1.0}
+LEAST = 2
 
 
 @pytest.fixture(scope="module")
 def people(spark):
-    rows = published(spark, [
-        published_row(id=i, name=n, grp=g, pos=g, zc=z, ex=ex, play=i * 10 + round(z * 100)) for i, n, g, z, ex in PEOPLE])
-    return rows.cache(), shrink_table(spark, [("CB", 1.0, 1.0, 1.0), ("S", 1.0, 1.0, 3.0)])
+    rows = [published_row(id=i, name=n, grp=g, pos=g, zc=z, play=100 * i + k) for i, n, g, z, plays in ROSTER for k in range(plays)]
+    rows += [published_row(id=26, name="Pat O'Lind", grp="LB", pos="LB", zc=9.0, ex="out of bounds", play=9000 + k) for k in range(3)]
+    return published(spark, rows).cache(), shrink_table(spark, [(g, 1.0, 1.0 / k, k) for g, k in SHRINK.items()])
 
 
-def test_boards_use_each_groups_shrinkage(people):
-    order = [r.id for r in board.listed(*people, min_plays=2).orderBy(*board.board_order()).collect()]
-    assert order == [1, 3, 2]
-    assert {r.id for r in board.board(*people, "CB", 2).collect()} == {1, 2}
-    assert {r.id for r in board.board(*people, "LB", 1).collect()} == set()
+def by_rating(group=None):
+    """Ids by the rule: the mean times n / (n + k), of players with enough plays."""
+    rated = [(-z * n / (n + SHRINK[g]), i) for i, _, g, z, n in ROSTER if n >= LEAST and group in (None, g)]
+    return [i for _, i in sorted(rated)]
 
 
-def test_ranks_and_cards(people):
-    ranks = {r.id: (r.rank, r.total, r.rank_text) for r in board.ranked(board.listed(*people, min_plays=2)).collect()}
-    assert ranks == {1: (1, 2, "1st of 2 corners"), 2: (2, 2, "2nd of 2 corners"), 3: (1, 1, "1st of 1 safeties")}
-    card = board.player_card(*people, player=2, min_plays=2).first()
-    assert (card["rank"], card.total, card.n) == (2, 2, 2)
-    assert board.player_card(*people, player=4, min_plays=2).first()["rank"] is None
+def test_boards_use_each_groups_shrinkage(people):
+    order = [r.id for r in board.listed(*people, min_plays=LEAST).orderBy(*board.board_order()).collect()]
+    assert order == by_rating() and 26 not in order
+    for group in SHRINK:
+        assert {r.id for r in board.board(*people, group, LEAST).collect()} == set(by_rating(group))
 
 
-@pytest.mark.parametrize("typed, names", [
-    ("ram", ["Jal Ramson", "José Ramírez"]), ("jal", ["Jal Ramson"]), ("JOSE RAMIREZ", ["José Ramírez"]),
-    ("keitrel", ["Kei'Trel Clark"]), ("kei trel", ["Kei'Trel Clark"]), ("", []), ("   ", []), ("zz", []),
+def test_ranks_and_cards(people):
+    ranks = {r.id: (r.rank, r.total, r.rank_text) for r in board.ranked(board.listed(*people, min_plays=LEAST)).collect()}
+    cb, s = by_rating("CB"), by_rating("S")
+    words = {1: "1st", 2: "2nd", 3: "3rd"}
+    assert ranks == {**{i: (k, 3, f"{words[k]} of 3 corners") for k, i in enumerate(cb, 1)}, **{i: (k, 2, f"{words[k]} of 2 safeties") for k, i in enumerate(s, 1)}}
+    card = board.player_card(*people, player=25, min_plays=LEAST).first()
+    assert (card["rank"], card.total, card.n) == (s.index(25) + 1, 2, 8)
+    assert board.player_card(*people, player=26, min_plays=LEAST).first()["rank"] is None
+
+
+@pytest.mark.parametrize("typed, ids", [
+    ("lin", {21, 25}), ("ÅBERG", {25}), ("aberg", {25}), ("ben ami", {23}), ("benami", {23}), ("stefin", {24}), ("Steﬁn", {24}),
+    ("bo", {22}), ("olind", set()), ("", set()), (" \t", set()), ("qqq", set()),
 ])
-def test_search(people, typed, names):
-    assert [r.name for r in board.search(board.listed(*people, min_plays=2), typed).collect()] == names
+def test_search(people, typed, ids):
+    assert {r.id for r in board.search(board.listed(*people, min_plays=LEAST), typed).collect()} == ids
 
 
 def test_search_ranks_starts_before_words_before_parts(spark):
-    rows = spark.createDataFrame([("Desmond King", 3.0, 1), ("Ann Smith", 2.0, 2), ("Smith Jones", 1.0, 3)], "name string, rating double, id long")
-    assert [r.name for r in board.search(rows, "sm").collect()] == ["Smith Jones", "Ann Smith", "Desmond King"]
-    assert board.search(rows, "s", 2).count() == 2
+    rows = spark.createDataFrame([("Okko Arden", 9.0, 1), ("Una Kolt", 5.0, 2), ("Kole Vint", 1.0, 3), ("Kosta Ito", 0.5, 4)], "name string, rating double, id long")
+    assert [r.id for r in board.search(rows, "ko").collect()] == [3, 4, 2, 1]
+    assert board.search(rows, "o", 3).count() == 3
 
 
 def test_main_team_falls_back_to_the_latest_game(spark):
-    rows = [published_row(game=2023121700, team="MIA", zc=-1.0), published_row(game=2023111200, team="NE", zc=5.0)]
-    rows += [published_row(id=2, game=g, team="NE" if g < 12 else "KC") for g in range(20)]
-    got = {r.id: r.main_team for r in board.rate_players(published(spark, rows), shrink_table(spark, [("CB", 1.0, 1.0, 1.0)]), 1).collect()}
-    assert got == {1: "MIA", 2: "NE"}
+    few = [published_row(id=81, game=g, team=t, zc=z) for g, t, z in ((402, "NO", 3.0), (407, "TB", -2.0), (405, "SF", 0.0))]
+    many = [published_row(id=82, game=500 + g, team="NO" if g < 15 else "TB") for g in range(27)]
+    got = {r.id: r.main_team for r in board.rate_players(published(spark, few + many), shrink_table(spark, [("CB", 1.0, 1.0, 1.0)]), 1).collect()}
+    assert got == {81: "TB", 82: "NO"}
 
 
 def test_team_board_drops_small_teams(spark):
-    rows = [published_row(play=i, zc=z) for i, z in enumerate((1.0, 3.0, 1.0, 3.0))] + [published_row(play=9, team="DET", zc=9.0)]
-    (r,) = board.filtered_teams(published(spark, rows), board.Filters(min_plays=2)).collect()
-    assert r.team == "KC" and r.se == pytest.approx(math.sqrt(10.8 / 4))  # the variance still uses every row
-
-
-REEL = [
-    (1, 10, 1, "CB", 20, "primary", 3.0, None, 3.0), (1, 11, 1, "CB", 20, "primary", 2.95, None, 3.0),
-    (1, 12, 2, "CB", 15, "primary", 2.9, None, 3.0), (2, 14, 3, "CB", 20, "primary", 2.8, None, 3.0),
-    (1, 15, 4, "CB", 20, "primary", 2.8, None, 3.0), (1, 16, 5, "S", 20, "primary", 1.0, None, 3.0),
-    (1, 17, 6, "S", 20, "primary", 0.9, None, 3.0), (1, 18, 7, "S", 20, "primary", 0.8, None, 3.0),
-    (1, 19, 8, "LB", 20, "primary", 0.5, None, 3.0), (1, 20, 9, "LB", 20, "primary", 0.5, None, 3.0),
-    (1, 21, 10, "CB", 20, "primary", 9.0, None, 3.0), (1, 22, 2, "CB", 14, "primary", 8.0, None, 3.0),
-    (1, 23, 2, "CB", 20, "help", 7.0, None, 3.0), (1, 24, 2, "CB", 20, "primary", 6.0, "not catchable", 3.0),
-    (1, 25, 2, "CB", 20, "primary", 5.0, None, 1.0), (1, 26, 11, "S", 20, "primary", 4.0, None, 3.0),
-    (1, 27, 11, "S", 20, "primary", 0.0, "not catchable", 3.0),
-]
-
-
-def test_highlights_fill_group_quotas_first(spark):
-    groups = {1: "CB", 2: "CB", 3: "CB", 4: "CB", 5: "S", 6: "S", 7: "S", 8: "LB", 9: "LB"}
-    rows = REEL + [(3, 100 + i, i, g, 20, "help", 0.0, None, 3.0) for i, g in groups.items()]
-    names = ["game", "play", "id", "grp", "air", "role", "zc", "ex", "dexp"]
-    table = published(spark, [published_row(**dict(zip(names, r))) for r in rows[::-1]])
-    want = {8: [10, 12, 15, 14, 16, 17, 19, 20], 7: [10, 12, 15, 16, 17, 19, 20], 4: [10, 12, 16, 17]}
-    for n, plays in want.items():
-        assert [r.play for r in board.highlight_picks(table, n, min_plays=2).collect()] == plays
-    assert board.highlight_picks(table).count() == 0
+    scores = {"LV": [0.2, 0.9, -0.6, 1.5, 0.0], "TB": [4.0, -4.0]}
+    rows = [published_row(play=k, team=t, zc=z) for t, values in scores.items() for k, z in enumerate(values)]
+    (r,) = board.filtered_teams(published(spark, rows), board.Filters(min_plays=3)).collect()
+    every = scores["LV"] + scores["TB"]
+    pooled = sum((v - sum(every) / 7) ** 2 for v in every) / 6  # the variance still uses every row
+    assert r.team == "LV" and r.mean == pytest.approx(0.4) and r.se == pytest.approx(math.sqrt(pooled / 5))
+
+
+def reel_rule(rows, n, least):
+    """The picks by the rule, in plain Python: of each player with enough rated plays the best eligible play; the best two
+    of every group first, then the best of the rest."""
+    rated = [r for r in rows if r["ex"] is None]
+    order = lambda r: (-r["zc"], r["game"], r["play"])
+    best = {}
+    for r in sorted(rated, key=order):
+        enough = sum(x["id"] == r["id"] for x in rated) >= least
+        if enough and r["role"] == "primary" and r["air"] >= 15 and r["dact"] < r["dexp"]:
+            best.setdefault(r["id"], r)
+    every = sorted(best.values(), key=order)
+    floor = [r for g in {r["grp"] for r in every} for r in [x for x in every if x["grp"] == g][:2]]
+    rest = [r for r in every if r not in floor]
+    return sorted((sorted(floor, key=order) + rest)[:n], key=order)
+
+
+@pytest.mark.parametrize("n", [8, 7, 4])
+def test_highlights_follow_the_rule(spark, n):
+    """Own table: scores by a formula, some plays short, far, excluded or helped."""
+    rows = []
+    for i in range(24):
+        for k in range(4):
+            rows.append(published_row(
+                id=300 + i, game=40 + k, play=10 * i + k, grp=("LB", "S", "CB", "CB", "CB")[i % 5], zc=((i * 37 + k * 11) % 50) / 10,
+                air=14 if (i + k) % 5 == 0 else 15, role="help" if (i * k) % 7 == 3 else "primary",
+                ex="not catchable" if (i + 2 * k) % 9 == 4 else None, dexp=2.0 if (i + 3 * k) % 11 == 6 else 5.0))
+    table = published(spark, rows[::-1])
+    want = [(r["id"], r["game"], r["play"]) for r in reel_rule(rows, n, 3)]
+    assert len(want) == n and [(r.id, r.game, r.play) for r in board.highlight_picks(table, n, min_plays=3).collect()] == want
+    assert board.highlight_picks(table, min_plays=9).count() == 0
 
 
 def test_ranks_and_neighbours_cross_the_seams_of_one_large_group(spark):
@@ -144,35 +167,34 @@ def centered(rating_play):
     return ratings.center(rate.checked_play_table(*rating_play))
 
 
-def test_play_document_holds_everything_and_gives_the_rows_back(rating_play, centered):
+def test_play_documents_hold_everything_and_give_the_rows_back(rating_play, centered):
     inp, out, pred, context = rating_play
-    (doc,) = documents.play_documents(inp, out, pred, centered, context).collect()
-    assert (doc.home, doc.away, doc.week, doc["def"], doc.off, doc.nfo, doc.land, doc.part) == ("KC", "DET", 1, "KC", "DET", 6, [60.0, 20.0], 0)
-    assert [p.id for p in doc.players] == [1, 2, 3, 4]
-    passer, receiver, corner = doc.players[:3]
-    assert passer.out is None and passer.pred is None and len(passer["in"]) == 12 and len(passer["in"][0]) == 6
-    assert len(receiver.out) == 6 and len(corner.pred[0]) == 4 and corner.p and not passer.p
-    assert [(r.id, r.role, r.yards) for r in doc.ratings] == [(3, "primary", 1.0), (4, "help", -0.5)]
-    back = documents.input_rows(documents.play_documents(inp, out, pred, centered, context))
-    gap = back.select(*FRAME, *[F.col(c).alias(f"{c}_2") for c in ("x", "y", "player_height")]).join(inp, FRAME)
+    docs = {d.nfl_id: d for d in documents.play_documents(inp, out, pred, centered, context).collect()}
+    doc = docs[3]
+    assert set(docs) == {1, 2, 3, 4} and {d.run for d in docs.values()} == {0}
+    assert (doc.home, doc.away, doc.week, doc["def"], doc.off, doc.nfo, doc.land) == ("SEA", "LV", 3, "SEA", "LV", OUT, list(LAND))
+    assert docs[1].player.out is None and docs[1].player.pred is None and len(docs[1].player["in"]) == IN and len(docs[1].player["in"][0]) == 6
+    assert len(docs[2].player.out) == OUT and len(doc.player.pred[0]) == 4 and doc.player.p and not docs[1].player.p
+    assert {i: (d.rating.role, d.rating.yards) for i, d in docs.items() if d.rating} == {3: ("primary", GAINED[3]), 4: ("help", GAINED[4])}
+    plays = documents.play_documents(inp, out, pred, centered, context)
+    gap = documents.input_rows(plays).select(*FRAME, *[F.col(c).alias(f"{c}_2") for c in ("x", "y", "player_height")]).join(inp, FRAME)
     row = gap.agg(F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("x_2"))).alias("x"),
                   F.count_if(F.col("player_height") == F.col("player_height_2")).alias("same")).first()
-    assert row.n == 48 == row.same and row.x < 0.006
-    moved = documents.input_rows(documents.play_documents(inp, out, pred, centered, context), (61.0, 3.0), 9).first()
+    assert row.n == 4 * IN == row.same and row.x < 0.006
+    moved = documents.input_rows(plays, (61.0, 3.0), 9).first()
     assert (moved.ball_land_x, moved.ball_land_y, moved.num_frames_output) == (61.0, 3.0, 9)
 
 
-def test_large_plays_games_and_tracks_come_in_parts_and_stay_whole(rating_play, centered, monkeypatch):
+def test_long_tracks_are_runs_of_one_length(rating_play, centered, monkeypatch):
     inp, out, pred, context = rating_play
-    monkeypatch.setattr(documents, "RUN", 5)
-    plays = documents.play_documents(inp, out, pred, centered, context, per_part=2)
-    assert plays.count() > 1 and {r.week for r in plays.collect()} == {1}
+    monkeypatch.setattr(documents, "TRACK_RUN", 4)
+    plays = documents.play_documents(inp, out, pred, centered, context)
+    assert {(r.nfl_id, r.run) for r in plays.collect()} == {(i, k) for i in (1, 2, 3, 4) for k in range(3)}
     rows = documents.input_rows(plays)
-    assert rows.count() == 48 and rows.select(*FRAME).distinct().count() == 48
-    assert rows.where("frame_id = 12").count() == 4
-    games = documents.game_documents(plays, per_part=1).collect()
-    assert sum(len(g.plays) for g in games) == plays.count()
-    assert sum(len(p.ratings) for g in games for p in g.plays) == 2
+    assert rows.count() == 4 * IN and rows.select(*FRAME).distinct().count() == 4 * IN
+    assert rows.where(f"frame_id = {IN}").count() == 4
+    (header,) = documents.game_headers(plays).collect()
+    assert (header.game, header.week, header.home, header.away, header.plays) == (GAME, 3, "SEA", "LV", 1)
 
 
 def test_published_numbers_are_rounded(spark, centered):
@@ -183,11 +205,11 @@ def test_published_numbers_are_rounded(spark, centered):
 
 def test_columnar_documents_read_back(spark, tmp_path):
     rows = published(spark, [published_row(play=i, name='q"uo,te', epa=None if i % 2 else 0.5, ex="x" if i % 3 else None) for i in range(50)])
-    docs = sinks.columnar_documents(rows, ["game", "play", "id"], per_document=20)
-    assert docs.count() > 1
+    docs = sinks.columnar_documents(rows, ["game", "play", "id"], ["game", "play"])
+    assert docs.count() == 50
     doc = json.loads(docs.first().value)
     assert doc["columns"] == rows.columns and all(len(r) == 22 for r in doc["rows"])
-    sinks.write_columnar(rows, ["game", "play", "id"], str(tmp_path / "plays"))
+    sinks.write_columnar(rows, ["game", "play", "id"], ["game", "play"], str(tmp_path / "plays"))
     assert sinks.read_columnar(spark, str(tmp_path / "plays"), rows.schema).exceptAll(rows).count() == 0
 
 
@@ -198,28 +220,29 @@ def test_nothing_that_is_not_finite_is_published(spark, tmp_path):
 
 
 def test_scene_paths_are_padded_and_held(spark):
-    rows = track(*PASSER) + track(*RECEIVER) + track(*CORNER, frames=8)
+    rows = track(*PASSER) + track(*RECEIVER) + track(*CORNER, frames=IN - 3)
     inp = spark.createDataFrame(rows, INPUT_SCHEMA)
-    out = spark.createDataFrame(flight(rows, 2) + flight(rows, 3, 4), OUTPUT_SCHEMA)
+    out = spark.createDataFrame(flight(rows, 2) + flight(rows, 3, OUT - 2), OUTPUT_SCHEMA)
+    last = IN + OUT - 1
     frames = {(r.nfl_id, r.frame): (r.l, r.u) for r in scene.scrimmage_frames(inp, out).collect()}
-    assert len(frames) == 3 * 18
-    assert frames[3, 0] == frames[3, 4] and frames[3, 5] != frames[3, 4]  # padded at the front
-    assert frames[1, 11] == frames[1, 17]  # nobody knows where he went: he stays
-    assert frames[3, 17] == frames[3, 15]  # short output holds its last point
-    assert frames[2, 0] == pytest.approx((53.3 - 20, 0.0))
+    assert len(frames) == 3 * (IN + OUT)
+    assert frames[3, 0] == frames[3, 3] and frames[3, 4] != frames[3, 3]  # padded at the front
+    assert frames[1, IN - 1] == frames[1, last]  # nobody knows where this one went: it stays
+    assert frames[3, last] == frames[3, last - 2] != frames[3, last - 3]  # short output holds its last point
+    assert frames[2, 0] == pytest.approx((53.3 - 15, 5.0))
 
 
 def test_ball_flies_from_the_passer_to_the_spot(rating_play):
-    inp, out, _, _ = rating_play
-    ball = {r.frame: r for r in scene.ball_track(inp, out).collect()}
-    assert len(ball) == 18 and ball[0].h == 1.6 and (ball[17].l, ball[17].u, ball[17].h) == pytest.approx((33.3, 10.0, 0.0))
-    arc = min(9, 0.22 * math.hypot(33.3 - 28.3, 10 + 10))
-    assert ball[14].h == pytest.approx(0.8 + arc)
+    ball = {r.frame: r for r in scene.ball_track(rating_play[0]).collect()}
+    land = (53.3 - LAND[1], LAND[0] - 47)
+    assert len(ball) == IN + OUT and ball[0].h == 1.6 and (ball[IN + OUT - 1].l, ball[IN + OUT - 1].u, ball[IN + OUT - 1].h) == pytest.approx((*land, 0.0))
+    arc, share = min(9, 0.22 * math.dist(land, (53.3 - 26.5, 44 - 47))), 2 / OUT
+    assert ball[IN + 1].h == pytest.approx(1.6 * (1 - share) + 4 * arc * share * (1 - share))
 
 
 def test_passer_and_featured_fall_back(spark, rating_play, centered):
-    inp, out, _, _ = rating_play
-    ends = scene.player_ends(inp.withColumn("player_role", F.when(F.col("nfl_id") == 1, "Other Route Runner").otherwise(F.col("player_role"))), out)
+    inp = rating_play[0]
+    ends = scene.input_ends(inp.withColumn("player_role", F.when(F.col("nfl_id") == 1, "Other Route Runner").otherwise(F.col("player_role"))))
     assert scene.passer(ends).first().nfl_id == 1
     assert scene.featured(ends, centered).first().nfl_id == 3
     assert scene.featured(ends, centered, 4).first().nfl_id == 4
@@ -228,24 +251,25 @@ def test_passer_and_featured_fall_back(spark, rating_play, centered):
 
 
 def test_expected_points_start_at_the_throw_and_hold(rating_play):
-    inp, out, pred, _ = rating_play
-    steps = {r.step: r for r in scene.expected_points(inp, out, pred.where("frame_id <= 4")).where("nfl_id = 3").collect()}
-    assert sorted(steps) == list(range(7)) and steps[6].l == steps[4].l != steps[3].l
+    inp, _, pred, _ = rating_play
+    steps = {r.step: r for r in scene.expected_points(inp, pred.where(f"frame_id < {OUT}")).where("nfl_id = 3").collect()}
+    assert sorted(steps) == list(range(OUT + 1)) and steps[OUT].l == steps[OUT - 1].l != steps[OUT - 2].l
 
 
 def test_resampling_blends_between_frames(rating_play):
     inp, out, _, _ = rating_play
     frames = scene.scrimmage_frames(inp, out).where("nfl_id = 2")
     fine = {r.frame: r.u for r in scene.resample(frames, 4).collect()}
-    assert len(fine) == 17 * 4 + 1 and fine[0.5] == pytest.approx(0.25) and fine[17.0] == pytest.approx(8.5)
+    last = IN + OUT - 1
+    assert len(fine) == last * 4 + 1 and fine[0.5] == pytest.approx(5.3) and fine[float(last)] == pytest.approx(5 + 0.6 * last)
 
 
 def test_captions(spark):
     rows = scene.captions(published(spark, [
         published_row(yards=-1.234), published_row(id=2, yards=0.0), published_row(id=3, ex="out of bounds")]))
     got = {r.id: (r.kind, r.who, r.gap, r.line) for r in rows.collect()}
-    assert got[1] == ("rated", "A · CB · KC", "1.23", "farther from the catch point than the model expected")
-    assert got[2][3].startswith("closer to") and got[3] == ("unrated", "A · CB · KC", None, "not rated: out of bounds")
+    assert got[1] == ("rated", "Ove · CB · LV", "1.23", "farther from the catch point than the model expected")
+    assert got[2][3].startswith("closer to") and got[3] == ("unrated", "Ove · CB · LV", None, "not rated: out of bounds")
 
 
 def one(spark, kind, value, fn):
@@ -261,11 +285,15 @@ def test_text_columns(spark):
     assert [one(spark, "string", v, text.outcome) for v in ("C", "I", "IN")] == ["complete", "incomplete", "intercepted"]
     assert [one(spark, "string", v, text.group_name) for v in ("LB", "XX")] == ["linebackers", "XX"]
     assert [one(spark, "string", v, text.team_name) for v in ("LA", "ZZZ")] == ["Los Angeles Rams", "ZZZ"] and len(text.TEAM_NAMES) == 32
-    names = ["Max Sur II", "Ken Murr, Jr.", "Amo-Ra St. Bro", "Jal Ram", "Cher", "", "Leigh Vander Es", "Jr", "Ana de la Cruz"]
-    assert [one(spark, "string", v, text.initials) for v in names[:6]] == ["MS", "KM", "AB", "JR", "C", "?"]
+    names = ["Nils Holm III", "Ugo Parr, Sr.", "Eli-Jo St. Clou", "Ida", "", "Per von Au", "Sr", "Lea di Rossi", "Ib Vander Kamp IV"]
+    assert [one(spark, "string", v, text.initials) for v in names[:5]] == ["NH", "UP", "EC", "I", "?"]
     assert [one(spark, "string", v, text.surname) for v in names] == [
-        "SUR", "MURR", "ST. BRO", "RAM", "CHER", "", "VANDER ES", "JR", "DE LA CRUZ"]
-    assert one(spark, "string", "Zoë Núñez-Ĳ ﬁ ½", text.folded) == text._plain("Zoë Núñez-Ĳ ").lower() + " 12"
+        "HOLM", "PARR", "ST. CLOU", "IDA", "", "VON AU", "SR", "DI ROSSI", "VANDER KAMP"]
+
+
+@pytest.mark.parametrize("name", ["Åsa Lindqvist", "Io Steﬁn", "Ðor ½ Ĳs", "Ｆｕｌｌ Ｗｉｄｔｈ", "Ŀuc ǅan Ⅷ", "㎏ ™ ㏒ ⒜", "Łukasz Žák-Ňu", "名前 x", ""])
+def test_names_fold_as_typed_text_does(spark, name):
+    assert one(spark, "string", name, text.folded).strip() == text.folded_query(name)
 
 
 def request(rows=None, **change):
@@ -285,6 +313,9 @@ REQUESTS = {
     "two plays": (as_body(BASE + request(play_id=2)), "exactly one play"),
     "text": (as_body([{**BASE[0], "x": "fifty"}] + BASE[1:]), "values in x"),
     "fraction": (as_body([{**BASE[0], "frame_id": 1.5}] + BASE[1:]), "values in frame_id"),
+    "null flag": (as_body([{**BASE[0], "player_to_predict": None}] + BASE[1:]), None),
+    "point": (as_body([{**r, "nfl_id": float(r["nfl_id"])} for r in BASE]), None),
+    "no flag": (as_body([{k: v for k, v in r.items() if k != "player_to_predict"} for r in BASE]), "missing columns player_to_predict"),
     "null": (as_body([{**BASE[0], "player_role": None}] + BASE[1:]), "values in player_role"),
     "nan": (as_body(request(x=float("nan"))), "values in x"),
     "infinite": (as_body(request(x=float("inf"))), "values in x"),
@@ -299,7 +330,7 @@ REQUESTS = {
     "air": (as_body(request(num_frames_output=500)), "num_frames_output"),
     "nobody": (as_body(request(player_to_predict=False)), "no row has player_to_predict"),
     "players": (as_body([{**r, "nfl_id": r["nfl_id"] + 10 * i} for i in range(11) for r in BASE]), "at most 30 players"),
-    "rows": (as_body(BASE * 112), "at most 4000 rows, got 4032"),
+    "rows": (as_body(BASE * 149), f"at most 4000 rows, got {149 * 3 * IN}"),
 }
 
 
@@ -310,8 +341,11 @@ def test_requests_get_the_first_rule_they_break(spark):
     for name, (_, want) in REQUESTS.items():
         assert (errors[name] is None) if want is None else want in errors[name], (name, errors[name])
     rows = req.accepted(parsed)
-    assert rows.count() == 72 and rows.where("request_id = 'good'").drop("request_id").schema.names == INPUT_SCHEMA.names
-    assert req.quarantined(parsed).count() == len(REQUESTS) - 2
+    assert rows.count() == 4 * 3 * IN and rows.where("request_id = 'good'").drop("request_id").schema.names == INPUT_SCHEMA.names
+    flags = rows.where("request_id = 'null flag'").groupBy("player_to_predict").count().collect()
+    assert {r.player_to_predict: r["count"] for r in flags} == {True: 2 * IN, False: IN}
+    assert {r.nfl_id for r in rows.where("request_id = 'point'").collect()} == {1, 2, 3}
+    assert req.quarantined(parsed).count() == len(REQUESTS) - 4
 
 
 def test_base64_bodies(spark):
@@ -329,18 +363,18 @@ def test_request_stream_replaces_a_batch_that_runs_again(spark, tmp_path):
     stream_requests(spark, str(source), *args).awaitTermination()
     from pursuit.streaming.requests import write_batch
     write_batch(bodies, 0, *args[:2])
-    assert spark.read.parquet(args[0]).count() == 36 and spark.read.parquet(args[1]).count() == 1
+    assert spark.read.parquet(args[0]).count() == 3 * IN and spark.read.parquet(args[1]).count() == 1
 
 
-def write_raw(folder, week, rows, out):
+def write_raw(folder, week, rows, out, season=2023):
     folder.mkdir(parents=True, exist_ok=True)
 
     def lines(names, data):
         return "\n".join([",".join(names), *[",".join(str(v) for v in r) for r in data]]) + "\n"
 
-    (folder / f"input_2023_w{week:02d}.csv").write_text(lines(INPUT_SCHEMA.names, rows))
+    (folder / f"input_{season}_w{week:02d}.csv").write_text(lines(INPUT_SCHEMA.names, rows))
     if out is not None:
-        (folder / f"output_2023_w{week:02d}.csv").write_text(lines(OUTPUT_SCHEMA.names, out))
+        (folder / f"output_{season}_w{week:02d}.csv").write_text(lines(OUTPUT_SCHEMA.names, out))
 
 
 def test_weeks_parse():
@@ -357,14 +391,41 @@ def test_prepare_stores_and_loads_weeks(spark, tmp_path):
     prepare.prepare_weeks(spark, raw, processed, [1, 2])
     prepare.prepare_weeks(spark, raw, processed, [2])  # replaces week 2 only
     inp, air = files.load_weeks(spark, processed, [1, 2])
-    assert inp.count() == 96 and air.count() == 36 and inp.where("player_to_predict").count() == 72
+    assert inp.count() == 8 * IN and air.count() == 6 * OUT and inp.where("player_to_predict").count() == 6 * IN
     inp, air = files.load_weeks(spark, processed, [1, 2], columns=["x", "y"], games=[2])
-    assert inp.columns == ["x", "y"] and inp.count() == 48 and air.count() == 18
+    assert inp.columns == ["x", "y"] and inp.count() == 4 * IN and air.count() == 3 * OUT
     plan = files.load_weeks(spark, processed, [1], games=[1])[0].select("x")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(week" in plan and "PushedFilters: [IsNotNull(game_id), EqualTo(game_id" in plan
     assert "ReadSchema: struct<game_id:bigint,x:double>" in plan
 
 
+def test_seasons_and_long_week_numbers_stand_side_by_side(spark, tmp_path):
+    rows, out, _ = rating_rows()
+    raw, processed = tmp_path / "raw", str(tmp_path / "processed")
+    for season, week, game in ((2023, 1, 5), (2024, 1, 6), (2024, 104, 7)):
+        write_raw(raw, week, [(game, *r[1:]) for r in rows], [(game, *r[1:]) for r in out], season)
+    prepare.prepare_weeks(spark, str(raw), processed, [1], 2023)
+    prepare.prepare_weeks(spark, str(raw), processed, [1, 104], 2024)
+    inp, _ = files.load_weeks(spark, processed)
+    assert {(r.season, r.week, r.game_id) for r in inp.select("season", "week", "game_id").distinct().collect()} == {
+        (2023, 1, 5), (2024, 1, 6), (2024, 104, 7)}
+    assert files.load_weeks(spark, processed, [1], season=2024)[0].count() == 4 * IN
+
+
+def test_a_bad_week_and_a_bad_file_name_are_refused(spark, tmp_path):
+    rows, out, _ = rating_rows()
+    raw = tmp_path / "raw"
+    write_raw(raw, 1, rows, out)
+    turned = INPUT_SCHEMA.names.index("dir")
+    write_raw(raw, 2, [(GAME + 1, *r[1:turned], (90 - r[turned]) % 360, *r[turned + 1:]) for r in rows], [(GAME + 1, *r[1:]) for r in out])
+    with pytest.raises(quality.ValidationError, match="1 weeks fail the angle convention check"):
+        prepare.prepare_weeks(spark, str(raw), str(tmp_path / "processed"), [1, 2])
+    assert not (tmp_path / "processed").exists()
+    (raw / "input_one.csv").write_text((raw / "input_2023_w01.csv").read_text())
+    with pytest.raises(Exception, match="no season and week in the file name"):
+        files.read_input_csv(spark, [str(raw / "input_one.csv")]).collect()
+
+
 def test_landed_weeks_wait_for_both_files(spark, tmp_path):
     rows, out, _ = rating_rows()
     raw, processed, checkpoint = (tmp_path / n for n in ("raw", "processed", "checkpoint"))
@@ -374,17 +435,17 @@ def test_landed_weeks_wait_for_both_files(spark, tmp_path):
     assert {r.week for r in files.load_weeks(spark, str(processed))[0].select("week").distinct().collect()} == {1}
     write_raw(raw, 2, [(2, *r[1:]) for r in rows], [(2, *r[1:]) for r in out])
     stream_weeks(spark, str(raw), str(processed), str(checkpoint)).awaitTermination()
-    assert files.load_weeks(spark, str(processed))[0].count() == 96
+    assert files.load_weeks(spark, str(processed))[0].count() == 8 * IN
 
 
 def test_context_keeps_a_subset_and_fills_unknowns(spark, tmp_path):
     header = "extra,game_id,play_id,week,home_team_abbr,visitor_team_abbr,possession_team,defensive_team,play_description,quarter," \
              "game_clock,down,yards_to_go,pass_result,route_of_targeted_receiver,team_coverage_man_zone,team_coverage_type,expected_points_added"
     path = tmp_path / "context.csv"
-    path.write_text(header + "\nx,1,1,1,KC,DET,DET,KC,pass,1,15:00,1,10,C,GO,ZONE_COVERAGE,COVER_3_ZONE,0.5\n"
-                    "y,1,2,1,KC,DET,DET,KC,deep,1,14:00,2,7,NA,NA,NA,NA,NA\n")
+    path.write_text(header + "\nx,31,4,6,LV,SEA,SEA,LV,out route,3,02:17,2,8,IN,OUT,MAN_COVERAGE,COVER_0_MAN,-1.25\n"
+                    "y,31,9,6,LV,SEA,SEA,LV,screen,4,00:31,4,1,NA,NA,NA,NA,NA\n")
     one_, two = files.read_context_csv(spark, str(path)).orderBy("play_id").collect()
-    assert (one_.mz, one_.cov, one_.epa, one_.clock, one_.dist) == ("zone", "COVER_3_ZONE", 0.5, "15:00", 10)
+    assert (one_.mz, one_.cov, one_.epa, one_.clock, one_.dist) == ("man", "COVER_0_MAN", -1.25, "02:17", 8)
     assert (two.mz, two.route, two.cov, two.result, two.epa) == ("unknown", "unknown", "unknown", None, None)
 
 
@@ -392,7 +453,7 @@ def test_predictions_round_trip(spark, rating_play, tmp_path):
     pred = rating_play[2]
     files.write_predictions(pred, str(tmp_path / "p"))
     back = files.read_predictions(spark, str(tmp_path / "p"))
-    assert back.exceptAll(pred).count() == 0 and back.count() == 18
+    assert back.exceptAll(pred).count() == 0 and back.count() == 3 * OUT
 
 
 def test_a_failed_gate_writes_the_audit_and_leaves_the_public_data(spark, rating_play, tmp_path):
@@ -401,17 +462,18 @@ def test_a_failed_gate_writes_the_audit_and_leaves_the_public_data(spark, rating
         rate.publish(result, *rating_play, audit=str(tmp_path / "audit"), public=str(tmp_path / "public"))
     assert spark.read.parquet(str(tmp_path / "audit/plays")).count() == 2 and not (tmp_path / "public").exists()
     assert spark.read.json(str(tmp_path / "audit/checks")).first().passed is False
+    assert spark.read.parquet(str(tmp_path / "audit/cells")).columns == ["dim", "cell", "n", "mean", "ok"]
 
 
 def test_a_passed_gate_publishes_everything(spark, rating_play, tmp_path):
     result = rate.compute(*rating_play)
     result.checks = result.checks.withColumn("passed", F.lit(True))
     public = tmp_path / "public"
-    (public / "games" / "game_id=999").mkdir(parents=True)
+    (public / "games" / "plays" / "game_id=999").mkdir(parents=True)
     rate.publish(result, *rating_play, audit=str(tmp_path / "audit"), public=str(public), run="r7")
     meta = spark.read.json(str(public / "meta")).first()
     assert meta.run == "r7" and meta.counts.plays == 1 and meta.min_plays == 30 and set(meta.shrink.asDict()) == {"CB", "S"}
-    assert not (public / "games" / "game_id=999").exists()
-    (game,) = spark.read.json(str(public / "games")).collect()
-    assert game.game == 1 and len(game.plays) == 1
+    assert not (public / "games" / "plays" / "game_id=999").exists()
+    (game,) = spark.read.json(str(public / "games/games")).collect()
+    assert (game.game, game.plays) == (GAME, 1) and spark.read.json(str(public / "games/plays")).count() == 4
     assert spark.read.json(str(public / "plays")).count() == 2
