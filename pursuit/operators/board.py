@@ -87,7 +87,9 @@ def ranked(players: DataFrame) -> DataFrame:
 def player_card(rows: DataFrame, shrink: DataFrame, player: int, min_plays: int = MIN_PLAYS) -> DataFrame:
     """One player's rating over all rated plays, whatever their number, with the rank among the group's listed players.
 
-    The rank counts the players ahead, so nothing is sorted. A player who is not listed has no rank."""
+    The rank counts the players ahead, so nothing is sorted. A player who is not listed has no rank.
+
+    Stages its steps when called."""
     card = staged(rate_players(rated(rows).where(F.col("id") == player), shrink, 1), "card")
     mine = card.select(F.struct("grp", "rating", "id", "n")).scalar()
     group = listed(rows, shrink, min_plays).withColumn("_me", mine).where(F.col("grp") == F.col("_me.grp"))
@@ -140,7 +142,9 @@ def highlight_picks(rows: DataFrame, n: int = 8, min_plays: int = MIN_PLAYS, air
     """The reel: at most one play per listed defender, the best two of every group first, then the best of the rest.
 
     A candidate is a rated play in the primary role with enough air time that ended nearer to the ball than expected.
-    One aggregate counts a player's rated plays and keeps the best candidate; only those single rows are ordered."""
+    One aggregate counts a player's rated plays and keeps the best candidate; only those single rows are ordered.
+
+    Stages its steps when called."""
     candidate = (F.col("role") == "primary") & (F.col("air") >= air) & (F.col("dact") < F.col("dexp"))
     order = F.when(candidate, F.struct(F.col("zc"), -F.col("game"), -F.col("play")))
     play = F.struct("game", "play", "name", "pos", "grp", "team", "zc", "yards", "dexp", "dact")

@@ -150,7 +150,9 @@ def fit_crossfit(state: DataFrame, out: DataFrame) -> DataFrame:
     One pass over the targets sums second moments per (kind, bucket, fold); what a fold may not see is the total minus
     its own sums. A kind seen in one fold only is fitted on that fold. Half a turn flips the sign of both regressors
     and of the displacement, so the fit is the same in field coordinates. The result has at most four kinds x eight
-    buckets x five folds rows and is a lookup for ``predict_crossfit``."""
+    buckets x five folds rows and is a lookup for ``predict_crossfit``.
+
+    Stages its steps when called."""
     rows = targets_at_throw(state, out.where(F.col("frame_id") <= HORIZON))
     by_fold = staged(
         rows.groupBy(_kind().alias("kind"), _bucket(F.col("frame_id")).alias("bucket"), fold_of().alias("fold"))

@@ -65,7 +65,9 @@ def evaluate_predictions(pred: DataFrame, inp: DataFrame, out: DataFrame, by=())
     """The report of predictions made anywhere; refuses targets without a prediction and repeated predictions.
 
     One join serves the report and both checks: what is not covered shows as null, what is repeated as more rows than
-    there are targets. ``quality.uncovered_targets`` and ``quality.repeated_predictions`` name the rows."""
+    there are targets. ``quality.uncovered_targets`` and ``quality.repeated_predictions`` name the rows.
+
+    Stages its steps when called."""
     cells = staged(cut_cells(scored_targets(pred, inp, out, "left"), by=by), "cut-cells")
     seen = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("uncovered"), F.lit(0)).alias("u")).first()
     if seen.u:

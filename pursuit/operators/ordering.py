@@ -17,7 +17,7 @@ def _placed(df: DataFrame, by, orders) -> DataFrame:
 
 
 def with_rank(df: DataFrame, by, orders, rank: str = "rank", total: str | None = None) -> DataFrame:
-    """Adds the row number of every row in its group under ``orders`` (which must not tie), and the group's size."""
+    """Adds the row number of every row in its group under ``orders`` (which must not tie), and the group's size. Stages its steps when called."""
     rows = _placed(df, by, orders)
     chunks = rows.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,7 +35,7 @@ def with_rank(df: DataFrame, by, orders, rank: str = "rank", total: str | None =
 
 
 def with_neighbours(df: DataFrame, by, order: str) -> DataFrame:
-    """Adds ``prev_<order>`` and ``next_<order>``: the value before and after in the group, null at its ends."""
+    """Adds ``prev_<order>`` and ``next_<order>``: the value before and after in the group, null at its ends. Stages its steps when called."""
     rows = _placed(df, by, [F.col(order)])
     edges = rows.groupBy(*by, "_chunk").agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     along = Window.partitionBy(*by).orderBy("_chunk")

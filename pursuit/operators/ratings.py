@@ -31,7 +31,9 @@ def center(table: DataFrame, passes=CENTERING, value: str = "z") -> DataFrame:
 
     Every pass needs only sums per cell, and subtracting a cell mean changes those sums by count x mean. So the table is
     scanned once, into sums per combination of all cell columns and fold; the passes run on those few rows; the table
-    then meets the staged cell means. Excluded rows are centered but never summed. A null cell stays as it is."""
+    then meets the staged cell means. Excluded rows are centered but never summed. A null cell stays as it is.
+
+    Stages its steps when called."""
     columns = list(dict.fromkeys(c for cells in passes for c in cells))
     sums = staged(
         rated(table).groupBy(*columns, "fold").agg(F.sum(value).alias("s"), F.count("*").alias("n")), "cells")
@@ -53,7 +55,9 @@ def shrinkage(table: DataFrame) -> DataFrame:
     """Per position group: variance of zc over all rated rows (within), variance of the player means beyond what
     within explains (between), and k = within / between. A lookup: it has one row per group.
 
-    One pass: rows combine into count, mean and squared deviations per player, players into groups."""
+    One pass: rows combine into count, mean and squared deviations per player, players into groups.
+
+    Stages its steps when called."""
     per_player = rated(table).groupBy("grp", "nfl_id").agg(
         F.count("zc").alias("n"), F.avg("zc").alias("mean"), F.var_pop("zc").alias("v"))
     n, mean = F.col("n"), F.col("mean")

@@ -20,7 +20,7 @@ from workload.oracle_view import VIEW
 from workload.registry import AT, game_rows, per_game, query, r, rd, row_hash, row_hash_sql
 from workload.suite_models import CROSSPRED, SCORED, _report
 from workload.suite_ratings import CENTERED, GATED_CELLS, HALVES, PICKS, PLAYERS, PUBLISHED, SPREAD, base
-from workload.tracking import tracking
+from workload.tracking import source_state, tracking
 
 
 def _sql(ctes: str, body: str) -> str:
@@ -45,7 +45,7 @@ _documents = {}
 
 
 def _plays(spark, sf_dir):
-    at = (spark.sparkContext.applicationId, sf_dir)
+    at = source_state(spark, sf_dir)
     if at not in _documents:
         v = tracking(spark, sf_dir)
         docs = documents.play_documents(v.inp, v.out, v.pred, base(spark, sf_dir).table, v.context)

@@ -14,7 +14,7 @@ from pursuit.staging import staged
 from workload.oracle_view import VIEW
 from workload.registry import query, r, rd, rounded, row_hash, row_hash_sql
 from workload.suite_models import LAST
-from workload.tracking import tracking
+from workload.tracking import source_state, tracking
 
 PLAYS = LAST + """,
 arr AS MATERIALIZED (
@@ -126,13 +126,13 @@ class Base:
     rows: DataFrame
 
 
-_bases: dict[tuple[str, str], Base] = {}
+_bases: dict[tuple, Base] = {}
 
 
 def base(spark, sf_dir) -> Base:
     """The checked rating of the derived tables, staged once per application and folder: play table, centered table,
     shrinkage and players, each computed from all rows."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    at = source_state(spark, sf_dir)
     if at not in _bases:
         v = tracking(spark, sf_dir)
         arrived = staged(paths.arrivals(v.inp, v.out, v.pred), "arrivals")

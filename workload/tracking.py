@@ -21,7 +21,15 @@ ROUTES = ["GO", "OUT", "HITCH", "CROSS", "POST", "SLANT", "unknown"]
 MAN_ZONE = ["man", "zone", "unknown"]
 DEFENSE = ["FS", "ILB", "SS", "OLB", "CB"]
 
-_rosters: dict[tuple[str, str], DataFrame] = {}
+_rosters: dict[tuple, DataFrame] = {}
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Tells the given table of one application apart from what it is after a change: its files with size and time."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = system.listStatus(hadoop)
+    return (spark.sparkContext.applicationId, sf_dir, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 @dataclass
@@ -38,8 +46,8 @@ def _pick(values, index):
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order and supplier with the player's rank in the play; written once per application and folder."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    """One row per order and supplier with the player's rank in the play; written once per application and state of the table."""
+    at = source_state(spark, sf_dir)
     if at not in _rosters:
         tune(spark)
         order = Window.partitionBy("o").orderBy((F.col("sk") * 7919 + F.col("o") * 104729) % 1009, "sk")
