@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pursuit.llm.components import components
 from pursuit.llm.registry import query, table
 from pursuit.llm.words import distinct_runs, mix, pieces, run_hashes, word_hashes, words
-from pursuit.staging import staged
+from pursuit.staging import staged, sweep
 
 SHINGLE = 5
 PER_HALF = 2.5          # elements of the largest set of a band in one half, on average
@@ -31,7 +31,7 @@ while BANDS[-1] < 2 ** 40:
     BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.5)))
 BANDS = np.array(BANDS)
 BUCKET_BYTES = 8 << 20  # bytes of text for each bucket of signatures
-FAMILY_ELEMENTS = 2_000_000
+FAMILY_ELEMENTS = 500_000
 
 META = "kind int, doc_id long, n long, fa long, fb long, scheme int, sig long, need1 long, need2 long"
 
@@ -233,6 +233,7 @@ def join(docs: DataFrame) -> DataFrame:
     several = ids.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
 
     alive, seed = staged(_alive(met, classes), "alive"), 0
+    sweep(docs.sparkSession)
     weak = classes.where("need1 <= 0").select("n", "fa", "fb")
     while not weak.isEmpty():   # sets whose elements fall into too few halves meet again under other hashes
         seed += 1
