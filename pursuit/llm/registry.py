@@ -15,5 +15,12 @@ def query(sql: str | None = None):
     return register
 
 
+# Documents go to Python in small batches, so that a worker holds little beside the piece it works on.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Puts SETTINGS on the session for the operators that work on it."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,7 +9,7 @@ speaks for the window, and equal windows have the same one at the same place. Th
    a position as soon as it is unique;
 3. past the threshold, rank the windows of ``least`` bytes that can still repeat, and take the smallest document of each.
 
-Equal texts are one class with its smallest id before any of it. Ranks are 64-bit hashes. The first round moves packed
+Equal texts are one class with its smallest id before any of it. Ranks are 64-bit hashes; a run of windows is known by its rank and a second hash. The first round moves packed
 arrays by hash range, one entry for each batch of texts and string; later rounds move the few positions left.
 """
 
@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from pursuit.llm.registry import query, table
 from pursuit.llm.words import BASE, mix, pieces, powers
-from pursuit.staging import staged
+from pursuit.staging import release, staged
 
 LEAST = 50
 SEED = 25
-OFFSETS = (4, 8, 16)
-GRAM_PIECE = 1 << 20
-BUCKET_BYTES = 8 << 20
+OFFSETS = (4, 8)
+GRAM_PIECE = 1 << 19
+BUCKET_BYTES = 16 << 20
+SLICES = 4              # passes over the runs by their rank, so that the files of one pass are gone before the next
 BYTE = np.random.default_rng(97).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -114,11 +115,14 @@ def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rank, heads = rank[several], heads[several]
     order = np.lexsort((rank, heads))
     rank, heads = rank[order], heads[order]
+    once = np.ones(len(rank), bool)
+    once[1:] = (rank[1:] != rank[:-1]) | (heads[1:] != heads[:-1])
+    rank, heads = rank[once], heads[once]
     at = np.flatnonzero(np.diff(heads, prepend=heads[:1] + 1)) if len(heads) else np.zeros(0, int)
     ends = np.append(at[1:], len(heads)) if len(at) else at
     body = rank.view(np.uint8).reshape(-1, 8)[:, :5] if len(rank) else None
     return pd.DataFrame({"fa": heads[at], "bucket": np.full(len(at), key[0], np.int32),
-                         "ranks": [np.unique(body[a:b], axis=0).tobytes() for a, b in zip(at, ends)]})
+                         "ranks": [body[a:b].tobytes() for a, b in zip(at, ends)]})
 
 
 def _pack(batches):
@@ -153,20 +157,20 @@ def _runs(buckets: int, least: int, seed: int):
             data = np.frombuffer(b"".join(texts), np.uint8)
             offsets = np.append(0, np.cumsum([len(t) for t in texts]))
             text, first, last, place, rank = sampled(data, offsets, least, seed)
-            known = []
-            for i, groups in enumerate(rows.column("shared").to_pylist()):
-                for g in groups:
-                    known.append((i, g["bucket"], g["ranks"]))
+            groups = rows.column("shared")
+            owner = np.repeat(np.arange(len(groups)), groups.value_lengths().to_numpy(zero_copy_only=False))
+            inner = groups.flatten()
+            packs = inner.field("ranks").to_pylist()
+            places = (owner << 32) + inner.field("bucket").to_numpy(zero_copy_only=False)
+            places = np.repeat(places, [len(x) // 5 for x in packs])
+            theirs = np.zeros((len(places), 8), np.uint8)
+            theirs[:, :5] = np.frombuffer(b"".join(packs), np.uint8).reshape(-1, 5)
+            theirs = mix(theirs.view(np.uint64)[:, 0] ^ mix(places.astype(np.uint64)))
             bucket = bucket_of(rank, buckets)
             short = np.zeros((len(rank), 8), np.uint8)
             short[:, :5] = rank.view(np.uint8).reshape(-1, 8)[:, :5]
             mine = mix(short.view(np.uint64)[:, 0] ^ mix((text * np.int64(1 << 32) + bucket).astype(np.uint64)))
-            theirs = [np.zeros(0, np.uint64)]
-            for i, b, packed in known:
-                body = np.zeros((len(packed) // 5, 8), np.uint8)
-                body[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-                theirs.append(mix(body.view(np.uint64)[:, 0] ^ mix(np.array([(i << 32) + b], np.uint64))))
-            keep = np.flatnonzero(np.isin(mine, np.concatenate(theirs)))
+            keep = np.flatnonzero(np.isin(mine, theirs))
             raw = data.tobytes()
             ids, fas = rows.column("doc_id").to_numpy(), rows.column("fa").to_numpy()
             t, a, z, p = text[keep], first[keep], last[keep], place[keep]
@@ -181,24 +185,57 @@ def _runs(buckets: int, least: int, seed: int):
 RUN = "doc_id long, fa long, at long, lead int, rank long, run binary"
 
 
-def _reach(runs: DataFrame, right: bool, least: int, seed: int) -> DataFrame:
-    """Adds how many bytes beyond the ranked string can repeat on one side: ranks pair with the bytes at growing
-    offsets, and a run leaves with the last length that another run shares."""
-    name, beyond = ("right", least - seed) if right else ("left", least - seed)
+def _side_ranks(right: bool, seed: int):
+    """The ranks of a run's string with the bytes at growing offsets on one side, null where the run has none there."""
+    rank, length, out = F.col("rank"), 0, []
     have = F.length("run") - F.col("lead") - seed if right else F.col("lead")
-    alive, done, length = runs.select("ra", "rb", "rank", "run", "lead"), None, 0
     for step in OFFSETS:
         length += step
-        piece = F.substring("run", F.col("lead") + seed + 1 + length - step, F.lit(step)) if right else F.substring(
-            "run", F.col("lead") - length + 1, F.lit(step))
-        open_ = alive.where(have >= length).withColumn("rank", F.xxhash64("rank", piece))
-        ended = alive.where(have < length).select("ra", "rb", F.lit(beyond).alias(name))
-        several = open_.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank", "k")
-        paired = staged(open_.join(several, "rank", "left"), "paired")
-        single = paired.where("k is null").select("ra", "rb", F.lit(length - 1).alias(name))
-        done = ended.union(single) if done is None else done.union(ended).union(single)
-        alive = paired.where("k is not null").select("ra", "rb", "rank", "run", "lead")
-    return staged(done.union(alive.select("ra", "rb", F.lit(beyond).alias(name))), "reach")
+        at = F.col("lead") + seed + 1 + length - step if right else F.col("lead") - length + 1
+        rank = F.xxhash64(rank, F.substring("run", at, F.lit(step)))
+        out.append(F.when(have >= length, rank))
+    return out
+
+
+def _reach(runs: DataFrame, side: str, beyond: int) -> DataFrame:
+    """``rank, ra, <side>``: how many bytes beyond the ranked string can repeat on that side. Ranks pair with the bytes at
+    growing offsets; a run leaves as soon as its rank is unique, or at its end."""
+    alive, done, length = runs.select("rank", "ra", *[f"{side}{i}" for i in range(len(OFFSETS))]), None, 0
+    for i, step in enumerate(OFFSETS):
+        length += step
+        rank = F.col(f"{side}{i}")
+        going = alive.where(rank.isNotNull())
+        several = going.groupBy(rank.alias("_rank")).agg(F.count("*").alias("k")).where("k > 1").select("_rank", "k")
+        paired = staged(going.join(several, rank == F.col("_rank"), "left"), "paired")
+        ended = alive.where(rank.isNull()).select("rank", "ra", F.lit(beyond).alias(side)).union(
+            paired.where("k is null").select("rank", "ra", F.lit(length - 1).alias(side)))
+        done = ended if done is None else done.union(ended)
+        alive = paired.where("k is not null").drop("_rank", "k")
+    return done.union(alive.select("rank", "ra", F.lit(beyond).alias(side)))
+
+
+def _resolved(runs: DataFrame, least: int, seed: int) -> DataFrame:
+    """``rank, ra, first, covered`` for every distinct run: the smallest document that has it whole, and the windows of
+    it that a smaller document than that one has in another run."""
+    kinds = staged(runs.groupBy("rank", "ra", "lead", "run").agg(F.min("doc_id").alias("first")), "kinds")
+    many = kinds.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
+    sides = [r.alias(f"{side}{i}") for side in ("right", "left") for i, r in enumerate(_side_ranks(side == "right", seed))]
+    open_ = staged(kinds.select("rank", "ra", "lead", F.length("run").alias("n"), *sides).join(many, "rank", "left_semi"), "open")
+    bounded = open_.select("rank", "ra", "lead", "n")
+    for side in ("right", "left"):
+        bounded = bounded.join(_reach(open_, side, least - seed), ["rank", "ra"])
+    # window i of a run has lead - i bytes before the ranked string, and the rest of its bytes after it
+    lo = F.greatest(F.lit(0), F.col("lead") - F.col("left"))
+    hi = F.least(F.col("n") - least, F.col("lead") - (least - seed) + F.col("right"))
+    bounded = bounded.select("rank", "ra", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    windows = kinds.join(bounded, ["rank", "ra"]).withColumn("i", F.explode(F.sequence("lo", "hi")))
+    cut = F.substring("run", F.col("i") + 1, F.lit(least))
+    windows = staged(windows.select(F.xxhash64("rank", cut).alias("wa"), F.hash(cut).alias("wb"), "first", "rank", "ra", "i"), "windows")
+    low = windows.groupBy("wa", "wb").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
+    partial = windows.join(low, ["wa", "wb"]).where("low < first").groupBy("rank", "ra").agg(F.collect_set("i").alias("covered"))
+    out = staged(kinds.select("rank", "ra", "first").join(partial, ["rank", "ra"], "left"), "resolved")
+    release(kinds, open_, windows)
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -228,28 +265,23 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Dat
         classes.select("fa", F.col("rep").alias("doc_id")), "fa")
     packed = texts.where("doc_id is not null").select("doc_id", "fa", "text").mapInArrow(_pack, "doc_id long, fa long, packed binary")
     runs = packed.join(wanted, ["doc_id", "fa"]).mapInArrow(_runs(buckets, least, seed), RUN)
-    runs = staged(runs.withColumns({"ra": F.xxhash64(F.lit(1), "run"), "rb": F.xxhash64(F.lit(2), "run")}), "runs")
-
-    kinds = staged(runs.groupBy("ra", "rb", "rank", "lead", "run").agg(F.min("doc_id").alias("first")), "kinds")
-    many = kinds.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
-    open_ = staged(kinds.join(many, "rank", "left_semi"), "open")
-    bounded = open_.join(_reach(open_, True, least, seed), ["ra", "rb"]).join(_reach(open_, False, least, seed), ["ra", "rb"])
-    # window i of a run has lead - i bytes before the ranked string, and the rest of its bytes after it
-    lo = F.greatest(F.lit(0), F.col("lead") - F.col("left"))
-    hi = F.least(F.length("run") - least, F.col("lead") - (least - seed) + F.col("right"))
-    windows = bounded.withColumns({"lo": lo, "hi": hi}).where("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
-    cut = F.substring("run", F.col("i") + 1, F.lit(least))
-    windows = staged(windows.select("rank", F.xxhash64("rank", cut).alias("wa"), F.hash(cut).alias("wb"), "first", "ra", "rb", "i"), "windows")
-    low = windows.groupBy("wa", "wb").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
-    partial = windows.join(low, ["wa", "wb"]).where("low < first").groupBy("ra", "rb").agg(F.collect_set("i").alias("covered"))
-
-    resolved = kinds.select("ra", "rb", "first").join(partial, ["ra", "rb"], "left")
-    found = runs.select("doc_id", "fa", "at", F.length("run").alias("n"), "ra", "rb").join(resolved, ["ra", "rb"])
-    span = lambda a, z: F.struct(a.cast("long").alias("a"), z.cast("long").alias("z"))
-    spans = F.when(F.col("doc_id") > F.col("first"), F.array(span(F.col("at"), F.col("at") + F.col("n")))).otherwise(
-        F.transform("covered", lambda i: span(F.col("at") + i, F.col("at") + i + least)))
-    found = found.select("doc_id", "fa", spans.alias("spans")).where("spans is not null").groupBy("doc_id", "fa").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"))
+    runs = staged(runs.withColumn("ra", F.xxhash64("run")), "runs")
+    release(shared)
+
+    resolved = None
+    for part in range(SLICES):
+        some = _resolved(runs.where(F.pmod("rank", F.lit(SLICES)) == part), least, seed)
+        resolved = some if resolved is None else resolved.union(some)
+    found = runs.select("doc_id", "fa", "at", F.length("run").alias("n"), "rank", "ra").join(resolved, ["rank", "ra"])
+    # a range as one number while it travels: it begins at a 64-bit place less 16 bits and is shorter than 2**16
+    span = lambda a, n: F.shiftleft(a.cast("long"), 16) + n
+    spans = F.when(F.col("doc_id") > F.col("first"), F.array(span(F.col("at"), F.col("n")))).otherwise(
+        F.transform("covered", lambda i: span(F.col("at") + i, F.lit(least))))
+    found = found.select("doc_id", "fa", F.explode(spans).alias("span")).groupBy("doc_id", "fa").agg(F.collect_list("span").alias("spans"))
+    whole = F.transform("spans", lambda s: F.struct(
+        F.shiftright(s, 16).alias("a"), (F.shiftright(s, 16) + F.pmod(s, F.lit(1 << 16))).alias("z")))
+    found = staged(found.select("doc_id", "fa", whole.alias("spans")), "found")
+    release(runs, resolved)
     return found.unionByName(copies)
 
 
@@ -272,11 +304,31 @@ def cut_out(text: bytes, spans) -> bytes:
     return b"".join(kept) + text[at:]
 
 
+def merged_lists(spans):
+    """``merged`` for an Arrow column of lists: ``(row, start, end)`` of all maximal ranges, by row and place."""
+    row = np.repeat(np.arange(len(spans)), np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    inner = spans.flatten()
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3
+    shift = row << 40
+    a, z = (inner.field(c).to_numpy(zero_copy_only=False) + shift for c in ("a", "z"))
+    order = np.argsort(a, kind="stable")
+    a, z, row = a[order], np.maximum.accumulate(z[order]), row[order]
+    first = np.ones(len(a), bool)
+    first[1:] = a[1:] > z[:-1]
+    at = np.flatnonzero(first)
+    shift = row[at] << 40
+    return row[at], a[at] - shift, z[np.append(at[1:], len(a)) - 1] - shift
+
+
 def _digest(batches):
     for rows, texts in _unpacked(batches):
+        row, start, end = merged_lists(rows.column("spans"))
+        begin = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        start, end = start.tolist(), end.tolist()
         out = []
-        for text, spans in zip(texts, rows.column("spans").to_pylist()):
-            ranges = merged(spans)
+        for i, text in enumerate(texts):
+            ranges = list(zip(start[begin[i]:begin[i + 1]], end[begin[i]:begin[i + 1]]))
             out.append((len(text), sum(z - a for a, z in ranges), len(ranges), hashlib.sha256(cut_out(text, ranges)).hexdigest()))
         columns = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays(
