@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,16 @@ def test_merged_ranges():
     assert suffix_dedup.merged(spans) == [(0, 4), (5, 9)] and suffix_dedup.cut_out(b"0123456789", [(0, 4), (5, 9)]) == b"49"
 
 
+def test_merged_lists_equal_merged():
+    rng = random.Random(8)
+    lists = [None, []] + [[{"a": a, "z": a + rng.randint(1, 9)} for a in (rng.randrange(60) for _ in range(rng.randint(0, 7)))] for _ in range(60)]
+    column = pa.array(lists, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))
+    for part, at in ((column, 0), (column.slice(5, 20), 5)):
+        row, start, end = suffix_dedup.merged_lists(part)
+        for i in range(len(part)):
+            assert list(zip(start[row == i].tolist(), end[row == i].tolist())) == suffix_dedup.merged(lists[at + i])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (101, 101), (7, 7), (None, 3), (500, 500)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
