@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pursuit.llm.registry import query, table
+from pursuit.staging import lookup
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -136,8 +137,11 @@ def fit(docs: DataFrame, held_out, seed: int = 7) -> Network | None:
     """A network trained on rows with a language that are not ``held_out``; None without any. Rows are chosen by the
     hash of their id, at most SAMPLE_DOCS of a language."""
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.where("lang is not null and text is not null").where(~held_out).select("doc_id", "lang", "text") \
-        .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_DOCS)
+    labelled = docs.where("lang is not null and text is not null").where(~held_out)
+    # ids first, so that no text travels but those of the sample
+    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_DOCS)
+    chosen = lookup(chosen.select("doc_id", "lang").distinct(), "sample")
+    rows = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
     room = F.greatest(F.lit(0), F.length("text") - WINDOW)
     places = F.array_distinct(F.transform(
         F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.floor(i * room / (SAMPLE_WINDOWS - 1))))
