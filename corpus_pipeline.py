@@ -5,19 +5,32 @@ out of the later ones, documents that contain benchmark items go, and the rest i
 Every stage does its whole work on what the one before kept.
 """
 
+from functools import wraps
+
 from pursuit.llm.decontaminate import without_leaks
 from pursuit.llm.mixing import mixed
 from pursuit.llm.ngram_join import keep_first
 from pursuit.llm.quality import keep_good
 from pursuit.llm.suffix_dedup import without_repeats
-from pursuit.staging import staged
+from pursuit.staging import staged, sweep
+
+
+def swept(stage):
+    """The stage after a collection on the driver, which frees what the plans of the stage before it held, and the shuffle
+    files behind them."""
+    @wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        sweep(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
 
 STAGES = [
-    ("quality classifier", keep_good),
-    ("n-gram Jaccard join", keep_first),
-    ("suffix-array dedup", without_repeats),
-    ("benchmark decontamination", without_leaks),
-    ("mixing sources to target weights", mixed),
+    ("quality classifier", swept(keep_good)),
+    ("n-gram Jaccard join", swept(keep_first)),
+    ("suffix-array dedup", swept(without_repeats)),
+    ("benchmark decontamination", swept(without_leaks)),
+    ("mixing sources to target weights", swept(mixed)),
 ]
 
 # trained weights and similarity joins cannot be said in SQL; tests compare every stage with a brute-force version
