@@ -4,6 +4,10 @@ Numbers, names and units of a text become typed placeholders, so a question aske
 template. Windows of the template are hashed and joined with the windows of the benchmark's items; matches that lie on one
 alignment of a document with an item count together, and the values behind the placeholders must map one to one between
 the two, which a re-parameterised question does and a chance match of templates does not.
+
+Whether a word is a name depends on where it stands, so windows are matched in several ways, and one is enough: by the
+template of either side; by the words and values alone, whatever their case; and by the places where the item has names
+or may have them, with any word of the document there.
 """
 
 import numpy as np
@@ -19,6 +23,7 @@ WINDOW = 8              # template tokens in a window
 SHORTEST = 4            # items of fewer tokens are not looked for; below WINDOW an item is one window
 LITERALS = 0.5          # share of a window that must be plain words
 ENOUGH = 6              # matching windows on one alignment, or all that the item has
+TEMPLATE, WORDS, NAMES, OPENINGS = range(4)   # ways to match; OPENINGS takes capitals that begin a sentence as names too
 FILTER_BITS = 22        # a bitmap of this fixed size tells which windows may be an item's
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs hour hours day days week weeks month months year "
          "years second seconds minute minutes meter meters metre metres kilometer kilometers mile miles gram grams kilogram "
@@ -37,15 +42,50 @@ def _unit_hashes() -> np.ndarray:
     return word_hashes(data, ends - np.array([len(u) for u in UNITS]), ends)
 
 
+def _lowered() -> np.ndarray:
+    """By code point, the lower case as two or three bytes of UTF-8 where it has as many as the character itself; ß as ss
+    and the last sigma as any, as their capitals have it."""
+    out = np.arange(1 << 16)
+    for c in range(128, 1 << 16):
+        if not 0xD800 <= c < 0xE000:
+            low = {"ß": "ss", "ς": "σ"}.get(chr(c), chr(c).lower()).encode()
+            same = low if len(low) == (2 if c < 0x800 else 3) else chr(c).encode()
+            out[c] = int.from_bytes(same, "big")
+    return out
+
+
 UNIT_HASHES = _unit_hashes()
+LOWERED = _lowered()
+PLACE = mix(np.arange(1, WINDOW + 1, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
+
+
+def characters(data: np.ndarray):
+    """``(first byte, size, code point)`` of the characters of two and three bytes."""
+    two = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0))
+    three = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] < 0xF0))
+    byte = lambda at, i: (data[at + i] & 63).astype(np.int64)
+    code = np.concatenate([(data[two] & 31).astype(np.int64) << 6 | byte(two, 1),
+                           (data[three] & 15).astype(np.int64) << 12 | byte(three, 1) << 6 | byte(three, 2)])
+    return np.concatenate([two, three]), np.repeat([2, 3], [len(two), len(three)]), code
+
+
+def lower(data: np.ndarray, at: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The bytes with their characters lowered, at the same places. A-Z stay; the hash of a word does not see their case."""
+    low, out = LOWERED[code], data.copy()
+    for i in range(3):
+        has = size > i
+        out[at[has] + i] = (low[has] >> (8 * (size[has] - 1 - i))) & 255
+    return out
 
 
 def template(data: np.ndarray, offsets: np.ndarray):
-    """``(doc, kind, code, value)`` of every token: a run of letters or a number. ``value`` is the hash of the lowered
+    """``(doc, kind, code, value, opening)`` of every token: a run of letters or a number. ``value`` is the hash of the lowered
     token, ``code`` the same for plain words and one constant for each kind of placeholder. A number may hold points and
-    commas; a unit follows a number; a name has a capital and does not begin a sentence."""
+    commas; a unit follows a number; a name has a capital and does not begin a sentence; ``opening`` is a word with a capital
+    that does."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8), *(np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), *(np.zeros(0, np.uint64),) * 2, np.zeros(0, bool)
+    at, size, code = characters(data)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     cls = CLASS[data].copy()
@@ -57,9 +97,9 @@ def template(data: np.ndarray, offsets: np.ndarray):
     start = np.flatnonzero((cls > 0) & change[:-1])
     end = np.flatnonzero((cls > 0) & change[1:]) + 1
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8), *(np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), *(np.zeros(0, np.uint64),) * 2, np.zeros(0, bool)
     doc = np.searchsorted(offsets, start, "right") - 1
-    value = word_hashes(np.where(cls > 0, data, np.uint8(32)), start, end)
+    value = word_hashes(np.where(cls > 0, lower(data, at, size, code), np.uint8(32)), start, end)
 
     stops = np.append(0, np.cumsum(np.isin(data, np.frombuffer(b".!?:;\n", np.uint8)) & (cls == 0)))
     before = np.append(0, end[:-1])
@@ -70,7 +110,7 @@ def template(data: np.ndarray, offsets: np.ndarray):
     follows = np.append(False, number[:-1]) & ~np.diff(doc, prepend=-1).astype(bool)
     kind = np.select([number, follows & np.isin(value, UNIT_HASHES), capital & ~opens], [NUMBER, UNIT, NAME], LITERAL).astype(np.uint8)
     code = np.where(kind == LITERAL, value, mix(kind.astype(np.uint64) + np.uint64(1 << 32)))
-    return doc, kind, code, value
+    return doc, kind, code, value, (kind == LITERAL) & capital & opens
 
 
 def windows(doc, kind, code, size: int):
@@ -84,35 +124,112 @@ def windows(doc, kind, code, size: int):
     return mix(hashes[keep] + np.uint64(size)), owner[keep], at[keep]
 
 
-FOUND = "id long, fa long, hash long, pos long, slots array<long>"
+def masked(code: np.ndarray, doc: np.ndarray, size: int, masks) -> tuple:
+    """Hashes of the windows of one size for every mask, whose bits are the places left out, and the first tokens of the
+    windows: ``([hashes], [at])``. They are not mixed yet: equal windows have equal hashes for one mask and size only."""
+    at = np.flatnonzero(doc[:len(doc) - size + 1] == doc[size - 1:]) if len(code) >= size else np.zeros(0, np.int64)
+    terms = [code[at + j] * PLACE[j] for j in range(size)]
+    whole = sum(terms) if len(at) else np.zeros(0, np.uint64)
+    out = []
+    for mask in masks:
+        part = whole
+        for j in range(size):
+            if mask >> j & 1:
+                part = part - terms[j]
+        out.append(part)
+    return out, at
+
+
+def tagged(hashes: np.ndarray, way: int, size: int, mask: int) -> np.ndarray:
+    """Hashes of ``masked``, told apart by size and mask, and of the words alone from those with placeholders."""
+    tag = np.array([(way == WORDS) << 20 | size << 10 | mask], np.uint64)
+    return (hashes ^ mix(tag + np.uint64(1 << 40))) * PLACE[0]
+
+
+FOUND = "id long, fa long, hash long, pos long, slots array<long>, way int, size int, mask int"
+TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32())
+
 
+def _found(out: list):
+    columns = list(zip(*out)) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)],
+                                      names=["id", "fa", "hash", "pos", "slots", "way", "size", "mask"])
+
+
+def _item_windows(batches):
+    """Rows of the windows of every item by all ways: one window size each, by the item's own length. Slots are the values
+    of what the way takes for placeholders; for WORDS of what the template has."""
+    for rows, data, offsets in pieces(batches):
+        doc, kind, code, value, opening = template(data, offsets)
+        typed = np.where((kind == NUMBER) | (kind == UNIT), code, value)
+        begin = np.searchsorted(doc, np.arange(len(offsets) - 1))
+        count = np.bincount(doc, minlength=len(offsets) - 1)
+        ids, fas = rows.column("id").to_pylist(), rows.column("fa").to_pylist()
+        out = []
+
+        def add(hashes, at, way, size, mask, free):
+            for h, a in zip(hashes.view(np.int64).tolist(), at.tolist()):
+                d = doc[a]
+                out.append((ids[d], fas[d], h, a - int(begin[d]), value[a:a + size][free[a:a + size]].view(np.int64).tolist(), way, size, mask))
+
+        for size in range(SHORTEST, WINDOW + 1):
+            mine = lambda at: np.minimum(count[doc[at]], WINDOW) == size  # noqa: E731, B023
+            hashes, _, at = windows(doc, kind, code, size)
+            add(hashes[mine(at)], at[mine(at)], TEMPLATE, size, 0, kind != LITERAL)
+            (hashes,), at = masked(value, doc, size, [0])
+            add(tagged(hashes, WORDS, size, 0)[mine(at)], at[mine(at)], WORDS, size, 0, kind != LITERAL)
+            for way, name in ((NAMES, kind == NAME), (OPENINGS, (kind == NAME) | opening)):
+                free = name | (kind == NUMBER) | (kind == UNIT)
+                full = np.append(0, np.cumsum(~free))
+                places = sum(name[at + j].astype(np.int64) << j for j in range(size)) if len(at) else at
+                admitted = mine(at) & (full[at + size] - full[at] >= LITERALS * size)
+                for mask in np.unique(places[admitted]).tolist():
+                    (hashes,), _ = masked(typed, doc, size, [mask])
+                    has = admitted & (places == mask)
+                    add(tagged(hashes, way, size, mask)[has], at[has], way, size, mask, free)
+        yield _found(out)
+
+
+def _windows_of(shapes, bitmap: bytes):
+    """Rows of the windows of every text that the bitmap admits, in the ``shapes`` (way, size, mask) that items have. Windows
+    of NAMES and OPENINGS are the same here and stand under NAMES. WORDS have no slots: they are the item's."""
+    shapes = {(min(way, NAMES), size, mask) for way, size, mask in shapes}
 
-def _windows_of(sizes, bitmap: bytes | None):
-    """Rows of the windows of every text; with a bitmap only of those it admits. ``sizes`` None is for items: one
-    window size each, by the item's own length."""
     def run(batches):
-        admitted = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
+        admitted = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
         for rows, data, offsets in pieces(batches):
-            doc, kind, code, value = template(data, offsets)
+            doc, kind, code, value, _ = template(data, offsets)
+            typed = np.where((kind == NUMBER) | (kind == UNIT), code, value)
+            counted = (kind == NUMBER) | (kind == UNIT)
             begin = np.searchsorted(doc, np.arange(len(offsets) - 1))
-            count = np.bincount(doc, minlength=len(offsets) - 1)
             ids, fas = rows.column("id").to_pylist(), rows.column("fa").to_pylist()
             out = []
-            for size in sizes if sizes is not None else range(SHORTEST, WINDOW + 1):
-                hashes, owner, at = windows(doc, kind, code, size)
-                keep = np.ones(len(hashes), bool)
-                if sizes is None:
-                    keep = np.minimum(count[owner], WINDOW) == size
-                if admitted is not None:
-                    bit = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    keep &= (admitted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                for h, d, a in zip(hashes[keep].view(np.int64).tolist(), owner[keep].tolist(), at[keep].tolist()):
-                    slots = value[a:a + size][kind[a:a + size] != LITERAL].view(np.int64).tolist()
-                    out.append((ids[d], fas[d], h, a - int(begin[d]), slots))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
-                names=["id", "fa", "hash", "pos", "slots"])
+
+            def add(hashes, at, way, size, mask):
+                keep = np.flatnonzero(admitted[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+                hashes, at = hashes[keep], at[keep]
+                if way == WORDS and size < WINDOW:      # a whole item: once in a text is enough
+                    _, once = np.unique(np.stack([doc[at], hashes.view(np.int64)]), axis=1, return_index=True)
+                    hashes, at = hashes[once], at[once]
+                places = np.array([mask >> j & 1 for j in range(size)], bool)
+                for h, a in zip(hashes.view(np.int64).tolist(), at.tolist()):
+                    d = doc[a]
+                    slots = None
+                    if way != WORDS:
+                        free = kind[a:a + size] != LITERAL if way == TEMPLATE else counted[a:a + size] | places
+                        slots = value[a:a + size][free].view(np.int64).tolist()
+                    out.append((ids[d], fas[d], h, a - int(begin[d]), slots, way, size, mask))
+
+            for way, size in sorted({s[:2] for s in shapes}):
+                masks = sorted(m for w, n, m in shapes if (w, n) == (way, size))
+                if way == TEMPLATE:
+                    hashes, _, at = windows(doc, kind, code, size)
+                    add(hashes, at, way, size, 0)
+                    continue
+                several, at = masked(value if way == WORDS else typed, doc, size, masks)
+                for mask, hashes in zip(masks, several):
+                    add(tagged(hashes, way, size, mask), at, way, size, mask)
+            yield _found(out)
     return run
 
 
@@ -124,23 +241,27 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, fa, item_id, n_windows, item_windows, n_slots, n_changed`` for every document and item it contains.
 
-    A pair counts if on one alignment at least ENOUGH windows match, or all the item has, and the values of the
-    placeholders map one to one. ``n_changed`` of ``n_slots`` distinct values differ from the item's. Null and empty texts
-    match nothing; rows of one id are told apart by ``fa``, a hash of the text; repeated rows give one pair; null ids are
-    kept. Reads the benchmark's windows when called."""
-    items = staged(_texts(benchmark, "item_id").distinct().mapInArrow(_windows_of(None, None), FOUND), "items")
+    A pair counts if in one of the ways to match and on one alignment at least ENOUGH windows match, or all the item has,
+    and the values of the placeholders map one to one. The figures are those of the way with most windows. ``n_changed`` of
+    ``n_slots`` distinct values differ from the item's. Null and empty texts match nothing; rows of one id are told apart by
+    ``fa``, a hash of the text; repeated rows give one pair; null ids are kept. Reads the benchmark's windows when called."""
+    items = staged(_texts(benchmark, "item_id").distinct().mapInArrow(_item_windows, FOUND), "items")
     bits = [r[0] for r in items.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("bit")).distinct().collect()]
     bitmap = np.zeros(1 << FILTER_BITS, np.uint8)
     bitmap[np.array(bits, np.int64)] = 1
     bitmap = np.packbits(bitmap, bitorder="little").tobytes()
-    lengths = items.groupBy(F.col("id").alias("item_id"), F.col("fa").alias("item_fa")).agg(F.count("*").alias("item_windows"))
-    own = items.select(F.col("id").alias("_id"), F.col("fa").alias("_fa"), "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    own = lookup(own.join(lengths, F.col("_id").eqNullSafe(F.col("item_id")) & (F.col("_fa") == F.col("item_fa"))).drop("_id", "_fa"), "item_windows")
-
-    found = _texts(docs, "doc_id").mapInArrow(_windows_of(_sizes(items), bitmap), FOUND)
-    matched = found.join(own, "hash").withColumn("alignment", F.col("pos") - F.col("item_pos"))
-    pairs = F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))))
-    aligned = matched.groupBy("id", "fa", "item_id", "item_fa", "alignment", "item_windows").agg(
+    shapes = [tuple(r) for r in items.select("way", "size", "mask").distinct().collect()]
+    lengths = items.groupBy(F.col("id").alias("item_id"), F.col("fa").alias("item_fa"), F.col("way").alias("item_way")).agg(
+        F.count("*").alias("item_windows"))
+    own = items.select(F.col("id").alias("_id"), F.col("fa").alias("_fa"), F.col("way").alias("_way"), "hash", F.least("way", F.lit(NAMES)).alias("way"),
+                       "size", "mask", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    own = lookup(own.join(lengths, F.col("_id").eqNullSafe(F.col("item_id")) & (F.col("_fa") == F.col("item_fa"))
+                          & (F.col("_way") == F.col("item_way"))).drop("_id", "_fa", "_way"), "item_windows")
+
+    found = _texts(docs, "doc_id").mapInArrow(_windows_of(shapes, bitmap), FOUND)
+    matched = found.join(own, ["hash", "way", "size", "mask"]).withColumn("alignment", F.col("pos") - F.col("item_pos"))
+    pairs = F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("item"), F.coalesce("slots", "item_slots").alias("doc"))))
+    aligned = matched.groupBy("id", "fa", "item_id", "item_fa", "item_way", "alignment", "item_windows").agg(
         F.count_distinct("item_pos").alias("n_windows"), F.array_distinct(pairs).alias("values"))
     values = lambda side: F.size(F.array_distinct(F.transform("values", lambda v: v[side])))
     changed = F.size(F.filter("values", lambda v: v["item"] != v["doc"]))
@@ -152,12 +273,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("doc_id", "fa", "item_id", "best.*")
 
 
-def _sizes(items: DataFrame) -> list[int]:
-    """Window sizes that occur: WINDOW, and the shorter lengths of short items."""
-    one = items.groupBy("id", "fa").agg(F.count("*").alias("n")).where("n = 1")
-    return [WINDOW] if one.isEmpty() else list(range(SHORTEST, WINDOW + 1))
-
-
 @query()
 def op4_decontaminate(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("fa")

@@ -132,6 +132,32 @@ def test_reparameterised_questions(spark, docs_of):
     assert decontaminate.leaks(docs_of([]), items).collect() == [] and decontaminate.leaks(docs, items.where("false")).collect() == []
 
 
+def leaked(spark, docs_of, items, texts):
+    """``{(doc, item)}`` of items and texts numbered by place."""
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of([(i, t, None, None) for i, t in enumerate(texts)]), rows).collect()}
+
+
+def test_short_items_in_any_context_and_case(spark, docs_of):
+    rng = random.Random(6)
+    items = []
+    for n in range(4, 14):
+        w = ["".join(rng.choice("abcdefghi") for _ in range(5)) for _ in range(n)]
+        items.append(" ".join([w[0].capitalize(), *w[1:-1], w[-1].capitalize()]) + "?")
+    items += ["Émile va à la plage où Zoé dort près de Noël", "Иван дал Анне семь яблок утром", "Die Straße nach Köln ist länger als Öl"]
+    around = ["so they say {} and on", "{}", "End. {}", "it is {}"]
+    texts = [a.format(t) for t in items for a in (*around[:3], around[3].format(t.lower()), around[3].format(t.upper()))]
+    got = leaked(spark, docs_of, items, texts)
+    assert got == {(5 * i + k, i) for i in range(len(items)) for k in range(5)}
+
+
+def test_reparameterised_short_items_in_any_context_and_case(spark, docs_of):
+    items = ["Anna buys 12 apples and keeps them", "Yesterday the farmer gave Anna and Tom 3 pears"]
+    texts = ["so Maria buys 40 apples and keeps them now", "so maria buys 40 apples and keeps them now", "SO MARIA BUYS 40 APPLES AND KEEPS THEM NOW",
+             "yesterday the farmer gave eva and ben 5 pears", "yesterday the farmer gave eva and eva 5 pears", "so Maria sells 40 apples and keeps them"]
+    assert leaked(spark, docs_of, items, texts) == {(0, 0), (1, 0), (2, 0), (3, 1)}
+
+
 def brute_leaks(docs, items):
     """Pairs by plain windows of words; on text without numbers it is what templates must find at least."""
     import re
