@@ -158,6 +158,14 @@ def test_reparameterised_short_items_in_any_context_and_case(spark, docs_of):
     assert leaked(spark, docs_of, items, texts) == {(0, 0), (1, 0), (2, 0), (3, 1)}
 
 
+def test_items_of_values_short_items_and_scripts_without_spaces(spark, docs_of):
+    items = ["12 + 7 = 19, 19 - 4 = 15", "GIVE THE NAME OF THE TALLEST MOUNTAIN IN ALL OF EUROPE TODAY PLEASE", "12 34 56 78 90 11 13 15 17 19 21 23 25 27",
+             "Who was Jane Mary Smith", "Bonn 7", "Zugspitze", "水的化学式是什么？请回答。", "りんごは、いくつありますか", "น้ำเดือดที่อุณหภูมิเท่าใด"]
+    texts = [f"so it said {t} and more" for t in items] + [f"前文。{items[6]}后文", "水的 化学", "so 12 + 7 = 19, 19 - 5 = 15", "Bonn 8 and the mountain", "“Zugspitze”—yes"]
+    n = len(items)
+    assert leaked(spark, docs_of, items, texts) == {(i, i) for i in range(n)} | {(n, 6), (n + 4, 5)}
+
+
 def brute_leaks(docs, items):
     """Pairs by plain windows of words; on text without numbers it is what templates must find at least."""
     import re
