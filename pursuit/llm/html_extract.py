@@ -1,8 +1,9 @@
 """Main text of web pages by the maximum-scoring run of tokens.
 
 A page is a sequence of words and tags. Words score by the block they stand in, tags cost points; the weights are log
-odds counted on labelled pages, which are pages that mark their article up as such. One linear scan finds the
-contiguous region of highest score, and the blocks inside it that are not boilerplate themselves are the text.
+odds counted on labelled pages, which are pages that mark their article up as such. Words and tags inside boilerplate are
+known by it alone, so lists in menus say nothing about lists elsewhere. One linear scan finds the contiguous region of
+highest score, and what of it no boilerplate encloses is the text.
 """
 
 import html
@@ -17,6 +18,7 @@ from pursuit.llm.registry import query, table
 
 SAMPLE = 2000           # labelled pages that the weights are counted on
 PRIOR = 20.0            # words that a block with a telling name counts as seen outside an article
+MARKED = 0.25           # points at least of a word that a page marks as its article
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "button", "object", "canvas", "title"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track", "param"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
@@ -89,21 +91,26 @@ def telling(key: str) -> bool:
     return tag in BOILERPLATE or bool(hint)
 
 
+def bare(blocks) -> bool:
+    """Whether nothing telling is around; what is there then counts for itself."""
+    return not any(telling(b) for b in blocks)
+
+
 def count_page(page: str) -> dict[tuple[str, str], list[int]]:
     """Words and tags by key, inside and outside the labelled article; nothing for a page without exactly one. What a
-    telling name marks inside it, such as comments, counts as outside."""
+    telling name marks inside it, such as comments, counts as outside, and for the telling blocks only."""
     items = tokens_of(page)
     if sum(key in LABEL for _, key, _, _ in items) not in (2, 1):
         return {}
     counts: dict[tuple[str, str], list[int]] = {}
     for text, key, blocks, _ in items:
-        outside = not any(b in LABEL for b in blocks) or any(telling(b) for b in blocks)
+        outside = not any(b in LABEL for b in blocks) or not bare(blocks)
         if text is None:
-            if key not in OUTER:
+            if key not in OUTER and (telling(key) or bare(blocks)):
                 counts.setdefault(("tag", key), [0, 0])[outside] += 1
         else:
             n = len(text.split())
-            for b in set(blocks) - OUTER:
+            for b in set(blocks if bare(blocks) else filter(telling, blocks)) - OUTER:
                 counts.setdefault(("word", b), [0, 0])[outside] += n
     return counts
 
@@ -121,15 +128,25 @@ class Weights:
         return math.log((inside + 1) / (outside + 1))
 
     def word(self, blocks) -> float:
-        """Between -1/4 and 1, as the worst block around it says. Boilerplate costs little, since an article may go on
-        after it; at either end of a region any cost is enough to leave it out."""
-        known = [b for b in blocks if b not in OUTER and (telling(b) or ("word", b) in self.counts)]
+        """Between -1/4 and 1, as the worst block around it says; of telling blocks only these are asked. Boilerplate costs
+        little, since an article may go on after it; at either end of a region any cost is enough to leave it out. What the
+        page marks as its article scores at least MARKED without boilerplate around it."""
+        if not bare(blocks):
+            return max(-0.25, min(1.0, min(self.odds("word", b) for b in blocks if telling(b))))
+        known = [b for b in blocks if b not in OUTER and ("word", b) in self.counts]
         worst = min((self.odds("word", b) for b in known), default=0.5)
-        return max(-0.25, min(1.0, worst))
+        return max(MARKED if any(b in LABEL for b in blocks) else -0.25, min(1.0, worst))
 
-    def tag(self, key: str) -> float:
-        """Tags cost between 0.2 and 1.5 points."""
-        return 0.0 if key in OUTER else -min(1.5, 0.2 + max(0.0, -self.odds("tag", key)))
+    def tag(self, key: str, blocks=()) -> float:
+        """Tags cost between 0.2 and 1.5 points; nothing in what the page marks as its article, 0.2 inside boilerplate."""
+        if key in OUTER:
+            return 0.0
+        if not telling(key):
+            if not bare(blocks):
+                return -0.2
+            if any(b in LABEL for b in blocks):
+                return 0.0
+        return -min(1.5, 0.2 + max(0.0, -self.odds("tag", key)))
 
 
 def best_region(scores) -> tuple[int, int]:
@@ -145,13 +162,13 @@ def best_region(scores) -> tuple[int, int]:
 
 
 def extract(page: str, weights: Weights) -> str:
-    """The blocks of the best region, one a line."""
+    """The blocks of the best region that nothing telling encloses, one a line."""
     items = tokens_of(page)
     known: dict[tuple, float] = {}
     scores = []
     for text, key, blocks, _ in items:
         if text is None:
-            scores.append(weights.tag(key))
+            scores.append(weights.tag(key, blocks))
         else:
             if blocks not in known:
                 known[blocks] = weights.word(blocks)
@@ -164,7 +181,7 @@ def extract(page: str, weights: Weights) -> str:
         if border:
             lines.append(parts)
             parts = []
-        if text is not None and known[blocks] > 0:
+        if text is not None and bare(blocks):
             parts.append(text)
     lines.append(parts)
     joined = (" ".join("".join(p).split()) for p in lines)

@@ -111,6 +111,24 @@ def test_extraction(spark):
     assert html_extract.main_text(pages.where("page_id = 53")).first().text == "plain words without any tag"
 
 
+RICH = """<html><body><nav><ul><li>Home page</li><li>World news</li></ul></nav><table><tr><td>Old layout cell</td></tr></table><h2>Outside head</h2>
+<ARTICLE><h1>Title here</h1><p>The first paragraph of the text has some words.</p><h2>Part one</h2><ul><li>apples</li><li>pears and plums</li></ul>
+<table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>2</td></tr></table><aside><ul><li>See also this</li></ul></aside><div>A block in a div.</div>
+<ol><li>last point</li></ol></ARTICLE><footer>All rights reserved</footer></body></html>"""
+
+
+def test_lists_tables_and_subheadings_inside_articles(spark):
+    page = RICH.replace("ARTICLE", "article")
+    rows = [(i, "u", PAGE) for i in range(20)] + [(100 + i, "u", page.replace("first", f"first{i}")) for i in range(3)]
+    rows += [(i, "u", "<nav><ul><li>a b c</li></ul></nav><table><tr><td>x y</td></tr></table><h2>some head</h2><article><p>words</p></article>") for i in range(200, 300)]
+    rows += [(400, "u", "<nav><ul><li>Home page</li></ul></nav><p>One paragraph has some words.</p><ul><li>apples</li><li>pears and plums</li></ul>"
+              "<p>Another paragraph has more words.</p>")]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = ["Title here", "The first1 paragraph of the text has some words.", "Part one", "apples", "pears and plums", "k", "v", "1", "2",
+            "A block in a div.", "last point"]
+    assert got[101] == want and {"apples", "pears and plums"} <= set(got[400]) and not {"See also this", "Home page"} & set(got[400])
+
+
 def test_extraction_of_given_pages(given):
     for r in html_extract.main_text(given("pages")).join(given("pages").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>)", r.html, re.S)[1]
