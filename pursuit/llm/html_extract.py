@@ -29,18 +29,21 @@ BOILERPLATE = {"nav", "aside", "footer", "header", "form", "menu", "dialog", "fi
 HINTS = ["comment", "sidebar", "advert", "ad", "ads", "banner", "cookie", "notice", "promo", "share", "social", "related", "menu",
          "nav", "breadcrumb", "footer", "header", "popup", "modal", "newsletter", "subscribe", "sponsor", "widget", "login",
          "search", "reply", "disclaimer", "toolbar", "pagination"]
-HINT = re.compile(r"(?:^|[\s_-])(" + "|".join(HINTS) + r")s?(?=$|[\s_-])")
+HINT = re.compile(r"(?:^|[_-])(" + "|".join(HINTS) + r")s?(?=$|[_-])")
+MODIFIER = re.compile(r"(?:^|[_-])(?:has|have|no|not|with|without|hide|hidden|show|shows|toggle|enable|disable|enabled|disabled)[_-]")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def key_of(tag: str, attributes: str) -> str:
-    """The tag, with a telling word of its class, id or role if there is one."""
-    if attributes:
+def key_of(tag: str, attributes: str, inner: bool = False) -> str:
+    """The tag, with a telling word of its class, id or role if there is one. A word after a modifier, as in no-sidebar, tells
+    nothing, nor do those of OUTER, which hold whole pages; an article ``inner`` to another can be a comment, though."""
+    if attributes and (tag not in OUTER or tag == "article" and inner):
         for parts in NAMED.findall(attributes):
-            hint = HINT.search("".join(parts).lower())
-            if hint:
-                return f"{tag}.{hint[1]}"
+            for name in "".join(parts).lower().split():
+                hint, modifier = HINT.search(name), MODIFIER.search(name)
+                if hint and not (modifier and modifier.start() < hint.start(1)):
+                    return f"{tag}.{hint[1]}"
     return tag
 
 
@@ -64,14 +67,15 @@ def tokens_of(page: str):
             items.append((html.unescape(piece), None, blocks, False))
             continue
         tag = tag.lower()
-        key = key_of(tag, m[3])
+        key = key_of(tag, m[3], tag == "article" and any(t == tag for t, _ in stack))
         items.append((None, key, blocks, tag not in INLINE))
         if slash:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
         elif tag in RAW:
-            raw = tag
+            if tag != "svg" or not m[3].endswith("/"):      # of these only svg can close itself
+                raw = tag
             continue
         elif tag not in VOID and not m[3].endswith("/"):
             if tag not in INLINE:
@@ -100,7 +104,7 @@ def count_page(page: str) -> dict[tuple[str, str], list[int]]:
     """Words and tags by key, inside and outside the labelled article; nothing for a page without exactly one. What a
     telling name marks inside it, such as comments, counts as outside, and for the telling blocks only."""
     items = tokens_of(page)
-    if sum(key in LABEL for _, key, _, _ in items) not in (2, 1):
+    if sum(text is None and key in LABEL and bare(blocks) for text, key, blocks, _ in items) not in (2, 1):
         return {}
     counts: dict[tuple[str, str], list[int]] = {}
     for text, key, blocks, _ in items:

@@ -129,6 +129,18 @@ def test_lists_tables_and_subheadings_inside_articles(spark):
     assert got[101] == want and {"apples", "pears and plums"} <= set(got[400]) and not {"See also this", "Home page"} & set(got[400])
 
 
+def test_hints_of_outer_blocks_modifiers_and_closed_svg(spark):
+    inner = "<p>First words of the text.</p><p>More words of the text.</p>"
+    pages = [f'<body class="has-sidebar"><article>{inner}</article></body>', f'<html class="no-js no-sidebar"><body class="search"><p></p>{inner}</body></html>',
+             f'<main id="search-results">{inner}</main>', f'<article class="post share">{inner}</article>', f'<div class="page with-left-sidebar">{inner}</div>',
+             f'<svg viewBox="0 0 1 1"/>{inner}', f'<p><svg class="x" /></p>{inner}<svg><text>no</text></svg>',
+             f'<article>{inner}<article class="comment">I agree with this</article></article><div class="sidebar"><p>Not this</p></div>']
+    rows = [(100 + i, "u", PAGE) for i in range(20)] + [(i, "u", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == ["First words of the text.\nMore words of the text."] * len(pages)
+    assert html_extract.key_of("div", 'class="has-post sidebar"') == "div.sidebar" and html_extract.key_of("div", "class=no-ads") == "div"
+
+
 def test_extraction_of_given_pages(given):
     for r in html_extract.main_text(given("pages")).join(given("pages").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>)", r.html, re.S)[1]
