@@ -248,7 +248,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """``doc_id, fa, spans`` of the texts that repeat something: ``spans`` are byte ranges ``(a, z)``, in any order and
     overlapping, that together hold every byte of a string of ``least`` bytes which also starts in a document with a
-    smaller id. ``fa`` tells texts of one id apart. Rows without an id take no part. Runs its stages when called."""
+    smaller id. ``fa`` tells texts of one id apart; rows repeated wholly have one row here. Rows without an id take no part. Runs its stages when called."""
     texts = fingerprints(docs)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
@@ -256,6 +256,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Dat
     members = staged(known, "members")
     classes = staged(members.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("rep")), "classes")
     copies = members.where(F.col("n") >= least).join(classes, ["fa", "fb", "n"]).where("doc_id > rep").select(
+        "doc_id", "fa", "n").dropDuplicates(["doc_id", "fa"]).select(
         "doc_id", "fa", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"))).alias("spans"))
 
     entries = texts.where("doc_id is not null").select("fa", "text").mapInArrow(
@@ -277,7 +278,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Dat
     span = lambda a, n: F.shiftleft(a.cast("long"), 16) + n
     spans = F.when(F.col("doc_id") > F.col("first"), F.array(span(F.col("at"), F.col("n")))).otherwise(
         F.transform("covered", lambda i: span(F.col("at") + i, F.lit(least))))
-    found = found.select("doc_id", "fa", F.explode(spans).alias("span")).groupBy("doc_id", "fa").agg(F.collect_list("span").alias("spans"))
+    found = found.select("doc_id", "fa", F.explode(spans).alias("span")).groupBy("doc_id", "fa").agg(F.collect_set("span").alias("spans"))
     whole = F.transform("spans", lambda s: F.struct(
         F.shiftright(s, 16).alias("a"), (F.shiftright(s, 16) + F.pmod(s, F.lit(1 << 16))).alias("z")))
     found = staged(found.select("doc_id", "fa", whole.alias("spans")), "found")

@@ -136,6 +136,17 @@ def test_removal_on_given_documents(given):
     assert sorted((tuple(r) for r in got), key=str) == brute_removal(rows)
 
 
+def test_removal_from_repeated_rows(docs_of):
+    copied, passage = "a text that is copied with its head and its tail, and more of it", "a passage of more than fifty bytes that two of the texts share"
+    rows = [(1, copied)] + [(2, copied)] * 5 + [(3, passage + " and an end")] + [(4, "a head and " + passage)] * 4
+    docs = docs_of([(i, t, None, None) for i, t in rows])
+    assert sorted((tuple(r) for r in suffix_dedup.removal_report(docs).collect()), key=str) == brute_removal(rows)
+    assert sorted(r.doc_id for r in suffix_dedup.without_repeats(None, docs, "").collect()) == [1, 3, 4, 4, 4, 4]
+    spans = [(r.doc_id, len(r.spans)) for r in suffix_dedup.repeated_spans(docs).collect()]
+    once = [(r.doc_id, len(r.spans)) for r in suffix_dedup.repeated_spans(docs.distinct()).collect()]
+    assert sorted(spans) == sorted(once) and {i for i, _ in spans} == {2, 4}
+
+
 def test_removal_of_nothing(docs_of):
     assert suffix_dedup.removal_report(docs_of([])).collect() == []
 
