@@ -38,7 +38,7 @@ def run_rate(spark, root, args):
     if prepare._exists(spark, f"{root}/summary/{args.run}"):
         summary = spark.read.schema("cut string, mean double, min double, max double, folds long").json(
             f"{root}/summary/{args.run}")
-    rate.publish(result, inp, out, pred, context, f"{root}/ratings/{args.run}", f"{root}/site", args.run, summary)
+    rate.release(result, inp, out, pred, context, f"{root}/ratings/{args.run}", f"{root}/site", args.run, summary)
 
 
 STAGES = {"prepare": run_prepare, "score": run_score, "publish": run_publish, "rate": run_rate}

@@ -1,0 +1,156 @@
+"""Whole plays, game files, releases, clustered tables and paths at any time."""
+
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from pursuit.operators import documents, features, nesting, ratings, scene
+from pursuit.plans import rate
+from pursuit.schema import KEY
+from pursuit.sources import clustered, games, release
+from pursuit.staging import staged
+from tests.conftest import GAINED, GAME, IN, LAND, OUT, PLAY
+
+
+@pytest.fixture(scope="module")
+def centered(rating_play):
+    return ratings.center(rate.checked_play_table(*rating_play))
+
+
+@pytest.fixture(scope="module")
+def docs(rating_play, centered):
+    """The known play, and the same play again in two more games."""
+    inp, out, pred, context = rating_play
+    one = documents.play_documents(inp, out, pred, centered, context)
+    more = [one.withColumn("game_id", F.lit(GAME + g).cast("long")).withColumn("play_id", (F.col("play_id") + p).cast("long")) for g, p in ((0, 0), (0, 3), (5, 1))]
+    return staged(more[0].unionByName(more[1]).unionByName(more[2]), "docs")
+
+
+def test_a_play_is_one_row_with_its_lists(docs):
+    plays = {(p.game, p.play): p for p in nesting.nested_plays(docs).collect()}
+    assert set(plays) == {(GAME, PLAY), (GAME, PLAY + 3), (GAME + 5, PLAY + 1)}
+    play = plays[GAME, PLAY]
+    assert (play.part, play.home, play.week, play["def"], play.nfo, play.land) == (0, "SEA", 3, "SEA", OUT, list(LAND))
+    assert [p.id for p in play.players] == [1, 2, 3, 4] and [p.run for p in play.players] == [0] * 4
+    assert [len(p["in"]) for p in play.players] == [IN] * 4 and play.players[0].out is None and len(play.players[2].pred) == OUT
+    assert {r.id: (r.role, r.yards) for r in play.ratings} == {3: ("primary", GAINED[3]), 4: ("help", GAINED[4])}
+
+
+@pytest.mark.parametrize("part", [1, 3, 4])
+def test_long_plays_go_on_in_parts_of_one_length(docs, part):
+    plays = nesting.nested_plays(docs, part)
+    parts = {(p.game, p.play, p.part): [x.id for x in p.players] for p in plays.collect()}
+    assert parts == {(g, p, k): [1, 2, 3, 4][k * part:(k + 1) * part] for g, p in ((GAME, PLAY), (GAME, PLAY + 3), (GAME + 5, PLAY + 1))
+                     for k in range(-(-4 // part))}
+    assert sorted(r.id for p in plays.collect() for r in p.ratings) == [3] * 3 + [4] * 3
+    back = nesting.player_rows(plays)
+    assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+
+
+def test_plays_of_no_rows(docs):
+    assert nesting.nested_plays(docs.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("part", [64, 2])
+def test_a_game_is_one_file(spark, docs, tmp_path, part):
+    games.write_game_files(nesting.nested_plays(docs, part), str(tmp_path / "games"))
+    names = {f.name for f in (tmp_path / "games").iterdir() if not f.name.startswith(".")}
+    assert names == {f"{GAME}.json", f"{GAME + 5}.json", "_SUCCESS"}
+    game = json.loads((tmp_path / "games" / f"{GAME}.json").read_text())
+    assert list(game) == ["game", "week", "home", "away", "plays"] and [p["play"] for p in game["plays"]] == [PLAY, PLAY + 3]
+    play = game["plays"][0]
+    assert list(play) == [*games.PLAY_FIELDS, "players", "ratings"] and play["land"] == list(LAND)
+    first, _, corner, _ = play["players"]
+    assert list(first) == ["id", "name", "pos", "side", "role", "h", "w", "b", "p", "in"] and len(first["in"][0]) == 6
+    assert list(corner)[-2:] == ["out", "pred"] and len(corner["out"]) == OUT and len(corner["pred"][0]) == 4
+    assert [(r["id"], r["yards"], r["ex"]) for r in play["ratings"]] == [(3, GAINED[3], None), (4, GAINED[4], None)]
+    back = nesting.player_rows(games.read_game_files(spark, str(tmp_path / "games")))
+    assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+
+
+def test_a_failed_write_leaves_no_folder(spark, docs, tmp_path):
+    broken = nesting.nested_plays(docs).withColumn("week", F.when(F.col("game") == GAME, F.col("week")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        games.write_game_files(broken, str(tmp_path / "games"))
+    assert not (tmp_path / "games").exists()
+
+
+def passed(result):
+    result.checks = result.checks.withColumn("passed", F.lit(True))
+    return result
+
+
+def test_readers_see_a_whole_release_or_the_one_before(spark, rating_play, tmp_path, monkeypatch):
+    root, audit = str(tmp_path / "public"), str(tmp_path / "audit")
+    assert release.current(spark, root) is None
+    result = passed(rate.compute(*rating_play))
+    first = rate.release(result, *rating_play, audit=audit, root=root, run="r1")
+    assert release.current(spark, root) == first and spark.read.json(f"{first}/meta").first().run == "r1"
+
+    def fails(*args):
+        raise RuntimeError("in the middle")
+
+    with monkeypatch.context() as m:
+        m.setattr(rate.board, "highlight_picks", fails)
+        with pytest.raises(RuntimeError, match="in the middle"):
+            rate.release(result, *rating_play, audit=audit, root=root, run="r2")
+    assert release.current(spark, root) == first and len(list((tmp_path / "public/versions").iterdir())) == 1
+    assert spark.read.json(f"{first}/plays").count() == 2 and games.read_game_files(spark, f"{first}/games").count() == 1
+    later = [rate.release(result, *rating_play, audit=audit, root=root, run=f"r{n}") for n in (3, 4)]
+    assert release.current(spark, root) == later[-1]
+    assert {f"{root}/versions/{f.name}" for f in (tmp_path / "public/versions").iterdir()} == set(later)  # two are kept
+
+
+def test_a_failed_gate_releases_nothing(spark, rating_play, tmp_path):
+    with pytest.raises(rate.GateFailed):
+        rate.release(rate.compute(*rating_play), *rating_play, audit=str(tmp_path / "audit"), root=str(tmp_path / "public"))
+    assert release.current(spark, str(tmp_path / "public")) is None and (tmp_path / "audit/plays").exists()
+
+
+def along(path, t):
+    """The point of a path ``{frame: (l, u)}`` at a time, by looking at every frame."""
+    before, after = [f for f in path if f <= t], [f for f in path if f >= t]
+    if not before or not after:
+        return path[min(path) if not before else max(path)]
+    f, g = max(before), min(after)
+    share = (t - f) / (g - f) if g > f else 0.0
+    return tuple(a + (b - a) * share for a, b in zip(path[f], path[g]))
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 256])
+def test_paths_at_any_time(spark, bucket):
+    paths = {(1, 1, 1): {f: (f * 1.0, f * f * 0.5) for f in range(12)}, (1, 1, 2): {f: (5.0 - f, f / 3) for f in (0, 1, 2, 9, 20)}, (1, 2, 1): {4: (7.0, 8.0)}}
+    frames = spark.createDataFrame([(*k, f, *p) for k, path in paths.items() for f, p in path.items()], "game_id long, play_id long, nfl_id long, frame long, l double, u double")
+    at = [-5.5, 0.0, 0.25, 1.0, 1.5, 2.9, 5.0, 8.999, 9.0, 11.0, 11.5, 14.2, 20.0, 1e9, 0.25]
+    rows = [(*k, i, t) for k in [*paths, (9, 9, 9)] for i, t in enumerate(at)] + [(1, 1, 1, 98, None), (1, 1, 1, 99, float("nan"))]
+    times = spark.createDataFrame(rows, "game_id long, play_id long, nfl_id long, at long, t double").withColumn("_b", F.lit("kept"))
+    got = {(r.game_id, r.play_id, r.nfl_id, r["at"]): (r.l, r.u) for r in scene.path_at(frames, times, bucket=bucket).collect()}
+    assert len(got) == len(rows)
+    for *key, i, t in rows:
+        want = along(paths[tuple(key)], t) if tuple(key) in paths and t is not None and not math.isnan(t) else (None, None)
+        assert got[*key, i] == (pytest.approx(want) if want[0] is not None else want), (key, t)
+    with_clash = scene.path_at(frames, times.where("false"), bucket=bucket)
+    assert with_clash.columns == ["game_id", "play_id", "nfl_id", "at", "t", "_b", "l", "u"] and with_clash.collect() == []
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0].count("Exchange")
+
+
+def test_clustered_tables_need_no_exchange_of_frames(spark, rating_play, tmp_path):
+    inp, out, _, _ = rating_play
+    names = clustered.write_clustered(inp, out, str(tmp_path / "tables"), buckets=4)
+    inp2, out2 = clustered.read_clustered(spark, str(tmp_path / "tables"))
+    assert inp2.exceptAll(inp).count() == 0 and inp2.count() == inp.count() and out2.count() == out.count() and len(names) == 2
+    joined = inp2.select(*KEY, "frame_id", "x").join(out2.select(*KEY, F.col("frame_id").alias("k"), F.col("x").alias("x2")), KEY)
+    assert exchanges(joined) == 0
+    assert exchanges(inp2.groupBy(*KEY).agg(F.collect_list("x"))) == 0
+    assert exchanges(features.history_arrays(inp2, out2)) == 0 < exchanges(features.history_arrays(inp, out))
+    for name in names:  # another session knows only the files
+        spark.sql(f"DROP TABLE {name}")
+    again, _ = clustered.read_clustered(spark, str(tmp_path / "tables"))
+    assert again.exceptAll(inp).count() == 0 and exchanges(again.groupBy(*KEY).agg(F.max("x"))) == 0

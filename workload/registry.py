@@ -1,6 +1,6 @@
 """The registered queries: a Spark callable and, where SQL can say it, the same result in SQL."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, object] = {}
@@ -31,10 +31,13 @@ AT = ["play_id", "nfl_id", "frame_id"]
 
 def row_hash(texts, numbers=()):
     """Forty bits from all the given columns of a row, so that a swapped or changed value shows in a sum of them."""
+    def column(c):
+        return c if isinstance(c, Column) else F.col(c)
+
     def code(c):
-        return F.floor(F.col(c).cast("double") * F.lit(STEP) + F.lit(SHIFT)).cast("string")
+        return F.floor(column(c).cast("double") * F.lit(STEP) + F.lit(SHIFT)).cast("string")
 
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in texts]
+    parts = [F.coalesce(column(c).cast("string"), F.lit("~")) for c in texts]
     parts += [F.coalesce(code(c), F.lit("~")) for c in numbers]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 10), 16, 10).cast("long")
 
