@@ -4,29 +4,31 @@ A chunk is a run of white-space markers with the text up to the next marker. No
 another character, so no merge crosses the start of a chunk and every chunk can be segmented by itself. Documents become
 blocks of chunk numbers and a list of the block's distinct chunks. The lists meet by hash range, where each distinct chunk
 is segmented once; its ids go back to the blocks that hold it, and every document takes its ids by position. Rows are
-packed and compressed, since a row for every occurrence, or for every chunk of a block, would outweigh the texts.
+packed and compressed, since a row for every occurrence, or for every chunk of a block, would outweigh the texts. Blocks
+are cut twice, once for the lists and once for the numbers, rather than written in between; a block's name is a hash of its
+texts, so both passes give it the same one.
 """
 
+import hashlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pursuit.llm.registry import query, table
 from pursuit.llm.words import pieces
-from pursuit.staging import staged
 
 MARK = "▁"
 BLOCK_BYTES = 32 << 20      # text of a block; a longer document is a block of its own
 SLICE_CODES = 1 << 19       # chunk numbers of a row; a longer document is a row of its own
 KNOWN = 1 << 20             # segmented chunks a task remembers; one beyond them is segmented again
-BLOCKS = "block long, part int, chunks binary, doc_ids array<long>, sizes array<int>, codes binary"
-IDS = "block long, part int, ids binary"
+LISTS = "block binary, part int, chunks binary"
+NUMBERS = "block binary, part int, doc_ids array<long>, sizes array<int>, codes binary"
+IDS = "block binary, part int, ids binary"
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
@@ -72,65 +74,82 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-def _blocks(parts: int):
+def numbering(names: list[str], flat: np.ndarray, parts: int):
+    """The names of a block by part and falling frequency in ``flat``, where each part begins, and the final number of each
+    old one: a common name has a small number."""
+    names = np.array(names, object)
+    part = (pd.util.hash_array(names, categorize=False) % np.uint64(parts)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
+    order = np.lexsort((-np.bincount(flat, minlength=len(names)), part))
+    first = np.searchsorted(part[order], np.arange(parts + 1))
+    code = np.empty(len(names), np.int64)
+    code[order] = (np.arange(len(names)) - first[part[order]]) * parts + part[order]
+    return names[order], first, code
+
+
+class Block:
+    """Documents in the order they came in, as numbers of the block's distinct chunks."""
+
+    def __init__(self):
+        self.number_of: dict[str, int] = defaultdict()
+        self.number_of.default_factory = self.number_of.__len__
+        self.docs: list[tuple] = []
+        self.held, self.texts = 0, hashlib.blake2b(digest_size=16)
+
+    def add(self, doc_id, text: str, raw: bytes) -> None:
+        found = chunks(text)
+        self.docs.append((doc_id, np.fromiter(map(self.number_of.__getitem__, found), np.int64, len(found))))
+        self.held += len(raw)
+        self.texts.update(len(raw).to_bytes(8, "big") + raw)
+
+    def ordered(self, parts: int):
+        return numbering(list(self.number_of), np.concatenate([c for _, c in self.docs]), parts)
+
+    def lists(self, parts: int):
+        """One row for each part that has chunks."""
+        names, first, _ = self.ordered(parts)
+        key = self.texts.digest()
+        for p in np.flatnonzero(np.diff(first)).tolist():
+            yield key, p, pack_texts(names[first[p]:first[p + 1]].tolist())
+
+    def numbers(self, parts: int):
+        """One row for each run of documents; runs are numbered downwards from -1, so that they sort after parts."""
+        _, _, code = self.ordered(parts)
+        key, lo = self.texts.digest(), 0
+        while lo < len(self.docs):
+            hi, size = lo, 0
+            while hi < len(self.docs) and (hi == lo or size + len(self.docs[hi][1]) <= SLICE_CODES):
+                size += len(self.docs[hi][1])
+                hi += 1
+            taken = self.docs[lo:hi]
+            codes = pack(code[np.concatenate([c for _, c in taken])])
+            yield key, -1 - lo, [i for i, _ in taken], [len(c) for _, c in taken], codes
+            lo = hi
+
+
+def _blocks(parts: int, rows_of, types):
+    """Rows of blocks that are cut by the sizes of the texts alone, whatever batches they come in."""
     def cut(batches):
-        number = TaskContext.get().partitionId() << 32
-        number_of = None
-        held = 0
-
-        def start():
-            nonlocal number_of, held, docs
-            number_of = defaultdict()
-            number_of.default_factory = number_of.__len__
-            held, docs = 0, []
-
-        def finish():
-            """Chunks by falling frequency in each part, so that a common chunk has a small number in the block."""
-            names = np.array(list(number_of), object)
-            flat = np.concatenate([c for _, c in docs]) if docs else np.zeros(0, np.int64)
-            part = (pd.util.hash_array(names, categorize=False) % np.uint64(parts)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
-            order = np.lexsort((-np.bincount(flat, minlength=len(names)), part))
-            first = np.searchsorted(part[order], np.arange(parts + 1))
-            code = np.empty(len(names), np.int64)
-            code[order] = (np.arange(len(names)) - first[part[order]]) * parts + part[order]
-            for p in range(parts):
-                if first[p] < first[p + 1]:
-                    yield number, p, pack_texts(names[order[first[p]:first[p + 1]]].tolist()), None, None, None
-            lo = 0
-            while lo < len(docs):
-                hi, size = lo, 0
-                while hi < len(docs) and (hi == lo or size + len(docs[hi][1]) <= SLICE_CODES):
-                    size += len(docs[hi][1])
-                    hi += 1
-                taken = docs[lo:hi]
-                codes = pack(code[np.concatenate([c for _, c in taken])])
-                yield number, -1 - lo, None, [i for i, _ in taken], [len(c) for _, c in taken], codes
-                lo = hi
-
-        docs = []
-        start()
-        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("chunks", pa.binary()),
-                            ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary())])
-
-        def rows():
-            nonlocal number
-            for row in finish():
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema)], schema=schema)
-            number += 1
-            start()
-
-        for part, _, offsets in pieces(batches):
-            for i, text, size in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), np.diff(offsets)):
-                if docs and held + size > BLOCK_BYTES:
-                    yield from rows()
-                found = chunks(text)
-                docs.append((i, np.fromiter(map(number_of.__getitem__, found), np.int64, len(found))))
-                held += int(size)
-        if docs:
-            yield from rows()
+        block = Block()
+        for part, data, offsets in pieces(batches):
+            for i, text, a, b in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                if block.docs and block.held + b - a > BLOCK_BYTES:
+                    yield from (_batch(row, types) for row in rows_of(block, parts))
+                    block = Block()
+                block.add(i, text, data[a:b].tobytes())
+        if block.docs:
+            yield from (_batch(row, types) for row in rows_of(block, parts))
     return cut
 
 
+def _batch(row, types: dict):
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types.values())], names=list(types))
+
+
+LIST_TYPES = {"block": pa.binary(), "part": pa.int32(), "chunks": pa.binary()}
+NUMBER_TYPES = {"block": pa.binary(), "part": pa.int32(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary()}
+ID_TYPES = {"block": pa.binary(), "part": pa.int32(), "ids": pa.binary()}
+
+
 def _segment(path: str):
     """Ids of the chunks of each row, each distinct chunk segmented once as long as ``KNOWN`` of them are held."""
     def segment(batches):
@@ -150,9 +169,7 @@ def _segment(path: str):
                 known.update(zip(new, (np.array(i, np.uint32) for i in model.encode(new, num_threads=1))))
                 found = [known[n] for n in names]
                 sizes = np.array([len(names), *map(len, found)], np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([part], pa.int32()),
-                     pa.array([pack(np.concatenate([sizes, *found]))], pa.binary())], names=["block", "part", "ids"])
+                yield _batch((block, part, pack(np.concatenate([sizes, *found]))), ID_TYPES)
     return segment
 
 
@@ -191,6 +208,8 @@ def _assemble(path: str, parts: int):
                     lists = {}
                 start, size, ids = ready
                 codes = unpack(row["codes"]).astype(np.int64)
+                if codes.max(initial=-1) >= len(size):
+                    raise RuntimeError("the documents came in another order when they were read again: write them first")
                 n = size[codes]
                 ends = np.cumsum(n)
                 flat = ids[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
@@ -210,19 +229,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     The model must have no piece with a marker after another character, put one marker before a text, and leave texts
     as they are; other models are refused. A null or empty text has no ids and decodes to an empty text. Rows with equal
-    or null ids stay apart; an empty table gives an empty table; other columns are not looked at. Sizes the hash ranges by
-    one pass over the lengths when called, and writes the blocks to the shared folder."""
+    or null ids stay apart; an empty table gives an empty table; other columns are not looked at. ``docs`` are read three
+    times, once for their size when called, and must come in the same order, as those of a written table do."""
     _require_separable(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, int(2 * (size / 2 ** 20) ** 0.5))  # distinct chunks grow by less than the text does
     tasks = int(min(20_000, max(8, 2 * size // BLOCK_BYTES)))
-    blocks = staged(rows.mapInArrow(_blocks(parts), BLOCKS), "chunk_blocks")
-    ids = blocks.where("part >= 0").select("block", "part", "chunks").repartition(parts, "part") \
-        .mapInArrow(_segment(path), IDS)
-    documents = blocks.where("part < 0").select("block", "part", F.lit(None).cast("binary").alias("ids"), "doc_ids", "sizes", "codes")
+    lists = rows.mapInArrow(_blocks(parts, Block.lists, LIST_TYPES), LISTS)
+    ids = lists.repartition(parts, "part").mapInArrow(_segment(path), IDS)
+    numbers = rows.mapInArrow(_blocks(parts, Block.numbers, NUMBER_TYPES), NUMBERS)
     both = ids.select("*", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("sizes"),
-                      F.lit(None).cast("binary").alias("codes")).unionByName(documents)
+                      F.lit(None).cast("binary").alias("codes")).unionByName(numbers.withColumn("ids", F.lit(None).cast("binary")))
     return both.repartition(tasks, "block").sortWithinPartitions("block", F.desc("part")).mapInArrow(_assemble(path, parts), ENCODED)
 
 
