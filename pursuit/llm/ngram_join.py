@@ -9,14 +9,18 @@ below, in that one too.
 
 The same count gives a filter without loss: similar sets share at least as many signatures as the halves exceed the
 differences, so a document with fewer repeated signatures has no partner. What is left forms families, in which the exact
-sets are compared. Signatures travel in packed arrays by hash range, one per batch of documents, so a signature that many
-documents share in a batch is one entry; a family beyond a bounded number of elements is compared block by block.
+sets are compared. Of its repeated signatures a document needs only the rarest ones to meet all its partners: similar sets
+share ``need`` of them, so the first one they share, in any order common to all, stands among the first
+``repeated - need + 1`` of both. What many documents share, such as a common passage, then links nothing.
+
+Signatures travel in packed arrays by hash range, as 32 bits inside a range (two that agree by chance only make one more
+comparison), with 64 bits for the set that has them. A family beyond a bounded number of elements is compared block by block.
 """
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pursuit.llm.components import components
@@ -110,17 +114,16 @@ def _emit(buckets: int, seed: int = 0, least: int = 0, most_n: int = 2 ** 62):
             sig, who, role, bucket = sig[order], who[order], role[order], bucket[order]
             meta = np.rec.fromarrays([np.array([x is None for x in ids]), np.array([x or 0 for x in ids], np.int64),
                                       n, fa, fb, need[0], need[1], own, low])[ranged]
-            out = [(-1 - int(mix(fa[:1])[0] % np.uint64(buckets)), pickled(meta), b"", b"")]
+            out = [(-1 - int(mix(fa[:1])[0] % np.uint64(buckets)), pickled(meta), b"", b"", b"")]
             for b in np.unique(bucket):
                 lo, hi = np.searchsorted(bucket, [b, b + 1])
                 run = 2 * who[lo:hi] + role[lo:hi]
                 first = np.flatnonzero(np.diff(run, prepend=-1))
-                heads = np.stack([fa[run[first] // 2], fb[run[first] // 2],
-                                  (np.diff(np.append(first, hi - lo)) * 2 + run[first] % 2).astype(np.uint64)])
-                out.append((int(b), b"", heads.tobytes(), sig[lo:hi].tobytes()))
+                times = np.diff(np.append(first, hi - lo)) * 2 + run[first] % 2
+                out.append((int(b), b"", fa[run[first] // 2].tobytes(), times.astype(np.uint32).tobytes(), sig[lo:hi].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
-                names=["bucket", "meta", "heads", "sigs"])
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))],
+                names=["bucket", "meta", "labels", "times", "sigs"])
     return emit
 
 
@@ -141,41 +144,40 @@ def _meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ids[m["none"]] = pd.NA
         return pd.DataFrame({"kind": 0, "doc_id": ids, "n": m["n"], "fa": signed(m["fa"]), "fb": signed(m["fb"]),
                              "scheme": 0, "sig": 0, "need1": m["need1"], "need2": m["need2"]})
-    sigs, fa, fb, role = [], [], [], []
-    for heads, packed in zip(rows["heads"], rows["sigs"]):
-        h = np.frombuffer(heads, np.uint64).reshape(3, -1)
-        times = (h[2] // np.uint64(2)).astype(np.int64)
-        sigs.append(np.frombuffer(packed, np.uint64))
-        fa.append(np.repeat(h[0], times))
-        fb.append(np.repeat(h[1], times))
-        role.append(np.repeat((h[2] % np.uint64(2)).astype(np.int32), times))
-    sigs, fa, fb, role = map(np.concatenate, (sigs, fa, fb, role))
-    order = np.argsort(sigs, kind="stable")
+    sigs = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sigs"]])
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["times"]])
+    labels = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["labels"]])
+    head = np.repeat(np.arange(len(times), dtype=np.int32), times // 2)
+    order = np.lexsort((labels[head], sigs))
+    sigs, head = sigs[order], head[order]
+    labels = labels[head]
+    new = np.ones(len(sigs), bool)
+    new[1:] = (sigs[1:] != sigs[:-1]) | (labels[1:] != labels[:-1])
+    sigs, labels, role = sigs[new], labels[new], (times[head[new]] % 2).astype(np.int32)
     same = np.zeros(len(sigs), bool)
-    same[1:] = sigs[order][1:] == sigs[order][:-1]
+    same[1:] = sigs[1:] == sigs[:-1]
     same[:-1] |= same[1:]
-    pick = order[same]
-    frame = pd.DataFrame({"sig": signed(sigs[pick]), "fa": signed(fa[pick]), "fb": signed(fb[pick]), "role": role[pick]})
-    frame = frame.drop_duplicates(["sig", "fa", "fb"])
-    frame = frame[frame["sig"].duplicated(keep=False)]
-    return pd.DataFrame({"kind": 1, "doc_id": pd.array([pd.NA] * len(frame), "Int64"), "n": 0, "fa": frame["fa"], "fb": frame["fb"],
-                         "scheme": frame["role"], "sig": frame["sig"], "need1": 0, "need2": 0})
+    return pd.DataFrame({"kind": 1, "doc_id": pd.array([pd.NA] * int(same.sum()), "Int64"), "n": 0, "fa": signed(labels[same]), "fb": 0,
+                         "scheme": role[same], "sig": sigs[same].astype(np.int64) + (np.int64(key[0]) << 32), "need1": 0, "need2": 0})
 
 
 def linked(codes, at, n) -> list[tuple[int, int]]:
-    """Links that connect the similar sets of a block: positions of sets. ``codes`` are dense element numbers, a set i
-    has ``codes[at[i]:at[i + 1]]``. Sets already connected are not compared again."""
+    """Links that connect the similar sets of a block: positions of sets, which come by rising size. ``codes`` are dense
+    element numbers, a set i has ``codes[at[i]:at[i + 1]]``. Sets already connected are not compared again, nor are sets
+    of which one is more than a quarter larger."""
     group = np.arange(len(n))
     seen = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
     out = []
+    ends = np.searchsorted(n, 5 * n // 4, "right")
     for i in range(len(n) - 1):
-        if (group[i + 1:] == group[i]).all():
+        end = ends[i]
+        if (group[i + 1:end] == group[i]).all():
             continue
         seen[codes[at[i]:at[i + 1]]] = True
-        common = np.add.reduceat(seen[codes[at[i + 1]:]], at[i + 1:-1] - at[i + 1], dtype=np.int64)
+        common = np.add.reduceat(seen[codes[at[i + 1]:at[end]]], at[i + 1:end] - at[i + 1], dtype=np.int64)
         seen[codes[at[i]:at[i + 1]]] = False
-        union = n[i] + n[i + 1:] - common
-        for j in np.flatnonzero((100 * common >= 80 * union) & (group[i + 1:] != group[i])) + i + 1:
+        union = n[i] + n[i + 1:end] - common
+        for j in np.flatnonzero((100 * common >= 80 * union) & (group[i + 1:end] != group[i])) + i + 1:
             if group[j] != group[i]:
                 out.append((i, int(j)))
                 group[group == group[j]] = group[i]
@@ -183,6 +185,7 @@ def linked(codes, at, n) -> list[tuple[int, int]]:
 
 
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["n", "rep"])
     sets = [np.frombuffer(s, np.uint64) for s in rows["el"]]
     n = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -201,17 +204,21 @@ def _sets(batches):
 
 
 def _meetings(texts: DataFrame, buckets: int, seed: int = 0, least: int = 0, most: int = 2 ** 62) -> DataFrame:
-    emitted = texts.mapInArrow(_emit(buckets, seed, least, most), "bucket int, meta binary, heads binary, sigs binary")
+    emitted = texts.mapInArrow(_emit(buckets, seed, least, most), "bucket int, meta binary, labels binary, times binary, sigs binary")
     return emitted.groupBy("bucket").applyInPandas(_meet, META)
 
 
 def _alive(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """``sig, rep`` of the classes that share as many signatures as a similar pair must."""
-    need = met.where("kind = 0").groupBy("fa", "fb").agg(F.first("need1").alias("need1"), F.first("need2").alias("need2"))
-    shared = met.where("kind = 1").select("fa", "fb", F.col("scheme").alias("role"), "sig")
-    enough = shared.groupBy("fa", "fb", "role").agg(F.count("*").alias("shared")).join(need, ["fa", "fb"]).where(
-        F.col("shared") >= F.when(F.col("role") == 0, F.col("need1")).otherwise(F.col("need2")))
-    return shared.join(enough.select("fa", "fb", "role"), ["fa", "fb", "role"]).join(classes, ["fa", "fb"]).select("sig", "rep")
+    """``sig, rep`` of the classes that share as many signatures as a similar pair must, by their rarest signatures."""
+    need = met.where("kind = 0").groupBy("fa").agg(F.min("need1").alias("need1"), F.min("need2").alias("need2"))
+    shared = met.where("kind = 1").select("fa", F.col("scheme").alias("role"), "sig")
+    enough = shared.groupBy("fa", "role").agg(F.count("*").alias("shared")).join(need, "fa").select(
+        "fa", "role", "shared", F.when(F.col("role") == 0, F.col("need1")).otherwise(F.col("need2")).alias("need")).where("shared >= need")
+    rows = shared.join(enough.select("fa", "role", "need"), ["fa", "role"])
+    several = rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("fa", "role")
+    ranked = rows.join(several, "sig").withColumn("at", F.row_number().over(own.orderBy("often", "sig"))).withColumn("left", F.count("*").over(own))
+    return ranked.where("left >= need and at <= left - need + 1").join(classes.select("fa", "rep"), "fa").select("sig", "rep")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -252,8 +259,11 @@ def join(docs: DataFrame) -> DataFrame:
     placed = sets.join(size.withColumn("blocks", F.when(F.col("elements") <= FAMILY_ELEMENTS, 1).otherwise(blocks)), "family")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    links = placed.groupBy("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")) \
-        .applyInPandas(_compare, "a long, b long")
+    # elements, not bytes, are what a comparison takes: dealt over a fixed number of tasks for so many elements
+    elements = sets.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, 8 * elements // FAMILY_ELEMENTS))
+    placed = placed.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "el")
+    links = placed.repartition(tasks, "family", "lo", "hi").groupBy("family", "lo", "hi").applyInPandas(_compare, "a long, b long")
 
     edges = links.select("a", "b").union(several.select("a", "b"))
     found = components(edges).withColumnsRenamed({"node": "rep"})
