@@ -26,18 +26,15 @@ def _other_folds_mean(tag: str):
     return F.coalesce(mean, F.lit(0.0))
 
 
-def center(table: DataFrame, passes=CENTERING, value: str = "z") -> DataFrame:
-    """Adds zc: ``value`` minus its cell's mean over the rated rows of the other folds, pass after pass.
+def cell_columns(passes=CENTERING) -> list[str]:
+    return list(dict.fromkeys(c for cells in passes for c in cells))
 
-    Every pass needs only sums per cell, and subtracting a cell mean changes those sums by count x mean. So the table is
-    scanned once, into sums per combination of all cell columns and fold; the passes run on those few rows; the table
-    then meets the staged cell means. Excluded rows are centered but never summed. A null cell stays as it is.
 
-    Stages its steps when called."""
-    columns = list(dict.fromkeys(c for cells in passes for c in cells))
-    sums = staged(
-        rated(table).groupBy(*columns, "fold").agg(F.sum(value).alias("s"), F.count("*").alias("n")), "cells")
-    shift = F.lit(0.0)
+def with_shift(table: DataFrame, sums: DataFrame, passes=CENTERING) -> DataFrame:
+    """Adds ``_shift``, what centering takes off a row's value. ``sums`` are the staged sums ``s`` and counts ``n`` of the
+    rated rows per combination of all cell columns and fold; the passes run on those few rows alone. A null cell shifts
+    nothing."""
+    columns, shift = cell_columns(passes), F.lit(0.0)
     for i, cells in enumerate(passes):
         by_cell, by_fold = (lookup(m, "means") for m in _means(sums, cells, str(i)))
         table = table.join(by_cell, cells, "left").join(by_fold, [*cells, "fold"], "left")
@@ -46,9 +43,21 @@ def center(table: DataFrame, passes=CENTERING, value: str = "z") -> DataFrame:
             moved = sums.join(by_cell, cells, "left").join(by_fold, [*cells, "fold"], "left")
             moved = moved.withColumn("s", F.col("s") - F.col("n") * _other_folds_mean(str(i)))
             sums = staged(moved.select(*columns, "fold", "s", "n"), "cells")
-    centered = F.col(value) - shift
     extra = [f"_{k}{i}" for i in range(len(passes)) for k in ("ts", "tn", "fs", "fn")]
-    return table.withColumn("zc", centered).drop(*extra)
+    return table.withColumn("_shift", shift).drop(*extra)
+
+
+def center(table: DataFrame, passes=CENTERING, value: str = "z") -> DataFrame:
+    """Adds zc: ``value`` minus its cell's mean over the rated rows of the other folds, pass after pass.
+
+    Every pass needs only sums per cell, and subtracting a cell mean changes those sums by count x mean. So the table is
+    scanned once, into sums per combination of all cell columns and fold; the table then meets the staged cell means.
+    Excluded rows are centered but never summed. A null cell stays as it is.
+
+    Stages its steps when called."""
+    sums = staged(
+        rated(table).groupBy(*cell_columns(passes), "fold").agg(F.sum(value).alias("s"), F.count("*").alias("n")), "cells")
+    return with_shift(table, sums, passes).withColumn("zc", F.col(value) - F.col("_shift")).drop("_shift")
 
 
 def shrinkage(table: DataFrame) -> DataFrame:
@@ -58,8 +67,12 @@ def shrinkage(table: DataFrame) -> DataFrame:
     One pass: rows combine into count, mean and squared deviations per player, players into groups.
 
     Stages its steps when called."""
-    per_player = rated(table).groupBy("grp", "nfl_id").agg(
-        F.count("zc").alias("n"), F.avg("zc").alias("mean"), F.var_pop("zc").alias("v"))
+    return group_shrinkage(rated(table).groupBy("grp", "nfl_id").agg(
+        F.count("zc").alias("n"), F.avg("zc").alias("mean"), F.var_pop("zc").alias("v")))
+
+
+def group_shrinkage(per_player: DataFrame) -> DataFrame:
+    """``shrinkage`` from counts ``n``, means and population variances ``v`` of every player."""
     n, mean = F.col("n"), F.col("mean")
     listed = F.when(n >= MIN_PLAYS, mean)
     per_group = per_player.groupBy("grp").agg(
@@ -107,6 +120,11 @@ def player_means(rows: DataFrame, player="nfl_id", order=("game_id", "play_id"),
         F.max(F.struct(*order)).alias("at"),
         F.max(F.struct(F.col(order[0]), F.col("zc"), -F.col(order[1]))).alias("latest"),
     )
+    return means_of_teams(per_team, player)
+
+
+def means_of_teams(per_team: DataFrame, player: str = "nfl_id") -> DataFrame:
+    """``player_means`` from the sums of every player on every team."""
     totals = [F.sum(c).alias(c) for c in ("n", "zc", "zcs", "yards", "yds", "done", "known", "epa", "epas")]
     p = per_team.groupBy(player).agg(
         *totals, F.max_by("who", "at").alias("who"), F.max_by("team", "latest").alias("latest_team"),
@@ -137,7 +155,12 @@ def shrunk(p: DataFrame, shrink: DataFrame, strict: bool) -> DataFrame:
 
 def players(table: DataFrame, shrink: DataFrame) -> DataFrame:
     """One row per defender with the shrunk rating; a group without shrinkage is an error. Order it at the sink."""
-    p = player_means(rated(table)).drop("latest_team")
+    return rated_players(player_means(rated(table)), shrink)
+
+
+def rated_players(means: DataFrame, shrink: DataFrame) -> DataFrame:
+    """``players`` from the rows of ``player_means``."""
+    p = means.drop("latest_team")
     # a player without any team of ten plays has no list
     p = p.withColumns({c: F.when(F.size("teams") > 0, F.col(c)) for c in ("team_n", "teams")})
     p = shrunk(p, shrink, strict=True).withColumn("listed", F.col("n") >= MIN_PLAYS)
@@ -162,13 +185,22 @@ def half_means(table: DataFrame) -> DataFrame:
         F.avg(F.when(half == 0, F.col("zc"))).alias("even"), F.count_if(half == 0).alias("n_even"),
         F.avg(F.when(half == 1, F.col("zc"))).alias("odd"), F.count_if(half == 1).alias("n_odd"),
     )
+    return long_halves(halves)
+
+
+def long_halves(halves: DataFrame) -> DataFrame:
     need = int(RULES["half_plays"])
     return halves.where((F.col("n_even") >= need) & (F.col("n_odd") >= need))
 
 
 def split_half(table: DataFrame) -> DataFrame:
     """Correlation of the two halves and the players behind it, as one row; null when it is not defined."""
-    sums = half_means(table).agg(
+    return correlated(half_means(table))
+
+
+def correlated(halves: DataFrame) -> DataFrame:
+    """``split_half`` from the players' means over both halves."""
+    sums = halves.agg(
         F.covar_pop("even", "odd").alias("c"), F.stddev_pop("even").alias("se"), F.stddev_pop("odd").alias("so"),
         F.count("*").alias("players"),
     )

@@ -2,16 +2,18 @@
 
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from pursuit.operators import documents, features, nesting, ratings, scene
+from pursuit.operators import board, documents, features, moments, nesting, quality, ratings, scene, stretches
 from pursuit.plans import rate
 from pursuit.schema import KEY
-from pursuit.sources import clustered, games, release
+from pursuit.sources import clustered, games, names, release, shards
 from pursuit.staging import staged
 from tests.conftest import GAINED, GAME, IN, LAND, OUT, PLAY
+from tests.test_rating import random_table
 
 
 @pytest.fixture(scope="module")
@@ -154,3 +156,82 @@ def test_clustered_tables_need_no_exchange_of_frames(spark, rating_play, tmp_pat
         spark.sql(f"DROP TABLE {name}")
     again, _ = clustered.read_clustered(spark, str(tmp_path / "tables"))
     assert again.exceptAll(inp).count() == 0 and exchanges(again.groupBy(*KEY).agg(F.max("x"))) == 0
+
+
+def test_one_pass_gives_the_profile_and_the_angles(spark, rating_play):
+    """Rows in any order and in small batches, with gaps, nulls, standing players and two weeks."""
+    inp = rating_play[0]
+    rows = inp.withColumn("season", F.lit(2023)).withColumn("week", F.lit(3))
+    other = rows.withColumn("week", F.lit(4)).withColumn("game_id", F.col("game_id") + 1).withColumn("dir", (F.lit(90.0) - F.col("dir") + 360) % 360)
+    other = other.where("not (nfl_id = 3 and frame_id = 4)").withColumn("x", F.when(~((F.col("nfl_id") == 2) & (F.col("frame_id") == 5)), F.col("x")))
+    other = other.withColumn("play_direction", F.when(F.col("nfl_id") == 4, "up").when(F.col("nfl_id") == 2, None).otherwise(F.col("play_direction")))
+    both = staged(rows.unionByName(other).orderBy(F.xxhash64("frame_id", "nfl_id")), "frames")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = staged(stretches.stretches(both), "stretches")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = quality.player_profile(both)
+    assert stretches.profile(got).select(want.columns).exceptAll(want).count() == 0 and want.count() == 8
+    angles = {r.week: (r.a, r.b, r.ok) for r in stretches.angle_errors(got).collect()}
+    # a gap ends a stretch, while a lead goes over it; both leave a place that is null out
+    plain = {r.week: (r.a, r.b, r.ok) for r in quality.angle_errors(both.where("not (week = 4 and nfl_id = 3)")).collect()}
+    apart = {r.week: (r.a, r.b, r.ok) for r in stretches.angle_errors(got.where("not (week = 4 and nfl_id = 3)")).collect()}
+    assert apart == {w: (pytest.approx(a), pytest.approx(b), ok) for w, (a, b, ok) in plain.items()} and plain[3][2] and not plain[4][2]
+    assert set(angles) == {3, 4}
+    assert stretches.stretches(both.where("false")).count() == 0
+
+
+def test_ratings_follow_from_stored_moments(spark, tmp_path):
+    t = random_table(spark, 51, 40, 60, 0.4).withColumn("week", (1 + F.col("play_id") % 6).cast("int")).withColumn(
+        "ex", F.when(F.col("play_id") % 17 == 0, "not catchable")).withColumn("route", F.when(F.col("play_id") % 13 > 0, F.col("route")))
+    t = staged(t, "plays")
+    path = str(tmp_path / "moments")
+    moments.write_moments(t.where("week < 6").withColumn("z", F.when(F.col("week") == 2, -F.col("z")).otherwise(F.col("z"))), path)
+    moments.write_moments(t.where("week = 2"), path)   # a corrected week takes the place of the wrong one
+    moments.write_moments(t.where("week = 6"), path)
+    state = staged(moments.centered(moments.read_moments(spark, path)), "state")
+    full = staged(ratings.center(t), "full")
+    shrink = ratings.shrinkage(full)
+    for mine, want, key in (
+            (moments.shrinkage(state), shrink, "grp"), (moments.players(state, moments.shrinkage(state)), ratings.players(full, shrink), "nfl_id"),
+            (moments.teams(state), ratings.teams(full), "team"), (moments.split_half(state), ratings.split_half(full), "players")):
+        got, expected = ({r[key]: r.asDict() for r in df.collect()} for df in (mine, want))
+        assert got.keys() == expected.keys() and got
+        for k, row in expected.items():
+            for c, v in row.items():
+                assert got[k][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (key, k, c)
+    assert spark.read.parquet(path).select("week").distinct().count() == 6
+
+
+@pytest.mark.parametrize("seats", [24, 3, 1])
+def test_shards_read_back_as_the_arrays_they_hold(spark, rating_play, tmp_path, seats):
+    arrays = staged(features.history_arrays(*rating_play[:2]), "arrays")
+    records = shards.play_records(arrays, seats)
+    rows = records.collect()
+    assert len(rows) == -(-4 // seats) and all(len(r.pmask) == seats and len(r[c]) == w * seats for r in rows for c, w in shards.WIDTHS.items())
+    shards.write_shards(records, str(tmp_path / "shards"), 2, 1)
+    assert len(list((tmp_path / "shards").glob("part-*"))) >= len(rows)  # a task without records writes an empty file
+    back = shards.read_shards(spark, str(tmp_path / "shards"))
+    assert back.select(arrays.columns).exceptAll(arrays).count() == 0 and back.count() == 4
+
+
+NAMES = ["Åsa Lindqvist", "Bo Åberg", "Keito", "Kei To", "Mary Kei Tolan", "Ann-Lo Ra", "Ra", "Io Steﬁn", "O'Lind Kam", "", "名前", "Lind Ra Lind"]
+
+
+@pytest.mark.parametrize("typed", ["l", "lin", "lind", "kei to", "keito", "ra", "ra l", "o", "ÅBERG", "", " ", "zzz", "eito", "to", "lo ra", "stefin", "n r"])
+def test_the_index_finds_what_a_search_finds(spark, tmp_path_factory, typed):
+    path = str(tmp_path_factory.getbasetemp() / "names")
+    rows = spark.createDataFrame([(i, n, i / 7.0) for i, n in enumerate(NAMES)], "id long, name string, rating double")
+    if not os.path.exists(path):
+        names.write_name_index(rows, path)
+    want = [(r.id, r.score) for r in board.search(rows, typed, 5).collect()]
+    assert [(r.id, r.score) for r in names.search_names(spark, path, typed, 5).collect()] == want
+
+
+def test_a_search_reads_the_folders_of_its_letters(spark, tmp_path):
+    rows = spark.createDataFrame([(i, n, i / 7.0) for i, n in enumerate(NAMES)], "id long, name string, rating double")
+    names.write_name_index(rows, str(tmp_path / "names"))
+    plan = names.search_names(spark, str(tmp_path / "names"), "lind")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "StartsWith(letters" in plan

@@ -351,8 +351,11 @@ CELLS = [f"v{i}" for i in range(12)]
 def history_arrays(spark, sf_dir):
     """Every known frame of the exported histories and targets with its place in the array."""
     v = tracking(spark, sf_dir)
-    rows = features.history_arrays(v.inp, v.out)
+    return history_cells(features.history_arrays(v.inp, v.out))
 
+
+def history_cells(rows):
+    """Every known frame of exported arrays, as row hashes per game."""
     def cells(part, mask, width):
         known = rows.select(*KEY, mask, F.posexplode(part).alias("at", "v")).where(F.get(mask, F.col("at")))
         values = [(F.get("v", F.lit(i)) if i < width else F.lit(0.0)).cast("double").alias(f"v{i}") for i in range(12)]

@@ -2,16 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from pursuit.operators import nesting, scene
+from pursuit.operators import board, features, moments, nesting, scene
 from pursuit.operators.documents import published
 from pursuit.plans import rate
 from pursuit.schema import KEY
 from pursuit.sources import games as game_sink
-from pursuit.sources import release
+from pursuit.sources import names, release, shards
 from pursuit.staging import staged, staging_path
-from workload.registry import AT, game_rows, per_game, query, row_hash, row_hash_sql
+from workload.registry import AT, ORACLES, game_rows, per_game, query, rounded, row_hash, row_hash_sql
 from workload.suite_documents import PASSED, PATHS, SCENE, VALUES, _frames, _plays, _sql
-from workload.suite_ratings import PUBLISHED
+from workload.suite_models import history_cells
+from workload.suite_ratings import PUBLISHED, base, flat
 from workload.tracking import source_state, tracking
 
 _nested = {}
@@ -69,9 +70,11 @@ def play_lists(spark, sf_dir):
 @query(_sql(f"{LISTS}, {PATHS.lstrip()}, by_frame AS ({game_rows('values_of', *VALUES, at=[*AT, 'path'])})", f"""
 SELECT by_frame.*, plays, lists FROM by_frame JOIN (
   SELECT game AS game_id, count(*) AS plays, sum({row_hash_sql(["play", *PLAY_TEXTS, "ids", "people", "rated_ids", "ratings"])})::BIGINT AS lists
-  FROM play_list GROUP BY 1) USING (game_id)"""))
+  FROM (SELECT * REPLACE (arg_min(week, play) OVER g AS week, arg_min(home, play) OVER g AS home, arg_min(away, play) OVER g AS away)
+        FROM play_list WINDOW g AS (PARTITION BY game)) GROUP BY 1) USING (game_id)"""))
 def game_files(spark, sf_dir):
-    """One JSON file per game, written and read back: all frames, players, ratings and contexts."""
+    """One JSON file per game, written and read back: all frames, players, ratings and contexts. A game has the week and the
+    teams of its first play."""
     path = staging_path(spark, "game-files")
     game_sink.write_game_files(_whole_plays(spark, sf_dir), path)
     plays = game_sink.read_game_files(spark, path)
@@ -154,3 +157,69 @@ def path_at(spark, sf_dir):
     times = v.roster.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).withColumn(
         "t", ((start + F.col("k") * 37) % 240).cast("double") / 4 - 3)
     return per_game(scene.path_at(scene.scrimmage_frames(v.inp, v.out), times), "t", "l", "u", at=["play_id", "nfl_id", "k"])
+
+
+_stored = {}
+
+
+def _moments(spark, sf_dir):
+    """Moments stored week by week: all but the last two, then a wrong week, then that week again and the last one."""
+    at = source_state(spark, sf_dir)
+    if at not in _stored:
+        path, plays = staging_path(spark, "moments"), base(spark, sf_dir).plays
+        moments.write_moments(plays.where("week < 17"), path)
+        moments.write_moments(plays.where("week = 17").withColumn("z", F.col("z") * 3), path)
+        for week in (17, 18):
+            moments.write_moments(plays.where(F.col("week") == week), path)
+        _stored[at] = staged(moments.centered(moments.read_moments(spark, path)), "centered-moments")
+    return _stored[at]
+
+
+@query(ORACLES["player_ratings"])
+def incremental_ratings(spark, sf_dir):
+    """Player ratings from moments that were stored by week."""
+    state = _moments(spark, sf_dir)
+    return rounded(flat(moments.players(state, moments.shrinkage(state))), 9)
+
+
+@query(ORACLES["team_ratings"])
+def incremental_teams(spark, sf_dir):
+    return rounded(moments.teams(_moments(spark, sf_dir)))
+
+
+@query(ORACLES["shrinkage"])
+def incremental_shrinkage(spark, sf_dir):
+    return rounded(moments.shrinkage(_moments(spark, sf_dir)))
+
+
+@query(ORACLES["split_half"])
+def incremental_split_half(spark, sf_dir):
+    return rounded(moments.split_half(_moments(spark, sf_dir)))
+
+
+_indexes = {}
+
+
+def _indexed(name, typed):
+    @query(ORACLES[name], name=f"{name}_indexed")
+    def run(spark, sf_dir):
+        """The same search in the stored index of names."""
+        at = source_state(spark, sf_dir)
+        if at not in _indexes:
+            b, path = base(spark, sf_dir), staging_path(spark, "names")
+            names.write_name_index(board.listed(b.rows, b.shrink), path)
+            _indexes[at] = path
+        return names.search_names(spark, _indexes[at], typed).select("id", "name", "score")
+    return run
+
+
+for _name, _typed in (("name_search", "Ra"), ("name_search_accents", " José Núñez "), ("name_search_inside", "kei to")):
+    _indexed(_name, _typed)
+
+
+@query(ORACLES["history_arrays"])
+def training_shards(spark, sf_dir):
+    """The training export as padded records per play, written in shards and read back."""
+    v, path = tracking(spark, sf_dir), staging_path(spark, "shards")
+    shards.write_shards(shards.play_records(features.history_arrays(v.inp, v.out)), path, 16, 500)
+    return history_cells(shards.read_shards(spark, path))

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from pursuit.operators import paths, quality
+from pursuit.operators import paths, quality, stretches
 from pursuit.schema import FRAME
+from pursuit.staging import staged
 from workload.oracle_view import VIEW
-from workload.registry import query, r, rounded
+from workload.registry import ORACLES, query, r, rounded
 from workload.tracking import tracking
 
 
@@ -57,7 +58,8 @@ errors AS (SELECT week,
 def angle_check(spark, sf_dir):
     v = tracking(spark, sf_dir)
     weeks = v.context.select("game_id", "play_id", "week", F.lit(2023).alias("season"))
-    return rounded(quality.angle_errors(v.inp.join(weeks, ["game_id", "play_id"])))
+    rows = stretches.stretches(v.inp).join(weeks, ["game_id", "play_id"])
+    return rounded(stretches.angle_errors(staged(rows, "stretches")))
 
 
 @query(_sql("", """
@@ -153,6 +155,12 @@ def player_profile(spark, sf_dir):
     return quality.player_profile(tracking(spark, sf_dir).inp)
 
 
+@query(ORACLES["player_profile"])
+def gathered_profile(spark, sf_dir):
+    """The same profile from the pass that also gathers the angle errors."""
+    return stretches.profile(stretches.stretches(tracking(spark, sf_dir).inp))
+
+
 @query(_sql("", """
 SELECT 'input' AS name, 'dir' AS missing, count(*) AS n FROM inp UNION ALL SELECT 'output', 'x', count(*) FROM outp"""))
 def required_columns(spark, sf_dir):
