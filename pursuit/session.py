@@ -1,5 +1,9 @@
 """Session defaults, for new sessions and for the ones a cluster hands out."""
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # Runtime settings the plans count on; all of them decide by measured sizes and have another way beyond the limit.
@@ -36,4 +40,24 @@ def build_session(app: str = "pursuit", master: str | None = None, **conf) -> Sp
         builder = builder.master(master)
     for key, value in {**TUNING, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors of an application, once, so that functions of its modules can be loaded there. Spark
+    serves the file from the driver; executors need no copy of their own."""
+    if spark.sparkContext.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="pursuit-"), "pursuit.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        at = os.path.join(folder, name)
+                        out.write(at, os.path.relpath(at, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(spark.sparkContext.applicationId)
+    return spark

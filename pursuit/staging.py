@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder, else a
-    folder in the warehouse. There is no machine-local default."""
+    folder in the warehouse. A warehouse on the driver's own disk is refused unless the driver is the whole cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
         if not warehouse:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        local = warehouse.startswith("file:") or "://" not in warehouse
+        if local and not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError(f"the warehouse {warehouse} is on one machine: set spark.checkpoint.dir to a folder every executor can reach")
         root = f"{warehouse.rstrip('/')}/_staging"
     return root.rstrip("/")
 
