@@ -39,9 +39,9 @@ def test_top_k_with_ties_and_many_tiles(spark, tile):
 
 
 def test_vectors_that_take_no_part(spark):
-    rows = [(1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
-            (None, [1.0, 1.0]), (6, [-0.001, 1.0]), (7, [1e300, 1.0]), (8, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash"))
+    rows = [(1, [0.5, 0.25]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
+            (None, [1.0, 1.0]), (6, [-0.001, 1.0]), (8, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("key", F.lit(1))
     assert {r.vec_id: r.v for r in topk_search.quantised(df).collect()} == {1: [128, 64], 6: [-1, 256], 8: []}
     vectors = topk_search.quantised(df)
     got = topk_search.top_k(vectors, vectors).collect()
@@ -50,6 +50,30 @@ def test_vectors_that_take_no_part(spark):
     assert topk_search.top_k(none, none).collect() == [] and topk_search.top_k(vectors, none).collect() == []
 
 
+def test_rows_of_one_id_and_scores_beyond_a_long(spark):
+    rows = [(50, [1.0, 0.0]), (1, [0.25, 9.0]), (1, [0.5, 9.0]), (2, [0.25, 0.0]), (50, [1.0, 0.0]), (3, [1e300, 0.0]), (4, [2.0**40, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk_search.quantised(df)
+    got = topk_search.top_k(vectors.where("vec_id = 50"), vectors, 6).collect()
+    one = [(50, 1, 3, 2**63 - 1), (50, 2, 4, 2**56), (50, 3, 50, 2**16), (50, 4, 1, 2**15), (50, 5, 1, 2**14), (50, 6, 2, 2**14)]
+    assert sorted(map(tuple, got)) == sorted(one * 2)
+
+
+def test_query_equals_its_sql_on_repeated_ids(spark, given, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 50, 100, 3, 7, 9]), [rng.randint(-3, 3) / 4 for _ in range(rng.choice([2, 2, 3]))], 1) for _ in range(80)]
+    rows += [(51, None, 1), (52, [None, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "e"))
+    (file,) = (tmp_path / "e").glob("part-*.parquet")
+    import os
+    import shutil
+    for name in os.listdir(SMALL):
+        os.symlink(f"{SMALL}/{name}", tmp_path / name) if name != "embeddings.parquet" else shutil.copy(file, tmp_path / name)
+    df = QUERIES["op1_topk_search"](spark, str(tmp_path))
+    columns, want = check.oracle(str(tmp_path), ORACLES["op1_topk_search"])
+    assert check._bag(df.columns, [tuple(r) for r in df.collect()]) == check._bag(columns, want) and want
+
+
 def test_large_products_are_exact():
     a = np.array([[2**30, 3], [1, 2**30 + 1]])
     assert topk_search._product(a, a).tolist() == [[2**60 + 9, 2**30 + 3 * (2**30 + 1)], [2**30 + 3 * (2**30 + 1), 1 + (2**30 + 1) ** 2]]
