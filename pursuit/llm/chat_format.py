@@ -57,18 +57,28 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n") if quotes else text, quotes
 
 
+def sentences(passage: str) -> list[str]:
+    return re.split(r"(?<=[.!?;:])\s+", " ".join(passage.split()))
+
+
 def said(own: str) -> set[int]:
-    """Hashes of what a message says itself: its paragraphs and its lines."""
-    parts = re.split(r"\n[ \t]*\n", own) + own.split("\n")
+    """Hashes of what a message says itself: its paragraphs, its lines and its sentences."""
+    paragraphs = re.split(r"\n[ \t]*\n", own)
+    parts = paragraphs + own.split("\n") + [s for p in paragraphs for s in sentences(p)]
     return {digest(p) for p in parts if p.strip()}
 
 
-def asked(passage: str) -> list[int]:
-    """Hashes by which a quoted passage is looked up: the whole passage, and its lines."""
-    return list(dict.fromkeys(digest(p) for p in [passage, *passage.split("\n")] if p.strip()))
+def asked(passage: str) -> list[tuple[int, int]]:
+    """``(hash, unit)`` by which a quoted passage is looked up: the whole passage and its lines (unit 0), and its sentences
+    (unit 1), for a quotation of a part of a line."""
+    found = {digest(p): 0 for p in [passage, *passage.split("\n")] if p.strip()}
+    for s in sentences(passage):
+        if s.strip():
+            found.setdefault(digest(s), 1)
+    return list(found.items())
 
 
-PARSED = "conv_id long, turn long, role string, text string, said array<long>, quotes array<struct<level:int,hash:long>>, n_quotes int"
+PARSED = "conv_id long, turn long, role string, text string, said array<long>, quotes array<struct<level:int,unit:int,hash:long>>, n_quotes int"
 
 
 def _parse_rows(batches):
@@ -77,7 +87,7 @@ def _parse_rows(batches):
         for conv, turn, role, text in zip(batch["conv_id"], batch["turn"], batch["role"], batch["text"]):
             own, quotes = parse(text or "")
             rows.append((conv, turn, role, own, sorted(said(own)),
-                         [{"level": level, "hash": h} for level, p in quotes for h in asked(p)], len(quotes)))
+                         [{"level": level, "unit": unit, "hash": h} for level, p in quotes for h, unit in asked(p)], len(quotes)))
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "said", "quotes", "n_quotes"]).astype(
             {"conv_id": "Int64", "turn": "Int64"})
 
@@ -116,30 +126,35 @@ def paths(nodes: DataFrame) -> DataFrame:
 
 
 def link_conversations(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text, reply_to, position, depth, n_quotes, n_linked`` for every message with a
-    conversation and a turn; rows without either are left out, since nothing says where they belong.
+    """``conv_id, turn, role, text, reply_to, position, depth, n_quotes, n_linked`` for every message. A row without a
+    conversation or a turn has no place: its ``reply_to``, ``position`` and ``depth`` are null and it links nothing.
 
     ``text`` has no quotations; ``reply_to`` is the turn answered, null for the first message; ``position`` counts from 1
     in reply order; ``depth`` counts the jumps back from the start. A passage is linked to the earliest message of the
-    conversation that says it, if that is before the quoting one; of several the outermost level and then the latest
-    turn decides. Rows of one turn are put together in the order of their texts. Null texts count as empty. Runs its
+    conversation that says it, if that is before the quoting one; of several the outermost level, then a whole passage or
+    line before a sentence, and then the latest turn decides. Rows of one turn are put together in the order of their texts. Null texts count as empty. Runs its
     stages when called."""
     rows = messages.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
-    rows = staged(rows.where("conv_id is not null and turn is not null").mapInPandas(_parse_rows, PARSED), "parsed")
+    parsed = staged(rows.mapInPandas(_parse_rows, PARSED), "parsed")
+    rows = parsed.where("conv_id is not null and turn is not null")
     first = rows.select("conv_id", F.explode("said").alias("hash"), "turn").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     quoted = rows.select("conv_id", "turn", F.explode("quotes").alias("q")).select(
-        "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.hash").alias("hash")) \
-        .groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"))
+        "conv_id", "turn", "q.level", "q.unit", "q.hash").groupBy("conv_id", "turn", "hash").agg(F.min(F.struct("level", "unit")).alias("at"))
     links = quoted.join(first, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn").agg(
-        F.min(F.struct("level", (-F.col("origin")).alias("back"))).alias("best"), F.count_distinct("origin").alias("n_linked"))
+        F.min(F.struct("at.level", "at.unit", (-F.col("origin")).alias("back"))).alias("best"), F.count_distinct("origin").alias("n_linked"))
     nodes = with_neighbours(rows.select("conv_id", "turn").distinct(), ["conv_id"], "turn").drop("next_turn")
     nodes = nodes.join(links, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "prev_turn", F.coalesce(-F.col("best.back"), "prev_turn").alias("parent"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
     placed = rows.join(paths(nodes), ["conv_id", "turn"]).withColumn("_tie", F.xxhash64("role", "text"))
     unique = with_rank(placed.drop("said", "quotes", "prev_turn"), ["conv_id"], [F.col("path"), F.col("_tie"), F.col("text")], "position")
-    return unique.select("conv_id", "turn", "role", "text", F.col("parent").alias("reply_to"), F.col("position").cast("long").alias("position"),
-                         (F.size("path") / 2 - 1).cast("int").alias("depth"), "n_quotes", F.col("n_linked").cast("int").alias("n_linked"))
+    linked = unique.select(
+        "conv_id", "turn", "role", "text", F.col("parent").alias("reply_to"), F.col("position").cast("long").alias("position"),
+        (F.size("path") / 2 - 1).cast("int").alias("depth"), "n_quotes", F.col("n_linked").cast("int").alias("n_linked"))
+    loose = parsed.where("conv_id is null or turn is null").select(
+        "conv_id", "turn", "role", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("reply_to", "long"), ("position", "long"), ("depth", "int"))],
+        "n_quotes", F.lit(0).alias("n_linked"))
+    return linked.unionByName(loose)
 
 
 @query()
