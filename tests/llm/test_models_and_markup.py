@@ -155,9 +155,39 @@ THREAD = [
 ]
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p data-id="share">kept here</p><p id="search">and here</p><h2 id="related">and a title</h2></article>', "kept here\nand here\nand a title"),
+    ("<body><form action=x><div class=page><article>all in one form</article></div></form></body>", "all in one form"),
+    ("<body><form>name and mail</form><article>out of the form</article><form>more</form></body>", "out of the form"),
+    ('<article><a title="never closed>link</a> and the words after it</article>', "link and the words after it"),
+])
+def test_names_forms_and_broken_tags(page, text):
+    assert html_extract.extract(page, html_extract.Weights({})) == text
+
+
+@pytest.mark.parametrize("part", ["<div>", "<span>", "<a ", '<a "', "<ul><li>", "<p>w ", "<b><div>", "<!-- ", "</div>", "<form>", "<script>"])
+def test_time_grows_with_the_page_and_not_with_its_depth(part):
+    import time
+
+    def took(n):
+        page = "<article>" + part * n
+        start = time.process_time()
+        html_extract.extract(page, html_extract.Weights({}))
+        html_extract.count_page(page)
+        return time.process_time() - start
+
+    took(1000)
+    small, large = took(8000), took(64000)
+    assert large < 40 * max(small, 0.02)  # 64 times for the square
+
+
 def test_replies_and_order(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in THREAD], "conv_id long, turn long, role string, text string, depth int, position int")
-    got = {(r.conv_id, r.turn): r for r in chat_format.link_conversations(df).collect()}
+    rows = chat_format.link_conversations(df).collect()
+    assert len(rows) == len(THREAD)
+    loose = [r for r in rows if r.conv_id is None or r.turn is None]
+    assert len(loose) == 2 and all((r.reply_to, r.position, r.depth, r.n_linked) == (None, None, None, 0) for r in loose)
+    got = {(r.conv_id, r.turn): r for r in rows if r not in loose}
     assert {k: r.reply_to for k, r in got.items()} == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 5): 1, (1, 6): 2, (1, 7): 6, (2, 3): None, (2, 4): 3}
     assert [k[1] for k, r in sorted(got.items(), key=lambda x: x[1].position) if k[0] == 1] == [0, 1, 5, 2, 6, 7]
     assert got[1, 2].text == "Yes." and got[1, 5].text == "Fine with me." and got[1, 5].n_quotes == 2 and got[1, 5].n_linked == 2
@@ -165,6 +195,14 @@ def test_replies_and_order(spark):
     assert chat_format.link_conversations(df.where("false")).collect() == []
 
 
+def test_a_quoted_sentence_is_linked_after_whole_lines(spark):
+    rows = [(1, 0, "a", "Take the first road. It is short."), (1, 1, "b", "Take the old road."), (1, 2, "a", "Or not."),
+            (1, 3, "b", "> It is  short.\nIs it?"), (1, 4, "a", "> Take the old road.\nNo."), (1, 5, "b", "> Or not. It is short.\nHm."),
+            (2, 1, "a", "It is short."), (2, 2, "b", "> short\nWhat?")]
+    got = {(r.conv_id, r.turn): r.reply_to for r in chat_format.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 1, (1, 5): 2, (2, 1): None, (2, 2): 1}
+
+
 def test_long_chains_of_answers(spark):
     rows = [(1, t, "r", f"> say {t - 2} now\nsay {t} now" if t > 1 else f"say {t} now") for t in range(60)] + [(1, 9, "r", "again")]
     got = chat_format.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
