@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pursuit.llm.names import unused
 from pursuit.llm.registry import query, table
 from pursuit.llm.words import mix, pieces, run_hashes, word_hashes
 from pursuit.staging import lookup, staged
@@ -348,7 +349,8 @@ def op4_decontaminate(spark, sf_dir):
 
 def without_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain no benchmark item."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("fa").alias("_fa")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(bad, keyed.doc_id.eqNullSafe(bad["_id"]) & (F.col("_key") == F.col("_fa")), "left_anti").select(
+    ident, fa, key = unused(docs, "_id", "_fa", "_key")
+    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ident), F.col("fa").alias(fa)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(fa)), "left_anti").select(
         *[F.col(f"`{c}`") for c in docs.columns])

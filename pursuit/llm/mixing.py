@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pursuit.llm.names import unused
 from pursuit.llm.registry import query, table
 from pursuit.operators.ordering import with_rank
 from pursuit.staging import staged
@@ -135,18 +136,19 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix itself. One row for each epoch in which a document is taken: its columns, ``epoch`` from 0
     and ``taken``, the words of that row. The text of a document at the cut ends after its last taken word. Rows that
     repeat a document wholly all get the largest amount any of them got."""
+    ident, origin, fa, size, most, key, epoch, now = unused(docs, "_id", "_source", "_fa", "_size", "_taken", "_key", "_epoch", "_now")
     amounts = mix(docs).where("taken > 0").groupBy(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("fa").alias("_fa"), F.col("size").alias("_size")) \
-        .agg(F.max("taken").alias("_taken"))
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        amounts, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_fa")))
-    epochs = F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)
-    rows = rows.withColumn("_epoch", F.explode(epochs)).withColumn(
-        "_now", F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size")))
-    begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_now").cast("int")), "")
-    text = F.when(F.col("_now") == F.col("_size"), F.col("text")).otherwise(begun)
+        F.col("doc_id").alias(ident), F.col("source").alias(origin), F.col("fa").alias(fa), F.col("size").alias(size)) \
+        .agg(F.max("taken").alias(most))
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(
+        amounts, F.col("doc_id").eqNullSafe(F.col(ident)) & F.col("source").eqNullSafe(F.col(origin)) & (F.col(key) == F.col(fa)))
+    epochs = F.sequence(F.lit(0), F.ceil(F.col(most) / F.col(size)).cast("int") - 1)
+    rows = rows.withColumn(epoch, F.explode(epochs)).withColumn(
+        now, F.least(F.col(size), F.col(most) - F.col(epoch) * F.col(size)))
+    begun = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col(now).cast("int")), "")
+    text = F.when(F.col(now) == F.col(size), F.col("text")).otherwise(begun)
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("epoch", "taken")]
-    return rows.select(*own, F.col("_epoch").alias("epoch"), F.col("_now").alias("taken"))
+    return rows.select(*own, F.col(epoch).alias("epoch"), F.col(now).alias("taken"))

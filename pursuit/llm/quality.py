@@ -6,10 +6,12 @@ expression, so scoring is a projection.
 """
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursuit.llm.language_id import held_out_mod
+from pursuit.llm.names import unused
 from pursuit.llm.registry import query, table
 
 SAMPLE = 4000           # labelled rows that training may read
@@ -17,20 +19,21 @@ STATISTICS = ["length", "words", "word_length", "upper", "symbols", "digits", "e
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def with_statistics(df: DataFrame) -> DataFrame:
-    """Adds ``stats``, a struct of the statistics of ``text``: counts and shares that need nothing but the text. A null
+def with_statistics(df: DataFrame, name: str = "stats") -> DataFrame:
+    """Adds ``name``, a struct of the statistics of ``text``: counts and shares that need nothing but the text. A null
     text counts as empty; shares of nothing are 0."""
+    words, lines, counts = unused(df, "_words", "_lines", "_n")
     text = F.coalesce(F.col("text"), F.lit(""))
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    rows = df.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn("_lines", F.split(text, "\n"))
-    rows = rows.withColumn("_n", F.struct(
-        F.length(text).alias("length"), F.size("_words").alias("words"),
-        F.size(F.array_distinct("_words")).alias("kinds"),
-        F.size("_lines").alias("lines"), F.size(F.array_distinct("_lines")).alias("line_kinds"),
+    rows = df.withColumn(words, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).withColumn(lines, F.split(text, "\n"))
+    rows = rows.withColumn(counts, F.struct(
+        F.length(text).alias("length"), F.size(words).alias("words"),
+        F.size(F.array_distinct(words)).alias("kinds"),
+        F.size(lines).alias("lines"), F.size(F.array_distinct(lines)).alias("line_kinds"),
         left(r"\P{Lu}+").alias("upper"), left(r"\P{Nd}+").alias("digits"),
         left(r"""[\p{L}\p{N}\s.,;:'"!?()-]+""").alias("symbols"), left(r"[\p{L}\p{M}\p{N}\s]+").alias("other"),
         left("[^!]+").alias("exclaim")))
-    n = lambda name: F.col(f"_n.{name}").cast("double")
+    n = lambda of: F.col(f"{counts}.{of}").cast("double")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     stats = {
         "length": n("length"), "words": n("words"), "word_length": share(n("length"), n("words")),
@@ -39,7 +42,7 @@ def with_statistics(df: DataFrame) -> DataFrame:
         "other": share(n("other"), n("length")), "distinct": share(n("kinds"), n("words")),
         "lines": n("lines"), "distinct_lines": share(n("line_kinds"), n("lines")),
     }
-    return rows.withColumn("stats", F.struct(*[stats[s].alias(s) for s in STATISTICS])).drop("_words", "_lines", "_n")
+    return rows.withColumn(name, F.struct(*[stats[s].alias(s) for s in STATISTICS])).drop(words, lines, counts)
 
 
 def grow(x, y, features, depth: int, smallest: int = 8, path=()):
@@ -109,35 +112,63 @@ def fit_rules(x, y, trees: int = 30, depth: int = 3, seed: int = 11):
     return [(r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6], float(b)
 
 
-def compiled(rules, intercept: float) -> Column:
-    """The probability of a good text as a column over ``stats``."""
-    z = F.lit(intercept)
-    for rule, weight in rules:
-        met = F.lit(True)
-        for f, above, t in rule:
-            stat = F.col(f"stats.{STATISTICS[f]}")
-            met = met & ((stat > t) if above else (stat <= t))
-        z = z + F.when(met, F.lit(weight)).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-z))
+RULES = "array<struct<w:double,c:array<struct<f:int,above:boolean,t:double>>>>"
+
+
+def compiled(rules, intercept: float, name: str = "stats") -> Column:
+    """The probability of a good text as a column over the statistics ``name``.
+
+    The rules are one constant array that an aggregate walks, so the expression and its code are as small for many rules as
+    for few. The statistics travel in the aggregate's state, which takes them once a row."""
+    def condition(f, above, t):
+        return F.struct(F.lit(f + 1).alias("f"), F.lit(above).alias("above"), F.lit(t).alias("t"))
+
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.array(*[condition(*c) for c in rule]).alias("c")) for rule, w in rules]).cast(RULES)
+    start = F.struct(F.lit(float(intercept)).alias("z"), F.array(*[F.col(f"{name}.{s}") for s in STATISTICS]).alias("v"))
+
+    def add(state, rule):
+        met = F.forall(rule["c"], lambda c: (F.element_at(state["v"], c["f"]) > c["t"]) == c["above"])
+        return F.struct((state["z"] + F.when(met, rule["w"]).otherwise(0.0)).alias("z"), state["v"].alias("v"))
+
+    return F.aggregate(table, start, add, lambda state: 1 / (1 + F.exp(-state["z"])))
+
+
+def _fitted(batches):
+    """The rules of a sample, one row each, and the intercept under a null rule."""
+    found = [b for b in batches if len(b)] or [pd.DataFrame(columns=["doc_id", "quality", *STATISTICS])]
+    rows = pd.concat(found).sort_values(["doc_id", "quality", *STATISTICS])
+    rules, intercept = fit_rules(rows[STATISTICS].to_numpy(float), rows["quality"].to_numpy(float))
+    yield pd.DataFrame({
+        "rule": [None, *[[{"f": int(f), "above": bool(above), "t": float(t)} for f, above, t in r] for r, _ in rules]],
+        "weight": [intercept, *[w for _, w in rules]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE):
-    """Rules learned from labelled rows that are not ``held_out``; the rows are chosen by the hash of their id."""
+    """Rules learned from labelled rows that are not ``held_out``; the rows are chosen by the hash of their id. Rules are
+    fitted in a task, on at most four times ``sample`` rows; the driver reads the rules alone."""
     chosen = labels.where("doc_id is not null and quality is not null").where(~held_out).select("doc_id", "quality") \
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")) \
-        .select("doc_id", "quality", "stats.*").limit(4 * sample).toPandas().sort_values(["doc_id", "quality", *STATISTICS])
-    return fit_rules(rows[STATISTICS].to_numpy(float), rows["quality"].to_numpy(float))
+        .select("doc_id", "quality", "stats.*").limit(4 * sample).coalesce(1)
+    got = rows.mapInPandas(_fitted, "rule array<struct<f:int,above:boolean,t:double>>, weight double").collect()
+    rules = sorted((tuple((c.f, c.above, c.t) for c in r.rule), r.weight) for r in got if r.rule is not None)
+    return rules, next((r.weight for r in got if r.rule is None), 0.0)
 
 
-def score(docs: DataFrame, labels: DataFrame, bar: float = 0.3, held_out=None) -> DataFrame:
-    """Every row of ``docs`` with all its columns, and ``held_out, score, predicted``. Null and empty texts are scored
-    by their statistics like any other; without labels every score is one half. The rules are fitted when called."""
-    held_out = held_out_mod(5, 0) if held_out is None else held_out
+def with_score(docs: DataFrame, labels: DataFrame, bar: float, held_out, names) -> DataFrame:
+    """``docs`` with the three results of ``score`` under ``names``, which no column of ``docs`` has."""
     rules, intercept = fit(docs, labels, held_out)
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "stats", "_words", "_lines", "_n")]
-    scored = with_statistics(docs.select(*kept)).select(*kept, held_out.alias("held_out"), compiled(rules, intercept).alias("score"))
-    return scored.withColumn("predicted", F.when(F.col("score") >= bar, 1).otherwise(0))
+    (stats,) = unused(docs, "stats")
+    rows = with_statistics(docs, stats).withColumn(names[0], held_out).withColumn(names[1], compiled(rules, intercept, stats)).drop(stats)
+    return rows.withColumn(names[2], F.when(F.col(names[1]) >= bar, 1).otherwise(0))
+
+
+def score(docs: DataFrame, labels: DataFrame, bar: float = 0.3, held_out=None) -> DataFrame:
+    """Every row of ``docs`` with all its columns, and ``held_out, score, predicted``, which take the place of columns of
+    these names. Null and empty texts are scored by their statistics like any other; without labels every score is one
+    half. The rules are fitted when called."""
+    names = ("held_out", "score", "predicted")
+    return with_score(docs.drop(*names), labels, bar, held_out_mod(5, 0) if held_out is None else held_out, names)
 
 
 @query()
@@ -146,7 +177,8 @@ def op8_quality(spark, sf_dir):
         "doc_id", "held_out", "score", "predicted")
 
 
-def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier does not reject."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return score(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*columns)
+def keep_good(spark, docs: DataFrame, sf_dir: str, bar: float = 0.3) -> DataFrame:
+    """Pipeline stage: documents that the classifier does not reject, with the columns they came with."""
+    names = unused(docs, "held_out", "score", "predicted")
+    scored = with_score(docs, table(spark, sf_dir, "labels"), bar, held_out_mod(5, 0), names)
+    return scored.where(F.col(names[2]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

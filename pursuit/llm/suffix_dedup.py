@@ -20,7 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from pursuit.llm.names import unused
 from pursuit.llm.registry import query, table
 from pursuit.llm.words import BASE, mix, pieces, powers
 from pursuit.staging import release, staged
@@ -350,23 +352,32 @@ def removal_report(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> Dat
 def remove_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` and, where there is one, ``n_chars`` counted anew. What is
     left of a character that a cut goes through is dropped. Texts that repeat nothing stay as they are."""
+    rows, lost = with_cuts(docs, least, seed)
+    return rows.drop(lost)
+
+
+def with_cuts(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> tuple[DataFrame, str]:
+    """``remove_repeats`` with one more column, whose name is given too: whether the text lost anything."""
     spans, names = staged(repeated_spans(docs, least, seed), "spans"), docs.columns
+    ident, same, held, key, lost = unused(docs, "_id", "_fa", "_spans", "_key", "_lost")
 
     def cut(batches):
         for batch in batches:
+            ranges = batch.column(held).to_pylist()
             texts = [t if s is None else cut_out((t or "").encode(), merged(s)).decode("utf-8", "ignore")
-                     for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+                     for t, s in zip(batch.column("text").to_pylist(), ranges)]
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s is not None for s in ranges])], names=[*names, lost])
 
     fa = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("fa").alias("_fa"), F.col("spans").alias("_spans"))
-    cut_docs = docs.withColumn("_key", fa).join(
-        spans, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_fa")), "left") \
-        .select(*[F.col(f"`{c}`") for c in names], "_spans").mapInArrow(cut, docs.schema)
-    if "n_chars" not in names:
-        return cut_docs
-    return cut_docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    spans = spans.select(F.col("doc_id").alias(ident), F.col("fa").alias(same), F.col("spans").alias(held))
+    schema = StructType([*docs.schema.fields, StructField(lost, BooleanType())])
+    rows = docs.withColumn(key, fa).join(
+        spans, (F.col("doc_id").cast("long") == F.col(ident)) & (F.col(key) == F.col(same)), "left") \
+        .select(*[F.col(f"`{c}`") for c in names], held).mapInArrow(cut, schema)
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows, lost
 
 
 @query()
@@ -375,5 +386,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without repeated passages; documents of which nothing is left go."""
-    return remove_repeats(docs).where("text is null or text <> ''")
+    """Pipeline stage: texts without repeated passages; documents of which nothing is left go. Documents that had no text
+    before stay as they are."""
+    rows, lost = with_cuts(docs)
+    return rows.where(~F.col(lost) | (F.col("text") != "")).drop(lost)
