@@ -33,7 +33,8 @@ STAGES = [
     ("mixing sources to target weights", swept(mixed)),
 ]
 
-# trained weights and similarity joins cannot be said in SQL; tests compare every stage with a brute-force version
+# trained weights and similarity joins cannot be said in SQL; tests/llm/test_pipeline.py compares what every stage keeps with a
+# plain version of it (the repeats' texts by their length)
 ORACLE_SQL = None
 
 
