@@ -1,16 +1,17 @@
-"""Removal of byte strings that repeat across documents, by prefix doubling over sampled positions.
+"""Removal of byte strings that repeat across documents, by sampled positions, runs and window hashes.
 
-Doubling over every byte would move every position once per round, many times the size of the texts. Positions are thinned
-first without loss: of all strings of ``seed`` bytes inside a window of ``least`` bytes the one with the smallest hash
-speaks for the window, and equal windows have the same one at the same place. The rounds then are
+Prefix doubling over every byte would move every position once per round, many times the size of the texts. Positions are
+thinned instead, without loss: of all strings of ``seed`` bytes inside a window of ``least`` bytes the one with the smallest
+hash speaks for the window, and equal windows have the same one at the same place. Then
 
-1. rank the sampled positions by their ``seed`` bytes and drop those whose rank no other text has;
-2. rank pairs of (rank, next bytes) at growing offsets to the right and to the left of what is left, dropping a side of
-   a position as soon as it is unique;
-3. past the threshold, rank the windows of ``least`` bytes that can still repeat, and take the smallest document of each.
+1. positions are ranked by their ``seed`` bytes, and those whose rank no other text has are dropped;
+2. two rounds of (rank, next bytes) on each side, a few bytes further each, bound which windows can still repeat; they only
+   narrow what the next step hashes;
+3. the windows of ``least`` bytes that are left are grouped by their hashes, which decides, and the smallest document of each is taken.
 
-Equal texts are one class with its smallest id before any of it. Ranks are 64-bit hashes; a run of windows is known by its rank and a second hash. The first round moves packed
-arrays by hash range, one entry for each batch of texts and string; later rounds move the few positions left.
+Equal texts are one class with its smallest id before any of it. Ranks are 64-bit hashes; a run of windows is known by its
+rank and a second hash. The first step moves packed arrays by hash range, one entry for each batch of texts and string;
+later steps move the few positions left.
 """
 
 import hashlib
