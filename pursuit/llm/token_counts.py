@@ -20,8 +20,8 @@ from pursuit.llm.registry import query, table
 from pursuit.llm.words import pieces
 from pursuit.staging import staged
 
-KNOWN_BYTES = 96 << 20      # characters of the counted pre-tokens a task remembers, 64 more for each; beyond that it starts anew
-BLOCK_BYTES = 32 << 20      # text of a block; a longer document is a block of its own
+KNOWN_BYTES = 32 << 20      # characters of the counted pre-tokens a task remembers, 64 more for each; beyond that it starts anew
+BLOCK_BYTES = 8 << 20       # text of a block; a longer document is a block of its own
 SLICE_CODES = 1 << 20       # pre-tokens of a row of frequencies; a longer document is a row of its own
 BLOCKS = "block long, part int, names binary, doc_ids array<long>, bytes array<long>, added array<long>, sizes array<int>, codes binary, times binary"
 COUNTS = "block long, part int, counts binary"
