@@ -7,13 +7,16 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pursuit.operators import board, documents, features, moments, nesting, quality, ratings, scene, stretches
+from pursuit import staging
+from pursuit.operators import board, documents, expect, features, field, metric, moments, nesting, quality, ratings, scene, stretches
 from pursuit.plans import rate
 from pursuit.schema import KEY
 from pursuit.sources import clustered, games, names, release, shards
+from pursuit.staging import clustered as clustered_staged
 from pursuit.staging import staged
 from tests.conftest import GAINED, GAME, IN, LAND, OUT, PLAY
 from tests.test_rating import random_table
+from workload.tracking import tracking
 
 
 @pytest.fixture(scope="module")
@@ -158,6 +161,32 @@ def test_clustered_tables_need_no_exchange_of_frames(spark, rating_play, tmp_pat
     assert again.exceptAll(inp).count() == 0 and exchanges(again.groupBy(*KEY).agg(F.max("x"))) == 0
 
 
+def test_derived_frames_meet_by_play_without_an_exchange(spark, tmp_path):
+    """Rows of one order and supplier that come twice, null keys, and one order with many suppliers."""
+    rows = [(o, s, float(o % 50 + 1), 900.0 + s) for o in range(1, 40) for s in range(1, 5)] + [(7, s, 3.0, 100.0) for s in range(1, 60)]
+    rows += [(None, 3, 5.0, 10.0), (12, None, 5.0, 10.0)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    v = tracking(spark, str(tmp_path))
+    keys = lines.select("l_orderkey", "l_suppkey").distinct()
+    assert v.roster.select("play_id", "nfl_id").exceptAll(keys).count() == 0 and v.roster.count() == keys.count()
+    assert v.roster.inputFiles() and exchanges(v.roster.groupBy("play_id").agg(F.max("rn"))) == 0
+    assert exchanges(features.history_arrays(v.inp, v.out)) == 0
+    assert exchanges(metric.scored_targets(v.pred, v.inp, v.out)) == 0
+    assert exchanges(expect.baseline_targets(v.inp, v.out)) == 0
+    assert exchanges(field.normalize_targets(v.out, v.inp)) == 0
+
+
+def test_clear_drops_clustered_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "application_dir", lambda _: str(tmp_path / "alone"))
+    monkeypatch.setattr(staging, "_tables", [])
+    made = clustered_staged(spark.range(100), "ids", ["id"], 3)
+    (_, name), = staging._tables
+    assert made.count() == 100 and len(made.inputFiles()) == 3 and spark.catalog.tableExists(name)
+    staging.clear(spark)
+    assert not spark.catalog.tableExists(name) and not os.path.exists(tmp_path / "alone") and staging._tables == []
+
+
 def test_one_pass_gives_the_profile_and_the_angles(spark, rating_play):
     """Rows in any order and in small batches, with gaps, nulls, standing players and two weeks."""
     inp = rating_play[0]
