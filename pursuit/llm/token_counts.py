@@ -7,6 +7,7 @@ each once; the counts go back to the blocks that hold them, meet the frequencies
 compressed, since a row for every document and pre-token would outweigh the texts.
 """
 
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -20,8 +21,9 @@ from pursuit.llm.registry import query, table
 from pursuit.llm.words import pieces
 from pursuit.staging import staged
 
-KNOWN_BYTES = 32 << 20      # characters of the counted pre-tokens a task remembers, 64 more for each; beyond that it starts anew
+KNOWN_BYTES = 8 << 20       # characters of the counted pre-tokens a task remembers, 64 more for each; beyond that it starts anew
 BLOCK_BYTES = 8 << 20       # text of a block; a longer document is a block of its own
+AT_ONCE = 4096              # pre-tokens the library encodes in one call; an encoding takes many times the bytes of its text
 SLICE_CODES = 1 << 20       # pre-tokens of a row of frequencies; a longer document is a row of its own
 BLOCKS = "block long, part int, names binary, doc_ids array<long>, bytes array<long>, added array<long>, sizes array<int>, codes binary, times binary"
 COUNTS = "block long, part int, counts binary"
@@ -32,6 +34,8 @@ class Pieces:
     """Splits texts into pre-tokens and counts their pieces for one tokenizer file; counts are kept up to ``KNOWN_BYTES``."""
 
     def __init__(self, path: str):
+        # a task has one core; threads of the library's own would each keep memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
@@ -67,7 +71,9 @@ class Pieces:
         new = [w for w in wanted if w not in self.known]
         self.held += sum(map(len, new)) + 64 * len(new)
         plain = [w for w in new if not (w[0] == "\t" and len(w) > 1)]
-        self.known.update(zip(plain, map(len, self.tokenizer.encode_batch(plain, add_special_tokens=False))))
+        for lo in range(0, len(plain), AT_ONCE):
+            some = plain[lo:lo + AT_ONCE]
+            self.known.update(zip(some, map(len, self.tokenizer.encode_batch(some, add_special_tokens=False))))
         for w in new:
             if w[0] == "\t" and len(w) > 1:
                 mapped = all(not c.isspace() for c in w[1:])

@@ -214,3 +214,22 @@ def test_leaks_of_given_tables(given):
     items = [(r.item_id, r.text) for r in given("benchmark").collect()]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(given("documents"), given("benchmark")).collect()}
     assert brute_leaks(docs, items) == got and got
+
+
+def test_pre_tokens_are_encoded_a_few_thousand_at_a_time(monkeypatch):
+    """However many pre-tokens a row holds; what is remembered starts anew beyond the bound and counts stay the same."""
+    sizes = []
+
+    class Library:
+        def encode_batch(self, texts, add_special_tokens):
+            sizes.append(len(texts))
+            return texts
+
+    monkeypatch.setattr(token_counts, "KNOWN_BYTES", 1 << 10)
+    counter = object.__new__(token_counts.Pieces)
+    counter.tokenizer, counter.known, counter.held = Library(), {}, 0
+    words = [f"w{i}" for i in range(3 * token_counts.AT_ONCE + 7)]
+    for _ in range(2):
+        known = counter.count(words)
+        assert all(known[w] == len(w) for w in words)
+    assert max(sizes) <= token_counts.AT_ONCE and sum(sizes) == 2 * len(words)
