@@ -16,6 +16,7 @@ from pursuit.staging import clustered as clustered_staged
 from pursuit.staging import staged
 from tests.conftest import GAINED, GAME, IN, LAND, OUT, PLAY
 from tests.test_rating import random_table
+from workload import suite_documents
 from workload.tracking import tracking
 
 
@@ -175,6 +176,24 @@ def test_derived_frames_meet_by_play_without_an_exchange(spark, tmp_path):
     assert exchanges(metric.scored_targets(v.pred, v.inp, v.out)) == 0
     assert exchanges(expect.baseline_targets(v.inp, v.out)) == 0
     assert exchanges(field.normalize_targets(v.out, v.inp)) == 0
+    frames = scene.scrimmage_frames(v.inp, v.out)
+    assert exchanges(frames) == 0
+    assert exchanges(scene.path_at(frames, v.roster.select(*KEY, F.lit(2.5).alias("t")))) == 0
+    assert exchanges(scene.resample(frames, 4)) == 0
+
+
+def test_whole_plays_are_put_together_where_the_documents_lie(spark, tmp_path):
+    rows = [(o, s, float(o % 50 + 1), 900.0 + s) for o in range(1, 40) for s in range(1, 5)] + [(7, s, 3.0, 100.0) for s in range(1, 90)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    docs = suite_documents._plays(spark, str(tmp_path))
+    # a file for each bucket with rows, so no bucket was written by two tasks
+    assert len(docs.inputFiles()) == docs.select(F.input_file_name()).distinct().count() <= 39
+    plays = nesting.nested_plays(docs)
+    assert exchanges(plays) <= 1  # the few seats of large plays are broadcast, rows are not exchanged
+    assert "Exchange hashpartitioning" not in plays._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    sizes = {(r.play, r.part): r.n for r in plays.select("play", "part", F.size("players").alias("n")).collect()}
+    assert sizes[7, 0] == 64 and sizes[7, 1] == 25 and sizes[8, 0] == 4 and len(sizes) == 40
 
 
 def test_clear_drops_clustered_tables(spark, tmp_path, monkeypatch):
