@@ -1,5 +1,6 @@
 """Landed files: late, lone and corrected ones."""
 
+import glob
 import time
 
 import pytest
@@ -75,3 +76,28 @@ def test_a_listing_passes_over_what_is_not_ready_and_refuses_other_names(tmp_pat
     (tmp_path / "other.csv").write_text("")
     with pytest.raises(ValueError, match="no season and week"):
         landing.listing(str(tmp_path))
+
+
+def test_a_batch_of_requests_is_staged_and_not_cached(spark, tmp_path, monkeypatch):
+    from pursuit import staging
+    from pursuit.streaming.requests import write_batch
+
+    def refuse(*_):
+        raise AssertionError("a parsed batch was cached")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", refuse)
+    batch = spark.createDataFrame([("a", "{not json"), ("b", '{"rows":[]}'), ("b", '{"rows":[]}')], "request_id string, body string")
+    write_batch(batch, 0, str(tmp_path / "good"), str(tmp_path / "bad"))
+    bad = spark.read.parquet(str(tmp_path / "bad")).select("request_id", "body").collect()
+    assert sorted((r.request_id, r.body) for r in bad) == [("a", "{not json"), ("b", '{"rows":[]}'), ("b", '{"rows":[]}')]
+    assert not glob.glob(f"{staging.application_dir(spark).removeprefix('file:')}/parsed-*")
+
+
+def test_a_folder_is_given_another_path(spark, tmp_path):
+    from pursuit.staging import rename
+
+    spark.range(3).write.parquet(str(tmp_path / "one"))
+    rename(spark, str(tmp_path / "one"), str(tmp_path / "deep" / "two"))
+    rename(spark, str(tmp_path / "none"), str(tmp_path / "deep" / "three"))
+    assert spark.read.parquet(str(tmp_path / "deep" / "two")).count() == 3 and not (tmp_path / "one").exists()
+    assert (tmp_path / "deep" / "three").is_dir()
