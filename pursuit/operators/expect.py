@@ -234,7 +234,9 @@ def fit_linear_models(state: DataFrame, out: DataFrame):
     """The same expectation with ``pyspark.ml``: one least-squares fit per held-out fold and axis.
 
     The weights of a (kind, bucket) cell are the coefficients of that cell's two interaction terms, so one fit per
-    fold covers every cell. Returns the long weight table, comparable with ``fit_crossfit``."""
+    fold covers every cell. Returns the long weight table, comparable with ``fit_crossfit``.
+
+    Stages its steps when called."""
     from pyspark.ml.feature import Interaction, OneHotEncoder, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
@@ -246,9 +248,9 @@ def fit_linear_models(state: DataFrame, out: DataFrame):
     cell = (index * buckets + _bucket(F.col("frame_id"))).cast("double")
     columns = [cell.alias("cell"), fold_of().alias("fold")]
     for axis, (one, two) in _regressors(F.col("frame_id")).items():
-        columns += [one.alias(f"{axis}1"), two.alias(f"{axis}2"),
-                    (F.col(axis) - F.col(f"{axis}0")).alias(f"{axis}d")]
-    rows = rows.select(*columns)
+        columns += [_known(one).alias(f"{axis}1"), _known(two).alias(f"{axis}2"),
+                    _known(F.col(axis) - F.col(f"{axis}0")).alias(f"{axis}d")]
+    rows = _same_fit(rows.select(*columns))
     # every cell number is known, so the encoder is fitted on the numbers and not on the data
     numbers = spark.range(len(kinds) * buckets).select(F.col("id").cast("double").alias("cell"))
     rows = OneHotEncoder(inputCols=["cell"], outputCols=["onehot"], dropLast=False).fit(numbers).transform(rows)
@@ -256,23 +258,63 @@ def fit_linear_models(state: DataFrame, out: DataFrame):
         pair = VectorAssembler(inputCols=[f"{axis}1", f"{axis}2"], outputCol=f"{axis}pair")
         rows = Interaction(inputCols=["onehot", f"{axis}pair"], outputCol=f"{axis}features").transform(
             pair.transform(rows))
-    rows = rows.select("fold", "xfeatures", "xd", "yfeatures", "yd").persist()
+    rows = rows.select("fold", "xfeatures", "xd", "yfeatures", "yd")
     found = []
-    try:
-        for fold in range(N_FOLDS):
-            part = rows.where(F.col("fold") != fold)
-            fits = {}
-            for axis in ("x", "y"):
-                fit = LinearRegression(
-                    featuresCol=f"{axis}features", labelCol=f"{axis}d", fitIntercept=False, solver="normal",
-                    standardization=False,
-                ).fit(part)
-                fits[axis] = fit.coefficients.toArray()
-            for i in range(len(kinds) * buckets):
-                found.append((
-                    kinds[i // buckets], i % buckets, fold, *(float(fits[a][2 * i + j]) for a in "xy" for j in (0, 1))
-                ))
-    finally:
-        rows.unpersist()
+    for fold in range(N_FOLDS):
+        part = rows.where(F.col("fold") != fold)
+        fits = {}
+        for axis in ("x", "y"):
+            fit = LinearRegression(
+                featuresCol=f"{axis}features", labelCol=f"{axis}d", fitIntercept=False, solver="normal",
+                standardization=False,
+            ).fit(part)
+            fits[axis] = fit.coefficients.toArray()
+        for i in range(len(kinds) * buckets):
+            found.append((
+                kinds[i // buckets], i % buckets, fold, *(float(fits[a][2 * i + j]) for a in "xy" for j in (0, 1))
+            ))
     return spark.createDataFrame(
         found, "kind string, bucket long, fold long, x_velocity double, x_ball double, y_velocity double, y_ball double")
+
+
+def _known(value):
+    """``value``; a row without a number is refused, as the library does."""
+    return F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit("null or NaN in a row to be fitted"))).otherwise(value)
+
+
+def _same_fit(rows: DataFrame) -> DataFrame:
+    """Three rows per cell and fold with the same least-squares problem as all its rows.
+
+    They are the triangle R of the rows' QR decomposition, from their second moments: a fit without intercept sees rows only
+    through those, and R has the same. So the frames are read once, and what the fits read does not grow with them.
+
+    Stages its steps when called."""
+    columns = []
+    for axis in ("x", "y"):
+        one, two, moved = (F.col(f"{axis}{k}") for k in "12d")
+        pairs = {"11": one * one, "12": one * two, "22": two * two, "1d": one * moved, "2d": two * moved, "dd": moved * moved}
+        columns += [F.sum(v).alias(f"{axis}{k}") for k, v in pairs.items()]
+    moments = staged(rows.groupBy("cell", "fold").agg(*columns), "linear-moments")
+
+    def root(v):
+        return F.sqrt(F.greatest(v, F.lit(0.0)))
+
+    def over(v, by):
+        return F.when(by > 0, v / by).otherwise(0.0)
+
+    for axis in ("x", "y"):
+        m = {k: F.col(f"{axis}{k}") for k in ("11", "12", "22", "1d", "2d", "dd")}
+        moments = moments.withColumn(f"{axis}r11", root(m["11"]))
+        r11 = F.col(f"{axis}r11")
+        moments = moments.withColumns({f"{axis}r12": over(m["12"], r11), f"{axis}r1d": over(m["1d"], r11)})
+        r12, r1d = F.col(f"{axis}r12"), F.col(f"{axis}r1d")
+        moments = moments.withColumn(f"{axis}r22", root(m["22"] - r12 * r12))
+        r22 = F.col(f"{axis}r22")
+        moments = moments.withColumn(f"{axis}r2d", over(m["2d"] - r12 * r1d, r22))
+        moments = moments.withColumn(f"{axis}rdd", root(m["dd"] - r1d * r1d - F.col(f"{axis}r2d") * F.col(f"{axis}r2d")))
+    none = F.lit(0.0)
+    triangle = [("r11", "r12", "r1d"), (None, "r22", "r2d"), (None, None, "rdd")]
+    three = F.array(*[F.struct(*[
+        (F.col(f"{axis}{c}") if c else none).alias(f"{axis}{k}") for axis in ("x", "y") for k, c in zip("12d", line)
+    ]) for line in triangle])
+    return moments.select("cell", "fold", F.inline(three))

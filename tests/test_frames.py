@@ -237,3 +237,35 @@ def test_external_models_plug_in_as_batches(play):
     pred = expect.external_predictions(state, model, schema)
     assert pred.count() == 2 * OUT
     assert metric.evaluate_predictions(pred, *play).where("cut = 'all'").first().rmse > 1
+
+
+def test_linear_models_fit_all_rows_without_keeping_them(spark, monkeypatch):
+    """Weights of every cell and held-out fold against the normal equations of its rows; a row without a number is refused."""
+    import numpy as np
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "persist", lambda *a: pytest.fail("the frames are kept"))
+    monkeypatch.setattr(DataFrame, "cache", lambda *a: pytest.fail("the frames are kept"))
+    state = spark.range(240).select(
+        (F.col("id") % 20).alias("game_id"), F.col("id").alias("play_id"), F.lit(1).cast("long").alias("nfl_id"), F.lit(9).cast("long").alias("frame_id"),
+        F.when(F.col("id") % 3 == 0, "Targeted Receiver").otherwise("Defensive Coverage").alias("player_role"),
+        F.element_at(F.array(F.lit("CB"), F.lit("FS"), F.lit("ILB"), F.lit("WR")), (F.col("id") % 4 + 1).cast("int")).alias("player_position"),
+        F.lit(40).cast("long").alias("num_frames_output"), (F.col("id") * 7 % 101).cast("double").alias("ball_land_x"),
+        (F.col("id") * 11 % 53).cast("double").alias("ball_land_y"), (F.col("id") * 5 % 97).cast("double").alias("x0"),
+        (F.col("id") * 3 % 51).cast("double").alias("y0"), (F.col("id") * 13 % 17 - 8.0).alias("vx"), (F.col("id") * 19 % 15 - 7.0).alias("vy"))
+    frames = state.select(*KEY, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("frame_id"), "x0", "y0")
+    out = frames.select(*KEY, "frame_id", (F.col("x0") + F.col("frame_id") * F.col("play_id") % 23).alias("x"),
+                        (F.col("y0") - F.col("frame_id") * F.col("play_id") % 19).alias("y"))
+    rows = expect.targets_at_throw(state, out).select(
+        "frame_id", expect._kind().alias("kind"), expect.fold_of().alias("fold"), "num_frames_output", "x", "x0", "vx", "ball_land_x").toPandas()
+    found = expect.fit_linear_models(state, out)
+    assert found.count() > 0
+    for w in found.where("fold IN (0, 3) AND bucket IN (0, 4, 7) AND kind <> 'other'").collect():
+        cell = rows[(rows.kind == w.kind) & ((rows.frame_id - 1) // expect.BUCKET == w.bucket) & (rows.fold != w.fold)]
+        if cell.empty:
+            continue
+        one, two = 0.1 * cell.frame_id * cell.vx, (cell.ball_land_x - cell.x0) * cell.frame_id / cell.num_frames_output
+        best = np.linalg.lstsq(np.column_stack([one, two]), (cell.x - cell.x0).to_numpy(), rcond=None)[0]
+        assert (w.x_velocity, w.x_ball) == pytest.approx(tuple(best), abs=1e-5)
+    with pytest.raises(Exception, match="null or NaN"):
+        expect.fit_linear_models(state, out.withColumn("x", F.when(F.col("play_id") != 5, F.col("x"))))
