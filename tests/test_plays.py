@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pursuit import staging
-from pursuit.operators import board, documents, expect, features, field, metric, moments, nesting, quality, ratings, scene, stretches
+from pursuit.operators import board, documents, expect, features, field, metric, moments, nesting, playtable, quality, ratings, scene, stretches
 from pursuit.plans import rate
 from pursuit.schema import KEY
 from pursuit.sources import clustered, games, names, release, shards
@@ -16,7 +16,7 @@ from pursuit.staging import clustered as clustered_staged
 from pursuit.staging import staged
 from tests.conftest import GAINED, GAME, IN, LAND, OUT, PLAY
 from tests.test_rating import random_table
-from workload import suite_documents
+from workload import suite_documents, suite_models, suite_ratings
 from workload.tracking import tracking
 
 
@@ -162,6 +162,35 @@ def test_clustered_tables_need_no_exchange_of_frames(spark, rating_play, tmp_pat
     assert again.exceptAll(inp).count() == 0 and exchanges(again.groupBy(*KEY).agg(F.max("x"))) == 0
 
 
+def derived(spark, path):
+    """Lines of a few plays with four players each, one of them with 39."""
+    rows = [(o, s, float((o * 7 + s) % 50 + 1), 900.0 + 13 * s + o) for o in range(1, 40) for s in range(1, 5)] + [(7, s, 3.0, 100.0) for s in range(5, 40)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    lines.write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_play_table_of_the_derived_ratings_is_exchanged_nowhere(spark, tmp_path):
+    at = derived(spark, tmp_path)
+    b, v = suite_ratings.base(spark, at), tracking(spark, at)
+    plays = playtable.play_table_of(b.arrived, v.context)
+    assert exchanges(plays) == 0
+    assert 0 < b.plays.count() == plays.count() and b.plays.columns == plays.columns
+    assert b.plays.select(*KEY, "z", "ex").exceptAll(plays.select(*KEY, "z", "ex")).count() == 0
+    # staged once: the play table and the published rows are read from the centered table
+    assert sorted(b.rows.inputFiles()) == sorted(b.table.inputFiles()) == sorted(b.plays.inputFiles())
+
+
+def test_predictions_of_a_callers_model_meet_targets_where_they_lie(spark, tmp_path, monkeypatch):
+    at, seen = derived(spark, tmp_path), []
+    evaluate = metric.evaluate_predictions
+    monkeypatch.setattr(metric, "evaluate_predictions", lambda pred, inp, out: seen.append(pred) or evaluate(pred, inp, out))
+    assert suite_models.callers_model(spark, at).count() > 0
+    v = tracking(spark, at)
+    assert exchanges(metric.scored_targets(seen[0], v.inp, v.out, "left")) == 0
+    assert seen[0].count() == v.out.count()
+
+
 def test_derived_frames_meet_by_play_without_an_exchange(spark, tmp_path):
     """Rows of one order and supplier that come twice, null keys, and one order with many suppliers."""
     rows = [(o, s, float(o % 50 + 1), 900.0 + s) for o in range(1, 40) for s in range(1, 5)] + [(7, s, 3.0, 100.0) for s in range(1, 60)]

@@ -6,6 +6,7 @@ from pursuit.operators import expect, features, field, metric, paths, scene
 from pursuit.operators.metric import scored_targets
 from pursuit.plans import score as score_plan
 from pursuit.schema import KEY
+from pursuit.staging import clustered
 from workload.oracle_view import VIEW
 from workload.registry import AT, game_rows, per_game, query, r, row_hash, row_hash_sql, rounded
 from workload.tracking import tracking
@@ -409,5 +410,6 @@ def callers_model(spark, sf_dir):
     """Predictions of a model of the caller's, evaluated like any other."""
     v = tracking(spark, sf_dir)
     frames = paths.future_frames(expect.throw_state(v.inp)).select(*AT_KEYS, "x0", "y0", "vx", "vy")
-    pred = expect.external_predictions(frames, _half_speed, PREDICTED)
+    # the model answers for the frames of its bucket; rows of another one would be written to that one's files
+    pred = clustered(expect.external_predictions(frames, _half_speed, PREDICTED), "external", ["play_id"], v.buckets, placed=True)
     return rounded(metric.evaluate_predictions(pred, v.inp, v.out))
