@@ -191,6 +191,16 @@ def test_predictions_of_a_callers_model_meet_targets_where_they_lie(spark, tmp_p
     assert seen[0].count() == v.out.count()
 
 
+def test_records_of_placed_arrays_are_the_same_without_an_exchange(spark, tmp_path):
+    at = derived(spark, tmp_path)
+    v = tracking(spark, at)
+    arrays = clustered_staged(features.history_arrays(v.inp, v.out), "arrays", ["play_id"], v.buckets, placed=True)
+    records = shards.play_records(arrays, placed=True)
+    assert exchanges(records) <= 1 < exchanges(shards.play_records(arrays))  # the few seats of large plays are broadcast
+    rows = sorted(map(str, records.collect()))
+    assert rows == sorted(map(str, shards.play_records(arrays).collect())) and len(rows) == v.context.count() + 1
+
+
 def test_derived_frames_meet_by_play_without_an_exchange(spark, tmp_path):
     """Rows of one order and supplier that come twice, null keys, and one order with many suppliers."""
     rows = [(o, s, float(o % 50 + 1), 900.0 + s) for o in range(1, 40) for s in range(1, 5)] + [(7, s, 3.0, 100.0) for s in range(1, 60)]
