@@ -32,3 +32,10 @@ def test_frames_go_to_python_as_numbers_and_flags(spark, rating_play):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(2**31 - 1)
     odd = inp.withColumn("play_direction", F.when(F.col("nfl_id") == 1, None).when(F.col("nfl_id") == 2, "up").otherwise("left"))
     assert {r.nfl_id: r.bad_direction for r in stretches.profile(stretches.stretches(odd)).collect()} == {1: 0, 2: 9, 3: 0, 4: 0}
+
+
+def test_requests_are_checked_without_being_written(spark, lines, monkeypatch):
+    written = []
+    monkeypatch.setattr(suite_documents, "staged", lambda df, label: written.append(label) or staging.staged(df, label))
+    answers = {r.error: r.requests for r in suite_documents.request_validation(spark, lines).collect()}
+    assert written == [] and sum(answers.values()) == 39  # an order that is null has no frames
