@@ -39,3 +39,14 @@ def test_requests_are_checked_without_being_written(spark, lines, monkeypatch):
     monkeypatch.setattr(suite_documents, "staged", lambda df, label: written.append(label) or staging.staged(df, label))
     answers = {r.error: r.requests for r in suite_documents.request_validation(spark, lines).collect()}
     assert written == [] and sum(answers.values()) == 39  # an order that is null has no frames
+
+
+def test_frames_of_scenarios_are_not_sorted_to_meet_their_play(spark):
+    pred = spark.createDataFrame([(s, 1, p, 5, k, 10.0 + k, 20.0) for s in ("a", "b") for p in (1, 2, 3) for k in (1, 2)],
+                                 "scenario string, game_id long, play_id long, nfl_id long, frame_id long, x_pred double, y_pred double")
+    plays = spark.createDataFrame([(1, 1, "left", 40), (1, 2, "right", 40)],
+                                  "game_id long, play_id long, play_direction string, absolute_yardline_number long")
+    points = scene.scenario_points(pred, plays)
+    assert "ShuffledHashJoin" in plan(points) and "SortMergeJoin" not in plan(points)
+    assert {(r.scenario, r.play_id, r.frame_id): r.u for r in points.collect()} == {
+        (s, p, k): (30.0 - k if p == 1 else k - 30.0) for s in ("a", "b") for p in (1, 2) for k in (1, 2)}
