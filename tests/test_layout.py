@@ -41,6 +41,13 @@ def test_requests_are_checked_without_being_written(spark, lines, monkeypatch):
     assert written == [] and sum(answers.values()) == 39  # an order that is null has no frames
 
 
+def test_angle_check_exchanges_no_stretches_for_their_week(spark, lines, monkeypatch):
+    made = []
+    monkeypatch.setattr(suite_quality, "staged", lambda df, label: made.append(df) or staging.staged(df, label))
+    assert suite_quality.angle_check(spark, lines).count() == 18
+    assert "Exchange hashpartitioning" not in plan(made[0])
+
+
 def test_frames_of_scenarios_are_not_sorted_to_meet_their_play(spark):
     pred = spark.createDataFrame([(s, 1, p, 5, k, 10.0 + k, 20.0) for s in ("a", "b") for p in (1, 2, 3) for k in (1, 2)],
                                  "scenario string, game_id long, play_id long, nfl_id long, frame_id long, x_pred double, y_pred double")
