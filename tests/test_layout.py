@@ -24,6 +24,19 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def test_entries_are_exchanged_once(spark, lines, monkeypatch):
+    made = []
+    monkeypatch.setattr(tracking, "clustered", lambda df, *args, **how: made.append(df) or staging.clustered(df, *args, **how))
+    entries, buckets = tracking._entries(spark, lines)
+    assert plan(made[0]).count("Exchange hashpartitioning") == 1
+    # a file for each bucket with rows: no bucket was written by two tasks, and the rows lie where the table says
+    assert len(entries.inputFiles()) <= buckets
+    assert "Exchange" not in plan(entries.groupBy("o").count().where("o = 3"))
+    assert entries.count() == 39 * 4 + 1 and entries.where("o = 3 AND sk = 2 AND q = 0.5 AND ep = 917.0").count() == 1
+    assert {r.n for r in entries.where("o IS NOT NULL").groupBy("o").agg(F.sort_array(F.collect_list("rn")).alias("n")).select(
+        F.concat_ws(",", "n").alias("n")).collect()} == {"1,2,3,4"}
+
+
 def test_frames_go_to_python_as_numbers_and_flags(spark, rating_play):
     inp = rating_play[0]
     sent = stretches.stretches(inp.withColumn("week", F.lit(1)))._jdf.queryExecution().optimizedPlan().children().head().schema()

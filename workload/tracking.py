@@ -57,14 +57,16 @@ def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
         tune(spark)
         order = Window.partitionBy("o").orderBy((F.col("sk") * 7919 + F.col("o") * 104729) % 1009, "sk")
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        buckets = max(tasks, lines.count() // TASK_ENTRIES)
+        # one exchange, by order: rows of an order and supplier, the players of a play and its bucket all meet in it
         entries = (
-            lines.groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("sk"))
-            .agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("ep"))
+            lines.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("sk"), "l_quantity", "l_extendedprice")
+            .repartition(buckets, "o")
+            .groupBy("o", "sk").agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("ep"))
             .withColumn("rn", F.row_number().over(order))
         )
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        buckets = max(tasks, lines.count() // TASK_ENTRIES)
-        _rosters[at] = clustered(entries, "entries", ["o"], buckets), buckets
+        _rosters[at] = clustered(entries, "entries", ["o"], buckets, placed=True), buckets
     return _rosters[at]
 
 
