@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pursuit import staging
-from pursuit.operators import scene, stretches
+from pursuit.operators import paths, scene, stretches
 from workload import suite_documents, suite_quality, tracking
 
 LINES = "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double"
@@ -70,3 +70,34 @@ def test_frames_of_scenarios_are_not_sorted_to_meet_their_play(spark):
     assert "ShuffledHashJoin" in plan(points) and "SortMergeJoin" not in plan(points)
     assert {(r.scenario, r.play_id, r.frame_id): r.u for r in points.collect()} == {
         (s, p, k): (30.0 - k if p == 1 else k - 30.0) for s in ("a", "b") for p in (1, 2) for k in (1, 2)}
+
+
+def test_the_next_frame_is_found_without_making_the_frames_twice(spark):
+    rows = spark.range(0, 2 * paths.RUN + 3).select(
+        F.lit(1).alias("game_id"), F.lit(1).alias("play_id"), F.lit(1).alias("nfl_id"), F.col("id").alias("frame"), F.col("id").alias("l"))
+    ahead = paths.with_next(rows, ["l"], order="frame")
+    assert "Union" not in plan(ahead)
+    got = {r.frame: r.next_l for r in ahead.collect()}
+    assert len(got) == 2 * paths.RUN + 3 and all(v == (k + 1 if k < 2 * paths.RUN + 2 else None) for k, v in got.items())
+
+
+def test_times_are_not_walked_to_the_end_of_the_path_for_every_row(spark):
+    frames = spark.createDataFrame([(1, 1, 1, f, float(f), float(-f)) for f in (0, 1, 5, 20)], "game_id long, play_id long, nfl_id long, frame long, l double, u double")
+    times = spark.createDataFrame([(1, 1, 1, t) for t in (-2.0, 0.5, 1.0, 3.0, 12.5, 30.0)] + [(1, 1, 2, 1.0)], "game_id long, play_id long, nfl_id long, t double")
+    for bucket in (2, 4, 64):
+        met = scene.path_at(frames, times, bucket=bucket)
+        assert "unboundedfollowing" not in plan(met)
+        assert {(r.nfl_id, r.t): (r.l, r.u) for r in met.collect()} == {
+            (1, -2.0): (0.0, 0.0), (1, 0.5): (0.5, -0.5), (1, 1.0): (1.0, -1.0), (1, 3.0): (3.0, -3.0), (1, 12.5): (12.5, -12.5),
+            (1, 30.0): (20.0, -20.0), (2, 1.0): (None, None)}
+
+
+def test_scene_frames_meet_hashed_players_and_staged_ends(spark, lines):
+    v = tracking.tracking(spark, lines)
+    lazy = scene.scrimmage_frames(v.inp, v.out)
+    assert "SortMergeJoin" not in plan(lazy.select("game_id", "frame")).split("SortAggregate")[0]
+    staged_ends = suite_documents._on_scene(v)
+    assert "Exchange hashpartitioning" not in plan(staged_ends) and "SortMergeJoin" not in plan(staged_ends)
+    assert staged_ends.exceptAll(lazy).count() == 0 and lazy.exceptAll(staged_ends).count() == 0
+    whole = staged_ends.groupBy("game_id", "play_id", "nfl_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"), F.count("*").alias("n"))
+    assert whole.where("lo <> 0 OR hi + 1 <> n").count() == 0
