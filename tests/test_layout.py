@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pursuit import staging
 from pursuit.operators import paths, scene, stretches
+from pursuit.sources import requests
 from workload import suite_documents, suite_quality, tracking
 
 LINES = "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double"
@@ -101,3 +102,19 @@ def test_scene_frames_meet_hashed_players_and_staged_ends(spark, lines):
     assert staged_ends.exceptAll(lazy).count() == 0 and lazy.exceptAll(staged_ends).count() == 0
     whole = staged_ends.groupBy("game_id", "play_id", "nfl_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"), F.count("*").alias("n"))
     assert whole.where("lo <> 0 OR hi + 1 <> n").count() == 0
+
+
+def test_rows_of_a_request_are_counted_only_over_the_limit(spark):
+    most = requests.MAX_ROWS
+    bodies = {"over": '{"rows":[' + ",".join(["{}"] * (most + 2)) + "]}", "nulls over": '{"rows":[' + ",".join(["null"] * (most + 1)) + "]}",
+              "full": '{"rows":[' + ",".join(["{}"] * most) + "]}", "one null": '{"rows":[null]}', "none": '{"rows":[]}',
+              "no list": '{"rows":{"0":1}}', "text": '{"rows":"[{}]"}', "not json": "{", "no body": None}
+    parsed = requests.parse_requests(spark.createDataFrame([*bodies.items()], "request_id string, body string"))
+    empty = "body must hold at least one row object"
+    errors = {r.request_id: r.error for r in parsed.select("request_id", "error").collect()}
+    assert errors.pop("full").startswith("rows are missing columns game_id, play_id")
+    assert errors == {"over": f"at most {most} rows, got {most + 2}", "nulls over": f"at most {most} rows, got {most + 1}", "one null": empty,
+                      "none": empty, "no list": empty, "text": empty, "not json": empty, "no body": empty}
+    # the other bodies are asked for single places, so that no row is copied to be counted
+    logical = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert f"$.rows[{most}]" in logical and "$.rows[0]" in logical
