@@ -4,9 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pursuit import staging
-from pursuit.operators import paths, scene, stretches
-from pursuit.sources import requests
+from pursuit.operators import documents, nesting, paths, scene, stretches
+from pursuit.plans import rate
+from pursuit.sources import games, requests
+from tests.conftest import GAME, PLAY
 from workload import suite_documents, suite_quality, tracking
+from workload.registry import AT, hash_sum, per_game, row_hash
 
 LINES = "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double"
 
@@ -118,3 +121,36 @@ def test_rows_of_a_request_are_counted_only_over_the_limit(spark):
     # the other bodies are asked for single places, so that no row is copied to be counted
     logical = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert f"$.rows[{most}]" in logical and "$.rows[0]" in logical
+
+
+def test_sums_of_hashes_beyond_a_long_take_every_row(spark):
+    most, n = 2 ** 40 - 1, 2 ** 23 + 5
+    rows = spark.range(n).select((F.col("id") % 2).alias("game_id"), F.lit(most).alias("h"))
+    around = (n * most + 2 ** 63) % 2 ** 64 - 2 ** 63
+    assert n * most > 2 ** 63 and rows.agg(hash_sum(F.col("h")).alias("s")).first().s == around
+    # a sum that a long holds is the plain one, and no rows have none
+    assert {r.game_id: r.s for r in rows.groupBy("game_id").agg(hash_sum(F.col("h")).alias("s")).collect()} == {
+        0: (n // 2 + 1) * most, 1: n // 2 * most}
+    assert rows.where("false").agg(hash_sum(F.col("h")).alias("s")).first().s is None
+    few = spark.createDataFrame([(1, 7, 3, 1, 2.0), (1, 7, 3, 2, None), (2, 7, 3, 1, 5.5)], "game_id long, play_id long, nfl_id long, frame_id long, x double")
+    plain = few.groupBy("game_id").agg(F.sum(row_hash(AT, ["x"])).alias("rows"))
+    assert per_game(few, "x").select("game_id", "rows").exceptAll(plain).count() == 0
+
+
+def test_text_of_games_is_made_once(spark, rating_play):
+    inp, out, pred, context = rating_play
+    result = rate.compute(inp, out, pred, context)
+    plays = nesting.nested_plays(staging.staged(documents.play_documents(inp, out, pred, result.table, context), "docs"))
+    placed = games.placed_lines(plays)
+    assert "rangepartitioning" not in plan(placed) and [(r.game, r.play) for r in placed.collect()] == [(GAME, PLAY)]
+
+
+def test_frames_of_picked_plays_meet_a_lookup(spark, rating_play, tmp_path, monkeypatch):
+    inp, out, pred, context = rating_play
+    result = rate.compute(inp, out, pred, context)
+    made = []
+    monkeypatch.setattr(rate, "_require_passed", lambda *_: None)
+    monkeypatch.setattr(documents, "play_documents", lambda *tables, real=documents.play_documents: made.append(tables[0]) or real(*tables))
+    rate.release(result, inp, out, pred, context, str(tmp_path / "audit"), str(tmp_path / "public"))
+    planned = made[1]._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in planned and "SortMergeJoin" not in planned
