@@ -135,7 +135,7 @@ def link_conversations(messages: DataFrame) -> DataFrame:
     line before a sentence, and then the latest turn decides. Rows of one turn are put together in the order of their texts. Null texts count as empty. Runs its
     stages when called."""
     rows = messages.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
-    parsed = staged(rows.mapInPandas(_parse_rows, PARSED), "parsed")
+    parsed = staged(rows.mapInPandas(_parse_rows, PARSED), "messages")
     rows = parsed.where("conv_id is not null and turn is not null")
     first = rows.select("conv_id", F.explode("said").alias("hash"), "turn").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     quoted = rows.select("conv_id", "turn", F.explode("quotes").alias("q")).select(
